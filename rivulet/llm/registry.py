@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from .text import documents
 
 
@@ -11,8 +13,15 @@ def op10_simhash(spark, sf_dir):
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op2_substring_dedup(spark, sf_dir):
+    from .substring import remove_repeated_windows
+
+    done = remove_repeated_windows(documents(spark, sf_dir).select("doc_id", "text"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def queries() -> dict:
-    return {"op10_simhash": op10_simhash}
+    return {"op2_substring_dedup": op2_substring_dedup, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict:

@@ -62,9 +62,9 @@ class Rolling:
 
     def powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            n = max(n, 2 * len(self.up))
+            most = max(n, 2 * len(self.up))
             for name, base in (("up", self.BASE), ("down", pow(self.BASE, -1, 2**64))):
-                row = np.full(n, base, np.uint64)
+                row = np.full(most, base, np.uint64)
                 row[0] = 1
                 setattr(self, name, np.multiply.accumulate(row))
         return self.up[:n], self.down[:n]
