@@ -24,9 +24,6 @@ from pyspark.sql import types as T
 from ..session import shuffle_partitions
 from .text import NO_ID, keyed_runs, texts
 
-MARKS = "b int, k long, blob binary"
-
-
 def keyed(docs: DataFrame) -> DataFrame:
     """docs with k and h, and everything but the text in the struct ``rest``."""
     rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
@@ -59,19 +56,36 @@ def bucket(k: np.ndarray, n: int) -> np.ndarray:
     return np.mod(signed, n).astype(np.int32)
 
 
-def marks(k: np.ndarray, h: np.ndarray, start: np.ndarray, stop: np.ndarray, n: int) -> pa.RecordBatch | None:
-    """Runs [start, stop) of the documents (k, h), rows sorted by document -> packed rows by bucket."""
+def by_bucket(k: np.ndarray, h: np.ndarray, n: int, *arrays: np.ndarray) -> list[tuple[int, bytes]]:
+    """Arrays whose rows are sorted by document (k, h) -> packed rows (bucket, blob); kinds are kept."""
     if not len(k):
-        return None
+        return []
     new = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (h[1:] != h[:-1])])
     size = np.diff(np.r_[new, len(k)])
     of = bucket(k[new], n)
-    rows: list[tuple[int, bytes]] = []
     order = np.argsort(of, kind="stable")
+    rows = []
     for part in np.split(order, np.flatnonzero(np.diff(of[order])) + 1):
-        at = np.concatenate([np.arange(new[i], new[i] + size[i]) for i in part])
-        rows.append((int(of[part[0]]), pack(k[new[part]], h[new[part]].astype(np.uint16), size[part].astype(np.int32), start[at].astype(np.int32), (stop[at] - start[at]).astype(np.int32))))
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([None] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["b", "k", "blob"])
+        at = np.repeat(new[part] - (np.cumsum(size[part]) - size[part]), size[part]) + np.arange(size[part].sum())
+        rows.append((int(of[part[0]]), pack(k[new[part]].astype(np.int64), h[new[part]].astype(np.uint16), size[part].astype(np.int32), *(x[at] for x in arrays))))
+    return rows
+
+
+def by_document(blobs: list[bytes], *kinds: str) -> dict[tuple[int, int], list[np.ndarray]]:
+    """What by_bucket packed, for each document (k, h)."""
+    found: dict[tuple[int, int], list] = {}
+    for blob in blobs:
+        k, h, size, *arrays = unpack(blob, "<i8", "<u2", "<i4", *kinds)
+        ends = np.cumsum(size)
+        for i, key in enumerate(zip(k.tolist(), h.tolist())):
+            found.setdefault(key, []).append([x[ends[i] - size[i] : ends[i]] for x in arrays])
+    return {key: [np.concatenate(x) for x in zip(*parts)] for key, parts in found.items()}
+
+
+def marks(k: np.ndarray, h: np.ndarray, start: np.ndarray, stop: np.ndarray, n: int) -> pa.RecordBatch | None:
+    """Runs [start, stop) of the documents (k, h), rows sorted by document -> packed rows by bucket."""
+    rows = by_bucket(k, h, n, start.astype(np.int32), (stop - start).astype(np.int32))
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["b", "blob"]) if rows else None
 
 
 def n_buckets(docs: DataFrame) -> int:
@@ -79,46 +93,56 @@ def n_buckets(docs: DataFrame) -> int:
     return 4 * shuffle_partitions(docs.sparkSession)
 
 
-def rewritten(docs: DataFrame, found: DataFrame, change: Callable[[bytes, np.ndarray, np.ndarray], tuple], fields: str) -> DataFrame:
-    """docs with the text that ``change(text, starts, stops)`` gives, and its further ``fields``.
+def met(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Documents and the packed rows (b, blob) for them, in one partition and sorted by bucket.
 
-    found: packed marks (b, blob) of ``marks``. Computed fields replace columns of
-    the same name. One shuffle moves each text once.
+    Columns b, k, h, text (binary), rest, blob; rows of ``found`` have a null k. One
+    shuffle moves each text once.
     """
-    spark, n = docs.sparkSession, n_buckets(docs)
     base = keyed(docs)
     rest_type = base.schema["rest"].dataType
-    b = F.pmod(F.xxhash64("k"), F.lit(n)).cast("int")
+    b = F.pmod(F.xxhash64("k"), F.lit(n_buckets(docs))).cast("int")
     both = base.select(b.alias("b"), "k", "h", F.col("text").cast("binary").alias("text"), "rest", F.lit(None).cast("binary").alias("blob")).unionByName(
         found.select("b", F.lit(None).cast("long").alias("k"), F.lit(None).cast("int").alias("h"), F.lit(None).cast("binary").alias("text"), F.lit(None).cast(rest_type).alias("rest"), "blob")
     )
+    return both.repartition(shuffle_partitions(docs.sparkSession), "b").sortWithinPartitions("b")
+
+
+def buckets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[bytes]]]:
+    """The rows of ``met``, a few whole buckets at a time: (documents, blobs)."""
+    for table in keyed_runs(batches, "b"):
+        blobs = [x for x in table.column("blob").to_pylist() if x is not None]
+        own = table.filter(table.column("k").is_valid()).combine_chunks()
+        yield own, blobs
+
+
+def rewritten(docs: DataFrame, found: DataFrame, change: Callable[[bytes, np.ndarray, np.ndarray], tuple], fields: str) -> DataFrame:
+    """docs with the text that ``change(text, starts, stops)`` gives, and its further ``fields``.
+
+    found: packed marks (b, blob) of ``marks``. Computed fields replace columns of
+    the same name.
+    """
+    both = met(docs, found)
     extra = T.StructType.fromDDL(fields)
-    out_type = T.StructType([T.StructField("rest", rest_type), T.StructField("text", T.BinaryType()), *extra.fields])
+    kinds = [pa.string() if isinstance(f.dataType, T.StringType) else pa.int64() for f in extra.fields]
+    out_type = T.StructType([T.StructField("rest", both.schema["rest"].dataType), T.StructField("text", T.BinaryType()), *extra.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in keyed_runs(batches, "b"):
-            table = table.combine_chunks()
-            blobs = [x for x in table.column("blob").to_pylist() if x is not None]
-            spans: dict[tuple[int, int], list] = {}
-            for blob in blobs:
-                k, h, size, start, length = unpack(blob, "<i8", "<u2", "<i4", "<i4", "<i4")
-                ends = np.cumsum(size)
-                for i, key in enumerate(zip(k.tolist(), h.tolist())):
-                    at = slice(ends[i] - size[i], ends[i])
-                    spans.setdefault(key, []).append((start[at], start[at] + length[at]))
-            own = table.filter(table.column("k").is_valid())
-            none = np.empty(0, np.int32)
+        none = [np.empty(0, np.int32)] * 2
+        for own, blobs in buckets_of(batches):
+            spans = by_document(blobs, "<i4", "<i4")
+            if not own.num_rows:
+                continue
             rows = []
-            for key, text in zip(zip(own.column("k").to_pylist(), own.column("h").to_pylist()), texts(own.column("text").combine_chunks())):
-                got = spans.get(key)
-                rows.append(change(text, np.concatenate([x[0] for x in got]) if got else none, np.concatenate([x[1] for x in got]) if got else none))
-            columns = list(zip(*rows)) if rows else [()] * (1 + len(extra))
-            yield pa.RecordBatch.from_arrays(
-                [own.column("rest").combine_chunks(), pa.array(columns[0], pa.binary()), *(pa.array(c, pa.string() if isinstance(f.dataType, T.StringType) else pa.int64()) for c, f in zip(columns[1:], extra.fields))],
-                ["rest", "text", *extra.names],
-            )
-
-    out = both.repartition(shuffle_partitions(spark), "b").sortWithinPartitions("b").mapInArrow(run, out_type)
+            for k, h, text in zip(own.column("k").to_pylist(), own.column("h").to_pylist(), own.column("text").to_pylist()):
+                start, length = spans.get((k, h), none)
+                rows.append(change(text or b"", start, start + length))
+            columns = list(zip(*rows))
+            rest = own.column("rest").combine_chunks()
+            rest = rest.chunk(0) if isinstance(rest, pa.ChunkedArray) else rest
+            yield pa.RecordBatch.from_arrays([rest, pa.array(columns[0], pa.binary()), *(pa.array(c, t) for c, t in zip(columns[1:], kinds))], ["rest", "text", *extra.names])
+
+    out = both.mapInArrow(run, out_type)
     columns = [F.col("text").cast("string").alias("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in docs.columns if c not in extra.names]
     return out.select(*columns, *extra.names)
 

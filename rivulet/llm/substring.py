@@ -63,7 +63,7 @@ def candidates(docs: DataFrame, length: int, n_ranges: int, block: int = BLOCK)
         del order, ordered
         again = np.flatnonzero(same)
         if batch := marks(*runs(k[of[again]], h[of[again]], at[again], length), buckets):
-            yield pa.RecordBatch.from_arrays([pa.array(-1 - batch.column(0).to_numpy(), pa.int32()), batch.column(2)], ["r", "blob"])
+            yield pa.RecordBatch.from_arrays([pa.array(-1 - batch.column(0).to_numpy(), pa.int32()), batch.column(1)], ["r", "blob"])
         first = np.flatnonzero(~same)
         part = (((hashes[first] >> np.uint64(32)) * np.uint64(n_ranges)) >> np.uint64(32)).astype(np.int32)
         first = first[np.argsort(part, kind="stable")]
@@ -100,14 +100,14 @@ def candidates(docs: DataFrame, length: int, n_ranges: int, block: int = BLOCK)
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, block: int = BLOCK) -> DataFrame:
-    """Packed marks (b, k, blob) of the runs of words that windows repeated from earlier ones cover."""
+    """Packed marks (b, blob) of the runs of words that windows repeated from earlier ones cover."""
     n, buckets = shuffle_partitions(docs.sparkSession), n_buckets(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in keyed_runs(batches, "r"):
             rows = list(zip(table.column("r").to_pylist(), table.column("blob").to_pylist()))
             if decided := [x for x in rows if x[0] < 0]:
-                yield pa.RecordBatch.from_arrays([pa.array([-1 - x[0] for x in decided], pa.int32()), pa.array([None] * len(decided), pa.int64()), pa.array([x[1] for x in decided], pa.binary())], ["b", "k", "blob"])
+                yield pa.RecordBatch.from_arrays([pa.array([-1 - x[0] for x in decided], pa.int32()), pa.array([x[1] for x in decided], pa.binary())], ["b", "blob"])
             blobs = [x[1] for x in rows if x[0] >= 0]
             if not blobs:
                 continue
@@ -143,7 +143,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, block: int = BLOCK) -> DataFr
             if batch := marks(*runs(k[order], h[order], at[order], length), buckets):
                 yield batch
 
-    return candidates(docs, length, n, block).repartition(n, "r").sortWithinPartitions("r").mapInArrow(run, "b int, k long, blob binary")
+    return candidates(docs, length, n, block).repartition(n, "r").sortWithinPartitions("r").mapInArrow(run, "b int, blob binary")
 
 
 def _kept(text: bytes, start: np.ndarray, stop: np.ndarray) -> tuple[bytes, int, int]:
