@@ -20,8 +20,15 @@ def op2_substring_dedup(spark, sf_dir):
     return done.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op7_suffix_array(spark, sf_dir):
+    from .suffix_array import remove_repeated_bytes
+
+    done = remove_repeated_bytes(documents(spark, sf_dir).select("doc_id", "text"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def queries() -> dict:
-    return {"op2_substring_dedup": op2_substring_dedup, "op10_simhash": op10_simhash}
+    return {"op2_substring_dedup": op2_substring_dedup, "op7_suffix_array": op7_suffix_array, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict:
