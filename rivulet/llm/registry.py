@@ -27,8 +27,14 @@ def op7_suffix_array(spark, sf_dir):
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op9_best_fit(spark, sf_dir):
+    from .packing import best_fit
+
+    return best_fit(documents(spark, sf_dir))
+
+
 def queries() -> dict:
-    return {"op2_substring_dedup": op2_substring_dedup, "op7_suffix_array": op7_suffix_array, "op10_simhash": op10_simhash}
+    return {"op9_best_fit": op9_best_fit, "op2_substring_dedup": op2_substring_dedup, "op7_suffix_array": op7_suffix_array, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict:
