@@ -33,9 +33,17 @@ def op9_best_fit(spark, sf_dir):
     return best_fit(documents(spark, sf_dir))
 
 
+def op4_mixing(spark, sf_dir):
+    from .mixing import plan
+
+    return plan(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def queries() -> dict:
-    return {"op9_best_fit": op9_best_fit, "op2_substring_dedup": op2_substring_dedup, "op7_suffix_array": op7_suffix_array, "op10_simhash": op10_simhash}
+    return {"op4_mixing": op4_mixing, "op9_best_fit": op9_best_fit, "op2_substring_dedup": op2_substring_dedup, "op7_suffix_array": op7_suffix_array, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict:
-    return {}
+    from . import mixing
+
+    return {"op4_mixing": mixing.ORACLE}
