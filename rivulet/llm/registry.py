@@ -39,8 +39,14 @@ def op4_mixing(spark, sf_dir):
     return plan(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_sharding(spark, sf_dir):
+    from .sharding import shards
+
+    return shards(documents(spark, sf_dir))
+
+
 def queries() -> dict:
-    return {"op4_mixing": op4_mixing, "op9_best_fit": op9_best_fit, "op2_substring_dedup": op2_substring_dedup, "op7_suffix_array": op7_suffix_array, "op10_simhash": op10_simhash}
+    return {"op4_mixing": op4_mixing, "op6_sharding": op6_sharding, "op9_best_fit": op9_best_fit, "op2_substring_dedup": op2_substring_dedup, "op7_suffix_array": op7_suffix_array, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict:
