@@ -45,8 +45,14 @@ def op6_sharding(spark, sf_dir):
     return shards(documents(spark, sf_dir))
 
 
+def op8_multiset_hash(spark, sf_dir):
+    from .multiset_hash import chained
+
+    return chained(documents(spark, sf_dir))
+
+
 def queries() -> dict:
-    return {"op4_mixing": op4_mixing, "op6_sharding": op6_sharding, "op9_best_fit": op9_best_fit, "op2_substring_dedup": op2_substring_dedup, "op7_suffix_array": op7_suffix_array, "op10_simhash": op10_simhash}
+    return {"op4_mixing": op4_mixing, "op6_sharding": op6_sharding, "op8_multiset_hash": op8_multiset_hash, "op9_best_fit": op9_best_fit, "op2_substring_dedup": op2_substring_dedup, "op7_suffix_array": op7_suffix_array, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict:
