@@ -51,8 +51,20 @@ def op8_multiset_hash(spark, sf_dir):
     return chained(documents(spark, sf_dir))
 
 
+def op3_quality(spark, sf_dir):
+    from .quality import classified
+
+    return classified(documents(spark, sf_dir)).select("doc_id", "votes", "posterior", "score", "keep")
+
+
+def op1_chat_format(spark, sf_dir):
+    from .chat import digests, formatted, with_probe
+
+    return digests(formatted(with_probe(spark.read.parquet(f"{sf_dir}/conversations.parquet"))))
+
+
 def queries() -> dict:
-    return {"op4_mixing": op4_mixing, "op6_sharding": op6_sharding, "op8_multiset_hash": op8_multiset_hash, "op9_best_fit": op9_best_fit, "op2_substring_dedup": op2_substring_dedup, "op7_suffix_array": op7_suffix_array, "op10_simhash": op10_simhash}
+    return {"op1_chat_format": op1_chat_format, "op3_quality": op3_quality, "op4_mixing": op4_mixing, "op6_sharding": op6_sharding, "op8_multiset_hash": op8_multiset_hash, "op9_best_fit": op9_best_fit, "op2_substring_dedup": op2_substring_dedup, "op7_suffix_array": op7_suffix_array, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict:
