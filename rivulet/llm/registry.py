@@ -63,8 +63,14 @@ def op1_chat_format(spark, sf_dir):
     return digests(formatted(with_probe(spark.read.parquet(f"{sf_dir}/conversations.parquet"))))
 
 
+def op5_audio_fingerprints(spark, sf_dir):
+    from .media import fingerprints, media_column, search
+
+    return search(fingerprints(media_column(spark.read.parquet(f"{sf_dir}/embeddings.parquet")), "rec_id", "sound"))
+
+
 def queries() -> dict:
-    return {"op1_chat_format": op1_chat_format, "op3_quality": op3_quality, "op4_mixing": op4_mixing, "op6_sharding": op6_sharding, "op8_multiset_hash": op8_multiset_hash, "op9_best_fit": op9_best_fit, "op2_substring_dedup": op2_substring_dedup, "op7_suffix_array": op7_suffix_array, "op10_simhash": op10_simhash}
+    return {"op5_audio_fingerprints": op5_audio_fingerprints, "op1_chat_format": op1_chat_format, "op3_quality": op3_quality, "op4_mixing": op4_mixing, "op6_sharding": op6_sharding, "op8_multiset_hash": op8_multiset_hash, "op9_best_fit": op9_best_fit, "op2_substring_dedup": op2_substring_dedup, "op7_suffix_array": op7_suffix_array, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict:
