@@ -39,7 +39,8 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     Sources by code point, null last, take the weights in turn. What a source can't
     use is shared again among the others: with the sources sorted by size/weight,
     those before some place are full and the others get one level times their
-    weight. The table has a row for each source.
+    weight. That place is the first whose level is within its own size/weight, and
+    the levels fall from there on. The table has a row for each source.
     """
     ordered = Window.orderBy(F.col("source").asc_nulls_last())
     turn = (F.row_number().over(ordered) - 1) % len(weights)
@@ -54,7 +55,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
         sizes.select("source", "source_size", weight.alias("weight"), most.alias("most"), (F.sum("source_size").over(everything.orderBy(F.lit(0))) * share).alias("budget"))
         .withColumn("ratio", F.col("most") / F.col("weight"))
         .withColumn("level", level)
-        .withColumn("level", F.min(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(everything.orderBy(F.lit(0))))
+        .withColumn("level", F.max(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(everything.orderBy(F.lit(0))))
         .select("source", "source_size", F.least("most", F.coalesce(F.col("level") * F.col("weight"), F.col("most"))).alias("target"))
     )
 
@@ -65,10 +66,12 @@ def shuffle_key(doc_id: Column) -> Column:
 
 
 def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """(doc_id, source, key, size, source_size, target, taken, finish) for each row of docs.
+    """(doc_id, source, key, size, source_size, target, taken, finish) for each row of docs, sorted by finish.
 
     taken: words that the mix takes of the document, repeats counted. finish: its
-    virtual finish time in the first round.
+    virtual finish time in the first round; null where its source has no target. The
+    budget is the sum of the targets, so it is spent at virtual time 1: what is
+    served after that is not taken.
     """
     sized = save(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")).withColumn("key", shuffle_key(F.col("doc_id"))), "sizes")
     digits = 1
@@ -90,7 +93,7 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = S
     served = [F.greatest(F.lit(0), F.least(F.col("size"), F.floor("target").cast("long") - F.col("start") - r * F.col("source_size"))) for r in range(epochs)]
     taken = sum(served[1:], served[0])
     finish = F.when(F.col("target") > 0, (F.col("start") + F.col("size")) / F.col("target"))
-    return placed.select("doc_id", "source", "key", "size", "source_size", "target", taken.cast("long").alias("taken"), finish.alias("finish"))
+    return placed.select("doc_id", "source", "key", "size", "source_size", "target", taken.cast("long").alias("taken"), finish.alias("finish")).repartitionByRange("finish", "key").sortWithinPartitions("finish", "key")
 
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
@@ -131,13 +134,14 @@ levels AS (
             / sum(weight) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM weighed),
 goals AS (
-  SELECT source, source_size, least(most, coalesce((SELECT min(level) FROM levels WHERE level <= most / weight) * weight, most)) AS target
+  SELECT source, source_size, least(most, coalesce((SELECT max(level) FROM levels WHERE level <= most / weight) * weight, most)) AS target
   FROM levels),
 placed AS (
   SELECT s.doc_id, s.size, g.source_size, g.target,
          sum(s.size) OVER (PARTITION BY s.source ORDER BY s.key, s.doc_id, s.size ROWS UNBOUNDED PRECEDING) - s.size AS start
   FROM sized s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source)
 SELECT doc_id, size, source_size, CAST(target AS DOUBLE) AS target,
-       CAST(greatest(0, least(size, floor(target) - start)) + greatest(0, least(size, floor(target) - start - source_size)) AS BIGINT) AS taken
+       CAST(greatest(0, least(size, floor(target) - start)) + greatest(0, least(size, floor(target) - start - source_size)) AS BIGINT) AS taken,
+       CASE WHEN target > 0 THEN CAST(start + size AS DOUBLE) / CAST(target AS DOUBLE) END AS finish
 FROM placed
 """

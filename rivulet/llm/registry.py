@@ -36,7 +36,7 @@ def op9_best_fit(spark, sf_dir):
 def op4_mixing(spark, sf_dir):
     from .mixing import plan
 
-    return plan(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+    return plan(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "finish")
 
 
 def op6_sharding(spark, sf_dir):

@@ -57,15 +57,15 @@ def simhash(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, id_type: str = "long") -> DataFrame:
     """(doc_id, fp): one row per row of docs, fp as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.fromiter((simhash(x, shingle) for x in texts(batch.column(1))), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast(id_type).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {id_type}, fp long")
 
 
 def _blocks(bits: list[int], n: int) -> list[list[int]]:
@@ -191,15 +191,35 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, max_trie: int = MAX_TRI
     return _links(small.unionByName(again), max_bits)
 
 
+def _components(prints: DataFrame, max_bits: int, max_trie: int) -> DataFrame:
+    """(fp, component) for each distinct fingerprint; a component is named by its least fingerprint."""
+    distinct = save(prints.select("fp").distinct(), "simhash")
+    found = connected_components(links(distinct, max_bits, max_trie))
+    return distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE, max_trie: int = MAX_TRIE) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of docs.
 
     component_id is the least doc_id that chains of links reach.
     """
     marked = save(fingerprints(docs, shingle=shingle), "simhash")
-    classes = save(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash")
-    found = connected_components(links(classes.select("fp"), max_bits, max_trie))
-    of = classes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    least = of.groupBy("component").agg(F.min("least").alias("component_id"))
+    of = save(_components(marked, max_bits, max_trie), "simhash")
+    least = marked.groupBy("fp").agg(F.min("doc_id").alias("least")).join(of, "fp").groupBy("component").agg(F.min("least").alias("component_id"))
     named = of.join(least, "component").select("fp", "component_id")
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE, max_trie: int = MAX_TRIE) -> DataFrame:
+    """docs without near-duplicates: of each component the document of least doc_id (null last, ties by text hash), in one row."""
+    names = docs.columns
+    keys = [F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("_id"), F.xxhash64("text").alias("_h")]
+    texts_of = docs.select(*keys, "text")
+    run = fingerprints(texts_of.select(F.struct("_id", "_h").alias("row"), "text"), "row", "text", shingle, "struct<_id:bigint,_h:bigint>")
+    marked = save(run.select("doc_id._id", "doc_id._h", "fp"), "simhash")
+    of = _components(marked, max_bits, max_trie)
+    first = marked.groupBy("fp").agg(F.min(F.struct("_id", "_h")).alias("least")).join(of, "fp").groupBy("component").agg(F.min("least").alias("least"))
+    stay = first.select("least._id", "least._h")
+    own = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]
+    left = docs.select(*own, *keys).join(stay, ["_id", "_h"], "left_semi").dropDuplicates(["_id", "_h"])
+    return left.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)))

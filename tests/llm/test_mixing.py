@@ -1,11 +1,12 @@
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
 import pytest
 from helpers import frame, odd_rows, words
 
-from rivulet.llm.mixing import mixed, plan
+from rivulet.llm.mixing import mixed, plan, targets
 
 
 def slow(rows):
@@ -32,6 +33,15 @@ def rows_of(n=60):
     return odd_rows() + [(100 + i, words(i, i % 37 + 1), "en", "abcd"[i % 7 % 4], 1) for i in range(n)]
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_targets_of_many_shapes(spark, seed):
+    r = random.Random(seed)
+    rows = [(i, words(i, r.randrange(1, 12)), "en", f"s{min(r.randrange(9), r.randrange(9))}", 1) for i in range(90)]
+    total, target, _ = slow(rows)
+    got = targets(spark.createDataFrame(list(total.items()), "source string, source_size long")).collect()
+    assert {r["source"]: r["target"] for r in got} == pytest.approx(target)
+
+
 @pytest.mark.parametrize("cell_rows", [20_000, 3])
 def test_targets_and_what_is_taken(spark, cell_rows):
     rows = rows_of()
