@@ -18,4 +18,4 @@ def query(name: str, oracle: str | None = None) -> Callable:
     return keep
 
 
-from . import product, validation  # noqa: E402, F401
+from . import product, streets, validation  # noqa: E402, F401
