@@ -18,4 +18,4 @@ def query(name: str, oracle: str | None = None) -> Callable:
     return keep
 
 
-from . import product, spatial, streets, validation  # noqa: E402, F401
+from . import network, product, spatial, streets, validation  # noqa: E402, F401
