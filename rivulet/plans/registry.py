@@ -18,4 +18,4 @@ def query(name: str, oracle: str | None = None) -> Callable:
     return keep
 
 
-from . import network, product, solver, spatial, streets, validation  # noqa: E402, F401
+from . import forcing, network, product, solver, spatial, streets, validation  # noqa: E402, F401
