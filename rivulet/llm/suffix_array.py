@@ -44,7 +44,7 @@ from .text import Rolling, keyed_runs, texts
 
 LENGTH = 400
 #: Places of one anchor that are sorted together; more meet by the hashes of their windows.
-MAX_CLASS = 20_000
+MAX_CLASS = 1_000
 #: As many places of one anchor within one map task are sent as one row.
 MAX_LOCAL = 256
 BLOCK = 4_000_000
