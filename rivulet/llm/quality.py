@@ -2,7 +2,7 @@
 
 Overlapping heuristic labellers vote good, bad or nothing on each document. How
 often each combination of votes occurs is counted over all documents in Spark; the
-counts (3**8 combinations at most, however many documents) are all that
+counts (3**11 combinations at most, however many documents) are all that
 expectation-maximisation needs to estimate each labeller's accuracy and the
 posterior label of each combination. Posterior labels then train a linear scorer
 on hashed words and word shapes, by logistic regression on a bounded sample of
@@ -17,6 +17,8 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,10 +34,46 @@ BITS = 18
 TRAIN_ROWS = 8_000
 EPOCHS = 6
 THRESHOLD = 0.5
-LABELLERS = ("symbols", "capitals", "echoes", "bare_marks", "variety", "line_ends", "exclamations", "word_length")
+LABELLERS = ("symbols", "capitals", "echoes", "bare_marks", "variety", "line_ends", "exclamations", "word_length", "decorated", "plain_words", "dominance")
 ABSTAIN = "-"
 
 
+class WordSigns(dict):
+    """word -> its signs, packed: five counts of twelve bits each and two flags.
+
+    Words are looked at once while the table is small enough; -1 stands for a word
+    too long to pack.
+    """
+
+    def __missing__(self, word: str) -> int:
+        value = sum(x << 12 * i for i, x in enumerate(word_signs(word))) if len(word) < 4096 else -1
+        if len(self) >= 300_000:
+            self.clear()
+        self[word] = value
+        return value
+
+    def sums(self, words: list[str]) -> tuple[int, ...]:
+        """The sums of all words' signs, and the number of short words without a letter."""
+        packed = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        if packed.min() < 0:
+            packed = np.array([word_signs(w) for w in words])
+            rows = np.c_[packed[:, :5], packed[:, 5] & 1, packed[:, 5] >> 1]
+        else:
+            rows = np.c_[packed[:, None] >> np.array([0, 12, 24, 36, 48]) & 0xFFF, packed >> 60 & 1, packed >> 61 & 1]
+        return *rows.sum(axis=0).tolist(), int(((rows[:, 0] == 0) & (rows[:, 4] <= 3)).sum())
+
+
+def word_signs(word: str) -> tuple[int, ...]:
+    """Letters, capitals, plain marks, exclamation marks, characters; 1 if two or more marks end it, plus 2 if it is a plain word."""
+    flags = (re.search(r"[^\w\s]{2,}$", word) is not None) + 2 * (re.fullmatch(r"\W?\w+([-'’]\w+)*\W?", word) is not None)
+    return sum(map(str.isalnum, word)), sum(map(str.isupper, word)), sum(map(word.count, PLAIN)), word.count("!"), len(word), flags
+
+
+#: Marks that ordinary prose has.
+PLAIN = ".,;:'\"-()!?"
+_SIGNS = WordSigns()
+
+
 def votes(text: str) -> str:
     """A letter for each labeller: + good, x bad, - nothing."""
     words = text.split()
@@ -46,18 +84,19 @@ def votes(text: str) -> str:
     def vote(bad: bool, good: bool) -> str:
         return "x" if bad else "+" if good else ABSTAIN
 
-    letters = sum(map(str.isalnum, text))
-    space = sum(map(str.isspace, text))
-    plain = sum(text.count(c) for c in ".,;:'\"-()!?")
-    symbols = (len(text) - letters - space - plain) / len(text)
-    capitals = sum(map(str.isupper, text)) / max(1, letters)
-    echoes = sum(a == b for a, b in zip(words, words[1:])) / n
-    bare = sum(1 for w in words if len(w) <= 3 and not any(map(str.isalnum, w))) / n
-    variety = len(set(words)) / n
+    letters, capitals, plain, shouts, size, decorated, simple, bare = _SIGNS.sums(words)
+    counts = Counter(words)
+    most = max(counts.values()) / n
+    decorated, simple = decorated / n, simple / n
+    symbols = (size - letters - plain) / (size + n)
+    capitals /= max(1, letters)
+    echoes = sum(map(str.__eq__, words, words[1:])) / n
+    bare /= n
+    variety = len(counts) / n
     lines = [x.rstrip() for x in text.split("\n") if x.strip()]
     ends = sum(x[-1] in ".!?\"':;)" for x in lines) / len(lines)
-    shouts = text.count("!") / n
-    length = (len(text) - space) / n
+    shouts /= n
+    length = size / n
     return "".join(
         (
             vote(symbols > 0.03, symbols < 0.005),
@@ -68,16 +107,23 @@ def votes(text: str) -> str:
             vote(ends < 0.5 and len(lines) > 1, ends > 0.9 and len(lines) > 1),
             vote(shouts > 0.2 and n >= 5, shouts < 0.05 and n >= 20),
             vote((length < 2.2 or length > 8.2) and n >= 8, 3.5 < length < 7.2 and n >= 20),
+            vote(decorated > 0.15 and n >= 5, decorated < 0.03 and n >= 20),
+            vote(simple < 0.65 and n >= 5, simple > 0.9 and n >= 20),
+            vote(most > 0.3 and n >= 12, most < 0.15 and n >= 20),
         )
     )
 
 
 @dataclass
 class LabelModel:
-    """Accuracies of the labellers, from counts of vote patterns."""
+    """Accuracies of the labellers, from counts of vote patterns.
+
+    A labeller that says nothing is no evidence: short texts draw few votes, good
+    or bad.
+    """
 
     prior: float
-    given_good: np.ndarray  # [labeller, vote] probabilities
+    given_good: np.ndarray  # [labeller, vote] probabilities of a vote cast; 1 for no vote
     given_bad: np.ndarray
 
     @staticmethod
@@ -97,7 +143,8 @@ class LabelModel:
             tables = []
             for q in (p, 1 - p):
                 table = np.einsum("i,ijv->jv", weight * q, hot) + 1.0
-                tables.append(table / table.sum(axis=1, keepdims=True))
+                cast = table[:, :2].sum(axis=1, keepdims=True)
+                tables.append(np.hstack([table[:, :2] / cast, np.ones_like(cast)]))
             model = cls(float((weight @ p + 1) / (weight.sum() + 2)), *tables)
             new = model.posterior(patterns)
             if np.abs(new - p).max() < 1e-6:
