@@ -2,7 +2,7 @@
 
 Overlapping heuristic labellers vote good, bad or nothing on each document. How
 often each combination of votes occurs is counted over all documents in Spark; the
-counts (3**11 combinations at most, however many documents) are all that
+counts (3**13 combinations at most, however many documents) are all that
 expectation-maximisation needs to estimate each labeller's accuracy and the
 posterior label of each combination. Posterior labels then train a linear scorer
 on hashed words and word shapes, by logistic regression on a bounded sample of
@@ -21,6 +21,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ BITS = 18
 TRAIN_ROWS = 8_000
 EPOCHS = 6
 THRESHOLD = 0.5
-LABELLERS = ("symbols", "capitals", "echoes", "bare_marks", "variety", "line_ends", "exclamations", "word_length", "decorated", "plain_words", "dominance")
+LABELLERS = ("symbols", "capitals", "echoes", "bare_marks", "variety", "line_ends", "exclamations", "word_length", "decorated", "plain_words", "dominance", "triples", "pairs")
 ABSTAIN = "-"
 
 
@@ -90,7 +91,9 @@ def votes(text: str) -> str:
     decorated, simple = decorated / n, simple / n
     symbols = (size - letters - plain) / (size + n)
     capitals /= max(1, letters)
-    echoes = sum(map(str.__eq__, words, words[1:])) / n
+    same = list(map(str.__eq__, words, words[1:]))
+    echoes, triples = sum(same) / n, sum(map(and_, same, same[1:])) / n
+    pairs = len(set(zip(words, words[1:]))) / max(1, n - 1)
     bare /= n
     variety = len(counts) / n
     lines = [x.rstrip() for x in text.split("\n") if x.strip()]
@@ -110,6 +113,8 @@ def votes(text: str) -> str:
             vote(decorated > 0.15 and n >= 5, decorated < 0.03 and n >= 20),
             vote(simple < 0.65 and n >= 5, simple > 0.9 and n >= 20),
             vote(most > 0.3 and n >= 12, most < 0.15 and n >= 20),
+            vote(triples > 0.1 and n >= 8, triples < 0.01 and n >= 20),
+            vote(pairs < 0.4 and 20 <= n < 3000, pairs > 0.8 and n >= 20),
         )
     )
 
