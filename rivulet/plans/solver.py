@@ -56,13 +56,13 @@ def steady_channel(spark, d):
     return _xs(spark).select("x", F.round(hy.steady_bed_slope(h, dh, 2.0, 0.03), 9).alias("bed_slope"))
 
 
-@query("momentum", bound("""SELECT r, c, round(w * (q - 9.81 * safe * 0.5 * slope) / (1 + 9.81 * 0.5 * 0.0009 * abs(q) / pow(safe, 7.0 / 3.0)), 9) AS q_new FROM (SELECT *, greatest(hf, 0.0001) AS safe, u * u * (3 - 2 * u) AS w FROM (SELECT *, least(1.0, greatest(0.0, (hf - 0.001) / 0.009)) AS u
+@query("momentum", bound("""SELECT r, c, round(w * (q - 9.81 * safe * 0.5 * slope) / (1 + 9.81 * 0.5 * 0.0009 * abs(q) / pow(safe, 7.0 / 3.0)), 8) AS q_new FROM (SELECT *, greatest(hf, 0.0001) AS safe, u * u * (3 - 2 * u) AS w FROM (SELECT *, least(1.0, greatest(0.0, (hf - 0.001) / 0.009)) AS u
   FROM (SELECT r, c, 0.01 * (r % 7) AS q, greatest(h, h1 + dz) - greatest(dz, 0.0) AS hf, (h1 - h + dz) / 10.0 AS slope FROM (SELECT r, c, depth_m AS h, lead(depth_m) OVER (PARTITION BY r ORDER BY c) AS h1, (c % 5) * 0.02 AS dz FROM cells) WHERE h1 IS NOT NULL)))""", "cells"))
 def momentum(spark, d):
     """PH2, FN15: the local-inertial update of east faces."""
     x = b.cells(spark, d).withColumn("h1", F.lead("depth_m").over(Window.partitionBy("r").orderBy("c"))).where("h1 IS NOT NULL")
     q = hy.momentum(0.01 * (F.col("r") % 7), F.col("depth_m"), F.col("h1"), (F.col("c") % 5) * 0.02, F.lit(0.03), 0.5, 10.0)
-    return x.select("r", "c", F.round(q, 9).alias("q_new"))
+    return x.select("r", "c", F.round(q, 8).alias("q_new"))
 
 
 @query("cfl_step", bound("SELECT basin_class, least(30.0, round(0.7 * 10 / sqrt(9.81 * max(depth_m)), 9)) AS dt FROM cells GROUP BY 1", "cells"))
