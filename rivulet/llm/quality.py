@@ -17,19 +17,18 @@ table gives an empty result.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from operator import and_
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .text import Rolling
+
 BITS = 18
 #: Documents that the linear scorer is fitted on, at most.
 TRAIN_ROWS = 8_000
@@ -39,84 +38,162 @@ LABELLERS = ("symbols", "capitals", "echoes", "bare_marks", "variety", "line_end
 ABSTAIN = "-"
 
 
-class WordSigns(dict):
-    """word -> its signs, packed: five counts of twelve bits each and two flags.
+#: Marks that ordinary prose has.
+PLAIN = ".,;:'\"-()!?"
+#: Characters that a line of prose ends with.
+GOOD_ENDS = np.array([ord(c) for c in ".!?\"':;)"], np.uint32)
 
-    Words are looked at once while the table is small enough; -1 stands for a word
-    too long to pack.
-    """
 
-    def __missing__(self, word: str) -> int:
-        value = sum(x << 12 * i for i, x in enumerate(word_signs(word))) if len(word) < 4096 else -1
-        if len(self) >= 300_000:
-            self.clear()
-        self[word] = value
-        return value
+#: What a character can be, a bit each.
+SPACE, LETTER, CAPITAL, USUAL, SHOUT, WORD_CHAR, JOINER = (1 << i for i in range(7))
+#: Characters below this are looked at once for all texts.
+COMMON = 0x3000
+_BITS_OF = (np.arange(128)[None, :] >> np.arange(7)[:, None] & 1).astype(np.int64)
+_ROLLING = Rolling()
 
-    def sums(self, words: list[str]) -> tuple[int, ...]:
-        """The sums of all words' signs, and the number of short words without a letter."""
-        packed = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        if packed.min() < 0:
-            packed = np.array([word_signs(w) for w in words])
-            rows = np.c_[packed[:, :5], packed[:, 5] & 1, packed[:, 5] >> 1]
-        else:
-            rows = np.c_[packed[:, None] >> np.array([0, 12, 24, 36, 48]) & 0xFFF, packed >> 60 & 1, packed >> 61 & 1]
-        return *rows.sum(axis=0).tolist(), int(((rows[:, 0] == 0) & (rows[:, 4] <= 3)).sum())
 
+def char_signs(c: str) -> tuple[int, int]:
+    """(bits, kind): kind is 1 for a capital, 2 for another letter, 3 for a digit, else the character itself."""
+    is_ = (c.isspace(), c.isalnum(), c.isupper(), c in PLAIN, c == "!", c.isalnum() or c == "_", c in "-'’")
+    return sum(x << i for i, x in enumerate(is_)), 1 if c.isupper() else 2 if c.isalpha() else 3 if c.isdigit() else ord(c)
 
-def word_signs(word: str) -> tuple[int, ...]:
-    """Letters, capitals, plain marks, exclamation marks, characters; 1 if two or more marks end it, plus 2 if it is a plain word."""
-    flags = (re.search(r"[^\w\s]{2,}$", word) is not None) + 2 * (re.fullmatch(r"\W?\w+([-'’]\w+)*\W?", word) is not None)
-    return sum(map(str.isalnum, word)), sum(map(str.isupper, word)), sum(map(word.count, PLAIN)), word.count("!"), len(word), flags
 
+@lru_cache(maxsize=1)
+def _common() -> tuple[np.ndarray, np.ndarray]:
+    bits, kind = zip(*map(char_signs, map(chr, range(COMMON))))
+    return np.array(bits, np.uint8), np.array(kind, np.uint32)
 
-#: Marks that ordinary prose has.
-PLAIN = ".,;:'\"-()!?"
-_SIGNS = WordSigns()
 
+def signs_of(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bits and kinds of code points."""
+    low = np.minimum(code, COMMON - 1)
+    bits, kind = (x[low] for x in _common())
+    for c in np.unique(code[code >= COMMON]).tolist() if code.max() >= COMMON else ():
+        at = code == c
+        bits[at], kind[at] = char_signs(chr(c))
+    return bits, kind
 
-def votes(text: str) -> str:
-    """A letter for each labeller: + good, x bad, - nothing."""
-    words = text.split()
-    n = len(words)
-    if not n:
-        return "x" * len(LABELLERS)
-
-    def vote(bad: bool, good: bool) -> str:
-        return "x" if bad else "+" if good else ABSTAIN
-
-    letters, capitals, plain, shouts, size, decorated, simple, bare = _SIGNS.sums(words)
-    counts = Counter(words)
-    most = max(counts.values()) / n
-    decorated, simple = decorated / n, simple / n
-    symbols = (size - letters - plain) / (size + n)
-    capitals /= max(1, letters)
-    same = list(map(str.__eq__, words, words[1:]))
-    echoes, triples = sum(same) / n, sum(map(and_, same, same[1:])) / n
-    pairs = len(set(zip(words, words[1:]))) / max(1, n - 1)
-    bare /= n
-    variety = len(counts) / n
-    lines = [x.rstrip() for x in text.split("\n") if x.strip()]
-    ends = sum(x[-1] in ".!?\"':;)" for x in lines) / len(lines)
-    shouts /= n
-    length = size / n
-    return "".join(
-        (
-            vote(symbols > 0.03, symbols < 0.005),
-            vote(capitals > 0.4 and letters > 20, capitals < 0.1 and letters > 20),
-            vote(echoes > 0.15 and n >= 8, echoes < 0.04 and n >= 8),
-            vote(bare > 0.08, bare == 0 and n >= 8),
-            vote(variety < 0.25 and 20 <= n < 3000, variety > 0.55 and n >= 20),
-            vote(ends < 0.5 and len(lines) > 1, ends > 0.9 and len(lines) > 1),
-            vote(shouts > 0.2 and n >= 5, shouts < 0.05 and n >= 20),
-            vote((length < 2.2 or length > 8.2) and n >= 8, 3.5 < length < 7.2 and n >= 20),
-            vote(decorated > 0.15 and n >= 5, decorated < 0.03 and n >= 20),
-            vote(simple < 0.65 and n >= 5, simple > 0.9 and n >= 20),
-            vote(most > 0.3 and n >= 12, most < 0.15 and n >= 20),
-            vote(triples > 0.1 and n >= 8, triples < 0.01 and n >= 20),
-            vote(pairs < 0.4 and 20 <= n < 3000, pairs > 0.8 and n >= 20),
+
+def n_distinct(values: np.ndarray) -> tuple[int, int]:
+    """(distinct values, occurrences of the most frequent)."""
+    if not len(values):
+        return 0, 0
+    ordered = np.sort(values)
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    return len(first), int(np.diff(first, append=len(values)).max())
+
+
+@dataclass
+class Seen:
+    """A text's counts, and its features: values of words, of shapes and of line ends sum to 1 each; the last is the share of echoes.
+
+    A word's shape is its kinds of characters, each run once.
+    """
+
+    n: int
+    signs: tuple[int, ...]
+    most: int
+    distinct: int
+    pairs: int
+    echoes: int
+    triples: int
+    n_lines: int
+    good_ends: int
+    buckets: np.ndarray
+    values: np.ndarray
+
+    @classmethod
+    def of(cls, text: str) -> Seen | None:
+        """None for a text without words. Everything is counted by whole arrays of characters and words."""
+        code = np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+        bits, kind = signs_of(code)
+        inside = (bits & SPACE) == 0
+        edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        start, stop = edge[::2], edge[1::2]
+        n = len(start)
+        if not n:
+            return None
+        size = stop - start
+        word = _ROLLING.windows(_ROLLING.sums(code.astype(np.uint64)), start, stop)
+        fresh = np.flatnonzero(inside[1:] & ((kind[1:] != kind[:-1]) | ~inside[:-1])) + 1
+        of = np.searchsorted(fresh, start)
+        shape = _ROLLING.windows(_ROLLING.sums(kind[fresh].astype(np.uint64)), of, np.append(of[1:], len(fresh)))
+        totals = _BITS_OF @ np.bincount(bits, minlength=128)
+        # marks: characters that are no letters
+        at = np.flatnonzero(inside & ((bits & LETTER) == 0))
+        owner = np.searchsorted(start, at, side="right") - 1
+        marks = np.bincount(owner, minlength=n)
+        bare = int(((marks == size) & (size <= 3)).sum())
+        is_word = (bits & WORD_CHAR) != 0
+        odd = ~is_word[at]
+        at, owner = at[odd], owner[odd]
+        joins = ((bits[at] & JOINER) != 0) & is_word[at - 1] & is_word[at + 1]
+        rough = np.bincount(owner, minlength=n) == size
+        rough[owner[(at != start[owner]) & (at != stop[owner] - 1) & ~joins]] = True
+        decorated = int(((size >= 2) & ~is_word[stop - 1] & ~is_word[stop - 2]).sum())
+        # a word ends its line if a line break comes before the next word
+        breaks = np.cumsum(code == 10)
+        ends = np.flatnonzero(np.append(breaks[start[1:]] > breaks[stop[:-1] - 1], True))
+        last = stop[ends] - 1
+        same = word[1:] == word[:-1]
+        echoes = int(np.count_nonzero(same))
+        distinct, most = n_distinct(word)
+        mask = np.uint64((1 << BITS) - 1)
+        line_end = _ROLLING.mixed(kind[last].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        return cls(
+            n=n,
+            signs=(*(int(x) for x in totals[1:5]), int(size.sum()), decorated, n - int(rough.sum()), bare),
+            most=most,
+            distinct=distinct,
+            pairs=n_distinct(_ROLLING.mixed(word[:-1] * np.uint64(3) + word[1:]))[0],
+            echoes=echoes,
+            triples=int(np.count_nonzero(same[1:] & same[:-1])),
+            n_lines=len(ends),
+            good_ends=int(np.isin(code[last], GOOD_ENDS).sum()),
+            buckets=(np.concatenate([word & mask, shape >> np.uint64(20) & mask, line_end & mask, [np.uint64(0)]])).astype(np.int64),
+            values=np.concatenate([np.full(2 * n, 1 / n), np.full(len(ends), 1 / len(ends)), [echoes / n]]),
+        )
+
+    def votes(self) -> str:
+        """A letter for each labeller: + good, x bad, - nothing."""
+        n = self.n
+        letters, capitals, plain, shouts, size, decorated, simple, bare = self.signs
+        most, decorated, simple = self.most / n, decorated / n, simple / n
+        symbols = (size - letters - plain) / (size + n)
+        capitals /= max(1, letters)
+        echoes, triples, pairs = self.echoes / n, self.triples / n, self.pairs / max(1, n - 1)
+        bare /= n
+        variety = self.distinct / n
+        ends = self.good_ends / max(1, self.n_lines)
+        shouts /= n
+        length = size / n
+
+        def vote(bad: bool, good: bool) -> str:
+            return "x" if bad else "+" if good else ABSTAIN
+
+        return "".join(
+            (
+                vote(symbols > 0.03, symbols < 0.005),
+                vote(capitals > 0.4 and letters > 20, capitals < 0.1 and letters > 20),
+                vote(echoes > 0.15 and n >= 8, echoes < 0.04 and n >= 8),
+                vote(bare > 0.08, bare == 0 and n >= 8),
+                vote(variety < 0.25 and 20 <= n < 3000, variety > 0.55 and n >= 20),
+                vote(ends < 0.5 and self.n_lines > 1, ends > 0.9 and self.n_lines > 1),
+                vote(shouts > 0.2 and n >= 5, shouts < 0.05 and n >= 20),
+                vote((length < 2.2 or length > 8.2) and n >= 8, 3.5 < length < 7.2 and n >= 20),
+                vote(decorated > 0.15 and n >= 5, decorated < 0.03 and n >= 20),
+                vote(simple < 0.65 and n >= 5, simple > 0.9 and n >= 20),
+                vote(most > 0.3 and n >= 12, most < 0.15 and n >= 20),
+                vote(triples > 0.1 and n >= 8, triples < 0.01 and n >= 20),
+                vote(pairs < 0.4 and 20 <= n < 3000, pairs > 0.8 and n >= 20),
+            )
         )
-    )
+
+
+def votes(text: str) -> str:
+    """The votes on a text; one without words is bad to all."""
+    seen = Seen.of(text)
+    return seen.votes() if seen else "x" * len(LABELLERS)
 
 
 @dataclass
@@ -171,52 +248,17 @@ class LabelModel:
         return dict(zip(LABELLERS, (right / (right + wrong)).tolist()))
 
 
-def shape(word: str) -> str:
-    """The word's kinds of characters, each run once: Word!! -> Aa!"""
-    out = []
-    for c in word:
-        kind = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
-        if not out or out[-1] != kind:
-            out.append(kind)
-    return "".join(out)
-
-
-class Features(dict):
-    """word -> (bucket of the word) | (bucket of its shape) << 32."""
-
-    def __missing__(self, word: str) -> int:
-        mask = (1 << BITS) - 1
-        value = xxhash.xxh3_64_intdigest(word, 1) & mask | (xxhash.xxh3_64_intdigest(shape(word), 2) & mask) << 32
-        if len(self) >= 300_000:
-            self.clear()
-        self[word] = value
-        return value
-
-    def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """(buckets, values) of a text; values sum to 1 for words, shapes and further signs each."""
-        words = text.split()
-        n = len(words)
-        if not n:
-            return np.empty(0, np.int64), np.empty(0)
-        both = np.fromiter(map(self.__getitem__, words), np.int64, n)
-        echo = (both[1:] == both[:-1]).sum() / n
-        lines = [x.rstrip() for x in text.split("\n") if x.strip()]
-        ends = [self["\n" + shape(x[-1:])] & 0xFFFFFFFF for x in lines]
-        buckets = np.r_[both & 0xFFFFFFFF, both >> 32, ends, self["\n\n"] & 0xFFFFFFFF]
-        return buckets, np.r_[np.full(2 * n, 1 / n), np.full(len(lines), 1 / len(lines)), echo]
-
-
 def fit_linear(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = EPOCHS, rate: float = 0.5, decay: float = 1e-6) -> np.ndarray:
     """Logistic regression on soft labels by AdaGrad; the last weight is the bias."""
     weights, seen = np.zeros((1 << BITS) + 1), np.full((1 << BITS) + 1, 1e-6)
+    summed = [(at, np.bincount(inverse, values)) for (at, inverse), values in ((np.unique(buckets, return_inverse=True), values) for buckets, values in rows)]
     order = np.random.default_rng(0)
     for _ in range(epochs):
         for i in order.permutation(len(rows)):
-            buckets, values = rows[i]
-            p = 1 / (1 + np.exp(-np.clip(weights[-1] + weights[buckets] @ values, -30, 30)))
+            at, values = summed[i]
+            p = 1 / (1 + np.exp(-np.clip(weights[-1] + weights[at] @ values, -30, 30)))
             slope = p - labels[i]
-            at, inverse = np.unique(buckets, return_inverse=True)
-            grad = slope * np.bincount(inverse, values) + decay * weights[at]
+            grad = slope * values + decay * weights[at]
             seen[at] += grad * grad
             weights[at] -= rate * grad / np.sqrt(seen[at])
             seen[-1] += slope * slope
@@ -242,13 +284,12 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[LabelModel, np.n
     known = dict(zip(counts, model.posterior(list(counts)).tolist()))
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, rows, labels = Features(), [], []
+        rows, labels = [], []
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                found = words.of(text or "")
-                if len(found[0]):
-                    rows.append(found)
-                    labels.append(known[votes(text or "")])
+                if seen := Seen.of(text or ""):
+                    rows.append((seen.buckets, seen.values))
+                    labels.append(known[seen.votes()])
         yield pa.RecordBatch.from_arrays([pa.array([fit_linear(rows, np.array(labels)).astype(np.float32).tobytes()], pa.binary())], ["weights"])
 
     key = F.xxhash64("text", "doc_id", F.lit(11))
@@ -272,18 +313,19 @@ def classified(docs: DataFrame, train_rows: int = TRAIN_ROWS, threshold: float =
     weights = docs.sparkSession.sparkContext.broadcast(weights)  # 2**BITS floats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, known = Features(), {}
+        known, nothing = {}, "x" * len(LABELLERS)
         w = weights.value
         for batch in batches:
             rows = []
             for text in batch.column("text").to_pylist():
-                text = text or ""
-                pattern = votes(text)
+                if (seen := Seen.of(text or "")) is None:
+                    rows.append((nothing, 0.0, 0.0, threshold <= 0))
+                    continue
+                pattern = seen.votes()
                 if pattern not in known:
                     known[pattern] = float(model.posterior([pattern])[0])
-                buckets, values = words.of(text)
-                score = float(1 / (1 + np.exp(-np.clip(w[-1] + w[buckets] @ values, -30, 30)))) if len(buckets) else 0.0
-                rows.append((pattern, known[pattern] if len(buckets) else 0.0, score, score >= threshold))
+                score = float(1 / (1 + np.exp(-np.clip(w[-1] + w[seen.buckets] @ seen.values, -30, 30))))
+                rows.append((pattern, known[pattern], score, score >= threshold))
             columns = list(zip(*rows)) if rows else [()] * 4
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.float64(), pa.float64(), pa.bool_())))], names=[*batch.schema.names, *added.names])
 

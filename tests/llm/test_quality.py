@@ -1,9 +1,12 @@
+import re
+from collections import Counter
+
 import numpy as np
 import pytest
 from helpers import frame, odd_rows
 from pyspark.sql import functions as F
 
-from rivulet.llm.quality import LABELLERS, LabelModel, classified, kept, shape, votes
+from rivulet.llm.quality import LABELLERS, LabelModel, Seen, classified, kept, votes
 
 
 def test_accuracies_are_found_without_labels():
@@ -27,7 +30,24 @@ def test_votes():
     assert votes("the the the the the the the the the")[2] == "x"
     assert votes("a | bb | cc | dd | ee")[3] == "x"
     assert "x" not in votes("A short line of plain words, and nothing odd.")
-    assert shape("Word!!") == "Aa!" and shape("|") == "|"
+
+
+def test_signs_of_words():
+    text = "Plain words, don't they?\n  ODD|mark x-- !! a1_b 日本\n\n(so) 'tis well-known..."
+    got = Seen.of(text)
+    words = text.split()
+    counts = Counter(words)
+    simple = [w for w in words if re.fullmatch(r"\W?\w+([-'’]\w+)*\W?", w)]
+    decorated = [w for w in words if re.search(r"[^\w\s]{2,}$", w)]
+    bare = [w for w in words if len(w) <= 3 and not any(c.isalnum() for c in w)]
+    all_ = "".join(words)
+    assert got.n == len(words) and got.distinct == len(counts) and got.pairs == len(set(zip(words, words[1:])))
+    assert got.signs == (sum(c.isalnum() for c in all_), sum(c.isupper() for c in all_), sum(c in ".,;:'\"-()!?" for c in all_), all_.count("!"), len(all_), len(decorated), len(simple), len(bare))
+    assert (got.n_lines, got.good_ends) == (3, 2)
+    assert Seen.of("a a a b").triples == 1 and Seen.of("a a a b").echoes == 2 and Seen.of("a a a b").most == 3
+    # equal shapes: Word! and Other! share a bucket
+    a, b = Seen.of("Word!").buckets, Seen.of("Other!").buckets
+    assert a[0] != b[0] and a[1] == b[1]
 
 
 def test_held_out_labels(spark):
