@@ -17,7 +17,8 @@ position in a hundred. Then, in Spark:
 
 An anchor with over ``max_class`` places (a passage that a large share of all
 documents has) isn't gathered into a task: its windows meet by their hashes
-instead, of which each task sends every one once. Documents with equal texts are
+instead, of which each task sends every one once, packed into a binary row for
+each range of hashes. Documents with equal texts are
 found by a hash of the whole text, and only one of them goes through step 2.
 
 Matches never cross documents. A null text is empty. A null doc_id is one more
@@ -175,8 +176,8 @@ def _suffix_rows(**columns) -> pa.RecordBatch:
 
 
 def suffixes(docs: DataFrame, found: DataFrame, length: int) -> DataFrame:
-    """The rows that step 3 groups by cls: suffixes (left, right), hashed windows (neither), marks (blob)."""
-    buckets, back = n_buckets(docs), length // 2
+    """The rows that step 3 groups by cls: suffixes (left, right), hashed windows (blob; cls is a range of hashes), marks (b, blob)."""
+    n, buckets, back = shuffle_partitions(docs.sparkSession), n_buckets(docs), length // 2
 
     def hashed(held: list) -> Iterator[pa.RecordBatch]:
         k, h = (np.concatenate([np.full(len(x[2]), x[i], np.int64) for x in held]) for i in (0, 1))
@@ -186,7 +187,12 @@ def suffixes(docs: DataFrame, found: DataFrame, length: int) -> DataFrame:
         own = own[np.lexsort((at[own], h[own], k[own]))]
         if batch := marks(k[own], h[own], at[own], at[own] + length, buckets):
             yield _suffix_rows(cls=batch.column(0).cast(pa.int64()), b=batch.column(0), blob=batch.column(1))
-        yield _suffix_rows(cls=hashes[first].view(np.int64), k=k[first], h=h[first].astype(np.int32), at=at[first].astype(np.int32))
+        part = _by_range(hashes[first], n)
+        order = np.lexsort((at[first], h[first], k[first], part))
+        part, first = part[order], first[order]
+        ranges, begin = np.unique(part, return_index=True)
+        blobs = [pack(np.diff(k[x], prepend=0), h[x].astype(np.uint16), at[x].astype(np.int32), hashes[x]) for x in np.split(first, begin[1:])]
+        yield _suffix_rows(cls=ranges.astype(np.int64), blob=blobs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling, held, total = Rolling(), [], 0
@@ -275,20 +281,19 @@ def removals(docs: DataFrame, length: int = LENGTH, max_class: int = MAX_CLASS,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in keyed_runs(batches, "cls"):
-            blob = table.column("blob").is_valid()
-            if (ready := table.filter(blob)).num_rows:
+            if (ready := table.filter(table.column("b").is_valid())).num_rows:
                 yield from ready.select(["b", "blob"]).to_batches()
-            rest = table.filter(pa.compute.invert(blob))
+            rest = table.filter(table.column("b").is_null())
             if not rest.num_rows:
                 continue
-            hashed = rest.column("right").is_null()
-            only, sort = rest.filter(hashed), rest.filter(pa.compute.invert(hashed))
+            sort = rest.filter(rest.column("right").is_valid())
             found = []
-            if only.num_rows:
-                cls, k, h, at = (only.column(c).to_numpy().astype(np.int64) for c in ("cls", "k", "h", "at"))
-                _, inverse, counts = np.unique(cls, return_inverse=True, return_counts=True)
+            if packed := [unpack(x, "<i8", "<u2", "<i4", "<u8") for x in rest.column("blob").to_pylist() if x is not None]:
+                k = np.concatenate([np.cumsum(p[0]) for p in packed])
+                h, at, hashes = (np.concatenate([p[i] for p in packed]) for i in (1, 2, 3))
+                _, inverse, counts = np.unique(hashes, return_inverse=True, return_counts=True)
                 x = counts[inverse] > 1
-                found.append((k[x], h[x], at[x], at[x] + length))
+                found.append((k[x], h[x].astype(np.int64), at[x].astype(np.int64), at[x].astype(np.int64) + length))
             if sort.num_rows:
                 cls, k, h, at = (sort.column(c).to_numpy().astype(np.int64) for c in ("cls", "k", "h", "at"))
                 twice = repeated_around(cls, sort.column("left").to_pylist(), sort.column("right").to_pylist(), length)
