@@ -118,8 +118,8 @@ class GridReader(DataSourceReader):
 
 def ascii_grid(spark: SparkSession, path: str) -> DataFrame:
     """The same grid from any store that Spark reads."""
-    rows = spark.read.option("wholetext", True).text(path)
-    lines = rows.select(F.split("value", "\n").alias("l")).select(F.filter("l", lambda x: ~x.rlike(r"^\s*[A-Za-z]") & (F.trim(x) != "")).alias("d"), F.element_at(F.filter(F.col("l"), lambda x: F.lower(x).startswith("nodata_value")), 1).alias("n"))
+    rows = spark.read.text(path, wholetext=True)
+    lines = rows.select(F.split("value", "\n").alias("l")).select(F.filter("l", lambda x: ~x.rlike(r"^\s*[A-Za-z]") & (F.trim(x) != "")).alias("d"), F.try_element_at(F.filter(F.col("l"), lambda x: F.lower(x).startswith("nodata_value")), F.lit(1)).alias("n"))
     cells = lines.select(F.posexplode("d").alias("r", "line"), F.split(F.trim("n"), r"\s+")[1].cast("double").alias("nodata")).select("r", "nodata", F.posexplode(F.split(F.trim("line"), r"\s+")).alias("c", "x"))
     x = F.col("x").cast("double")
     return cells.select("r", "c", F.when(F.col("nodata").isNull() | (x != F.col("nodata")), x).alias("value"))

@@ -62,7 +62,7 @@ class Manifest:
         fs, p = _fs(self.spark, self.path)
         if not fs.exists(p):
             return None
-        return json.loads(self.spark.read.option("wholetext", True).text(self.path).first()[0])
+        return json.loads(self.spark.read.text(self.path, wholetext=True).first()[0])
 
     def _write(self, state: dict) -> None:
         fs, p = _fs(self.spark, self.path)
