@@ -48,7 +48,8 @@ LENGTH = 400
 MAX_CLASS = 1_000
 #: As many places of one anchor within one map task are sent as one row.
 MAX_LOCAL = 256
-BLOCK = 4_000_000
+#: Anchors or windows that a map task holds before it sends them on.
+BLOCK = 2_000_000
 #: One fixed random value for each byte.
 BYTE_VALUES = np.array([xxhash.xxh3_64_intdigest(bytes([i]), 7) for i in range(256)], np.uint64)
 
