@@ -86,6 +86,8 @@ def anchors(text: bytes, length: int, rolling: Rolling) -> tuple[np.ndarray, np.
 
 
 def _by_range(hashes: np.ndarray, n: int) -> np.ndarray:
+    """The hash range of each value. Anchors have the least hashes of their windows, so hashes are mixed once more."""
+    hashes = Rolling.mixed(hashes)
     return (((hashes >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int32)
 
 
