@@ -4,8 +4,9 @@ Removal operators find marks (positions inside a document) far from the text.
 Marks travel packed: many documents' positions in one compressed binary row for
 one bucket of documents, so that no row per position is ever shuffled.
 
-A document is known by (k, h): its id, null as NO_ID, and 16 bits of its text's
-hash; rows that repeat an id and its text are one document.
+A document is known by (k, h): its id, null as NO_ID, and the 64-bit hash of its
+text; rows that repeat an id and its text are one document. Both make its bucket,
+so that the texts of one id (all null ids, say) are spread.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
     return docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k"),
-        F.coalesce(F.xxhash64("text").bitwiseAND(F.lit(0xFFFF)), F.lit(0)).cast("int").alias("h"),
+        F.xxhash64("text").alias("h"),
         F.col("text"),
         F.struct(*rest).alias("rest"),
     )
@@ -62,12 +63,12 @@ def by_bucket(k: np.ndarray, h: np.ndarray, n: int, *arrays: np.ndarray) -> list
         return []
     new = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (h[1:] != h[:-1])])
     size = np.diff(np.r_[new, len(k)])
-    of = bucket(k[new], n)
+    of = bucket(k[new].astype(np.int64) ^ h[new].astype(np.int64), n)
     order = np.argsort(of, kind="stable")
     rows = []
     for part in np.split(order, np.flatnonzero(np.diff(of[order])) + 1):
         at = np.repeat(new[part] - (np.cumsum(size[part]) - size[part]), size[part]) + np.arange(size[part].sum())
-        rows.append((int(of[part[0]]), pack(k[new[part]].astype(np.int64), h[new[part]].astype(np.uint16), size[part].astype(np.int32), *(x[at] for x in arrays))))
+        rows.append((int(of[part[0]]), pack(k[new[part]].astype(np.int64), h[new[part]].astype(np.int64), size[part].astype(np.int32), *(x[at] for x in arrays))))
     return rows
 
 
@@ -75,7 +76,7 @@ def by_document(blobs: list[bytes], *kinds: str) -> dict[tuple[int, int], list[n
     """What by_bucket packed, for each document (k, h)."""
     found: dict[tuple[int, int], list] = {}
     for blob in blobs:
-        k, h, size, *arrays = unpack(blob, "<i8", "<u2", "<i4", *kinds)
+        k, h, size, *arrays = unpack(blob, "<i8", "<i8", "<i4", *kinds)
         ends = np.cumsum(size)
         for i, key in enumerate(zip(k.tolist(), h.tolist())):
             found.setdefault(key, []).append([x[ends[i] - size[i] : ends[i]] for x in arrays])
@@ -101,9 +102,9 @@ def met(docs: DataFrame, found: DataFrame) -> DataFrame:
     """
     base = keyed(docs)
     rest_type = base.schema["rest"].dataType
-    b = F.pmod(F.xxhash64("k"), F.lit(n_buckets(docs))).cast("int")
+    b = F.pmod(F.xxhash64(F.col("k").bitwiseXOR(F.col("h"))), F.lit(n_buckets(docs))).cast("int")
     both = base.select(b.alias("b"), "k", "h", F.col("text").cast("binary").alias("text"), "rest", F.lit(None).cast("binary").alias("blob")).unionByName(
-        found.select("b", F.lit(None).cast("long").alias("k"), F.lit(None).cast("int").alias("h"), F.lit(None).cast("binary").alias("text"), F.lit(None).cast(rest_type).alias("rest"), "blob")
+        found.select("b", F.lit(None).cast("long").alias("k"), F.lit(None).cast("long").alias("h"), F.lit(None).cast("binary").alias("text"), F.lit(None).cast(rest_type).alias("rest"), "blob")
     )
     return both.repartition(shuffle_partitions(docs.sparkSession), "b").sortWithinPartitions("b")
 

@@ -11,8 +11,9 @@ about nine bytes a window. Before that, each task keeps only the first of the
 windows that it holds itself: the others are decided at once. So the most common
 window of all is sent once by each task, whatever share of the rows it has.
 
-Null text: no words. A null doc_id comes before all others; rows that repeat an
-id and its text are one document. Extra columns stay; n_words and n_removed
+Null text: no words. A null doc_id comes before all others; the texts of one id
+come in the order of their hashes, and rows that repeat an id and its text are one
+document. Extra columns stay; n_words and n_removed
 replace columns of that name. Two different windows are taken for equal with a
 chance of about n**2 / 2**64 over n windows.
 """
@@ -76,7 +77,7 @@ def candidates(docs: DataFrame, length: int, n_ranges: int, block: int = BLOCK)
                 gaps = np.diff(at[own], prepend=0)
                 gaps[np.r_[0, np.cumsum(counts)[:-1]]] = at[own][np.r_[0, np.cumsum(counts)[:-1]]]
                 kind = np.uint16 if gaps.max() < 1 << 16 else np.uint32
-                tables = pack(np.diff(k[docs_in], prepend=0), h[docs_in].astype(np.uint16), counts.astype(np.int32), gaps.astype(kind), np.array([np.dtype(kind).itemsize], np.int8))
+                tables = pack(np.diff(k[docs_in], prepend=0), h[docs_in], counts.astype(np.int32), gaps.astype(kind), np.array([np.dtype(kind).itemsize], np.int8))
                 yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([len(tables).to_bytes(4, "little") + tables + low.tobytes()], pa.binary())], ["r", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,7 +115,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, block: int = BLOCK) -> DataFr
             parts = []
             for blob in blobs:
                 cut = 4 + int.from_bytes(blob[:4], "little")
-                k, h, counts, gaps, kind = unpack(blob[4:cut], "<i8", "<u2", "<i4", "<u1", "<i1")
+                k, h, counts, gaps, kind = unpack(blob[4:cut], "<i8", "<i8", "<i4", "<u1", "<i1")
                 gaps = gaps.view(np.uint16 if kind[0] == 2 else np.uint32).astype(np.int64)
                 low = np.zeros((len(gaps), 8), np.uint8)
                 low[:, :7] = np.frombuffer(blob, np.uint8, offset=cut).reshape(-1, 7)

@@ -121,7 +121,7 @@ def repeated_anchors(docs: DataFrame, length: int, max_class: int, max_local: in
         for r in range(n):
             x = keep[ends[r - 1] if r else 0 : ends[r]]
             if len(x):
-                rows.append((r, pack(np.diff(k[x], prepend=0), h[x].astype(np.uint16), at[x].astype(np.int32), weight[x], hashes[x])))
+                rows.append((r, pack(np.diff(k[x], prepend=0), h[x], at[x].astype(np.int32), weight[x], hashes[x])))
         yield _rows(rows)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,14 +144,14 @@ def repeated_anchors(docs: DataFrame, length: int, max_class: int, max_local: in
             rows = list(zip(table.column("r").to_pylist(), table.column("blob").to_pylist()))
             if passed := [(-1 - r, blob) for r, blob in rows if r < 0]:
                 yield _rows(passed, ("b", "blob"))
-            parts = [unpack(blob, "<i8", "<u2", "<i4", "<i4", "<u8") for r, blob in rows if r >= 0]
+            parts = [unpack(blob, "<i8", "<i8", "<i4", "<i4", "<u8") for r, blob in rows if r >= 0]
             if not parts:
                 continue
             k = np.concatenate([np.cumsum(p[0]) for p in parts])
             h, at, weight, hashes = (np.concatenate([p[i] for p in parts]) for i in (1, 2, 3, 4))
             # the least document comes first, and stands for those with an equal text
             order = np.lexsort((at, h, k, hashes))
-            k, h, at, weight, hashes = k[order], h[order].astype(np.int64), at[order], weight[order], hashes[order]
+            k, h, at, weight, hashes = k[order], h[order], at[order], weight[order], hashes[order]
             new = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
             size = np.diff(np.r_[new, len(hashes)])
             total = np.repeat(np.add.reduceat(weight.astype(np.int64), new), size)
@@ -169,8 +169,8 @@ def repeated_anchors(docs: DataFrame, length: int, max_class: int, max_local: in
     return first.repartition(n, "r").sortWithinPartitions("r").mapInArrow(meet, "b int, blob binary")
 
 
-SUFFIX = "cls long, k long, h int, at int, left binary, right binary, b int, blob binary"
-_SUFFIX = pa.schema([("cls", pa.int64()), ("k", pa.int64()), ("h", pa.int32()), ("at", pa.int32()), ("left", pa.binary()), ("right", pa.binary()), ("b", pa.int32()), ("blob", pa.binary())])
+SUFFIX = "cls long, k long, h long, at int, left binary, right binary, b int, blob binary"
+_SUFFIX = pa.schema([("cls", pa.int64()), ("k", pa.int64()), ("h", pa.int64()), ("at", pa.int32()), ("left", pa.binary()), ("right", pa.binary()), ("b", pa.int32()), ("blob", pa.binary())])
 
 
 def _suffix_rows(**columns) -> pa.RecordBatch:
@@ -194,7 +194,7 @@ def suffixes(docs: DataFrame, found: DataFrame, length: int) -> DataFrame:
         order = np.lexsort((at[first], h[first], k[first], part))
         part, first = part[order], first[order]
         ranges, begin = np.unique(part, return_index=True)
-        blobs = [pack(np.diff(k[x], prepend=0), h[x].astype(np.uint16), at[x].astype(np.int32), hashes[x]) for x in np.split(first, begin[1:])]
+        blobs = [pack(np.diff(k[x], prepend=0), h[x], at[x].astype(np.int32), hashes[x]) for x in np.split(first, begin[1:])]
         yield _suffix_rows(cls=ranges.astype(np.int64), blob=blobs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,12 +291,12 @@ def removals(docs: DataFrame, length: int = LENGTH, max_class: int = MAX_CLASS,
                 continue
             sort = rest.filter(rest.column("right").is_valid())
             found = []
-            if packed := [unpack(x, "<i8", "<u2", "<i4", "<u8") for x in rest.column("blob").to_pylist() if x is not None]:
+            if packed := [unpack(x, "<i8", "<i8", "<i4", "<u8") for x in rest.column("blob").to_pylist() if x is not None]:
                 k = np.concatenate([np.cumsum(p[0]) for p in packed])
                 h, at, hashes = (np.concatenate([p[i] for p in packed]) for i in (1, 2, 3))
                 _, inverse, counts = np.unique(hashes, return_inverse=True, return_counts=True)
                 x = counts[inverse] > 1
-                found.append((k[x], h[x].astype(np.int64), at[x].astype(np.int64), at[x].astype(np.int64) + length))
+                found.append((k[x], h[x], at[x].astype(np.int64), at[x].astype(np.int64) + length))
             if sort.num_rows:
                 cls, k, h, at = (sort.column(c).to_numpy().astype(np.int64) for c in ("cls", "k", "h", "at"))
                 twice = repeated_around(cls, sort.column("left").to_pylist(), sort.column("right").to_pylist(), length)
