@@ -82,8 +82,18 @@ def frame_tags(spark, d):
 @query("metre_labels", bound("SELECT r, c, CASE WHEN depth_m > 0.3 THEN printf('%.2f m', depth_m) ELSE printf('%d cm', CAST(floor(depth_m * 100) AS INTEGER)) END AS label FROM cells WHERE r < 10", "cells"))
 def metre_labels(spark, d):
     """FN16"""
+    return _labels(b.cells(spark, d).where("r < 10"))
+
+
+@query("metre_labels_whole")
+def metre_labels_whole(spark, d):
+    """FN16 on every cell."""
+    return _labels(b.cells(spark, d))
+
+
+def _labels(cells):
     m = F.col("depth_m")
-    return b.cells(spark, d).where("r < 10").select("r", "c", F.when(m > 0.3, F.format_string("%.2f m", m)).otherwise(F.format_string("%d cm", F.floor(m * 100))).alias("label"))
+    return cells.select("r", "c", F.when(m > 0.3, F.format_string("%.2f m", m)).otherwise(F.format_string("%d cm", F.floor(m * 100))).alias("label"))
 
 
 @query("name_keys", bound("SELECT segment_id, regexp_replace(regexp_replace(lower(trim('  ' || name || '   WARD ')), '\\s+', ' ', 'g'), ' ward$', '') AS short_key FROM segments", "segments"))

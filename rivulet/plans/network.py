@@ -78,6 +78,12 @@ def road_components(spark, d):
     return connected_components(b.road_edges(spark, d).where("(u + v) % 29 = 0").select("u", "v"))
 
 
+@query("road_components_whole")
+def road_components_whole(spark, d):
+    """GR6, GR3 on every edge; the SQL of road_components takes a part of them."""
+    return connected_components(b.road_edges(spark, d).select("u", "v"))
+
+
 _SOURCES = (0, 7, 123)
 _BEST = """SELECT source, node, min(distance) AS distance FROM walk GROUP BY 1, 2"""
 
@@ -99,6 +105,13 @@ def shortest_paths(spark, d):
     return op.shortest_paths(few, sources).where("distance <= 130").select("source", "node", "distance")
 
 
+@query("shortest_paths_whole")
+def shortest_paths_whole(spark, d):
+    """GR5 on every edge and at any distance."""
+    sources = spark.createDataFrame([(s,) for s in _SOURCES], "node long")
+    return op.shortest_paths(b.road_edges(spark, d), sources).select("source", "node", "distance")
+
+
 @query("blocked_segments", bound("SELECT segment_id, CASE WHEN flood_status = 'unknown' THEN 'unknown' ELSE 'too_deep' END AS reason FROM (SELECT s.segment_id, coalesce(l.flood_status, 'unknown') AS flood_status, coalesce(l.band_high_cm, 0) AS band_high_cm FROM segments s LEFT JOIN latest l USING (segment_id)) WHERE flood_status = 'unknown' OR band_high_cm >= 30", "segments", "frames", latest=_LATEST))
 def blocked_segments(spark, d):
     """FLT8: unknown blocks; a depth at or over the limit blocks."""
@@ -115,11 +128,20 @@ def _status(spark, d):
     safewalk="SELECT s AS source, s AS node, CAST(0 AS BIGINT) AS distance FROM (SELECT CAST(7 AS BIGINT) AS s) UNION SELECT w.source, r.v, w.distance + r.length_m FROM safewalk w JOIN saferoads r ON r.u = w.node WHERE w.distance + r.length_m <= 130"))
 def flood_safe_paths(spark, d):
     """GR5, FLT8, SET6: baseline against the graph without blocked segments."""
-    few = b.road_edges(spark, d).where("(u * 3 + v) % 17 = 0 AND u <> v")
+    return _outcomes(spark, d, b.road_edges(spark, d).where("(u * 3 + v) % 17 = 0 AND u <> v"), "distance <= 130")
+
+
+@query("flood_safe_paths_whole")
+def flood_safe_paths_whole(spark, d):
+    """GR5, FLT8, SET6 on every edge and at any distance."""
+    return _outcomes(spark, d, b.road_edges(spark, d), "TRUE")
+
+
+def _outcomes(spark, d, edges, where: str):
     source = spark.createDataFrame([(7,)], "node long")
     deep = op.blocked(_status(spark, d), 60, unknown_blocks=False)
-    near = lambda e: op.shortest_paths(e, source).where("distance <= 130")
-    a, z = near(few).select("node", F.col("distance").alias("baseline")), near(few.join(deep, "segment_id", "left_anti")).select("node", F.col("distance").alias("safe"))
+    near = lambda e: op.shortest_paths(e, source).where(where)
+    a, z = near(edges).select("node", F.col("distance").alias("baseline")), near(edges.join(deep, "segment_id", "left_anti")).select("node", F.col("distance").alias("safe"))
     outcome = F.when(F.col("safe").isNull(), "no_flood_safe_route").when(F.col("safe") > F.col("baseline"), "detour").otherwise("same")
     return a.join(z, "node", "left").select("node", "baseline", "safe", outcome.alias("outcome"))
 

@@ -83,7 +83,7 @@ def boundary_outflux(spark, d):
 def solver_steps(spark, d):
     """PH1, PH5, PH10, ST11: thirty seconds on the whole grid; tests hold volume, positivity and symmetry."""
     state = b.cells(spark, d).select("r", "c", F.col("depth_m").alias("h"), (0.01 * F.col("c")).alias("z"), F.lit(0.0).alias("qx"), F.lit(0.0).alias("qy"))
-    final, _ = op.simulate(state, 6.0, 10.0, rain_m_s=1e-6)
+    final, _ = op.simulate(state, 30.0, 10.0, rain_m_s=1e-6)
     return final.select("r", "c", F.round("h", 6).alias("h"))
 
 
