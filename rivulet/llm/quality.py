@@ -38,6 +38,10 @@ LABELLERS = ("symbols", "capitals", "echoes", "bare_marks", "variety", "line_end
 ABSTAIN = "-"
 
 
+#: Repetition is judged in blocks of fewer words than this, and in runs of RUN words over the whole text.
+BLOCK = 3_000
+RUN = 8
+
 #: Marks that ordinary prose has.
 PLAIN = ".,;:'\"-()!?"
 #: Characters that a line of prose ends with.
@@ -83,11 +87,19 @@ def n_distinct(values: np.ndarray) -> tuple[int, int]:
     return len(first), int(np.diff(first, append=len(values)).max())
 
 
+def distinct_share(values: np.ndarray, blocks: int) -> float:
+    """Mean share of distinct values over even blocks."""
+    return float(np.mean([n_distinct(x)[0] / max(1, len(x)) for x in np.array_split(values, blocks)]))
+
+
 @dataclass
 class Seen:
     """A text's counts, and its features: values of words, of shapes and of line ends sum to 1 each; the last is the share of echoes.
 
-    A word's shape is its kinds of characters, each run once.
+    A word's shape is its kinds of characters, each run once. variety and fresh are
+    shares of distinct words and pairs, by block, as those of whole texts fall with
+    length; fresh is at most the share of distinct runs of words, which sees passages
+    that come again in another block.
     """
 
     n: int
@@ -95,6 +107,8 @@ class Seen:
     most: int
     distinct: int
     pairs: int
+    variety: float
+    fresh: float
     echoes: int
     triples: int
     n_lines: int
@@ -138,6 +152,14 @@ class Seen:
         same = word[1:] == word[:-1]
         echoes = int(np.count_nonzero(same))
         distinct, most = n_distinct(word)
+        pair = _ROLLING.mixed(word[:-1] * np.uint64(3) + word[1:])
+        pairs = n_distinct(pair)[0]
+        blocks = n // BLOCK + 1
+        if blocks == 1:
+            variety, fresh = distinct / n, pairs / max(1, n - 1)
+        else:
+            runs = _ROLLING.every(_ROLLING.sums(word), RUN)
+            variety, fresh = distinct_share(word, blocks), min(distinct_share(pair, blocks), distinct_share(runs, 1))
         mask = np.uint64((1 << BITS) - 1)
         line_end = _ROLLING.mixed(kind[last].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         return cls(
@@ -145,7 +167,9 @@ class Seen:
             signs=(*(int(x) for x in totals[1:5]), int(size.sum()), decorated, n - int(rough.sum()), bare),
             most=most,
             distinct=distinct,
-            pairs=n_distinct(_ROLLING.mixed(word[:-1] * np.uint64(3) + word[1:]))[0],
+            pairs=pairs,
+            variety=variety,
+            fresh=fresh,
             echoes=echoes,
             triples=int(np.count_nonzero(same[1:] & same[:-1])),
             n_lines=len(ends),
@@ -161,9 +185,8 @@ class Seen:
         most, decorated, simple = self.most / n, decorated / n, simple / n
         symbols = (size - letters - plain) / (size + n)
         capitals /= max(1, letters)
-        echoes, triples, pairs = self.echoes / n, self.triples / n, self.pairs / max(1, n - 1)
+        echoes, triples = self.echoes / n, self.triples / n
         bare /= n
-        variety = self.distinct / n
         ends = self.good_ends / max(1, self.n_lines)
         shouts /= n
         length = size / n
@@ -177,7 +200,7 @@ class Seen:
                 vote(capitals > 0.4 and letters > 20, capitals < 0.1 and letters > 20),
                 vote(echoes > 0.15 and n >= 8, echoes < 0.04 and n >= 8),
                 vote(bare > 0.08, bare == 0 and n >= 8),
-                vote(variety < 0.25 and 20 <= n < 3000, variety > 0.55 and n >= 20),
+                vote(self.variety < 0.25 and n >= 20, self.variety > 0.55 and n >= 20),
                 vote(ends < 0.5 and self.n_lines > 1, ends > 0.9 and self.n_lines > 1),
                 vote(shouts > 0.2 and n >= 5, shouts < 0.05 and n >= 20),
                 vote((length < 2.2 or length > 8.2) and n >= 8, 3.5 < length < 7.2 and n >= 20),
@@ -185,7 +208,7 @@ class Seen:
                 vote(simple < 0.65 and n >= 5, simple > 0.9 and n >= 20),
                 vote(most > 0.3 and n >= 12, most < 0.15 and n >= 20),
                 vote(triples > 0.1 and n >= 8, triples < 0.01 and n >= 20),
-                vote(pairs < 0.4 and 20 <= n < 3000, pairs > 0.8 and n >= 20),
+                vote(self.fresh < 0.4 and n >= 20, self.fresh > 0.8 and n >= 20),
             )
         )
 

@@ -3,7 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from helpers import frame, odd_rows
+from helpers import frame, odd_rows, words
 from pyspark.sql import functions as F
 
 from rivulet.llm.quality import LABELLERS, LabelModel, Seen, classified, kept, votes
@@ -65,3 +65,14 @@ def test_odd_rows_and_columns(spark):
     assert len(rows) == len(odd_rows()) and {r["keep"] for r in rows if not (r["text"] or "").strip()} == {False}
     assert kept(df).columns == df.columns and {r["score"] for r in kept(df).collect()} <= {"mine"}
     assert classified(frame(spark, [])).collect() == [] and kept(frame(spark, [])).collect() == []
+
+
+def test_repetition_is_judged_at_every_length():
+    variety, pairs = LABELLERS.index("variety"), LABELLERS.index("pairs")
+    passage = words(4, 100, 9000)
+    for times in (20, 50, 200):
+        got = votes(" ".join([passage] * times))
+        assert got[variety] == got[pairs] == "x"
+    # a passage longer than a block
+    assert votes(" ".join([words(5, 4000, 9000)] * 4))[pairs] == "x"
+    assert "x" not in votes(words(6, 20_000, 9000))[variety] + votes(words(6, 20_000, 9000))[pairs]
