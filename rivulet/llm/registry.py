@@ -21,10 +21,10 @@ def op2_substring_dedup(spark, sf_dir):
 
 
 def op7_suffix_array(spark, sf_dir):
-    from .suffix_array import remove_repeated_bytes
+    from .suffix_array import REPORT, remove_repeated_bytes
 
-    done = remove_repeated_bytes(documents(spark, sf_dir).select("doc_id", "text"))
-    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    done = remove_repeated_bytes(documents(spark, sf_dir).select("doc_id", "text"), report=REPORT)
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated")
 
 
 def op9_best_fit(spark, sf_dir):

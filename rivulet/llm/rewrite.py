@@ -6,13 +6,18 @@ one bucket of documents, so that no row per position is ever shuffled.
 
 A document is known by (k, h): its id, null as NO_ID, and the 64-bit hash of its
 text; rows that repeat an id and its text are one document. Both make its bucket,
-so that the texts of one id (all null ids, say) are spread.
+so that the texts of one id (all null ids, say) are spread. Texts are compressed
+before they are shuffled.
+
+How many partitions, hash ranges and buckets there are follows the bytes of the
+texts, so that what a task holds at a time stays the same size.
 """
 
 from __future__ import annotations
 
 import struct
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +28,35 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import shuffle_partitions
-from .text import NO_ID, keyed_runs, texts
+from .text import NO_ID, keyed_runs
+
+#: Bytes of text for each hash range and each partition; a task takes one range, or one of its buckets, at a time.
+RANGE_BYTES = 32 << 20
+#: Partitions of a shuffle, at most; beyond that each has several ranges.
+MAX_PARTITIONS = 20_000
+#: Buckets of documents for each partition.
+BUCKETS = 4
+
+
+@dataclass(frozen=True)
+class Layout:
+    parts: int
+    ranges: int
+    buckets: int
+
+
+def layout(docs: DataFrame) -> Layout:
+    """Partitions, hash ranges and buckets for the texts of docs; runs one count."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    want = -(-size // RANGE_BYTES)
+    parts = max(shuffle_partitions(docs.sparkSession), min(want, MAX_PARTITIONS))
+    return Layout(parts, parts * -(-want // parts) if want else parts, BUCKETS * parts)
+
+
+def dealt(df: DataFrame, lay: Layout, key: str) -> DataFrame:
+    """df in lay.parts partitions, numbers of ``key`` dealt to them in turn, and sorted by it."""
+    return df.repartitionById(lay.parts, F.pmod(F.col(key), F.lit(lay.parts)).cast("int")).sortWithinPartitions(key)
+
 
 def keyed(docs: DataFrame) -> DataFrame:
     """docs with k and h, and everything but the text in the struct ``rest``."""
@@ -83,30 +116,45 @@ def by_document(blobs: list[bytes], *kinds: str) -> dict[tuple[int, int], list[n
     return {key: [np.concatenate(x) for x in zip(*parts)] for key, parts in found.items()}
 
 
-def marks(k: np.ndarray, h: np.ndarray, start: np.ndarray, stop: np.ndarray, n: int) -> pa.RecordBatch | None:
+def marks(k: np.ndarray, h: np.ndarray, start: np.ndarray, stop: np.ndarray, n: int, layer: int = 0) -> pa.RecordBatch | None:
     """Runs [start, stop) of the documents (k, h), rows sorted by document -> packed rows by bucket."""
-    rows = by_bucket(k, h, n, start.astype(np.int32), (stop - start).astype(np.int32))
+    rows = by_bucket(k, h, n, start.astype(np.int32), (stop - start).astype(np.int32), np.full(len(k), layer, np.int8))
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["b", "blob"]) if rows else None
 
 
-def n_buckets(docs: DataFrame) -> int:
-    """Buckets of documents; a task takes one at a time."""
-    return 4 * shuffle_partitions(docs.sparkSession)
+def squeezed(base: DataFrame) -> DataFrame:
+    """base with its binary column ``text`` compressed; null stays null."""
+    at = base.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        small = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            texts = pa.array([None if x is None else small(x) for x in batch.column(at).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([texts if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
+
+    return base.mapInArrow(run, base.schema)
+
+
+def plain(column: pa.ChunkedArray) -> Iterator[bytes]:
+    """The texts that ``squeezed`` made, null as empty, one at a time."""
+    large = zstandard.ZstdDecompressor().decompress
+    return (large(x) if x else b"" for chunk in column.chunks for x in chunk.to_pylist())
 
 
-def met(docs: DataFrame, found: DataFrame) -> DataFrame:
+def met(docs: DataFrame, found: DataFrame, lay: Layout) -> DataFrame:
     """Documents and the packed rows (b, blob) for them, in one partition and sorted by bucket.
 
-    Columns b, k, h, text (binary), rest, blob; rows of ``found`` have a null k. One
-    shuffle moves each text once.
+    Columns b, k, h, text (compressed), rest, blob; rows of ``found`` have a null k.
+    One shuffle moves each text once.
     """
     base = keyed(docs)
     rest_type = base.schema["rest"].dataType
-    b = F.pmod(F.xxhash64(F.col("k").bitwiseXOR(F.col("h"))), F.lit(n_buckets(docs))).cast("int")
-    both = base.select(b.alias("b"), "k", "h", F.col("text").cast("binary").alias("text"), "rest", F.lit(None).cast("binary").alias("blob")).unionByName(
+    b = F.pmod(F.xxhash64(F.col("k").bitwiseXOR(F.col("h"))), F.lit(lay.buckets)).cast("int")
+    own = squeezed(base.select(b.alias("b"), "k", "h", F.col("text").cast("binary").alias("text"), "rest"))
+    both = own.withColumn("blob", F.lit(None).cast("binary")).unionByName(
         found.select("b", F.lit(None).cast("long").alias("k"), F.lit(None).cast("long").alias("h"), F.lit(None).cast("binary").alias("text"), F.lit(None).cast(rest_type).alias("rest"), "blob")
     )
-    return both.repartition(shuffle_partitions(docs.sparkSession), "b").sortWithinPartitions("b")
+    return dealt(both, lay, "b")
 
 
 def buckets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[bytes]]]:
@@ -117,27 +165,27 @@ def buckets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, li
         yield own, blobs
 
 
-def rewritten(docs: DataFrame, found: DataFrame, change: Callable[[bytes, np.ndarray, np.ndarray], tuple], fields: str) -> DataFrame:
-    """docs with the text that ``change(text, starts, stops)`` gives, and its further ``fields``.
+def rewritten(docs: DataFrame, found: DataFrame, lay: Layout, change: Callable[[bytes, np.ndarray, np.ndarray, np.ndarray], tuple], fields: str) -> DataFrame:
+    """docs with the text that ``change(text, starts, stops, layers)`` gives, and its further ``fields``.
 
     found: packed marks (b, blob) of ``marks``. Computed fields replace columns of
     the same name.
     """
-    both = met(docs, found)
+    both = met(docs, found, lay)
     extra = T.StructType.fromDDL(fields)
     kinds = [pa.string() if isinstance(f.dataType, T.StringType) else pa.int64() for f in extra.fields]
     out_type = T.StructType([T.StructField("rest", both.schema["rest"].dataType), T.StructField("text", T.BinaryType()), *extra.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = [np.empty(0, np.int32)] * 2
+        none = [np.empty(0, np.int32)] * 3
         for own, blobs in buckets_of(batches):
-            spans = by_document(blobs, "<i4", "<i4")
+            spans = by_document(blobs, "<i4", "<i4", "<i1")
             if not own.num_rows:
                 continue
             rows = []
-            for k, h, text in zip(own.column("k").to_pylist(), own.column("h").to_pylist(), own.column("text").to_pylist()):
-                start, length = spans.get((k, h), none)
-                rows.append(change(text or b"", start, start + length))
+            for k, h, text in zip(own.column("k").to_pylist(), own.column("h").to_pylist(), plain(own.column("text"))):
+                start, length, layer = spans.get((k, h), none)
+                rows.append(change(text, start, start + length, layer))
             columns = list(zip(*rows))
             rest = own.column("rest").combine_chunks()
             rest = rest.chunk(0) if isinstance(rest, pa.ChunkedArray) else rest

@@ -27,8 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import shuffle_partitions
-from .rewrite import covered, keyed, marks, n_buckets, pack, rewritten, unpack
+from .rewrite import Layout, covered, dealt, keyed, layout, marks, pack, rewritten, unpack
 from .text import Hashes, Rolling, keyed_runs, texts
 
 LENGTH = 20
@@ -45,9 +44,9 @@ def runs(k: np.ndarray, h: np.ndarray, at: np.ndarray, length: int) -> tuple[np.
     return k[new], h[new], at[new], at[last] + length
 
 
-def candidates(docs: DataFrame, length: int, n_ranges: int, block: int = BLOCK) -> DataFrame:
+def candidates(docs: DataFrame, length: int, lay: Layout, block: int = BLOCK) -> DataFrame:
     """Rows (r, blob): packed windows by hash range; with r < 0 marks that a task has decided itself, for bucket -1 - r."""
-    buckets = n_buckets(docs)
+    n_ranges, buckets = lay.ranges, lay.buckets
 
     def sent(held: list[tuple[int, int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         held = sorted(held, key=lambda x: x[:2])
@@ -100,9 +99,9 @@ def candidates(docs: DataFrame, length: int, n_ranges: int, block: int = BLOCK)
     return keyed(docs.select("doc_id", "text")).select("k", "h", "text").mapInArrow(run, "r int, blob binary")
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, block: int = BLOCK) -> DataFrame:
+def repeats(docs: DataFrame, lay: Layout, length: int = LENGTH, block: int = BLOCK) -> DataFrame:
     """Packed marks (b, blob) of the runs of words that windows repeated from earlier ones cover."""
-    n, buckets = shuffle_partitions(docs.sparkSession), n_buckets(docs)
+    buckets = lay.buckets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in keyed_runs(batches, "r"):
@@ -144,10 +143,10 @@ def repeats(docs: DataFrame, length: int = LENGTH, block: int = BLOCK) -> DataFr
             if batch := marks(*runs(k[order], h[order], at[order], length), buckets):
                 yield batch
 
-    return candidates(docs, length, n, block).repartition(n, "r").sortWithinPartitions("r").mapInArrow(run, "b int, blob binary")
+    return dealt(candidates(docs, length, lay, block), lay, "r").mapInArrow(run, "b int, blob binary")
 
 
-def _kept(text: bytes, start: np.ndarray, stop: np.ndarray) -> tuple[bytes, int, int]:
+def _kept(text: bytes, start: np.ndarray, stop: np.ndarray, _: np.ndarray) -> tuple[bytes, int, int]:
     words = text.split()
     if not len(start):
         return b" ".join(words), len(words), 0
@@ -157,4 +156,5 @@ def _kept(text: bytes, start: np.ndarray, stop: np.ndarray) -> tuple[bytes, int,
 
 def remove_repeated_windows(docs: DataFrame, length: int = LENGTH, block: int = BLOCK) -> DataFrame:
     """docs with the kept words as text, joined by one space, and n_words and n_removed."""
-    return rewritten(docs, repeats(docs, length, block), _kept, "n_words long, n_removed long")
+    lay = layout(docs)
+    return rewritten(docs, repeats(docs, lay, length, block), lay, _kept, "n_words long, n_removed long")

@@ -18,7 +18,11 @@ position in a hundred. Then, in Spark:
 An anchor with over ``max_class`` places (a passage that a large share of all
 documents has) isn't gathered into a task: its windows meet by their hashes
 instead, of which each task sends every one once, packed into a binary row for
-each range of hashes. Documents with equal texts are
+each range of hashes.
+
+``report`` is a second, smaller length: strings of so many bytes that occur twice
+are counted (n_repeated) but stay. Anchors are then those of the smaller windows;
+a longer one is seen from the anchor of the window that it begins with. Documents with equal texts are
 found by a hash of the whole text, and only one of them goes through step 2.
 
 Matches never cross documents. A null text is empty. A null doc_id is one more
@@ -38,12 +42,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import shuffle_partitions
-from .rewrite import buckets_of, by_bucket, by_document, covered, keyed, marks, met, n_buckets, pack, rewritten, unpack
+from .rewrite import Layout, buckets_of, by_bucket, by_document, covered, dealt, keyed, layout, marks, met, pack, plain, rewritten, unpack
 from .suffixes import deep_shallow
 from .text import Rolling, keyed_runs, texts
 
 LENGTH = 400
+#: What op7 counts besides: some 30 words, so that no passage of over 50 goes unseen.
+REPORT = 200
 #: Places of one anchor that are sorted together; more meet by the hashes of their windows.
 MAX_CLASS = 1_000
 #: As many places of one anchor within one map task are sent as one row.
@@ -95,9 +100,9 @@ def _rows(rows: list[tuple[int, bytes]], names=("r", "blob")) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int32()), pa.array([x[1] for x in rows], pa.binary())], list(names))
 
 
-def repeated_anchors(docs: DataFrame, length: int, max_class: int, max_local: int) -> DataFrame:
+def repeated_anchors(docs: DataFrame, lay: Layout, length: int, max_class: int, max_local: int) -> DataFrame:
     """Packed rows (b, blob) of (place, anchor's hash, kind): kind 0 to sort, 1 to hash; place -1: the text has an equal (kind 1: and another one stands for it)."""
-    n, buckets = shuffle_partitions(docs.sparkSession), n_buckets(docs)
+    n, buckets = lay.ranges, lay.buckets
 
     def sent(held: dict) -> Iterator[pa.RecordBatch]:
         ks = sorted(held)
@@ -166,11 +171,11 @@ def repeated_anchors(docs: DataFrame, length: int, max_class: int, max_local: in
                 yield _rows(found, ("b", "blob"))
 
     first = keyed(docs.select("doc_id", "text")).select("k", "h", "text").mapInArrow(find, "r int, blob binary")
-    return first.repartition(n, "r").sortWithinPartitions("r").mapInArrow(meet, "b int, blob binary")
+    return dealt(first, lay, "r").mapInArrow(meet, "b int, blob binary")
 
 
-SUFFIX = "cls long, k long, h long, at int, left binary, right binary, b int, blob binary"
-_SUFFIX = pa.schema([("cls", pa.int64()), ("k", pa.int64()), ("h", pa.int64()), ("at", pa.int32()), ("left", pa.binary()), ("right", pa.binary()), ("b", pa.int32()), ("blob", pa.binary())])
+SUFFIX = "cls long, k long, h long, at int, left binary, right binary, b int, blob binary, layer int"
+_SUFFIX = pa.schema([("cls", pa.int64()), ("k", pa.int64()), ("h", pa.int64()), ("at", pa.int32()), ("left", pa.binary()), ("right", pa.binary()), ("b", pa.int32()), ("blob", pa.binary()), ("layer", pa.int32())])
 
 
 def _suffix_rows(**columns) -> pa.RecordBatch:
@@ -178,32 +183,36 @@ def _suffix_rows(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _SUFFIX], schema=_SUFFIX)
 
 
-def suffixes(docs: DataFrame, found: DataFrame, length: int) -> DataFrame:
-    """The rows that step 3 groups by cls: suffixes (left, right), hashed windows (blob; cls is a range of hashes), marks (b, blob)."""
-    n, buckets, back = shuffle_partitions(docs.sparkSession), n_buckets(docs), length // 2
+def suffixes(docs: DataFrame, found: DataFrame, lay: Layout, lengths: tuple[int, ...]) -> DataFrame:
+    """The rows that step 3 groups by cls: suffixes (left, right), hashed windows (blob; cls is a range of hashes), marks (b, blob).
+
+    ``layer`` says for which of the lengths windows were hashed.
+    """
+    n, buckets = lay.ranges, lay.buckets
+    back = min(lengths) - min(lengths) // 2
 
-    def hashed(held: list) -> Iterator[pa.RecordBatch]:
+    def hashed(held: list, layer: int) -> Iterator[pa.RecordBatch]:
         k, h = (np.concatenate([np.full(len(x[2]), x[i], np.int64) for x in held]) for i in (0, 1))
         at, hashes = np.concatenate([x[2] for x in held]), np.concatenate([x[3] for x in held])
         _, first, inverse, counts = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
         own = np.flatnonzero(counts[inverse] > 1)
         own = own[np.lexsort((at[own], h[own], k[own]))]
-        if batch := marks(k[own], h[own], at[own], at[own] + length, buckets):
+        if batch := marks(k[own], h[own], at[own], at[own] + lengths[layer], buckets, layer):
             yield _suffix_rows(cls=batch.column(0).cast(pa.int64()), b=batch.column(0), blob=batch.column(1))
         part = _by_range(hashes[first], n)
         order = np.lexsort((at[first], h[first], k[first], part))
         part, first = part[order], first[order]
         ranges, begin = np.unique(part, return_index=True)
         blobs = [pack(np.diff(k[x], prepend=0), h[x], at[x].astype(np.int32), hashes[x]) for x in np.split(first, begin[1:])]
-        yield _suffix_rows(cls=ranges.astype(np.int64), blob=blobs)
+        yield _suffix_rows(cls=ranges.astype(np.int64), blob=blobs, layer=[layer] * len(blobs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rolling, held, total = Rolling(), [], 0
+        rolling, held, total = Rolling(), [[] for _ in lengths], 0
         for own, blobs in buckets_of(batches):
             places = by_document(blobs, "<i4", "<u8", "<i1")
             rows, whole = [], []
             done = set()
-            for k, h, text in zip(own.column("k").to_pylist(), own.column("h").to_pylist(), own.column("text").to_pylist()):
+            for k, h, text in zip(own.column("k").to_pylist(), own.column("h").to_pylist(), plain(own.column("text"))):
                 if (got := places.get((k, h))) is None or (k, h) in done:
                     continue
                 done.add((k, h))
@@ -214,56 +223,68 @@ def suffixes(docs: DataFrame, found: DataFrame, length: int) -> DataFrame:
                         continue
                     at, hashes, kind = at[~equal], hashes[~equal], kind[~equal]
                 for a, c in zip(at[kind == 0].tolist(), hashes[kind == 0].view(np.int64).tolist()):
-                    rows.append((c, k, h, a, text[max(0, a - back) : a], text[a : a + length]))
-                if (kind == 1).any():
-                    near = np.zeros(len(text) - length + 2, np.int32)
-                    np.add.at(near, np.maximum(0, at[kind == 1] - back), 1)
-                    np.add.at(near, np.minimum(at[kind == 1], len(text) - length) + 1, -1)
+                    rows.append((c, k, h, a, text[max(0, a - back) : a], text[a : a + max(lengths)]))
+                hot = at[kind == 1]
+                sums = rolling.sums(BYTE_VALUES[np.frombuffer(text, np.uint8)]) if len(hot) else None
+                for layer, length in enumerate(lengths):
+                    last = len(text) - length
+                    if not len(hot) or last < 0:
+                        continue
+                    near = np.zeros(last + 2, np.int32)
+                    np.add.at(near, np.minimum(np.maximum(0, hot - back), last + 1), 1)
+                    np.add.at(near, np.minimum(hot, last) + 1, -1)
                     start = np.flatnonzero(np.cumsum(near) > 0)
-                    sums = rolling.sums(BYTE_VALUES[np.frombuffer(text, np.uint8)])
-                    held.append((k, h, start, rolling.windows(sums, start, start + length)))
+                    held[layer].append((k, h, start, rolling.windows(sums, start, start + length)))
                     total += len(start)
             if whole:
                 whole.sort()
-                k, h, n = (np.array(x, np.int64) for x in zip(*whole))
-                batch = marks(k, h, np.zeros(len(n), np.int64), n, buckets)
-                yield _suffix_rows(cls=batch.column(0).cast(pa.int64()), b=batch.column(0), blob=batch.column(1))
+                for layer, length in enumerate(lengths):
+                    long = [x for x in whole if x[2] >= length]
+                    if long:
+                        k, h, size = (np.array(x, np.int64) for x in zip(*long))
+                        batch = marks(k, h, np.zeros(len(size), np.int64), size, buckets, layer)
+                        yield _suffix_rows(cls=batch.column(0).cast(pa.int64()), b=batch.column(0), blob=batch.column(1))
             for i in range(0, len(rows), 5000):
                 yield _suffix_rows(**dict(zip(("cls", "k", "h", "at", "left", "right"), map(list, zip(*rows[i : i + 5000])))))
             if total >= BLOCK:
-                yield from hashed(held)
-                held, total = [], 0
-        if held:
-            yield from hashed(held)
+                for layer, part in enumerate(held):
+                    if part:
+                        yield from hashed(part, layer)
+                held, total = [[] for _ in lengths], 0
+        for layer, part in enumerate(held):
+            if part:
+                yield from hashed(part, layer)
 
-    return met(docs.select("doc_id", "text"), found).mapInArrow(run, SUFFIX)
+    return met(docs.select("doc_id", "text"), found, lay).mapInArrow(run, SUFFIX)
 
 
 def _dense(values: np.ndarray) -> np.ndarray:
     return np.unique(values, return_inverse=True)[1]
 
 
-def repeated_around(cls: np.ndarray, left: list[bytes], right: list[bytes], length: int) -> np.ndarray:
-    """[i, d]: the window that starts d bytes before suffix i's anchor occurs at another suffix of its class."""
-    n, back = len(cls), length // 2
-    out = np.zeros((n, back + 1), bool)
+def repeated_around(cls: np.ndarray, left: list[bytes], right: list[bytes], lengths: tuple[int, ...], back: int) -> list[np.ndarray]:
+    """For each length, [i, d]: the window that starts d bytes before suffix i's anchor occurs at another suffix of its class."""
+    n = len(cls)
     n_left, n_right = (np.fromiter(map(len, x), np.int64, n) for x in (left, right))
     d = np.arange(back + 1)
-    fits = (n_left[:, None] >= d) & (n_right[:, None] >= length - d)
     # equal surroundings: all their windows are repeats, and one of them goes on
     whole: dict[tuple, int] = {}
     same = np.fromiter((whole.setdefault(x, i) for i, x in enumerate(zip(cls.tolist(), left, right))), np.int64, n)
     copies = np.bincount(same, minlength=n)
-    out[copies[same] > 1] = True
     one = np.flatnonzero(same == np.arange(n))
     group = _dense(cls[one])
     one = one[np.bincount(group)[group] > 1] if len(one) else one
     if len(one):
         group = _dense(cls[one])
-        order_r, common_r = deep_shallow(group, [right[i] for i in one], length)
+        order_r, common_r = deep_shallow(group, [right[i] for i in one], max(lengths))
         order_l, common_l = deep_shallow(group, [left[i][::-1] for i in one], back)
         part_l, part_r = np.empty(len(one), np.int64), np.empty(len(one), np.int64)
-        for k in range(back + 1):
+    found = []
+    for length in lengths:
+        out = np.zeros((n, back + 1), bool)
+        fits = (n_left[:, None] >= d) & (n_right[:, None] >= length - d)
+        out[copies[same] > 1] = True
+        for k in range(back + 1) if len(one) else ():
             ok = fits[one, k]
             if ok.sum() < 2:
                 continue
@@ -274,56 +295,65 @@ def repeated_around(cls: np.ndarray, left: list[bytes], right: list[bytes], leng
             equal = key[sort][1:] == key[sort][:-1]
             twice = np.r_[False, equal] | np.r_[equal, False]
             out[one[np.flatnonzero(ok)[sort[twice]]], k] = True
-        out = out[same]
-    return out & fits
+        found.append(out[same] & fits)
+    return found
 
 
-def removals(docs: DataFrame, length: int = LENGTH, max_class: int = MAX_CLASS, max_local: int = MAX_LOCAL) -> DataFrame:
-    """Packed marks (b, blob) of the bytes that repeated windows cover."""
-    n, buckets = shuffle_partitions(docs.sparkSession), n_buckets(docs)
+def removals(docs: DataFrame, lay: Layout, lengths: tuple[int, ...] = (LENGTH,), max_class: int = MAX_CLASS, max_local: int = MAX_LOCAL) -> DataFrame:
+    """Packed marks (b, blob) of the bytes that repeated windows cover; the layer of a mark is its length's place in ``lengths``."""
+    buckets, back = lay.buckets, min(lengths) - min(lengths) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in keyed_runs(batches, "cls"):
             if (ready := table.filter(table.column("b").is_valid())).num_rows:
                 yield from ready.select(["b", "blob"]).to_batches()
             rest = table.filter(table.column("b").is_null())
-            if not rest.num_rows:
-                continue
             sort = rest.filter(rest.column("right").is_valid())
-            found = []
-            if packed := [unpack(x, "<i8", "<i8", "<i4", "<u8") for x in rest.column("blob").to_pylist() if x is not None]:
-                k = np.concatenate([np.cumsum(p[0]) for p in packed])
-                h, at, hashes = (np.concatenate([p[i] for p in packed]) for i in (1, 2, 3))
-                _, inverse, counts = np.unique(hashes, return_inverse=True, return_counts=True)
-                x = counts[inverse] > 1
-                found.append((k[x], h[x], at[x].astype(np.int64), at[x].astype(np.int64) + length))
+            found: list[list] = [[] for _ in lengths]
+            for layer, length in enumerate(lengths):
+                if packed := [unpack(x, "<i8", "<i8", "<i4", "<u8") for x, y in zip(rest.column("blob").to_pylist(), rest.column("layer").to_pylist()) if y == layer]:
+                    k = np.concatenate([np.cumsum(p[0]) for p in packed])
+                    h, at, hashes = (np.concatenate([p[i] for p in packed]) for i in (1, 2, 3))
+                    _, inverse, counts = np.unique(hashes, return_inverse=True, return_counts=True)
+                    x = counts[inverse] > 1
+                    found[layer].append((k[x], h[x], at[x].astype(np.int64), at[x].astype(np.int64) + length))
             if sort.num_rows:
                 cls, k, h, at = (sort.column(c).to_numpy().astype(np.int64) for c in ("cls", "k", "h", "at"))
-                twice = repeated_around(cls, sort.column("left").to_pylist(), sort.column("right").to_pylist(), length)
-                edge = np.zeros((len(twice), twice.shape[1] + 2), np.int8)
-                edge[:, 1:-1] = twice
-                edge = np.diff(edge, axis=1)
-                i, low = np.nonzero(edge == 1)
-                _, high = np.nonzero(edge == -1)
-                found.append((k[i], h[i], at[i] - (high - 1), at[i] - low + length))
-            k, h, start, stop = (np.concatenate(x) for x in zip(*found))
-            order = np.lexsort((start, h, k))
-            if batch := marks(k[order], h[order], start[order], stop[order], buckets):
-                yield batch
-
-    rows = suffixes(docs, repeated_anchors(docs, length, max_class, max_local), length)
-    return rows.repartition(n, "cls").sortWithinPartitions("cls").mapInArrow(run, "b int, blob binary")
-
-
-def _cut(text: bytes, start: np.ndarray, stop: np.ndarray) -> tuple:
+                for layer, twice in enumerate(repeated_around(cls, sort.column("left").to_pylist(), sort.column("right").to_pylist(), lengths, back)):
+                    edge = np.zeros((len(twice), twice.shape[1] + 2), np.int8)
+                    edge[:, 1:-1] = twice
+                    edge = np.diff(edge, axis=1)
+                    i, low = np.nonzero(edge == 1)
+                    _, high = np.nonzero(edge == -1)
+                    found[layer].append((k[i], h[i], at[i] - (high - 1), at[i] - low + lengths[layer]))
+            for layer, parts in enumerate(found):
+                if parts:
+                    k, h, start, stop = (np.concatenate(x) for x in zip(*parts))
+                    order = np.lexsort((start, h, k))
+                    if batch := marks(k[order], h[order], start[order], stop[order], buckets, layer):
+                        yield batch
+
+    rows = suffixes(docs, repeated_anchors(docs, lay, min(lengths), max_class, max_local), lay, lengths)
+    return dealt(rows, lay, "cls").mapInArrow(run, "b int, blob binary")
+
+
+def _cut(text: bytes, start: np.ndarray, stop: np.ndarray, layer: np.ndarray) -> tuple:
+    seen = int(covered(len(text), start, stop).sum()) if len(start) else 0
+    start, stop = start[layer == 0], stop[layer == 0]
     if not len(start):
-        return text, len(text), 0, 0, hashlib.sha256(text).hexdigest()
+        return text, len(text), 0, 0, hashlib.sha256(text).hexdigest(), seen
     gone = covered(len(text), start, stop)
     kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
     n_spans = int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1))
-    return kept.decode("utf-8", "ignore").encode(), len(text), int(gone.sum()), n_spans, hashlib.sha256(kept).hexdigest()
+    return kept.decode("utf-8", "ignore").encode(), len(text), int(gone.sum()), n_spans, hashlib.sha256(kept).hexdigest(), seen
+
 
+def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, report: int | None = None, max_class: int = MAX_CLASS, max_local: int = MAX_LOCAL) -> DataFrame:
+    """docs with the bytes that stay as text, and n_bytes, n_removed, n_spans, kept_sha256 and n_repeated.
 
-def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, max_class: int = MAX_CLASS, max_local: int = MAX_LOCAL) -> DataFrame:
-    """docs with the bytes that stay as text, and n_bytes, n_removed, n_spans and kept_sha256."""
-    return rewritten(docs, removals(docs, length, max_class, max_local), _cut, "n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    n_repeated counts the bytes of strings of ``report`` bytes that also start
+    elsewhere; without ``report`` it equals n_removed.
+    """
+    lengths = (length,) if report is None else (length, report)
+    lay = layout(docs)
+    return rewritten(docs, removals(docs, lay, lengths, max_class, max_local), lay, _cut, "n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated long")

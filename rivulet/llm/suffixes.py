@@ -1,7 +1,7 @@
 """Deep-shallow sorting of strings, many groups at a time.
 
-Shallow: a multikey quicksort over eight bytes at a time orders all groups
-together to a fixed depth. Deep: what is still equal there shares a long prefix,
+Shallow: a multikey quicksort, eight bytes being one character, splits all groups
+at once about a pivot of each until they agree to a fixed depth. Deep: what is still equal there shares a long prefix,
 and a blind trie (which keeps only the places where strings differ) orders each
 such group, comparing every string once with one leaf.
 """
@@ -64,6 +64,31 @@ def blind_trie(strings: list[bytes], depth: int) -> tuple[list[int], list[int]]:
     return order, common
 
 
+def multikey(order: np.ndarray, begins: np.ndarray, words: np.ndarray) -> None:
+    """Multikey quicksort of rows of words, in place: all groups (begun where ``begins``) take a step together.
+
+    A step splits each group about the median of three of its words at the group's
+    depth; the middle part goes on one word deeper. What is left in one group
+    afterwards has equal rows.
+    """
+    n, depth = words.shape
+    level = np.zeros(n, np.int64)
+    while True:
+        at = np.flatnonzero((~begins | np.append(~begins[1:], False)) & (level < depth))
+        if not len(at):
+            return
+        first = np.flatnonzero(begins[at])
+        size = np.diff(np.append(first, len(at)))
+        key = words[order[at], level[at]]
+        a, b, c = key[first], key[first + size // 2], key[first + size - 1]
+        pivot = np.repeat(np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c)), size)
+        part = 3 * np.repeat(np.arange(len(first)), size) + (key > pivot) + (key >= pivot)
+        sort = np.argsort(part, kind="stable")
+        order[at], part = order[at][sort], part[sort]
+        begins[at[np.flatnonzero(part[1:] != part[:-1]) + 1]] = True
+        level[at[part % 3 == 1]] += 1
+
+
 def deep_shallow(groups: np.ndarray, strings: list[bytes], depth: int, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
     """Sort strings within groups: (order, common).
 
@@ -74,28 +99,15 @@ def deep_shallow(groups: np.ndarray, strings: list[bytes], depth: int, shallow:
     if not n:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     shallow = min(shallow, -(-depth // 8) * 8)
-    head = np.frombuffer(b"".join([s[:shallow].ljust(shallow, b"\0") for s in strings]), ">u8").reshape(n, shallow // 8)
+    head = np.frombuffer(b"".join([s[:shallow].ljust(shallow, b"\0") for s in strings]), np.uint8).reshape(n, shallow)
     size = np.minimum(np.fromiter(map(len, strings), np.int64, n), depth)
     order = np.argsort(groups, kind="stable")
     begins = np.r_[True, groups[order[1:]] != groups[order[:-1]]]
     common = np.where(begins, -1, depth)
-    open_ = ~begins | np.r_[~begins[1:], False]
-    for word in range(shallow // 8):
-        at = np.flatnonzero(open_)
-        if not len(at):
-            break
-        run = np.cumsum(begins)[at]
-        key = head[order[at], word].astype(np.uint64)
-        sort = np.lexsort((key, run))
-        order[at] = order[at][sort]
-        key = key[sort]
-        same = np.r_[False, (run[1:] == run[:-1])]
-        apart = np.flatnonzero(same & np.r_[False, key[1:] != key[:-1]])
-        if len(apart):
-            xor = np.ascontiguousarray((key[apart] ^ key[apart - 1]).astype(">u8")).view(np.uint8).reshape(-1, 8)
-            common[at[apart]] = 8 * word + (xor != 0).argmax(axis=1)
-            begins[at[apart]] = True
-            open_ = ~begins | np.r_[~begins[1:], False]
+    joined = np.flatnonzero(~begins)
+    multikey(order, begins, head.view(">u8").astype(np.uint64))
+    apart = joined[begins[joined]]
+    common[apart] = (head[order[apart]] != head[order[apart - 1]]).argmax(axis=1)
     first = np.flatnonzero(begins)
     last = np.r_[first[1:], n]
     for a, b in zip(first[last - first > 1].tolist(), last[last - first > 1].tolist()):
@@ -103,8 +115,5 @@ def deep_shallow(groups: np.ndarray, strings: list[bytes], depth: int, shallow:
         inner, lcp = blind_trie([strings[i] for i in own], depth)
         order[a:b] = own[inner]
         common[a + 1 : b] = lcp[1:]
-    joined = common >= 0
-    joined[0] = False
-    at = np.flatnonzero(joined)
-    common[at] = np.minimum(common[at], np.minimum(size[order[at]], size[order[at - 1]]))
+    common[joined] = np.minimum(common[joined], np.minimum(size[order[joined]], size[order[joined - 1]]))
     return order, common

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from test_substring import slow as slow_windows
 from test_suffix_array import check as check_bytes
 
-from rivulet.llm.rewrite import met
+from rivulet.llm.rewrite import layout, met
 from rivulet.llm.substring import remove_repeated_windows
 
 
@@ -35,5 +35,6 @@ def test_texts_of_one_id(spark, alike, one):
 def test_one_id_is_spread(spark):
     rows = [(None, words(i, 5)) for i in range(300)]
     found = spark.createDataFrame([], "b int, blob binary")
-    sizes = [r["count"] for r in met(frame(spark, rows).select("doc_id", "text"), found).groupBy("b").count().collect()]
+    docs = frame(spark, rows).select("doc_id", "text")
+    sizes = [r["count"] for r in met(docs, found, layout(docs)).groupBy("b").count().collect()]
     assert len(sizes) > 8 and max(sizes) < 60

@@ -32,8 +32,9 @@ def slow(rows, length):
 
 
 def check(spark, rows, **options):
-    got = remove_repeated_bytes(frame(spark, rows), **options).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
-    assert sorted(map(str, map(tuple, got))) == sorted(map(str, slow(rows, options.get("length", 400))))
+    got = remove_repeated_bytes(frame(spark, rows), **options).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated").collect()
+    want, seen = slow(rows, options.get("length", 400)), slow(rows, options.get("report", options.get("length", 400)))
+    assert sorted(map(str, map(tuple, got))) == sorted(str((*w, s[2])) for w, s in zip(want, seen))
 
 
 def passages(seed, n, low, high):
@@ -51,7 +52,7 @@ def passages(seed, n, low, high):
     return rows
 
 
-@pytest.mark.parametrize("options", [{}, {"max_class": 2}, {"max_local": 2}])
+@pytest.mark.parametrize("options", [{}, {"max_class": 2}, {"max_local": 2}, {"length": 201}, {"report": 150}, {"report": 151, "max_class": 2}, {"report": 200, "max_local": 2}])
 def test_against_brute_force(spark, options):
     check(spark, odd_rows() + [(100 + k, t) for k, t in passages(5, 40, 350, 700)], **options)
 
