@@ -14,6 +14,10 @@ from rivulet.llm import mixing, packing, quality, simhash, suffix_array
 from rivulet.session import save
 
 
+#: Bytes of a repeated passage that go, at the least: passages of over 50 words have more in any of the languages.
+PASSAGE = 200
+
+
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject."""
     return quality.kept(docs)
@@ -26,7 +30,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes of passages that occur elsewhere; a text may become empty."""
-    done = suffix_array.remove_repeated_bytes(docs)
+    done = suffix_array.remove_repeated_bytes(docs, PASSAGE)
     new = F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
     return (done.withColumn("n_chars", new) if new is not None else done).select(*docs.columns)
 
