@@ -48,7 +48,7 @@ def test_every_stage_against_brute_force(spark):
         groups[c].append(r["doc_id"])
     assert sorted(r["doc_id"] for r in second) == sorted(map(min, groups.values()))
 
-    cut = {r[0]: r for r in slow_cut([tuple(r) for r in second], 400)}
+    cut = {r[0]: r for r in slow_cut([tuple(r) for r in second], corpus_pipeline.PASSAGE)}
     assert all(len(r["text"].encode()) == cut[r["doc_id"]][1] - cut[r["doc_id"]][2] for r in third) and len(third) == len(second)
     assert any(c[2] for c in cut.values())
 
