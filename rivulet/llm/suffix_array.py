@@ -1,12 +1,12 @@
 """Suffix-array dedup: remove every byte of a passage of ``length`` bytes that occurs twice.
 
 Sorting all suffixes of a corpus would move each byte hundreds of times, so the
-suffix array is sparse. Of the 201 blocks of 200 bytes inside every window of 400
-bytes, the one with the least hash is the window's anchor: equal windows have the
-same anchor at the same place, so that all repeats meet at anchors, which are one
-position in a hundred. Then, in Spark:
+suffix array is sparse. Of the blocks of 64 bytes inside every window, the one with
+the least hash is the window's anchor: equal windows have the same anchor at the
+same place, so that all repeats meet at anchors, which are one position in 170 for
+windows of 400 bytes, in 70 for those of 200. Then, in Spark:
 
-1. anchors meet by the hash of their 200 bytes; those seen once are gone;
+1. anchors meet by the hash of their 64 bytes; those seen once are gone;
 2. at the others, the texts give the suffix from the anchor and the bytes before it;
 3. each anchor's suffixes are sorted by deep-shallow sorting, and so are the
    reversed bytes before it. The common prefixes of neighbours in the two orders
@@ -49,6 +49,8 @@ from .text import Rolling, keyed_runs, texts
 LENGTH = 400
 #: What op7 counts besides: some 30 words, so that no passage of over 50 goes unseen.
 REPORT = 200
+#: Bytes of an anchor, at most.
+ANCHOR = 64
 #: Places of one anchor that are sorted together; more meet by the hashes of their windows.
 MAX_CLASS = 1_000
 #: As many places of one anchor within one map task are sent as one row.
@@ -59,6 +61,10 @@ BLOCK = 2_000_000
 BYTE_VALUES = np.array([xxhash.xxh3_64_intdigest(bytes([i]), 7) for i in range(256)], np.uint64)
 
 
+def anchor_size(length: int) -> int:
+    return min(length // 2, ANCHOR)
+
+
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     n = len(values) - width + 1
     rows = -(-len(values) // width)
@@ -72,7 +78,7 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 
 def anchors(text: bytes, length: int, rolling: Rolling) -> tuple[np.ndarray, np.ndarray]:
     """(places, hashes) of the anchors of all windows of ``length`` bytes."""
-    block, piece = length // 2, 1 << 22
+    block, piece = anchor_size(length), 1 << 22
     places, hashes = [], []
     for begin in range(0, max(1, len(text) - length + 1), piece):
         part = np.frombuffer(text, np.uint8)[begin : begin + piece + length - 1]
@@ -189,7 +195,7 @@ def suffixes(docs: DataFrame, found: DataFrame, lay: Layout, lengths: tuple[int,
     ``layer`` says for which of the lengths windows were hashed.
     """
     n, buckets = lay.ranges, lay.buckets
-    back = min(lengths) - min(lengths) // 2
+    back = min(lengths) - anchor_size(min(lengths))
 
     def hashed(held: list, layer: int) -> Iterator[pa.RecordBatch]:
         k, h = (np.concatenate([np.full(len(x[2]), x[i], np.int64) for x in held]) for i in (0, 1))
@@ -301,7 +307,7 @@ def repeated_around(cls: np.ndarray, left: list[bytes], right: list[bytes], leng
 
 def removals(docs: DataFrame, lay: Layout, lengths: tuple[int, ...] = (LENGTH,), max_class: int = MAX_CLASS, max_local: int = MAX_LOCAL) -> DataFrame:
     """Packed marks (b, blob) of the bytes that repeated windows cover; the layer of a mark is its length's place in ``lengths``."""
-    buckets, back = lay.buckets, min(lengths) - min(lengths) // 2
+    buckets, back = lay.buckets, min(lengths) - anchor_size(min(lengths))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in keyed_runs(batches, "cls"):
@@ -357,3 +363,27 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, report: int | N
     lengths = (length,) if report is None else (length, report)
     lay = layout(docs)
     return rewritten(docs, removals(docs, lay, lengths, max_class, max_local), lay, _cut, "n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated long")
+
+
+#: The query in DuckDB SQL, over hexadecimal digits (SQL has no substrings of bytes), for tables of ordinary size.
+ORACLE = r"""
+WITH coded AS (SELECT doc_id, hex(coalesce(text, '')) AS digits, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+sizes AS (SELECT unnest([400, 200]) AS size),
+starts AS (SELECT doc_id, size, unnest(range(0, n - size + 1)) AS i, digits FROM coded, sizes WHERE n >= size),
+hashed AS MATERIALIZED (SELECT doc_id, size, i, md5_number(substring(digits, CAST(2 * i + 1 AS BIGINT), 2 * size)) AS h FROM starts),
+twice AS (SELECT size, h FROM hashed GROUP BY size, h HAVING count(*) > 1),
+gaps AS (SELECT doc_id, size, i, i - lag(i) OVER (PARTITION BY doc_id, size ORDER BY i) AS gap FROM hashed JOIN twice USING (size, h)),
+runs AS (SELECT doc_id, size, i, sum(CASE WHEN gap <= size THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, size ORDER BY i) AS run FROM gaps),
+spans AS (SELECT doc_id, size, run, min(i) AS a, max(i) + size AS b FROM runs GROUP BY doc_id, size, run),
+removed AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM spans WHERE size = 400 GROUP BY doc_id),
+repeated AS (SELECT doc_id, sum(b - a) AS n_repeated FROM spans WHERE size = 200 GROUP BY doc_id),
+edges AS (
+  SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS from_, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS next_ FROM spans WHERE size = 400),
+parts AS (
+  SELECT doc_id, from_ AS a, a AS b FROM edges
+  UNION ALL SELECT e.doc_id, e.b, c.n FROM edges e JOIN coded c USING (doc_id) WHERE next_ IS NULL),
+kept AS (SELECT p.doc_id, string_agg(substring(digits, CAST(2 * p.a + 1 AS BIGINT), CAST(2 * (p.b - p.a) AS BIGINT)), '' ORDER BY p.a) AS digits FROM parts p JOIN coded USING (doc_id) GROUP BY p.doc_id)
+SELECT c.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(k.digits, c.digits))) AS kept_sha256, CAST(coalesce(n_repeated, 0) AS BIGINT) AS n_repeated
+FROM coded c LEFT JOIN removed USING (doc_id) LEFT JOIN repeated USING (doc_id) LEFT JOIN kept k USING (doc_id)
+"""
