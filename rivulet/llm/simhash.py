@@ -8,8 +8,14 @@ differ, and a pair of nodes is dropped once that exceeds the error budget.
 To spread the trie over a cluster, the bits are cut into blocks: two fingerprints
 that differ in at most k bits agree on all but k blocks, so that each choice of
 the other blocks is a table, and each value of those blocks one small trie.
-Values with more than ``max_trie`` fingerprints are cut again by the blocks of
-their remaining bits, so no task holds an unbounded group.
+Values with more than ``max_trie`` fingerprints are cut again by blocks of their
+remaining bits, ``MAX_CUTS`` times at most, as each cut repeats what it can't
+separate. A task then holds a larger trie only where so many different fingerprints
+agree on over half of their bits. How many blocks there are at
+first depends on the number of fingerprints, which changes speed and not the links.
+
+A fingerprint is a node that carries the least document with it, so that the least
+node of a component names that document and no join on components is needed.
 
 Null or empty texts have fingerprint 0 and are linked like any other. Repeated
 rows keep their rows; a null doc_id takes part, and a component of nulls only has
@@ -36,6 +42,7 @@ SHINGLE = 4
 MAX_BITS = 4
 #: Fingerprints of one trie; larger ones are cut by further blocks.
 MAX_TRIE = 20_000
+MAX_CUTS = 3
 
 
 def simhash(text: bytes, shingle: int = SHINGLE) -> int:
@@ -148,54 +155,72 @@ def trie_links(groups: np.ndarray, values: np.ndarray, max_bits: int, chunk: int
     return label
 
 
+#: A fingerprint's node: the least document that has it (``none``: no id), then itself.
+NODE = ("none", "id", "h", "fp")
+_NODE = pa.struct([("none", pa.int32()), ("id", pa.int64()), ("h", pa.int64()), ("fp", pa.int64())])
+_LINK = "struct<none:int,id:bigint,h:bigint,fp:bigint>"
+
+
 def _links(keyed: DataFrame, max_bits: int) -> DataFrame:
-    """(key, fp) -> (u, v): within each key, a star for each component of linked fingerprints."""
+    """(key, *NODE) -> (u, v): within each key, a star for each component of linked fingerprints."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in keyed_runs(batches, "key"):
             key = table.column("key").to_numpy()
             fp = table.column("fp").to_numpy().view(np.uint64)
             order = np.lexsort((fp, key))
-            key, fp = key[order], fp[order]
-            label = trie_links(key, fp, max_bits)
+            label = trie_links(key[order], fp[order], max_bits)
             own = np.flatnonzero(label != np.arange(len(label)))
-            yield pa.RecordBatch.from_arrays([pa.array(fp[own].view(np.int64)), pa.array(fp[label[own]].view(np.int64))], ["u", "v"])
+            nodes = pa.StructArray.from_arrays([table.column(c).combine_chunks() for c in NODE], fields=list(_NODE))
+            yield pa.RecordBatch.from_arrays([nodes.take(pa.array(order[own])), nodes.take(pa.array(order[label[own]]))], ["u", "v"])
 
     n = shuffle_partitions(keyed.sparkSession)
-    return keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "u long, v long")
+    return keyed.select("key", *NODE).repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, f"u {_LINK}, v {_LINK}")
 
 
-def links(distinct: DataFrame, max_bits: int = MAX_BITS, max_trie: int = MAX_TRIE) -> DataFrame:
-    """Distinct fingerprints (fp) -> links (u, v) that join the same components as all pairs within max_bits."""
-    n_blocks, agree = _tables(distinct.count(), max_bits)
+def node_links(nodes: DataFrame, max_bits: int = MAX_BITS, max_trie: int = MAX_TRIE) -> DataFrame:
+    """Distinct fingerprints (NODE) -> links (u, v) of nodes that join the same components as all pairs within max_bits."""
+    n_blocks, agree = _tables(nodes.count(), max_bits)
     blocks = _blocks(list(range(BITS)), n_blocks)
-    keys = []
+    paths, keys = {}, []
     for k, chosen in enumerate(combinations(range(n_blocks), agree)):
         mask = _mask([b for c in chosen for b in blocks[c]])
+        paths[k] = [b for i, block in enumerate(blocks) if i not in chosen for b in block]
         keys.append(F.struct(F.lit(k).alias("t"), F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(mask).cast("long"))).alias("key")))
-    keyed = distinct.select("fp", F.explode(F.array(*keys)).alias("x")).select("fp", "x.t", "x.key")
-    large = keyed.groupBy("key").count().where(F.col("count") > max_trie).select("key")
-    if large.isEmpty():
-        return _links(keyed.select("key", "fp"), max_bits)
-    small = keyed.join(large, "key", "left_anti").select("key", "fp")
-    cut = []
-    for k, chosen in enumerate(combinations(range(n_blocks), agree)):
-        rest = [b for i, block in enumerate(blocks) if i not in chosen for b in block]
-        subs = [F.lit(_mask(part)).cast("long") for part in _blocks(rest, max_bits + 1)]
-        cut.append(F.when(F.col("t") == k, F.array(*subs)))
-    again = (
-        keyed.join(large, "key", "left_semi")
-        .select("fp", "key", F.explode(F.coalesce(*cut)).alias("mask"))
-        .select(F.xxhash64("key", "mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"), "fp")
-    )
-    return _links(small.unionByName(again), max_bits)
+    now = nodes.select(*NODE, F.explode(F.array(*keys)).alias("x")).select(*NODE, "x.t", "x.key")
+    small = None
+    for _ in range(MAX_CUTS):
+        large = now.groupBy("key").count().where(F.col("count") > max_trie).select("key")
+        if large.isEmpty():
+            break
+        rest = now.join(large, "key", "left_anti")
+        small = rest if small is None else small.unionByName(rest)
+        # each path t is a choice of blocks that agree; a deeper one adds a block of the bits that are left
+        masks, deeper = [], {}
+        for t, bits in sorted(paths.items()):
+            parts = _blocks(bits, max_bits + 1)
+            masks.append([_mask(part) for part in parts])
+            deeper |= {t * (max_bits + 1) + i: [b for b in bits if b not in part] for i, part in enumerate(parts)}
+        paths = deeper
+        mask = F.element_at(F.lit(masks).cast("array<array<bigint>>"), F.col("t") + 1)
+        again = now.join(large, "key", "left_semi").select(*NODE, "t", "key", F.posexplode(mask).alias("i", "mask"))
+        now = save(again.select(*NODE, (F.col("t") * (max_bits + 1) + F.col("i")).alias("t"), F.xxhash64("key", "mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("key")), "tries")
+    return _links(now if small is None else small.unionByName(now), max_bits)
+
+
+def links(distinct: DataFrame, max_bits: int = MAX_BITS, max_trie: int = MAX_TRIE) -> DataFrame:
+    """Distinct fingerprints (fp) -> links (u, v) that join the same components as all pairs within max_bits."""
+    nodes = distinct.select(F.lit(0).alias("none"), F.lit(0).cast("long").alias("id"), F.lit(0).cast("long").alias("h"), "fp")
+    return node_links(nodes, max_bits, max_trie).select("u.fp", "v.fp")
 
 
 def _components(prints: DataFrame, max_bits: int, max_trie: int) -> DataFrame:
-    """(fp, component) for each distinct fingerprint; a component is named by its least fingerprint."""
-    distinct = save(prints.select("fp").distinct(), "simhash")
-    found = connected_components(links(distinct, max_bits, max_trie))
-    return distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("component"))
+    """(id, h, fp) of all documents -> (fp, component) for each distinct fingerprint; a component is named by its least node."""
+    document = F.struct(F.col("id").isNull().cast("int").alias("none"), F.coalesce("id", F.lit(0)).cast("long").alias("id"), "h")
+    nodes = save(prints.groupBy("fp").agg(F.min(document).alias("least")).select("least.none", "least.id", "least.h", "fp"), "simhash")
+    found = connected_components(node_links(nodes, max_bits, max_trie))
+    own = F.struct(*NODE)
+    return nodes.select("fp", own.alias("own")).join(found, F.col("fp") == F.col("node.fp"), "left").select("fp", F.coalesce("component", "own").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE, max_trie: int = MAX_TRIE) -> DataFrame:
@@ -204,22 +229,20 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SH
     component_id is the least doc_id that chains of links reach.
     """
     marked = save(fingerprints(docs, shingle=shingle), "simhash")
-    of = save(_components(marked, max_bits, max_trie), "simhash")
-    least = marked.groupBy("fp").agg(F.min("doc_id").alias("least")).join(of, "fp").groupBy("component").agg(F.min("least").alias("component_id"))
-    named = of.join(least, "component").select("fp", "component_id")
+    of = _components(marked.select(F.col("doc_id").alias("id"), F.lit(0).cast("long").alias("h"), "fp"), max_bits, max_trie)
+    named = of.select("fp", F.when(F.col("component.none") == 0, F.col("component.id")).alias("component_id"))
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE, max_trie: int = MAX_TRIE) -> DataFrame:
     """docs without near-duplicates: of each component the document of least doc_id (null last, ties by text hash), in one row."""
     names = docs.columns
-    keys = [F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("_id"), F.xxhash64("text").alias("_h")]
+    keys = [F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_h")]
     texts_of = docs.select(*keys, "text")
     run = fingerprints(texts_of.select(F.struct("_id", "_h").alias("row"), "text"), "row", "text", shingle, "struct<_id:bigint,_h:bigint>")
-    marked = save(run.select("doc_id._id", "doc_id._h", "fp"), "simhash")
-    of = _components(marked, max_bits, max_trie)
-    first = marked.groupBy("fp").agg(F.min(F.struct("_id", "_h")).alias("least")).join(of, "fp").groupBy("component").agg(F.min("least").alias("least"))
-    stay = first.select("least._id", "least._h")
+    marked = save(run.select(F.col("doc_id._id").alias("id"), F.col("doc_id._h").alias("h"), "fp"), "simhash")
+    first = _components(marked, max_bits, max_trie).select("component").distinct()
+    stay = first.select(F.when(F.col("component.none") == 0, F.col("component.id")).alias("stay_id"), F.col("component.h").alias("stay_h"))
     own = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]
-    left = docs.select(*own, *keys).join(stay, ["_id", "_h"], "left_semi").dropDuplicates(["_id", "_h"])
+    left = docs.select(*own, *keys).join(stay, F.col("_id").eqNullSafe(F.col("stay_id")) & (F.col("_h") == F.col("stay_h")), "left_semi").dropDuplicates(["_id", "_h"])
     return left.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)))
