@@ -5,13 +5,15 @@ parsed: the turns before and up to each turn are rendered, and the output that
 comes on top of the previous one is the turn's span. Where an output doesn't begin
 with the one before it, the template rewrites history; such a conversation is
 flagged, and its spans come from the last rendering. A turn's text is located
-inside by rendering the same turns once more with a mark in the text's place.
+inside by rendering the same turns once more with a mark in the text's place: a
+private-use character that neither the turns nor their rendering hold.
 
 ``plain_template`` is the template of the query. It escapes its control strings
 inside texts and roles, reversibly, so that no text can close a turn or open one.
 
 Turns are ordered by turn, then role and text; null turns come first, null roles
-and texts are empty, and rows with a null conv_id are one conversation. Repeated
+and texts are empty. Each row with a null conv_id is a conversation of its own, as
+nothing says that such rows belong together. Repeated
 rows are turns of their own. Extra columns are ignored; an empty table gives no
 rows. A conversation is rendered in one task; rendering all prefixes takes time in
 proportion to the square of its turns.
@@ -22,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,8 +36,8 @@ Turns = list[tuple[str, str]]
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]")
 #: Stands for a line break in a role: a backslash that is not doubled, before a letter.
 BREAK = "\\n"
-#: A text that no data should hold, and that templates leave alone.
-MARK = "\ue000"
+#: Private-use characters, which templates leave alone.
+MARKS = (range(0xE000, 0xF900), range(0xF0000, 0xFFFFE), range(0x100000, 0x10FFFE))
 
 
 def escape(text: str) -> str:
@@ -69,25 +72,31 @@ def read_back(formatted: str) -> Turns:
     return turns
 
 
+def unused_mark(turns: Turns, rendered: str) -> str:
+    """A character that no role, text or rendering of theirs holds."""
+    used = set(rendered).union(*(set(part) for turn in turns for part in turn))
+    return next(c for c in map(chr, chain(*MARKS)) if c not in used)
+
+
 def spans(turns: Turns, template: Callable[[Turns], str]) -> tuple[str, list[tuple[int, int, int, int]], bool]:
     """(output, (start, stop, text start, text stop) of each turn, whether the template rewrites history)."""
     before, out, rewrites = template([]), [], False
-    first = before
+    first, mark = before, unused_mark(turns, template(turns))
     for i, (role, text) in enumerate(turns):
         now = template(turns[: i + 1])
         rewrites |= not now.startswith(before)
-        marked = template([*turns[:i], (role, MARK)])
-        at = marked.find(MARK, 0 if rewrites else len(before))
-        out.append((len(before), len(now), at, at + len(now) - len(marked) + len(MARK)))
+        marked = template([*turns[:i], (role, mark)])
+        at = marked.find(mark, 0 if rewrites else len(before))
+        out.append((len(before), len(now), at, at + len(now) - len(marked) + len(mark)))
         before = now
     if not rewrites:
         return before, out, False
     # each turn's place in the last rendering, by marking it there
     places = []
     for i, (role, _) in enumerate(turns):
-        marked = template([*turns[:i], (role, MARK), *turns[i + 1 :]])
-        at = marked.find(MARK)
-        places.append((at, at + len(before) - len(marked) + len(MARK)) if at >= 0 else (-1, -1))
+        marked = template([*turns[:i], (role, mark), *turns[i + 1 :]])
+        at = marked.find(mark)
+        places.append((at, at + len(before) - len(marked) + len(mark)) if at >= 0 else (-1, -1))
     starts = [len(first)]
     for (_, stop), (begin, _) in zip(places, places[1:]):
         starts.append(stop if begin < 0 else max(stop, starts[-1]))
@@ -101,7 +110,9 @@ _OUT = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("formatted"
 def conversations(rows: DataFrame) -> DataFrame:
     """(conv_id, turns): the turns of each conversation in order."""
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.sort_array(F.collect_list(turn)).alias("turns")).select("conv_id", F.transform("turns", lambda t: F.struct(t.role.alias("role"), t.text.alias("text"))).alias("turns"))
+    conv = F.col("conv_id").cast("long")
+    alone = F.when(conv.isNull(), F.monotonically_increasing_id())
+    return rows.groupBy(conv.alias("conv_id"), alone.alias("alone")).agg(F.sort_array(F.collect_list(turn)).alias("turns")).select("conv_id", F.transform("turns", lambda t: F.struct(t.role.alias("role"), t.text.alias("text"))).alias("turns"))
 
 
 def formatted(rows: DataFrame, template: Callable[[Turns], str] = plain_template, loss_role: str = "assistant") -> DataFrame:
@@ -123,6 +134,28 @@ def formatted(rows: DataFrame, template: Callable[[Turns], str] = plain_template
     return conversations(rows).mapInArrow(run, OUT)
 
 
+#: The digests in DuckDB SQL, from the rows themselves.
+ORACLE = r"""
+WITH rows AS (
+  SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+escaped AS (
+  SELECT *, {body} AS body, replace({name}, chr(10), '\n') AS name FROM rows)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length(name) + length(body) + CASE WHEN role = 'assistant' THEN 9 ELSE 22 END) AS BIGINT) AS formatted_chars,
+       false AS rewrites_history
+FROM escaped GROUP BY conv_id
+"""
+for _column, _place in (("text", "{body}"), ("role", "{name}")):
+    _sql = f"replace({_column}, chr(92), chr(92) || chr(92))"
+    for _c in CONTROLS:
+        _sql = f"replace({_sql}, '{_c}', '{_c[0]}' || chr(92) || '{_c[1:]}')"
+    ORACLE = ORACLE.replace(_place, _sql)
+
+
 DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, rewrites_history boolean"
 _DIGESTS = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("rewrites_history", pa.bool_())])
 

@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from rivulet.llm.chat import digests, escape, formatted, plain_template, read_back, spans, unescape, with_probe
 
 SCHEMA = "conv_id long, turn long, role string, text string, lang string"
-PIECES = st.lists(st.sampled_from(["<s>", "</s>", "[INST]", "[/INST]", "\\", "\n", "a", "<", "[", "s>", "</s>\n<s>", "é"]), max_size=8).map("".join)
+PIECES = st.lists(st.sampled_from(["<s>", "</s>", "[INST]", "[/INST]", "\\", "\n", "a", "<", "[", "s>", "</s>\n<s>", "é", "\ue000", "\ue001"]), max_size=8).map("".join)
 
 
 @settings(max_examples=300, deadline=None)
@@ -33,6 +33,20 @@ def test_history_that_is_rewritten_is_found():
     assert [text[a:b] if a >= 0 else None for _, _, a, b in found] == ["a", None, "b", "end"]
 
 
+def test_marks_in_the_data_do_not_mislead():
+    turns = [("us\ue000er", "a\ue000"), ("assistant", "\ue000b\ue001"), ("user", "\ue000")]
+    text, found, rewrites = spans(turns, forgetful)
+    assert rewrites and [text[a:b] if a >= 0 else None for _, _, a, b in found] == ["a\ue000", None, "\ue000"]
+    text, found, _ = spans(turns, plain_template)
+    assert [text[a:b] for _, _, a, b in found] == [t for _, t in turns]
+
+
+def test_rows_without_an_id_are_alone(spark):
+    rows = [(None, 0, "user", "a", "en"), (None, 1, "assistant", "b", "en"), (None, 1, "assistant", "b", "en")]
+    got = formatted(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(r["formatted"] for r in got) == sorted(plain_template([(r[2], r[3])]) for r in rows)
+
+
 def slow(rows):
     out = {}
     for conv in {r[0] for r in rows}:
