@@ -6,9 +6,12 @@ pitch classes), read off an integral image in four additions each. Each filter's
 answer falls into one of four classes, coded so that neighbours differ in one bit,
 and the sixteen codes make one packed 32-bit integer for each frame.
 
-Search: every recording is indexed, by the least values of some hash functions over
-its integers (the same wherever the sound stands in the recording). What meets a
-query there is aligned: a histogram of the offsets between equal integers gives the
+Search: every recording is indexed by landmarks: an integer whose hash is the least
+among ``STRETCH`` neighbours in a row is one. So each short stretch of sound has a
+landmark, which doesn't depend on where the stretch stands or how long the recording
+is. Spark joins landmarks with those of the queries and counts the offsets between
+their places; recordings with ``VOTES`` landmarks at one offset, or twice as many at
+any, are aligned: a histogram of the offsets between equal integers gives the
 best shifts, and the share of differing bits over the overlap decides. Recordings
 with equal fingerprints are one class and are searched once.
 
@@ -35,7 +38,10 @@ LOWEST_HZ, HIGHEST_HZ = 100.0, 1900.0
 SPAN = 16
 THRESHOLDS = (-0.5, 0.0, 0.5)
 GRAY = np.array([0, 1, 3, 2], np.uint32)
-HASHES = 6
+#: Neighbouring integers of which at least one is a landmark.
+STRETCH = 6
+#: Landmarks that two recordings must share at one offset; fewer if one of them has fewer.
+VOTES = 2
 MAX_ERROR = 0.2
 MIN_OVERLAP = 24
 QUERY_EVERY = 50
@@ -139,18 +145,18 @@ def fingerprints(media: DataFrame, id_col: str, sound_col: str, rate: int = RATE
     return media.select(F.col(id_col).cast("long").alias("rec_id"), F.col(sound_col).alias("sound")).mapInArrow(run, "rec_id long, fp binary, class_key long")
 
 
-def least_hashes(fp: bytes, n: int = HASHES) -> list[int]:
-    """The least value of each of n hash functions over the pairs of integers four frames apart."""
-    values = np.frombuffer(fp, np.uint32).astype(np.uint64)
-    if len(values) < 5:
-        return []
-    x = values[:-4] << np.uint64(32) | values[4:]
-    out = []
-    for i in range(n):
-        y = (x ^ np.uint64((i + 1) * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
-        y = (y ^ (y >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-        out.append(int((y ^ (y >> np.uint64(32))).min().view(np.int64)))
-    return out
+def landmarks(fp: bytes, stretch: int = STRETCH) -> tuple[np.ndarray, np.ndarray]:
+    """(values, places) of the landmarks of a recording's integers; of equal ones the first."""
+    values = np.frombuffer(fp, np.uint32)
+    if not len(values):
+        return values, np.empty(0, np.int64)
+    y = values.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+    y = (y ^ (y >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    y ^= y >> np.uint64(32)
+    width = min(stretch, len(y))
+    at = np.unique(np.lib.stride_tricks.sliding_window_view(y, width).argmin(axis=1) + np.arange(len(y) - width + 1))
+    found, first = np.unique(values[at], return_index=True)
+    return found, at[first]
 
 
 def search(prints: DataFrame, every: int = QUERY_EVERY, max_error: float = MAX_ERROR) -> DataFrame:
@@ -169,13 +175,19 @@ def search(prints: DataFrame, every: int = QUERY_EVERY, max_error: float = MAX_E
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(c, q, i, h) for c, q, fp in zip(*(x.to_pylist() for x in batch.columns)) for i, h in enumerate(least_hashes(fp))]
-            columns = list(zip(*rows)) if rows else [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.bool_()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int64())], ["class_key", "asked", "i", "h"])
-
-    keys = save(classes.select("class_key", "asked", "fp").mapInArrow(index, "class_key long, asked boolean, i int, h long"), "keys")
+            parts = [[], [], [], [], []]
+            for c, q, fp in zip(*(x.to_pylist() for x in batch.columns)):
+                value, at = landmarks(fp)
+                for part, x in zip(parts, (np.full(len(at), c), np.full(len(at), q), value, at, np.full(len(at), len(at)))):
+                    part.append(x)
+            types = (np.int64, bool, np.int64, np.int32, np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*part, np.empty(0, t)]).astype(t)) for part, t in zip(parts, types)], ["class_key", "asked", "h", "at", "n"])
+
+    keys = save(classes.select("class_key", "asked", "fp").mapInArrow(index, "class_key long, asked boolean, h long, at int, n int"), "keys")
     a, b = keys.where("asked").alias("a"), keys.alias("b")
-    pairs = a.join(b, ["i", "h"]).where("a.class_key <> b.class_key").select(F.col("a.class_key").alias("q"), F.col("b.class_key").alias("r")).distinct()
+    shared = a.join(b, "h").where("a.class_key <> b.class_key").select(F.col("a.class_key").alias("q"), F.col("b.class_key").alias("r"), (F.col("b.at") - F.col("a.at")).alias("offset"), F.least(F.lit(VOTES), "a.n", "b.n").alias("need"))
+    votes = shared.groupBy("q", "r", "offset", "need").count().groupBy("q", "r", "need").agg(F.max("count").alias("most"), F.sum("count").alias("all"))
+    pairs = votes.where((F.col("most") >= F.col("need")) | (F.col("all") >= 2 * VOTES)).select("q", "r")
     fp = classes.select("class_key", "fp")
     both = pairs.join(fp.withColumnsRenamed({"class_key": "q", "fp": "q_fp"}), "q").join(fp.withColumnsRenamed({"class_key": "r", "fp": "r_fp"}), "r").select("q", "r", "q_fp", "r_fp")
 

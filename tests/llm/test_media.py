@@ -68,6 +68,34 @@ def test_search_against_brute_force(spark):
     assert got[500]["links"] == 0 and got[501]["n_ints"] == 0 and got[None]["is_query"] is False
 
 
+def test_excerpts_of_long_recordings_are_found(spark):
+    long = np.concatenate([np.frombuffer(sung(v), "<i2") for v in vectors(8, 20)])
+    at = [40_000, 120_000, 300_000, 500_000]
+    rows = [(1, long.tobytes()), (2, b"\1"), *((50 * (i + 1), long[x : x + 30_000].tobytes()) for i, x in enumerate(at))]
+    df = spark.createDataFrame(rows, "rec_id long, sound binary")
+    got = {r["rec_id"]: r for r in search(fingerprints(df, "rec_id", "sound")).collect()}
+    for i, x in enumerate(at):
+        r = got[50 * (i + 1)]
+        assert (r["links"], r["best_class"]) == (1, 1) and abs(r["best_offset"] - x / 256) <= 1
+    assert got[2]["n_ints"] == 0
+
+
+def test_recall_on_whole_embeddings(spark):
+    """The production queries of sf0.01 against all of its recordings, one by one."""
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    prints = fingerprints(media_column(df), "rec_id", "sound")
+    links = {r["rec_id"]: r["links"] for r in search(prints).collect() if r["is_query"]}
+    rows = prints.collect()
+    by = {bytes(r["fp"]): r["rec_id"] for r in rows}
+    wanted = 0
+    for r in rows:
+        if r["rec_id"] in links and r["fp"]:
+            own = np.frombuffer(r["fp"], np.uint32)
+            wanted += sum(1 for other in by if other and other != bytes(r["fp"]) and (x := align(own, np.frombuffer(other, np.uint32))) and x[1] <= 0.2)
+    print("links", sum(links.values()), "of", wanted)
+    assert sum(links.values()) >= 0.9 * wanted
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert search(fingerprints(media_column(df), "rec_id", "sound", RATE)).collect() == []
