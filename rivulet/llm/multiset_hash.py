@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import hashlib
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -100,6 +101,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, fingerprint string")
 
 
+#: Bytes of text in a cell, and cells, at most; ids that many rows share make larger cells.
+CELL_BYTES, MAX_CELLS = 16 << 20, 20_000
+
 CHAIN = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 _CHAIN = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
@@ -107,20 +111,28 @@ _CHAIN = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sh
 def chained(docs: DataFrame) -> DataFrame:
     """Each document with the next one by doc_id, and with its text edited by the next one's beginning.
 
-    The order is cut into cells of the ids' range; the first document of each cell
-    goes into the cell before it as well, so that all pairs of neighbours meet and
-    every text is moved once.
+    The order is cut into cells at quantiles of the ids, so that cells are even
+    however ids lie; the first document of each cell goes into the cell before it as
+    well, so that all pairs of neighbours meet and every text is moved once. Rows
+    that share an id are in one cell.
     """
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    low, high, rows = own.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
+    rows, size = own.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     if not rows:
         return spark.createDataFrame([], CHAIN)
-    low, high = (0, 0) if low is None else (low, high)
-    n_cells = min(16 * shuffle_partitions(spark), rows)
-    # nulls come first, in the cell of the least id
-    cell = F.coalesce(F.floor((F.col("doc_id").cast("double") - low) / (float(high) - low + 1) * n_cells), F.lit(0)).cast("int")
-    celled = own.withColumn("cell", F.least(cell, F.lit(n_cells - 1)))
+    parts = max(shuffle_partitions(spark), -(-(size or 0) // CELL_BYTES) // 16)
+    n_cells = min(16 * parts, rows, MAX_CELLS)
+    cuts = own.agg(F.percentile_approx("doc_id", F.array(*(F.lit(i / n_cells) for i in range(1, n_cells))), F.lit(4 * n_cells))).first()[0] if n_cells > 1 else None
+    bounds = np.unique(np.array(cuts or [], np.int64))
+    n_cells = len(bounds) + 1
+
+    @F.pandas_udf("int")
+    def place(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds, ids.to_numpy(), side="right").astype(np.int32))
+
+    # nulls come first, in the first cell
+    celled = own.withColumn("cell", F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(place(F.coalesce("doc_id", F.lit(0)).cast("long"))))
     firsts = sorted((r[0], r[1], r[2]) for r in celled.groupBy("cell").agg(F.min("doc_id"), F.max(F.col("doc_id").isNull())).collect())
     before: list = [None] * n_cells
     least: list = [None] * n_cells
@@ -149,4 +161,4 @@ def chained(docs: DataFrame) -> DataFrame:
             columns = list(zip(*rows)) if rows else [()] * len(_CHAIN)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _CHAIN)], schema=_CHAIN)
 
-    return met.repartition(shuffle_partitions(spark), "at").sortWithinPartitions("at", "tail", F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()).mapInArrow(run, CHAIN)
+    return met.repartitionById(parts, F.pmod("at", F.lit(parts)).cast("int")).sortWithinPartitions("at", "tail", F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()).mapInArrow(run, CHAIN)
