@@ -60,9 +60,12 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     )
 
 
-def shuffle_key(doc_id: Column) -> Column:
-    """A fixed random order of documents: equal on every run, and the same in other engines."""
-    return F.md5(F.coalesce(doc_id.cast("string"), F.lit("null")))
+def shuffle_key(doc_id: Column, text: Column) -> Column:
+    """A fixed random order of documents: equal on every run, and the same in other engines.
+
+    It takes in the text, so that the rows of one id, or of none, are spread as well.
+    """
+    return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), F.coalesce(text, F.lit(""))))
 
 
 def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, cell_rows: int = CELL_ROWS) -> DataFrame:
@@ -70,12 +73,14 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = S
 
     taken: words that the mix takes of the document, repeats counted. finish: its
     virtual finish time in the first round; null where its source has no target. The
-    budget is the sum of the targets, so it is spent at virtual time 1: what is
-    served after that is not taken.
+    budget is the sum of the targets, so in the global order of finish times it ends
+    at virtual time 1: what is served after that is not taken. ``taken`` states this
+    cut in closed form for each row, so no running sum over the sorted mix is needed.
     """
-    sized = save(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")).withColumn("key", shuffle_key(F.col("doc_id"))), "sizes")
-    digits = 1
-    while 16**digits * cell_rows < sized.count() and digits < 8:
+    key = shuffle_key(F.col("doc_id"), F.col("text")).alias("key")
+    sized = save(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key), "sizes")
+    rows, digits = sized.count(), 1
+    while 16**digits * cell_rows < rows and digits < 8:
         digits += 1
     cell = F.substring("key", 1, digits)
     cells = sized.groupBy("source", cell.alias("cell")).agg(F.sum("size").alias("cell_size"))
@@ -103,25 +108,25 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
     taken (its white space becomes single spaces); n_chars follows where docs has it.
     """
     names = docs.columns
-    chosen = plan(docs, weights, share, epochs).where("taken > 0").groupBy("doc_id", "source", "size", "source_size", "target").agg(F.sum("taken").alias("taken"), F.count("*").alias("rows"), F.min("finish").alias("finish"))
-    d = docs.withColumns({"_size": word_count(F.col("text"))}).alias("d")
-    w = Window.partitionBy("d.doc_id", "d.source", "_size").orderBy("d.text")
-    left = d.join(chosen.alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & F.col("d.source").eqNullSafe(F.col("c.source")) & (F.col("_size") == F.col("c.size"))).withColumn("_n", F.row_number().over(w) - 1)
-    # rows that share id, source and size share what is taken of them, in turn
+    chosen = plan(docs, weights, share, epochs).where("taken > 0").groupBy("key", "source", "source_size", "target").agg(F.sum("taken").alias("taken"), F.min("finish").alias("finish"))
+    d = docs.withColumns({"_size": word_count(F.col("text")), "_key": shuffle_key(F.col("doc_id"), F.col("text"))}).alias("d")
+    w = Window.partitionBy("_key", "d.source").orderBy("_size")
+    left = d.join(chosen.alias("c"), (F.col("_key") == F.col("c.key")) & F.col("d.source").eqNullSafe(F.col("c.source"))).withColumn("_n", F.row_number().over(w) - 1)
+    # rows that repeat an id, source and text share what is taken of them, in turn
     own = F.greatest(F.lit(0), F.least(F.col("_size") * epochs, F.col("c.taken") - F.col("_n") * F.col("_size") * epochs))
     times = F.transform(F.sequence(F.lit(0), F.lit(epochs - 1)), lambda r: F.greatest(F.lit(0), F.least(F.col("_size"), F.col("_own") - r * F.col("_size"))))
-    each = left.withColumn("_own", own).select("d.*", "_size", F.col("c.finish").alias("_finish"), F.col("c.source_size").alias("_source_size"), F.col("c.target").alias("_target"), F.posexplode(times).alias("_round", "_words")).where("_words > 0")
+    each = left.withColumn("_own", own).select("d.*", F.col("c.finish").alias("_finish"), F.col("c.source_size").alias("_source_size"), F.col("c.target").alias("_target"), F.posexplode(times).alias("_round", "_words")).where("_words > 0")
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("_words").cast("int")), " ")
     text = F.when(F.col("_words") < F.col("_size"), cut).otherwise(F.col("text"))
     columns = {"text": text} | ({"n_chars": F.when(F.col("_words") < F.col("_size"), F.char_length(cut).cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in names else {})
     finish = F.col("_finish") + F.col("_round") * F.col("_source_size") / F.col("_target")
-    return each.withColumn("_finish", finish).repartitionByRange("_finish", "doc_id").sortWithinPartitions("_finish", "doc_id").select(*(columns.get(c, F.col(f"`{c}`")).alias(c) for c in names))
+    return each.withColumn("_finish", finish).repartitionByRange("_finish", "_key").sortWithinPartitions("_finish", "_key").select(*(columns.get(c, F.col(f"`{c}`")).alias(c) for c in names))
 
 
 ORACLE = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), 'null')) AS key
+         md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || coalesce(text, '')) AS key
   FROM documents),
 totals AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 weighed AS (
