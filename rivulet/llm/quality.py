@@ -233,7 +233,7 @@ class LabelModel:
 
     @staticmethod
     def _codes(patterns: list[str]) -> np.ndarray:
-        return np.array([["+x-".index(c) for c in p] for p in patterns])
+        return np.array([["+x-".index(c) for c in p] for p in patterns], np.uint8)
 
     @classmethod
     def fit(cls, counts: dict[str, int], rounds: int = 100) -> LabelModel:
@@ -242,12 +242,11 @@ class LabelModel:
         good, bad = (codes == 0).sum(axis=1), (codes == 1).sum(axis=1)
         # the start: one bad vote counts as much as three good ones, for most documents are good
         p = np.clip((good + 1) / (good + 3 * bad + 1.5), 0.02, 0.98)
-        hot = np.stack([codes == v for v in range(3)], axis=2).astype(float)
         model = cls(0.5, np.zeros(0), np.zeros(0))
         for _ in range(rounds):
             tables = []
             for q in (p, 1 - p):
-                table = np.einsum("i,ijv->jv", weight * q, hot) + 1.0
+                table = np.stack([np.bincount(column, weight * q, 3) for column in codes.T]) + 1.0
                 cast = table[:, :2].sum(axis=1, keepdims=True)
                 tables.append(np.hstack([table[:, :2] / cast, np.ones_like(cast)]))
             model = cls(float((weight @ p + 1) / (weight.sum() + 2)), *tables)
