@@ -74,6 +74,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    from . import mixing
+    from . import chat, mixing, substring, suffix_array
 
-    return {"op4_mixing": mixing.ORACLE}
+    return {"op1_chat_format": chat.ORACLE, "op2_substring_dedup": substring.ORACLE, "op4_mixing": mixing.ORACLE, "op7_suffix_array": suffix_array.ORACLE}

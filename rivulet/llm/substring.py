@@ -158,3 +158,17 @@ def remove_repeated_windows(docs: DataFrame, length: int = LENGTH, block: int =
     """docs with the kept words as text, joined by one space, and n_words and n_removed."""
     lay = layout(docs)
     return rewritten(docs, repeats(docs, lay, length, block), lay, _kept, "n_words long, n_removed long")
+
+
+#: The query in DuckDB SQL, for tables of ordinary size.
+ORACLE = r"""
+WITH split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+each AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM split),
+windows AS (SELECT doc_id, pos, string_agg(word, ' ') OVER w AS said, count(*) OVER w AS n FROM each WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+ranked AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY said ORDER BY doc_id, pos) AS n FROM windows WHERE n = 20),
+gone AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 20)) AS pos FROM ranked WHERE n > 1),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS text FROM each ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id),
+counts AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM split LEFT JOIN kept USING (doc_id) LEFT JOIN counts USING (doc_id)
+"""
