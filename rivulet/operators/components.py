@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import save
+from ..session import drop, save
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -32,7 +32,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     now = save(edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     seen = None
     for _ in range(max_rounds):
-        now = save(_small_star(_large_star(now)), "edges")
+        before, now = now, save(_small_star(_large_star(now)), "edges")
+        drop(before)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

@@ -7,10 +7,16 @@ many as the graph is deep.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import save
+from ..session import drop, save
+
+
+#: Rounds of shortest paths after which what they found is merged.
+MERGE_ROUNDS = 4
 
 
 class CycleError(ValueError):
@@ -34,7 +40,8 @@ def topo_levels(edges: DataFrame, max_levels: int = 1000) -> DataFrame:
         if now.isEmpty():
             raise CycleError("the graph has a cycle")
         done = now if done is None else done.unionByName(now)
-        rest = save(rest.join(now, "node", "left_anti"), "rest")
+        before, rest = rest, save(rest.join(now, "node", "left_anti"), "rest")
+        drop(before)
         level += 1
     return done if done is not None else nodes.withColumn("level", F.lit(0))
 
@@ -59,15 +66,22 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, max_rounds: int = 1000)
     """
     both = save(edges.select("u", "v", "length_m").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "length_m")).where("u <> v").groupBy("u", "v").agg(F.min("length_m").alias("length_m")), "roads")
     best = save(sources.select(F.col("node").alias("source"), "node", F.lit(0).cast("long").alias("distance"), F.lit(0).alias("hops")), "paths")
-    front = best
+    front, fronts = best, []
     for _ in range(max_rounds):
         step = front.join(both, front.node == both.u).select("source", F.col("v").alias("node"), (F.col("distance") + F.col("length_m")).alias("distance"), (F.col("hops") + 1).alias("hops"))
         step = step.groupBy("source", "node").agg(F.min(F.struct("distance", "hops")).alias("n"))
-        old = best.select("source", "node", F.struct("distance", "hops").alias("o"))
+        # what has been found lies in a base table and the fronts since; every few rounds they become one
+        old = best if not fronts else best.unionByName(reduce(DataFrame.unionByName, fronts))
+        old = old.groupBy("source", "node").agg(F.min(F.struct("distance", "hops")).alias("o"))
         front = save(step.join(old, ["source", "node"], "left").where("o IS NULL OR n < o").select("source", "node", "n.distance", "n.hops"), "front")
-        if front.isEmpty():
+        last = front.isEmpty()
+        if fronts and (last or len(fronts) == MERGE_ROUNDS):
+            merged = save(old.select("source", "node", "o.distance", "o.hops"), "paths")
+            drop(best, *fronts)
+            best, fronts = merged, []
+        if last:
             return best
-        best = save(best.join(front.select("source", "node"), ["source", "node"], "left_anti").unionByName(front), "paths")
+        fronts.append(front)
     raise RuntimeError("paths did not settle")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import hydraulics as hy
-from ..session import save
+from ..session import drop, save
 
 
 def _neighbour(c: str, along: str, ahead: int) -> Column:
@@ -42,7 +42,7 @@ def step(state: DataFrame, dt: float, dx: float, n: float = 0.03, rain_m_s: floa
 def simulate(state: DataFrame, seconds: float, dx: float, n: float = 0.03, rain_m_s: float = 0.0, sink_m_s: float = 0.0, most_dt: float = 30.0, max_steps: int = 100_000) -> tuple[DataFrame, list[tuple[float, float, float]]]:
     """(final state, schedule of (dt, volume, sunk)). A step after which dt would have been unstable is done again with half of it."""
     t, schedule = 0.0, []
-    now = save(state.select("r", "c", "h", "z", "qx", "qy"), "state")
+    now = held = save(state.select("r", "c", "h", "z", "qx", "qy"), "state")
     h_max = now.agg(F.max("h")).first()[0] or 0.0
     limit = lambda h: most_dt if h <= 0 else min(most_dt, 0.7 * dx / (hy.GRAVITY * h) ** 0.5)
     while t < seconds and len(schedule) < max_steps:
@@ -52,7 +52,19 @@ def simulate(state: DataFrame, seconds: float, dx: float, n: float = 0.03, rain_
             top, volume, sunk = new.agg(F.max("h"), F.sum("h"), F.sum("sunk")).first()
             if dt <= 1.4 * limit(top) or dt < 1e-3:
                 break
+            drop(new)
             dt /= 2
-        now, h_max, t = new.drop("sunk"), top, t + dt
+        drop(held)
+        held, now, h_max, t = new, new.drop("sunk"), top, t + dt
         schedule.append((dt, volume * dx * dx, sunk * dx * dx))
     return now, schedule
+
+
+def replay(state: DataFrame, dts: list[float], dx: float, n: float = 0.03, rain_m_s: float = 0.0, sink_m_s: float = 0.0) -> DataFrame:
+    """The state after the steps of a recorded schedule."""
+    now = save(state.select("r", "c", "h", "z", "qx", "qy"), "state")
+    for dt in dts:
+        new = save(step(now, dt, dx, n, rain_m_s, sink_m_s).drop("sunk"), "state")
+        drop(now)
+        now = new
+    return now

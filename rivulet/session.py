@@ -22,16 +22,21 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "riv
     )
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, from spark.checkpoint.dir.
 
-    Only where that is unset (tests, one machine) a temporary folder is made.
+    Where that is unset, a local master (tests, one machine) gets a temporary
+    folder; a cluster is refused.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='rivulet-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _LOCAL.setdefault(spark.sparkContext.applicationId, f"file://{tempfile.mkdtemp(prefix='rivulet-')}")
 
 
 def save(df: DataFrame, label: str = "step") -> DataFrame:
@@ -43,7 +48,18 @@ def save(df: DataFrame, label: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/rivulet/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Delete tables of ``save`` that nothing reads any more, such as those of earlier rounds."""
+    for df in tables:
+        if path := getattr(df, "saved_at", None):
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
