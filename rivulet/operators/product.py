@@ -102,3 +102,17 @@ def first_flooded(frames: DataFrame) -> DataFrame:
 def running_max(frames: DataFrame) -> DataFrame:
     w = Window.partitionBy("segment_id").orderBy("frame_index").rowsBetween(Window.unboundedPreceding, 0)
     return frames.select("segment_id", "frame_index", "band_high_cm", F.max("band_high_cm").over(w).alias("max_so_far_cm"))
+
+
+def pits(cells: DataFrame) -> DataFrame:
+    """One row (pits, pits_d4, residual_bound) for cells (r, c, depth_m).
+
+    The bound on pits that conditioning may leave: the lesser of 3 in 400 cells and a
+    quarter of the pits among four neighbours.
+    """
+    steps = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j)))
+    around = cells.select("r", "c", "depth_m", steps.alias("s")).select((F.col("r") + F.col("s.i")).alias("r"), (F.col("c") + F.col("s.j")).alias("c"), F.col("depth_m").alias("other"), (F.col("s.i") * F.col("s.j") == 0).alias("straight"))
+    above = around.groupBy("r", "c").agg(F.min("other").alias("least8"), F.count("*").alias("n8"), F.min(F.when(F.col("straight"), F.col("other"))).alias("least4"), F.count_if("straight").alias("n4"))
+    seen = cells.join(above, ["r", "c"], "left")
+    counts = seen.agg(F.count_if((F.col("n8") == 8) & (F.col("least8") > F.col("depth_m"))).alias("pits"), F.count_if((F.col("n4") == 4) & (F.col("least4") > F.col("depth_m"))).alias("pits_d4"), F.count("*").alias("n"))
+    return counts.select("pits", "pits_d4", F.least(F.floor(F.col("n") * 3 / 400), F.floor(F.col("pits_d4") / 4)).alias("residual_bound"))

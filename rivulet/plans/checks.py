@@ -79,15 +79,9 @@ def frame_tags(spark, d):
     return o.select(frame_tag("offset_seconds").alias("tag"), "offset_seconds").where(F.col("tag").rlike(r"^t\d{6,8}$"))
 
 
-@query("metre_labels", bound("SELECT r, c, CASE WHEN depth_m > 0.3 THEN printf('%.2f m', depth_m) ELSE printf('%d cm', CAST(floor(depth_m * 100) AS INTEGER)) END AS label FROM cells WHERE r < 10", "cells"))
+@query("metre_labels", bound("SELECT r, c, CASE WHEN depth_m > 0.3 THEN printf('%.2f m', depth_m) ELSE printf('%d cm', CAST(floor(depth_m * 100) AS INTEGER)) END AS label FROM cells", "cells"))
 def metre_labels(spark, d):
     """FN16"""
-    return _labels(b.cells(spark, d).where("r < 10"))
-
-
-@query("metre_labels_whole")
-def metre_labels_whole(spark, d):
-    """FN16 on every cell."""
     return _labels(b.cells(spark, d))
 
 
@@ -130,26 +124,26 @@ def water_budget(spark, d):
     return x.select("basin_class", F.round(100.0 * F.col("stored") / F.col("rain"), 6).alias("stored_pct"), (F.abs(F.col("rain") - F.col("stored") - F.col("lost")) <= 1e-9 * F.col("rain")).alias("closes"))
 
 
-@query("basin_statistics", bound("SELECT label, count(*) AS n_cells, CAST(sum(mm) AS BIGINT) AS depth_mm, max(mm) AS max_mm, quantile_cont(CAST(mm AS DOUBLE), 0.95) AS p95_mm, round(avg(r), 6) AS row, round(avg(c), 6) AS col, CASE WHEN bool_or(k = 4) THEN 'storage' WHEN bool_or(k = 3) THEN 'quarry' WHEN bool_or(k = 2) THEN 'landfill' ELSE 'residual' END AS class FROM (SELECT (r // 10) * 12 + c // 10 AS label, r, c, CAST(floor(depth_m * 1000) AS BIGINT) AS mm, basin_class AS k FROM cells WHERE (r + c) % 3 = 0) GROUP BY 1 HAVING count(*) >= 4", "cells"))
+@query("basin_statistics", bound("SELECT label, count(*) AS n_cells, CAST(sum(mm) AS BIGINT) AS depth_mm, max(mm) AS max_mm, quantile_cont(CAST(mm AS DOUBLE), 0.95) AS p95_mm, round(avg(r), 6) AS row, round(avg(c), 6) AS col, CASE WHEN bool_or(k = 4) THEN 'storage' WHEN bool_or(k = 3) THEN 'quarry' WHEN bool_or(k = 2) THEN 'landfill' ELSE 'residual' END AS class FROM (SELECT (r // 10) * 10000 + c // 10 AS label, r, c, CAST(floor(depth_m * 1000) AS BIGINT) AS mm, basin_class AS k FROM cells WHERE (r + c) % 3 = 0) GROUP BY 1 HAVING count(*) >= 4", "cells"))
 def basin_statistics(spark, d):
     """AGG38, AGG39, AGG42, FLT13, D3 (a real percentile): sums of each basin and its class by precedence."""
     k = F.col("k")
-    x = b.cells(spark, d).where("(r + c) % 3 = 0").select((b.div(F.col("r"), 10) * 12 + b.div(F.col("c"), 10)).cast("int").alias("label"), "r", "c", F.floor(F.col("depth_m") * 1000).alias("mm"), F.col("basin_class").alias("k"))
+    x = b.cells(spark, d).where("(r + c) % 3 = 0").select((b.div(F.col("r"), 10) * 10000 + b.div(F.col("c"), 10)).cast("int").alias("label"), "r", "c", F.floor(F.col("depth_m") * 1000).alias("mm"), F.col("basin_class").alias("k"))
     kind = F.when(F.bool_or(k == 4), "storage").when(F.bool_or(k == 3), "quarry").when(F.bool_or(k == 2), "landfill").otherwise("residual")
     return x.groupBy("label").agg(F.count("*").alias("n_cells"), F.sum("mm").alias("depth_mm"), F.max("mm").alias("max_mm"), F.expr("percentile(mm, 0.95)").alias("p95_mm"), F.round(F.avg("r"), 6).alias("row"), F.round(F.avg("c"), 6).alias("col"), kind.alias("class")).where("n_cells >= 4")
 
 
-@query("basin_names", bound("SELECT label, arg_min(name, printf('%09d', 1000000 - n) || printf('%09d', name)) AS name FROM (SELECT (r // 10) * 12 + c // 10 AS label, segment_id % 7 AS name, count(*) AS n FROM cells GROUP BY 1, 2) GROUP BY 1", "cells"))
+@query("basin_names", bound("SELECT label, arg_min(name, printf('%09d', 1000000 - n) || printf('%09d', name)) AS name FROM (SELECT (r // 10) * 10000 + c // 10 AS label, segment_id % 7 AS name, count(*) AS n FROM cells GROUP BY 1, 2) GROUP BY 1", "cells"))
 def basin_names(spark, d):
     """AGG40: the name with the most overlap; the first wins ties."""
-    n = b.cells(spark, d).groupBy((b.div(F.col("r"), 10) * 12 + b.div(F.col("c"), 10)).cast("int").alias("label"), (F.col("segment_id") % 7).alias("name")).count()
+    n = b.cells(spark, d).groupBy((b.div(F.col("r"), 10) * 10000 + b.div(F.col("c"), 10)).cast("int").alias("label"), (F.col("segment_id") % 7).alias("name")).count()
     return n.groupBy("label").agg(F.min_by("name", F.struct(-F.col("count"), F.col("name"))).alias("name"))
 
 
-@query("rim_outlets", bound("SELECT label, arg_min(key, printf('%012.6f', depth_m) || printf('%09d', key)) AS lowest, coalesce(arg_min(key, printf('%012.6f', depth_m) || printf('%09d', key)) FILTER (basin_class = 1), arg_min(key, printf('%012.6f', depth_m) || printf('%09d', key))) AS outlet FROM (SELECT (r // 10) * 12 + c // 10 AS label, r * 1000 + c AS key, depth_m, basin_class FROM cells WHERE r % 10 IN (0, 9) OR c % 10 IN (0, 9)) GROUP BY 1", "cells"))
+@query("rim_outlets", bound("SELECT label, arg_min(key, printf('%012.6f', depth_m) || printf('%09d', key)) AS lowest, coalesce(arg_min(key, printf('%012.6f', depth_m) || printf('%09d', key)) FILTER (basin_class = 1), arg_min(key, printf('%012.6f', depth_m) || printf('%09d', key))) AS outlet FROM (SELECT (r // 10) * 10000 + c // 10 AS label, r * 100000 + c AS key, depth_m, basin_class FROM cells WHERE r % 10 IN (0, 9) OR c % 10 IN (0, 9)) GROUP BY 1", "cells"))
 def rim_outlets(spark, d):
     """JN6, JN28, WIN3: the lowest rim cell, or the lowest on a waterway; ties by place."""
-    rim = b.cells(spark, d).where("r % 10 IN (0, 9) OR c % 10 IN (0, 9)").select((b.div(F.col("r"), 10) * 12 + b.div(F.col("c"), 10)).cast("int").alias("label"), (F.col("r") * 1000 + F.col("c")).alias("key"), F.struct(F.round("depth_m", 6).alias("z"), (F.col("r") * 1000 + F.col("c")).alias("k")).alias("o"), "basin_class")
+    rim = b.cells(spark, d).where("r % 10 IN (0, 9) OR c % 10 IN (0, 9)").select((b.div(F.col("r"), 10) * 10000 + b.div(F.col("c"), 10)).cast("int").alias("label"), (F.col("r") * 100000 + F.col("c")).alias("key"), F.struct(F.round("depth_m", 6).alias("z"), (F.col("r") * 1000 + F.col("c")).alias("k")).alias("o"), "basin_class")
     lowest = F.min_by("key", "o")
     return rim.groupBy("label").agg(lowest.alias("lowest"), F.coalesce(F.min_by("key", F.when(F.col("basin_class") == 1, F.col("o"))), lowest).alias("outlet"))
 

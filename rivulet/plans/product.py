@@ -162,16 +162,14 @@ def face_differences(spark, d):
     return b.cells(spark, d).select("r", "c", ahead("r", "c").alias("dz_x"), ahead("c", "r").alias("dz_y"))
 
 
-@query("pits", bound("""SELECT count(*) AS pits, least(3 * count(*) // 4, (SELECT count(*) FROM cells) * 3 // 400) AS residual_bound FROM cells a WHERE
-  (SELECT count(*) FROM cells b WHERE b.r BETWEEN a.r - 1 AND a.r + 1 AND b.c BETWEEN a.c - 1 AND a.c + 1 AND (b.r <> a.r OR b.c <> a.c) AND b.depth_m > a.depth_m) = 8""", "cells"))
+_LOWER = "(SELECT count(*) FROM cells b WHERE {} AND b.depth_m > a.depth_m)"
+_NEAR8 = "b.r BETWEEN a.r - 1 AND a.r + 1 AND b.c BETWEEN a.c - 1 AND a.c + 1 AND (b.r <> a.r OR b.c <> a.c)"
+
+
+@query("pits", bound(f"SELECT count(*) FILTER (n8 = 8) AS pits, count(*) FILTER (n4 = 4) AS pits_d4, least(3 * count(*) // 400, count(*) FILTER (n4 = 4) // 4) AS residual_bound FROM (SELECT {_LOWER.format(_NEAR8)} AS n8, {_LOWER.format(_NEAR8 + ' AND (b.r = a.r OR b.c = a.c)')} AS n4 FROM cells a)", "cells"))
 def pits(spark, d):
-    """AGG43, AGG44: cells strictly below all eight neighbours."""
-    cells = b.cells(spark, d)
-    near = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j)))
-    around = cells.select((F.col("r")).alias("r0"), F.col("c").alias("c0"), F.col("depth_m").alias("z"), near.alias("s")).select("r0", "c0", "z", (F.col("r0") + F.col("s.i")).alias("r"), (F.col("c0") + F.col("s.j")).alias("c"))
-    higher = around.join(cells.select("r", "c", "depth_m"), ["r", "c"]).where("depth_m > z").groupBy("r0", "c0").count().where("count = 8")
-    n = cells.agg(F.count("*").alias("n"))
-    return higher.agg(F.count("*").alias("pits")).crossJoin(n).select("pits", F.least(F.floor(F.col("pits") * 3 / 4), F.floor(F.col("n") * 3 / 400)).alias("residual_bound"))
+    """AGG43, AGG44: cells strictly below all eight, or all four, neighbours; a cell at the rim or beside a gap is none."""
+    return op.pits(b.cells(spark, d))
 
 
 @query("frame_status_counts", bound("SELECT frame_index, count(*) FILTER (flood_status = 'flooded') AS flooded, count(*) FILTER (flood_status = 'not_flooded') AS not_flooded FROM frames GROUP BY 1", "frames"))

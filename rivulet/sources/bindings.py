@@ -1,11 +1,15 @@
 """Domain tables derived from the driver's tables by fixed arithmetic.
 
-Each function returns one domain table. ``rivulet.plans.sql`` has the same tables
+Grids and graphs grow with the driver's tables: the grid's sides with the root of
+the rows of lineitem, the graphs by districts with the rows of orders. Each function
+returns one domain table. ``rivulet.plans.sql`` has the same tables
 as SQL for the oracle queries.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +27,16 @@ def div(a: Column, b: int) -> Column:
     return F.floor(a / b)
 
 
+def side(spark: SparkSession, sf_dir: str) -> int:
+    """How many times 120 cells a side of the grid has."""
+    return max(1, math.isqrt(table(spark, sf_dir, "lineitem").count() // 60_000))
+
+
+def districts(spark: SparkSession, sf_dir: str) -> int:
+    """How many districts the graphs have."""
+    return max(1, table(spark, sf_dir, "orders").count() // 15_000)
+
+
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """segment_id INT (dense 1..N), osm_id, highway, name, length_m INT"""
     p = table(spark, sf_dir, "part")
@@ -32,9 +46,9 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """r, c INT, depth_m DOUBLE, segment_id INT (0: no road), basin_class INT"""
-    n = table(spark, sf_dir, "part").count()
-    grid = table(spark, sf_dir, "lineitem").groupBy((F.col("l_partkey") % 120).cast("int").alias("r"), (F.col("l_orderkey") % 120).cast("int").alias("c")).agg(F.max(F.col("l_discount") * F.col("l_quantity") / 10.0).alias("depth_m"))
-    block = (1 + div(F.col("r"), 3) * 20 + div(F.col("c"), 6)).cast("int")
+    n, k = table(spark, sf_dir, "part").count(), side(spark, sf_dir)
+    grid = table(spark, sf_dir, "lineitem").groupBy((F.col("l_partkey") % (120 * k)).cast("int").alias("r"), (F.col("l_orderkey") % (120 * k)).cast("int").alias("c")).agg(F.max(F.col("l_discount") * F.col("l_quantity") / 10.0).alias("depth_m"))
+    block = (1 + div(F.col("r"), 3) * (20 * k) + div(F.col("c"), 6)).cast("int")
     return grid.select("r", "c", "depth_m", F.when(block <= n, block).otherwise(0).alias("segment_id"), ((F.col("r") * 7 + F.col("c") * 3) % 5).cast("int").alias("basin_class"))
 
 
@@ -51,17 +65,20 @@ def rain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drain_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """from_node, to_node BIGINT (eight layers of fifty), cap BIGINT or NULL, length_m BIGINT"""
+    """from_node, to_node BIGINT (districts of eight layers of fifty), cap BIGINT or NULL, length_m BIGINT"""
     o = table(spark, sf_dir, "orders")
+    first = div(F.col("o_custkey"), 50) % districts(spark, sf_dir) * 400
     layer = F.col("o_orderkey") % 7
     cap = F.max(F.when(F.col("o_orderstatus") != "P", F.floor(F.col("o_totalprice") / 1000.0).cast("long")))
-    return o.groupBy((layer * 50 + F.col("o_custkey") % 50).alias("from_node"), ((layer + 1) * 50 + (F.col("o_custkey") * 7 + F.col("o_orderkey")) % 50).alias("to_node")).agg(cap.alias("cap"), F.min(1 + F.col("o_orderkey") % 50).alias("length_m"))
+    return o.groupBy((first + layer * 50 + F.col("o_custkey") % 50).alias("from_node"), (first + (layer + 1) * 50 + (F.col("o_custkey") * 7 + F.col("o_orderkey")) % 50).alias("to_node")).agg(cap.alias("cap"), F.min(1 + F.col("o_orderkey") % 50).alias("length_m"))
 
 
 def road_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """u, v BIGINT, segment_id INT, length_m BIGINT"""
-    o = table(spark, sf_dir, "orders")
-    e = o.groupBy((F.col("o_custkey") % 500).alias("u"), ((F.col("o_custkey") * 7 + F.col("o_orderkey")) % 500).alias("v")).agg(F.min(1 + F.col("o_orderkey") % 50).alias("length_m"))
+    """u, v BIGINT (districts of 500), segment_id INT, length_m BIGINT; some edges lead to the next district"""
+    o, k = table(spark, sf_dir, "orders"), districts(spark, sf_dir)
+    own = div(F.col("o_custkey"), 500) % k
+    other = (own + (F.col("o_orderkey") % 50 == 0).cast("int")) % k
+    e = o.groupBy((own * 500 + F.col("o_custkey") % 500).alias("u"), (other * 500 + (F.col("o_custkey") * 7 + F.col("o_orderkey")) % 500).alias("v")).agg(F.min(1 + F.col("o_orderkey") % 50).alias("length_m"))
     return e.select("u", "v", (1 + (F.col("u") * 31 + F.col("v")) % 150).cast("int").alias("segment_id"), "length_m")
 
 

@@ -1,9 +1,8 @@
-"""Queries over whole tables whose SQL counterparts take a part."""
+"""Queries over whole graphs against brute force."""
 
 import heapq
 from collections import defaultdict
 
-import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,30 +34,13 @@ def test_roads(spark):
     for node in sorted(nodes):
         if node not in component:
             component |= dict.fromkeys(distances(edges, node), node)
-    assert {r["node"]: r["component"] for r in registry.QUERIES["road_components_whole"](spark, D).collect()} == component
+    assert {r["node"]: r["component"] for r in registry.QUERIES["road_components"](spark, D).collect()} == component
     want = {(s, node): n for s in (0, 7, 123) for node, n in distances(edges, s).items()}
-    assert {(r["source"], r["node"]): r["distance"] for r in registry.QUERIES["shortest_paths_whole"](spark, D).collect()} == want
+    assert {(r["source"], r["node"]): r["distance"] for r in registry.QUERIES["shortest_paths"](spark, D).collect()} == want
     status = b.frames(spark, D).groupBy("segment_id").agg(F.max_by("band_high_cm", "frame_index").alias("high")).where("high >= 60")
     dry = [tuple(r) for r in b.road_edges(spark, D).join(status, "segment_id", "left_anti").select("u", "v", "length_m").collect()]
     safe = distances(dry, 7)
-    assert {r["node"]: (r["baseline"], r["safe"]) for r in registry.QUERIES["flood_safe_paths_whole"](spark, D).collect()} == {node: (n, safe.get(node)) for node, n in distances(edges, 7).items()}
-
-
-@pytest.mark.parametrize("name, part", [("nowcast_intervals", " WHERE event_id % 20 = 0"), ("nowcast_horizon", " WHERE event_id % 20 = 0"), ("district_features", " WHERE event_id % 97 = 0")])
-def test_every_event(spark, name, part):
-    duck = duckdb.connect()
-    duck.execute("SET TimeZone = 'UTC'")
-    duck.execute(f"CREATE VIEW events AS SELECT * FROM '{D}/events.parquet'")
-    assert part in registry.ORACLES[name]
-    got = duck.execute(registry.ORACLES[name].replace(part, ""))
-    columns = [c[0] for c in got.description]
-    rows = registry.QUERIES[f"{name}_whole"](spark, D).select(*columns).collect()
-    assert sorted(map(tuple, rows)) == sorted(got.fetchall())
-
-
-def test_every_cell_has_a_label(spark):
-    labels = registry.QUERIES["metre_labels_whole"](spark, D)
-    assert labels.count() == b.cells(spark, D).count() > registry.QUERIES["metre_labels"](spark, D).count()
+    assert {r["node"]: (r["baseline"], r["safe"]) for r in registry.QUERIES["flood_safe_paths"](spark, D).collect()} == {node: (n, safe.get(node)) for node, n in distances(edges, 7).items()}
 
 
 def test_solver_runs_thirty_seconds(spark):
