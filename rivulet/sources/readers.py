@@ -41,20 +41,23 @@ def segment_lookup(spark: SparkSession, path: str) -> DataFrame:
     return out
 
 
-def placemarks(spark: SparkSession, path: str) -> DataFrame:
-    """(name, lon, lat) of the point placemarks of KML files."""
+def placemarks(spark: SparkSession, path: str, box: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """(name, lon, lat) of the point placemarks of KML files, inside a box (west, south, east, north; edges count) if one is given."""
     schema = "name string, Point struct<coordinates:string>"
     raw = spark.read.format("xml").option("rowTag", "Placemark").schema(schema).load(path)
     xy = F.split(F.trim("Point.coordinates"), ",")
-    return raw.where("Point.coordinates IS NOT NULL").select("name", xy[0].cast("double").alias("lon"), xy[1].cast("double").alias("lat"))
+    out = raw.where("Point.coordinates IS NOT NULL").select("name", xy[0].cast("double").alias("lon"), xy[1].cast("double").alias("lat"))
+    return out.where(F.col("lon").between(box[0], box[2]) & F.col("lat").between(box[1], box[3])) if box else out
 
 
 def polygons(spark: SparkSession, path: str) -> DataFrame:
-    """(name, ring): outer rings of KML polygons as arrays of points."""
-    schema = "name string, Polygon struct<outerBoundaryIs:struct<LinearRing:struct<coordinates:string>>>"
+    """(name, ring, holes): outer rings of KML polygons as arrays of points, and their inner ones; rings have four points or more."""
+    line = "struct<LinearRing:struct<coordinates:string>>"
+    schema = f"name string, Polygon struct<outerBoundaryIs:{line},innerBoundaryIs:array<{line}>>"
     raw = spark.read.format("xml").option("rowTag", "Placemark").schema(schema).load(path)
-    points = F.transform(F.split(F.trim("Polygon.outerBoundaryIs.LinearRing.coordinates"), r"\s+"), lambda p: F.struct(F.split(p, ",")[0].cast("double").alias("x"), F.split(p, ",")[1].cast("double").alias("y")))
-    return raw.select("name", points.alias("ring")).where(F.size("ring") >= 4)
+    points = lambda text: F.transform(F.split(F.trim(text), r"\s+"), lambda p: F.struct(F.split(p, ",")[0].cast("double").alias("x"), F.split(p, ",")[1].cast("double").alias("y")))
+    inner = F.transform(F.coalesce("Polygon.innerBoundaryIs", F.array()), lambda b: points(b["LinearRing"]["coordinates"]))
+    return raw.select("name", points(F.col("Polygon.outerBoundaryIs.LinearRing.coordinates")).alias("ring"), F.filter(inner, lambda r: F.size(r) >= 4).alias("holes")).where(F.size("ring") >= 4)
 
 
 def geojson_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,19 +65,30 @@ class Manifest:
             return None
         return json.loads(self.spark.read.text(self.path, wholetext=True).first()[0])
 
-    def _write(self, state: dict) -> None:
-        fs, p = _fs(self.spark, self.path)
-        _, staged = _fs(self.spark, f"{self.path}.staged")
-        out = fs.create(staged, True)
+    def _put(self, path, state: dict, overwrite: bool) -> None:
+        out = _fs(self.spark, self.path)[0].create(path, overwrite)
         out.write(bytearray(json.dumps(state, sort_keys=True).encode()))
         out.close()
-        fs.delete(p, False)
-        fs.rename(staged, p)
+
+    def _write(self, state: dict) -> None:
+        """Replace the manifest by one rename, so that readers see the old state or the new."""
+        jvm, gateway = self.spark._jvm, self.spark.sparkContext._gateway
+        _, p = _fs(self.spark, self.path)
+        _, staged = _fs(self.spark, f"{self.path}.staged-{uuid.uuid4().hex}")
+        self._put(staged, state, True)
+        rename = jvm.org.apache.hadoop.fs.Options.Rename
+        over = gateway.new_array(rename, 1)
+        over[0] = rename.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), self.spark._jsc.hadoopConfiguration()).rename(staged, p, over)
 
     def start(self, **inputs) -> None:
+        """Create the manifest; of two runs that start together one is refused by the file system."""
         if self.read() is not None:
             raise FileExistsError(self.path)
-        self._write({"run_id": self.run_id, "status": "running", "inputs": inputs})
+        try:
+            self._put(_fs(self.spark, self.path)[1], {"run_id": self.run_id, "status": "running", "inputs": inputs}, False)
+        except Py4JJavaError as e:
+            raise FileExistsError(self.path) from e
 
     def _finish(self, status: str, more: dict) -> None:
         now = self.read()
