@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 GRAVITY = 9.81
@@ -94,3 +94,18 @@ def thacker_depth(x: Column, t: float, h0: float = 1.0, a: float = 100.0, b: flo
 def steady_bed_slope(h: Column, dh: Column, q: float, n: float) -> Column:
     """Bed slope that keeps a steady discharge at a given depth profile."""
     return (1 - q * q / (GRAVITY * F.pow(h, 3))) * -dh + n * n * q * q / F.pow(h, F.lit(10.0 / 3.0))
+
+
+def capacity_band(edges: DataFrame, nominal: tuple[float, float, float], n: tuple, width: tuple, runoff: tuple, uplift: tuple) -> DataFrame:
+    """edges (w, s, depth) with q_nominal, q_low and q_high.
+
+    A corner of the box takes one end of each range (width as a factor). It scales
+    the nominal design flow by what its section carries over what its rain demands;
+    the contributing area drops out. A band that doesn't hold the nominal capacity
+    has NULL bounds.
+    """
+    n0, c0, u0 = nominal
+    corners = [manning_trapezoid(F.col("w") * f, F.lit(a), F.col("s"), F.col("depth")) * (c0 * u0 / (c * u)) for a in n for f in width for c in runoff for u in uplift]
+    both = edges.withColumns({"q_nominal": manning_trapezoid(F.col("w"), F.lit(n0), F.col("s"), F.col("depth")), "q": F.array(*corners)}).withColumns({"low": F.array_min("q"), "high": F.array_max("q")})
+    holds = (F.col("low") <= F.col("q_nominal")) & (F.col("q_nominal") <= F.col("high"))
+    return both.withColumns({"q_low": F.when(holds, F.col("low")), "q_high": F.when(holds, F.col("high"))}).drop("q", "low", "high")

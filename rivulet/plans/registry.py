@@ -18,4 +18,4 @@ def query(name: str, oracle: str | None = None) -> Callable:
     return keep
 
 
-from . import checks, forcing, network, product, solver, spatial, streets, validation  # noqa: E402, F401
+from . import checks, drainage, forcing, network, product, records, solver, spatial, streets, terrain, validation  # noqa: E402, F401

@@ -71,17 +71,17 @@ def cfl_step(spark, d):
     return b.cells(spark, d).groupBy("basin_class").agg(F.least(F.lit(30.0), F.round(hy.cfl_dt(F.max("depth_m"), 10.0, most=1e9), 9)).alias("dt"))
 
 
-@query("boundary_outflux", bound("SELECT r, round(CASE WHEN depth_m > 0.001 THEN pow(depth_m, 5.0 / 3.0) * sqrt(0.002) / 0.03 * 0.5 / 10 ELSE 0.0 END, 9) AS out_m FROM cells WHERE c = 119", "cells"))
+@query("boundary_outflux", bound("SELECT r, round(CASE WHEN depth_m > 0.001 THEN pow(depth_m, 5.0 / 3.0) * sqrt(0.002) / 0.03 * 0.5 / 10 ELSE 0.0 END, 9) AS out_m FROM cells WHERE c = (SELECT max(c) FROM cells)", "cells"))
 def boundary_outflux(spark, d):
     """PH3: uniform flow out of the east edge."""
     h = F.col("depth_m")
     q = F.pow(h, F.lit(5.0 / 3.0)) * math.sqrt(0.002) / 0.03 * 0.5 / 10
-    return b.cells(spark, d).where("c = 119").select("r", F.round(F.when(h > 0.001, q).otherwise(0.0), 9).alias("out_m"))
+    return b.cells(spark, d).where(F.col("c") == 120 * b.side(spark, d) - 1).select("r", F.round(F.when(h > 0.001, q).otherwise(0.0), 9).alias("out_m"))
 
 
 @query("solver_steps")
 def solver_steps(spark, d):
-    """PH1, PH5, PH10, ST11: thirty seconds on the whole grid; tests hold volume, positivity and symmetry."""
+    """PH1, PH5: thirty seconds on the whole grid; tests hold volume, positivity and symmetry."""
     state = b.cells(spark, d).select("r", "c", F.col("depth_m").alias("h"), (0.01 * F.col("c")).alias("z"), F.lit(0.0).alias("qx"), F.lit(0.0).alias("qy"))
     final, _ = op.simulate(state, 30.0, 10.0, rain_m_s=1e-6)
     return final.select("r", "c", F.round("h", 6).alias("h"))
@@ -106,7 +106,7 @@ _EDGE = "SELECT from_node, to_node, 1.0 + length_m / 20.0 AS w, 0.002 + length_m
 
 @query("manning_capacity", bound(f"SELECT from_node, to_node, round({_manning('w', '0.025', 's', '1.5')}, 6) AS q_full FROM e", "drain_edges", e=_EDGE))
 def manning_capacity(spark, d):
-    """PH11, AGG62"""
+    """PH11: full conveyance of a trapezoid."""
     e = _edges(spark, d)
     return e.select("from_node", "to_node", F.round(hy.manning_trapezoid(F.col("w"), F.lit(0.025), F.col("s"), F.lit(1.5)), 6).alias("q_full"))
 
@@ -125,16 +125,18 @@ def solved_depth(spark, d):
     return e.select("from_node", "to_node", F.round(depth, 6).alias("depth_m"), (hy.manning_trapezoid(F.col("w"), F.lit(0.025), F.col("s"), F.lit(3.0)) < F.col("demand")).alias("exceeds"))
 
 
-_CORNERS = f"SELECT e.*, n, wf, {_manning('(w * wf)', 'n', 's', '1.5')} AS q FROM e CROSS JOIN (SELECT unnest([0.015, 0.035])::DOUBLE AS n) CROSS JOIN (SELECT unnest([0.8, 1.2])::DOUBLE AS wf)"
+# bisection without a recursive table of every step: the least power-of-two fraction of the bound that carries the demand
+_BOX = "(SELECT unnest([0.015, 0.035])::DOUBLE AS n) CROSS JOIN (SELECT unnest([0.8, 1.2])::DOUBLE AS wf) CROSS JOIN (SELECT unnest([0.6, 0.95])::DOUBLE AS c) CROSS JOIN (SELECT unnest([1.0, 1.3])::DOUBLE AS u)"
+_DEEP = f"SELECT from_node, to_node, w, s, demand, least(3.0, (lo + hi) / 2) AS y FROM halve WHERE i = 40"
+_HALVE = f"SELECT from_node, to_node, w, s, demand, 0 AS i, CASE WHEN {_manning('w', '0.025', 's', '3.0')} < demand THEN 3.0 ELSE 0.000001 END::DOUBLE AS lo, 3.0::DOUBLE AS hi FROM e UNION ALL SELECT from_node, to_node, w, s, demand, i + 1, CASE WHEN {_manning('w', '0.025', 's', '((lo + hi) / 2)')} < demand THEN (lo + hi) / 2 ELSE lo END, CASE WHEN {_manning('w', '0.025', 's', '((lo + hi) / 2)')} < demand THEN hi ELSE (lo + hi) / 2 END FROM halve WHERE i < 40"
 
 
-@query("capacity_band", bound("SELECT from_node, to_node, round(min(q), 6) AS q_low, round(max(q), 6) AS q_high FROM corners GROUP BY 1, 2", "drain_edges", e=_EDGE, corners=_CORNERS))
+@query("capacity_band", bound(f"SELECT from_node, to_node, round(min({_manning('w', '0.025', 's', 'y')}), 5) AS q_nominal, round(min({_manning('(w * wf)', 'n', 's', 'y')} * 0.8 * 1.15 / (c * u)), 5) AS q_low, round(max({_manning('(w * wf)', 'n', 's', 'y')} * 0.8 * 1.15 / (c * u)), 5) AS q_high FROM deep CROSS JOIN {_BOX} GROUP BY 1, 2", "drain_edges", recursive=True, e=_EDGE, halve=_HALVE, deep=_DEEP))
 def capacity_band(spark, d):
-    """PH13, PH14, CON4: the least and greatest capacity over the corners of the parameter box."""
-    corners = F.explode(F.array(*(F.struct(F.lit(n).alias("n"), F.lit(f).alias("f")) for n in (0.015, 0.035) for f in (0.8, 1.2))))
-    e = _edges(spark, d).withColumn("k", corners)
-    q = hy.manning_trapezoid(F.col("w") * F.col("k.f"), F.col("k.n"), F.col("s"), F.lit(1.5))
-    return e.groupBy("from_node", "to_node").agg(F.round(F.min(q), 6).alias("q_low"), F.round(F.max(q), 6).alias("q_high"))
+    """PH13, PH14, CON4: the depth that carries the nominal demand, and the least and greatest capacity at that depth over sixteen corners of roughness, width, runoff and uplift."""
+    e = _edges(spark, d)
+    depth = hy.solved_depth(F.col("demand"), F.col("w"), F.lit(0.025), F.col("s"), F.lit(3.0))
+    return hy.capacity_band(e.withColumn("depth", depth), nominal=(0.025, 0.8, 1.15), n=(0.015, 0.035), width=(0.8, 1.2), runoff=(0.6, 0.95), uplift=(1.0, 1.3)).select("from_node", "to_node", *(F.round(q, 5).alias(q) for q in ("q_nominal", "q_low", "q_high")))
 
 
 @query("harmonic_faces", bound("SELECT r, c, round(CASE WHEN a + b > 0 THEN 2 * a * b / (a + b) END, 9) AS conveyance FROM (SELECT r, c, depth_m AS a, lead(depth_m) OVER (PARTITION BY r ORDER BY c) AS b FROM cells) WHERE b IS NOT NULL", "cells"))
@@ -149,35 +151,3 @@ def harmonic_faces(spark, d):
 def decay_capacity(spark, d):
     """PRJ10"""
     return b.nodes(spark, d).select("node_id", F.round(50 * F.exp(-F.least(F.col("x"), F.col("y"), 1000 - F.col("x"), 1000 - F.col("y")) / 120.0), 9).alias("capacity"))
-
-
-@query("flow_directions", bound("""SELECT r, c, arg_min(code, printf('%020.9f', 1000 - drop) || rank) AS code FROM (SELECT a.r, a.c, n.code, n.rank, (a.depth_m - b.depth_m) / n.dist AS drop FROM cells a JOIN (VALUES (0, 1, 1, 1, 10.0), (-1, 1, 128, 2, sqrt(200.0)), (-1, 0, 64, 3, 10.0), (-1, -1, 32, 4, sqrt(200.0)), (0, -1, 16, 5, 10.0), (1, -1, 8, 6, sqrt(200.0)), (1, 0, 4, 7, 10.0), (1, 1, 2, 8, sqrt(200.0))) n(dr, dc, code, rank, dist) ON TRUE
-  JOIN cells b ON b.r = a.r + n.dr AND b.c = a.c + n.dc) WHERE drop > 0 GROUP BY 1, 2""", "cells"))
-def flow_directions(spark, d):
-    """GR13: steepest drop among eight neighbours; the first of E, NE, N, NW, W, SW, S, SE wins ties."""
-    steps = ((0, 1, 1), (-1, 1, 128), (-1, 0, 64), (-1, -1, 32), (0, -1, 16), (1, -1, 8), (1, 0, 4), (1, 1, 2))
-    near = F.explode(F.array(*(F.struct(F.lit(i).alias("dr"), F.lit(j).alias("dc"), F.lit(code).alias("code"), F.lit(k).alias("rank"), F.lit(10.0 if not i or not j else math.sqrt(200.0)).alias("dist")) for k, (i, j, code) in enumerate(steps))))
-    cells = b.cells(spark, d)
-    a = cells.select(F.col("r").alias("r0"), F.col("c").alias("c0"), F.col("depth_m").alias("z"), near.alias("n")).select("r0", "c0", "z", "n", (F.col("r0") + F.col("n.dr")).alias("r"), (F.col("c0") + F.col("n.dc")).alias("c"))
-    drop = F.round((F.col("z") - F.col("depth_m")) / F.col("n.dist"), 9)
-    found = a.join(cells.select("r", "c", "depth_m"), ["r", "c"]).withColumn("drop", (F.col("z") - F.col("depth_m")) / F.col("n.dist")).where("drop > 0")
-    return found.groupBy(F.col("r0").alias("r"), F.col("c0").alias("c")).agg(F.min_by("n.code", F.struct(-drop, F.col("n.rank"))).alias("code"))
-
-
-@query("flow_accumulation", bound("SELECT root AS cell, count(*) AS n FROM walk GROUP BY 1", "cells", recursive=True, down="SELECT key, arg_min(other, printf('%012.6f', z) || printf('%012d', other)) AS other FROM (SELECT a.r * 1000 + a.c AS key, b.r * 1000 + b.c AS other, b.depth_m AS z FROM cells a JOIN cells b ON abs(a.r - b.r) + abs(a.c - b.c) = 1 AND b.depth_m < a.depth_m) GROUP BY 1", walk="SELECT CAST(r * 1000 + c AS BIGINT) AS at, CAST(r * 1000 + c AS BIGINT) AS root FROM cells UNION ALL SELECT w.at, CAST(d.other AS BIGINT) FROM walk w JOIN down d ON d.key = w.root"))
-def flow_accumulation(spark, d):
-    """GR12, GR14: every cell walks down its steepest neighbour; a cell counts all that pass it."""
-    from ..session import save
-
-    cells = b.cells(spark, d).select("r", "c", (F.col("r") * 1000 + F.col("c")).cast("long").alias("key"), F.col("depth_m").alias("z"))
-    near = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 1), (1, 0), (0, -1), (-1, 0)))))
-    a = cells.select(F.col("key").alias("key0"), F.col("z").alias("z0"), "r", "c", near.alias("s")).select("key0", "z0", (F.col("r") + F.col("s.i")).alias("r"), (F.col("c") + F.col("s.j")).alias("c"))
-    down = save(a.join(cells, ["r", "c"]).where("z < z0").groupBy("key0").agg(F.min_by("key", F.struct(F.round("z", 6), F.col("key"))).alias("to")), "down")
-    # counts move down together, and each round is summed where it arrives
-    front = total = save(cells.select("key", F.lit(1).cast("long").alias("n")), "front")
-    for _ in range(10_000):
-        front = save(front.join(down, front.key == down.key0).groupBy(F.col("to").alias("key")).agg(F.sum("n").alias("n")), "front")
-        if front.isEmpty():
-            return total.select(F.col("key").alias("cell"), "n")
-        total = save(total.unionByName(front).groupBy("key").agg(F.sum("n").alias("n")), "total")
-    raise RuntimeError("the pointers have a cycle")
