@@ -1,3 +1,4 @@
+import math
 import re
 from collections import Counter
 
@@ -76,3 +77,116 @@ def test_repetition_is_judged_at_every_length():
     # a passage longer than a block
     assert votes(" ".join([words(5, 4000, 9000)] * 4))[pairs] == "x"
     assert "x" not in votes(words(6, 20_000, 9000))[variety] + votes(words(6, 20_000, 9000))[pairs]
+
+
+BASE, M64 = 0x9E3779B97F4A7C15, 2**64
+
+
+def mix(h):
+    h ^= h >> 32
+    h = h * 0xD6E8FEB86659FD93 % M64
+    return h ^ h >> 32
+
+
+def poly(values):
+    inverse, total, power = pow(BASE, -1, M64), 0, 1
+    for v in values:
+        total, power = (total + v * power) % M64, power * inverse % M64
+    return mix(total)
+
+
+def kind(c):
+    return 1 if c.isupper() else 2 if c.isalpha() else 3 if c.isdigit() else ord(c)
+
+
+def plain_seen(text):
+    """(votes, [(bucket, value)]) by plain counts over words and characters; texts under 3,000 words."""
+    words = text.split()
+    n = len(words)
+    if not n:
+        return "x" * len(LABELLERS), None
+    chars = "".join(words)
+    lines = [line.split()[-1] for line in text.split("\n") if line.split()]
+    letters = sum(c.isalnum() for c in chars)
+    plain = sum(c in ".,;:'\"-()!?" for c in chars)
+    same = [a == b for a, b in zip(words, words[1:])]
+    echoes, triples = sum(same) / n, sum(a and b for a, b in zip(same, same[1:])) / n
+    bare = sum(len(w) <= 3 and not any(c.isalnum() for c in w) for w in words) / n
+    decorated = sum(bool(re.search(r"[^\w\s]{2,}$", w)) for w in words) / n
+    simple = sum(bool(re.fullmatch(r"\W?\w+([-'’]\w+)*\W?", w)) for w in words) / n
+    variety, fresh = len(set(words)) / n, len(set(zip(words, words[1:]))) / max(1, n - 1)
+    ends = sum(w[-1] in ".!?\"':;)" for w in lines) / len(lines)
+    symbols, capitals = (len(chars) - letters - plain) / (len(chars) + n), sum(c.isupper() for c in chars) / max(1, letters)
+    shouts, length, most = chars.count("!") / n, len(chars) / n, max(Counter(words).values()) / n
+    rules = [
+        (symbols > 0.03, symbols < 0.005), (letters > 20 and capitals > 0.4, letters > 20 and capitals < 0.1), (n >= 8 and echoes > 0.15, n >= 8 and echoes < 0.04), (bare > 0.08, n >= 8 and bare == 0),
+        (n >= 20 and variety < 0.25, n >= 20 and variety > 0.55), (len(lines) > 1 and ends < 0.5, len(lines) > 1 and ends > 0.9), (n >= 5 and shouts > 0.2, n >= 20 and shouts < 0.05),
+        (n >= 8 and (length < 2.2 or length > 8.2), n >= 20 and 3.5 < length < 7.2), (n >= 5 and decorated > 0.15, n >= 20 and decorated < 0.03), (n >= 5 and simple < 0.65, n >= 20 and simple > 0.9),
+        (n >= 12 and most > 0.3, n >= 20 and most < 0.15), (n >= 8 and triples > 0.1, n >= 20 and triples < 0.01), (n >= 20 and fresh < 0.4, n >= 20 and fresh > 0.8),
+    ]
+    shapes = [[k for i, k in enumerate(ks) if not i or k != ks[i - 1]] for ks in ([kind(c) for c in w] for w in words)]
+    mask = 2**18 - 1
+    features = [(poly(map(ord, w)) & mask, 1 / n) for w in words] + [(poly(s) >> 20 & mask, 1 / n) for s in shapes]
+    features += [(mix(kind(w[-1]) * BASE % M64) & mask, 1 / len(lines)) for w in lines] + [(0, echoes)]
+    return "".join("x" if bad else "+" if good else "-" for bad, good in rules), features
+
+
+def plain_posteriors(patterns):
+    """Expectation-maximisation document by document."""
+    start = lambda p: min(0.98, max(0.02, (p.count("+") + 1) / (p.count("+") + 3 * p.count("x") + 1.5)))
+    post = {p: start(p) for p in patterns}
+    for _ in range(100):
+        prior = (sum(post[p] for p in patterns) + 1) / (len(patterns) + 2)
+        table = []
+        for q in (lambda p: post[p], lambda p: 1 - post[p]):
+            rows = []
+            for j in range(len(LABELLERS)):
+                up, down = (1 + sum(q(p) for p in patterns if p[j] == v) for v in "+x")
+                rows.append({"+": up / (up + down), "x": down / (up + down), "-": 1.0})
+            table.append(rows)
+        new = {}
+        for p in post:
+            good, bad = (share * math.prod(t[v] for t, v in zip(rows, p)) for share, rows in ((prior, table[0]), (1 - prior, table[1])))
+            new[p] = good / (good + bad)
+        settled = max(abs(new[p] - post[p]) for p in post) < 1e-6
+        if settled:
+            return new
+        post = new
+    return new
+
+
+def plain_scores(features, labels):
+    """Logistic regression with AdaGrad on dictionaries, in the scorer's order of steps."""
+    weights, seen, bias, bias_seen = {}, {}, 0.0, 1e-6
+    summed = []
+    for own in features:
+        total = {}
+        for at, v in own:
+            total[at] = total.get(at, 0.0) + v
+        summed.append(total)
+    order = np.random.default_rng(0)
+    score = lambda own: 1 / (1 + math.exp(-max(-30, min(30, bias + sum(weights.get(at, 0.0) * v for at, v in own.items())))))
+    for _ in range(6):
+        for i in order.permutation(len(summed)):
+            slope = score(summed[i]) - labels[i]
+            for at, v in summed[i].items():
+                grad = slope * v + 1e-6 * weights.get(at, 0.0)
+                seen[at] = seen.get(at, 1e-6) + grad * grad
+                weights[at] = weights.get(at, 0.0) - 0.5 * grad / math.sqrt(seen[at])
+            bias_seen += slope * slope
+            bias -= 0.5 * slope / math.sqrt(bias_seen)
+    return [score(own) for own in summed]
+
+
+def test_whole_table_against_plain_python(spark):
+    """Votes, posteriors, scores and decisions of the documents of sf0.001, each recomputed by plain loops."""
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where(F.size(F.split("text", r"\s+")) < 2500)
+    got = classified(df).orderBy(F.xxhash64("text", "doc_id", F.lit(11))).collect()
+    seen = [plain_seen(r["text"] or "") for r in got]
+    assert [r["votes"] for r in got] == [v for v, _ in seen] and len(set(v for v, _ in seen)) > 10
+    post = plain_posteriors([v for v, _ in seen])
+    known = [(i, f) for i, (_, f) in enumerate(seen) if f]
+    assert [got[i]["posterior"] for i, _ in known] == pytest.approx([post[seen[i][0]] for i, _ in known], abs=1e-6)
+    want = plain_scores([f for _, f in known], [got[i]["posterior"] for i, _ in known])
+    assert [got[i]["score"] for i, _ in known] == pytest.approx(want, abs=1e-3)
+    assert all(got[i]["keep"] == (s >= 0.5) for (i, _), s in zip(known, want) if abs(s - 0.5) > 2e-3)
