@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import ranking
+
 #: Road classes that count as classified; fixed values.
 CLASSIFIED = ["motorway", "trunk", "primary", "secondary", "tertiary", "motorway_link", "trunk_link", "primary_link", "secondary_link", "tertiary_link"]
 
@@ -48,9 +50,9 @@ def rollup(entities: DataFrame) -> DataFrame:
 
 def ranked(rolled: DataFrame) -> DataFrame:
     """Ranks by severity (depth down, lead up with NULL last, name) and by how soon."""
-    worst = Window.orderBy(F.col("worst_depth_cm").desc(), F.coalesce("first_frame", F.lit(10**9)), "entity")
-    soon = Window.orderBy(F.coalesce("first_frame", F.lit(10**9)), F.col("worst_depth_cm").desc(), "entity")
-    return rolled.withColumns({"severity_rank": F.row_number().over(worst), "soonest_rank": F.row_number().over(soon)})
+    deep, first = F.col("worst_depth_cm").desc(), F.coalesce("first_frame", F.lit(10**9))
+    both = ranking.ranked(ranking.ranked(rolled, deep, first, "entity", name="severity_rank"), first, deep, "entity", name="soonest_rank")
+    return both.withColumns({c: F.col(c).cast("int") for c in ("severity_rank", "soonest_rank")})
 
 
 def search(entities: DataFrame, name: str, text: str, k: int = 12, tie: str | None = None) -> DataFrame:

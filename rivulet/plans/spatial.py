@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..operators import spatial as op
 from ..operators.components import connected_components
+from ..operators.ranking import ranked
 from ..sources import bindings as b
 from .registry import query
 from .sql import bound
@@ -169,11 +170,9 @@ def utm_projection(spark, d):
 @query("native_rain_cells", bound("SELECT point_id, CAST(dense_rank() OVER (ORDER BY i, j) - 1 AS INTEGER) AS native_cell_id FROM (SELECT point_id, CAST(floor((77.5 + x / 1000.0 + 180) / 0.1) AS BIGINT) AS i, CAST(floor((12.9 + y / 1000.0 + 90) / 0.1) AS BIGINT) AS j FROM points)", "points"))
 def native_rain_cells(spark, d):
     """JN22: tenths of a degree; ids are dense in the order of the pairs that occur."""
-    from pyspark.sql import Window
-
     ij = b.points(spark, d).select("point_id", F.floor((77.5 + F.col("x") / 1000.0 + 180) / 0.1).alias("i"), F.floor((12.9 + F.col("y") / 1000.0 + 90) / 0.1).alias("j"))
-    ids = ij.select("i", "j").distinct().withColumn("native_cell_id", (F.row_number().over(Window.orderBy("i", "j")) - 1).cast("int"))
-    return ij.join(ids, ["i", "j"]).select("point_id", "native_cell_id")
+    ids = ranked(ij.select("i", "j").distinct(), "i", "j")
+    return ij.join(ids, ["i", "j"]).select("point_id", (F.col("rank") - 1).cast("int").alias("native_cell_id"))
 
 
 @query("boundary_distance", bound("SELECT node_id, least(x, y, 1000 - x, 1000 - y) AS distance, x // 10 AS col, y // 10 AS row FROM nodes", "nodes"))

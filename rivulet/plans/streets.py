@@ -34,11 +34,10 @@ def watchlist(spark, d):
     return op.ranked(op.rollup(entities(spark, d)))
 
 
-@query("soonest_order", bound("SELECT list(severity_rank ORDER BY soonest_rank) AS ranks FROM (SELECT CAST(row_number() OVER (ORDER BY worst_depth_cm DESC, coalesce(first_frame, 1000000000), entity) AS INTEGER) AS severity_rank, row_number() OVER (ORDER BY coalesce(first_frame, 1000000000), worst_depth_cm DESC, entity) AS soonest_rank FROM rolled WHERE status = 'flooded')".replace("list(severity_rank ORDER BY soonest_rank)", "array_to_string(list(severity_rank ORDER BY soonest_rank), ',')"), "segments", "frames", **WATCH))
+@query("soonest_order", bound("SELECT CAST(row_number() OVER (ORDER BY coalesce(first_frame, 1000000000), worst_depth_cm DESC, entity) AS INTEGER) AS soonest_rank, CAST(row_number() OVER (ORDER BY worst_depth_cm DESC, coalesce(first_frame, 1000000000), entity) AS INTEGER) AS severity_rank FROM rolled WHERE status = 'flooded'", "segments", "frames", **WATCH))
 def soonest_order(spark, d):
-    """WIN2: the soonest order as a permutation of severity ranks."""
-    r = op.ranked(op.rollup(entities(spark, d)).where("status = 'flooded'"))
-    return r.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("soonest_rank", "severity_rank"))), lambda x: x.severity_rank.cast("string")), ",").alias("ranks"))
+    """WIN2: the soonest order as a permutation of severity ranks, a row for each place."""
+    return op.ranked(op.rollup(entities(spark, d)).where("status = 'flooded'")).select("soonest_rank", "severity_rank")
 
 
 @query("modal_names", bound("SELECT highway, arg_min(name, printf('%09d', 100000000 - n) || name) AS name FROM (SELECT highway, name, count(*) AS n FROM segments GROUP BY 1, 2) GROUP BY 1", "segments"))
