@@ -68,8 +68,7 @@ def capacity_routing(spark, d):
     e = b.drain_edges(spark, d)
     nodes = e.select(F.col("from_node").alias("node")).union(e.select("to_node")).distinct()
     volumes = nodes.select("node", (100 + F.col("node") % 13 * 50).cast("double").alias("volume"))
-    levels = nodes.select("node", F.floor(F.col("node") % 400 / 50).cast("int").alias("level"))
-    return op.route_capacity(volumes, e, levels, 2.0)[0].select("node", (F.round("volume", 6) + 0.0).alias("volume"))
+    return op.route_capacity(volumes, e, op.topo_levels(e), 2.0)[0].select("node", (F.round("volume", 6) + 0.0).alias("volume"))
 
 
 @query("road_components", bound("SELECT node, min(root) AS component FROM walk GROUP BY 1", "road_edges", recursive=True, few="SELECT u, v FROM road_edges WHERE u <> v", ways="SELECT u, v FROM few UNION SELECT v, u FROM few", walk="SELECT u AS node, u AS root FROM ways UNION SELECT b.v, w.root FROM walk w JOIN ways b ON b.u = w.node"))

@@ -87,11 +87,25 @@ def ray_cast(spark, d):
     return b.points(spark, d).where(geo.in_ring(F.col("x"), F.col("y"), ring)).where("NOT (x = 1000.5 - y)").select("point_id")
 
 
-@query("lines_cross_wards", bound("SELECT count(*) AS pairs, count(DISTINCT line_id) AS lines FROM lines JOIN wards w ON least(lines.x0, lines.x1) <= w.x1 AND greatest(lines.x0, lines.x1) >= w.x0 AND least(lines.y0, lines.y1) <= w.y1 AND greatest(lines.y0, lines.y1) >= w.y0", "nodes", "wards", lines=_LINES))
+def _turn(ax: str, ay: str, bx: str, by: str, cx: str, cy: str) -> str:
+    return f"sign(({bx} - {ax}) * ({cy} - {ay}) - ({by} - {ay}) * ({cx} - {ax}))"
+
+
+def _meets(px: str, py: str, qx: str, qy: str) -> str:
+    """The line of the row meets the segment from p to q."""
+    own, other = ("lx0", "ly0", "lx1", "ly1"), (px, py, qx, qy)
+    return f"({_turn(*own, px, py)} * {_turn(*own, qx, qy)} <= 0 AND {_turn(*other, 'lx0', 'ly0')} * {_turn(*other, 'lx1', 'ly1')} <= 0)"
+
+
+_CROSS = f"(lx0 BETWEEN x0 AND x1 AND ly0 BETWEEN y0 AND y1) OR (lx1 BETWEEN x0 AND x1 AND ly1 BETWEEN y0 AND y1) OR {_meets('x0', 'y0', 'x1', 'y1')} OR {_meets('x0', 'y1', 'x1', 'y0')}"
+
+
+@query("lines_cross_wards", bound(f"SELECT count(*) AS pairs, count(DISTINCT line_id) AS lines FROM (SELECT line_id, x0 AS lx0, y0 AS ly0, x1 AS lx1, y1 AS ly1 FROM lines) JOIN wards w ON least(lx0, lx1) <= w.x1 AND greatest(lx0, lx1) >= w.x0 AND least(ly0, ly1) <= w.y1 AND greatest(ly0, ly1) >= w.y0 AND ({_CROSS})", "nodes", "wards", lines=_LINES))
 def lines_cross_wards(spark, d):
-    """JN9: boxes of lines against wards, raw pairs and distinct lines."""
+    """JN9: lines that meet wards, raw pairs and distinct lines; the boxes overlap and the ward's corners aren't all on one side of the line."""
     lines, w = _lines(spark, d), b.wards(spark, d).select("ward_no", *(F.col(c).alias(f"w{c}") for c in ("x0", "y0", "x1", "y1")))
-    hit = (F.least("x0", "x1") <= F.col("wx1")) & (F.greatest("x0", "x1") >= F.col("wx0")) & (F.least("y0", "y1") <= F.col("wy1")) & (F.greatest("y0", "y1") >= F.col("wy0"))
+    side = F.array(*((F.col("x1") - F.col("x0")) * (F.col(y) - F.col("y0")) - (F.col("y1") - F.col("y0")) * (F.col(x) - F.col("x0")) for x in ("wx0", "wx1") for y in ("wy0", "wy1")))
+    hit = (F.least("x0", "x1") <= F.col("wx1")) & (F.greatest("x0", "x1") >= F.col("wx0")) & (F.least("y0", "y1") <= F.col("wy1")) & (F.greatest("y0", "y1") >= F.col("wy0")) & (F.array_min(side) <= 0) & (F.array_max(side) >= 0)
     size = 200
     spread = lambda df, x0, x1, y0, y1: df.withColumn("bx", F.explode(F.sequence(op.bucket(F.least(x0, x1), size), op.bucket(F.greatest(x0, x1), size)))).withColumn("by", F.explode(F.sequence(op.bucket(F.least(y0, y1), size), op.bucket(F.greatest(y0, y1), size))))
     pairs = spread(lines, "x0", "x1", "y0", "y1").join(spread(w, "wx0", "wx1", "wy0", "wy1"), ["bx", "by"]).where(hit).select("line_id", "ward_no").distinct()
