@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import connected_components
-
 #: The flood rule; fixed values.
 FLOOD_DEPTH_M, FLOOD_FRACTION, FLOOD_CONTIGUOUS = 0.15, 0.20, 3
 
@@ -16,18 +15,33 @@ def band_cm(depth: Column) -> Column:
     return F.floor(F.greatest(F.lit(0.0), depth) * 100).cast("int")
 
 
-def cell_key() -> Column:
-    return F.col("r").cast("long") * 100_000 + F.col("c")
-
-
 def wet_components(cells: DataFrame, depth_m: float = FLOOD_DEPTH_M) -> DataFrame:
-    """(segment_id, component, size): groups of wet cells of one segment that touch, corners included."""
-    wet = cells.where((F.col("segment_id") > 0) & (F.col("depth_m") >= depth_m)).select("r", "c", "segment_id", cell_key().alias("key"))
-    steps = F.array(*(F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for dr, dc in ((0, 1), (1, -1), (1, 0), (1, 1))))
-    ahead = wet.select("segment_id", "key", F.explode(steps).alias("s"), "r", "c").select("segment_id", F.col("key").alias("u"), ((F.col("r") + F.col("s.dr")).cast("long") * 100_000 + F.col("c") + F.col("s.dc")).alias("v"))
-    edges = ahead.join(wet.select("segment_id", F.col("key").alias("v")), ["segment_id", "v"]).select("u", "v")
-    found = connected_components(edges)
-    return wet.join(found, wet.key == found.node, "left").groupBy("segment_id", F.coalesce("component", "key").alias("component")).agg(F.count("*").alias("size"))
+    """(segment_id, component, size): groups of wet cells of one segment that touch, corners included.
+
+    A component lies within one segment, so each segment's wet cells (a street's
+    worth) are one group and no rounds over the grid are needed. component is the
+    key of its first cell.
+    """
+    wet = cells.where((F.col("segment_id") > 0) & (F.col("depth_m") >= depth_m)).select("segment_id", "r", "c")
+
+    def label(part: pd.DataFrame) -> pd.DataFrame:
+        order = sorted(zip(part.r.tolist(), part.c.tolist()))
+        left, found = set(order), []
+        for first in order:
+            if first not in left:
+                continue
+            left.remove(first)
+            todo, size = [first], 0
+            while todo:
+                r, c = todo.pop()
+                size += 1
+                near = [x for x in ((r + i, c + j) for i in (-1, 0, 1) for j in (-1, 0, 1)) if x in left]
+                left.difference_update(near)
+                todo += near
+            found.append((part.segment_id.iloc[0], first[0] * 100_000 + first[1], size))
+        return pd.DataFrame(found, columns=["segment_id", "component", "size"])
+
+    return wet.groupBy("segment_id").applyInPandas(label, f"segment_id {wet.schema['segment_id'].dataType.simpleString()}, component long, size long")
 
 
 def segment_flood(cells: DataFrame, depth_m: float = FLOOD_DEPTH_M, fraction: float = FLOOD_FRACTION, contiguous: int | None = FLOOD_CONTIGUOUS) -> DataFrame:
