@@ -237,12 +237,13 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SH
 def keep_one(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE, max_trie: int = MAX_TRIE) -> DataFrame:
     """docs without near-duplicates: of each component the document of least doc_id (null last, ties by text hash), in one row."""
     names = docs.columns
-    keys = [F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_h")]
+    one = ["_none", "_id", "_h"]  # the same keys for the join and for repeated rows, so texts are shuffled once
+    keys = [F.col("doc_id").isNull().cast("int").alias("_none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id"), F.xxhash64("text").alias("_h")]
     texts_of = docs.select(*keys, "text")
-    run = fingerprints(texts_of.select(F.struct("_id", "_h").alias("row"), "text"), "row", "text", shingle, "struct<_id:bigint,_h:bigint>")
-    marked = save(run.select(F.col("doc_id._id").alias("id"), F.col("doc_id._h").alias("h"), "fp"), "simhash")
+    run = fingerprints(texts_of.select(F.struct(*one).alias("row"), "text"), "row", "text", shingle, "struct<_none:int,_id:bigint,_h:bigint>")
+    marked = save(run.select(F.when(F.col("doc_id._none") == 0, F.col("doc_id._id")).alias("id"), F.col("doc_id._h").alias("h"), "fp"), "simhash")
     first = _components(marked, max_bits, max_trie).select("component").distinct()
-    stay = first.select(F.when(F.col("component.none") == 0, F.col("component.id")).alias("stay_id"), F.col("component.h").alias("stay_h"))
+    stay = first.select(*(F.col(f"component.{c[1:]}").alias(c) for c in one))
     own = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]
-    left = docs.select(*own, *keys).join(stay, F.col("_id").eqNullSafe(F.col("stay_id")) & (F.col("_h") == F.col("stay_h")), "left_semi").dropDuplicates(["_id", "_h"])
+    left = docs.select(*own, *keys).join(stay, one, "left_semi").dropDuplicates(one)
     return left.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)))
