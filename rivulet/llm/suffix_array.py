@@ -369,8 +369,9 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, report: int | N
 ORACLE = r"""
 WITH coded AS (SELECT doc_id, hex(coalesce(text, '')) AS digits, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
 sizes AS (SELECT unnest([400, 200]) AS size),
-starts AS (SELECT doc_id, size, unnest(range(0, n - size + 1)) AS i, digits FROM coded, sizes WHERE n >= size),
-hashed AS MATERIALIZED (SELECT doc_id, size, i, md5_number(substring(digits, CAST(2 * i + 1 AS BIGINT), 2 * size)) AS h FROM starts),
+pieces AS (SELECT doc_id, n, j, substring(digits, CAST(2000 * j + 1 AS BIGINT), 2800) AS part FROM (SELECT doc_id, n, digits, unnest(range(0, n // 1000 + 1)) AS j FROM coded)),
+starts AS (SELECT doc_id, size, j, part, unnest(range(0, least(1000, n - size + 1 - 1000 * j))) AS o FROM pieces, sizes WHERE n - size + 1 > 1000 * j),
+hashed AS MATERIALIZED (SELECT doc_id, size, 1000 * j + o AS i, md5_number(substring(part, CAST(2 * o + 1 AS BIGINT), 2 * size)) AS h FROM starts),
 twice AS (SELECT size, h FROM hashed GROUP BY size, h HAVING count(*) > 1),
 gaps AS (SELECT doc_id, size, i, i - lag(i) OVER (PARTITION BY doc_id, size ORDER BY i) AS gap FROM hashed JOIN twice USING (size, h)),
 runs AS (SELECT doc_id, size, i, sum(CASE WHEN gap <= size THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, size ORDER BY i) AS run FROM gaps),
