@@ -215,12 +215,12 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, max_trie: int = MAX_TRI
 
 
 def _components(prints: DataFrame, max_bits: int, max_trie: int) -> DataFrame:
-    """(id, h, fp) of all documents -> (fp, component) for each distinct fingerprint; a component is named by its least node."""
+    """(id, h, fp) of all documents -> (fp, n, component) for each distinct fingerprint: how many have it, and its component's least node."""
     document = F.struct(F.col("id").isNull().cast("int").alias("none"), F.coalesce("id", F.lit(0)).cast("long").alias("id"), "h")
-    nodes = save(prints.groupBy("fp").agg(F.min(document).alias("least")).select("least.none", "least.id", "least.h", "fp"), "simhash")
+    nodes = save(prints.groupBy("fp").agg(F.min(document).alias("least"), F.count("*").alias("n")).select("least.none", "least.id", "least.h", "fp", "n"), "simhash")
     found = connected_components(node_links(nodes, max_bits, max_trie))
     own = F.struct(*NODE)
-    return nodes.select("fp", own.alias("own")).join(found, F.col("fp") == F.col("node.fp"), "left").select("fp", F.coalesce("component", "own").alias("component"))
+    return nodes.select("fp", "n", own.alias("own")).join(found, F.col("fp") == F.col("node.fp"), "left").select("fp", "n", F.coalesce("component", "own").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE, max_trie: int = MAX_TRIE) -> DataFrame:
@@ -230,8 +230,11 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SH
     """
     marked = save(fingerprints(docs, shingle=shingle), "simhash")
     of = _components(marked.select(F.col("doc_id").alias("id"), F.lit(0).cast("long").alias("h"), "fp"), max_bits, max_trie)
-    named = of.select("fp", F.when(F.col("component.none") == 0, F.col("component.id")).alias("component_id"))
-    return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = save(of.select("fp", "n", F.when(F.col("component.none") == 0, F.col("component.id")).alias("component_id")), "simhash")
+    # fewer than 1,000 fingerprints can have over a thousandth of all documents each; their documents stay where they are
+    hot = F.broadcast(named.where(F.col("n") * 1000 > marked.count()).drop("n"))
+    cold = marked.join(hot.select("fp"), "fp", "left_anti").join(named.drop("n"), "fp")
+    return marked.join(hot, "fp").unionByName(cold).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE, max_trie: int = MAX_TRIE) -> DataFrame:

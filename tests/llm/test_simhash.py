@@ -72,3 +72,17 @@ def test_large_tries_are_cut_again_and_lose_no_link(spark):
                 i, j = place[u], place[v]
                 least[i] = least[j] = min(least[i], least[j])
         assert least == slow_components(values)
+
+
+def test_hot_and_other_fingerprints_alike(spark):
+    """Over a thousand documents, so that some fingerprints are named by broadcast and the others by a join."""
+    rows = [(i, words(i, 6, 9000)) for i in range(1100)] + [(2000 + i, words(7, 6, 9000)) for i in range(200)] + [(3000, words(7, 6, 9000))]
+    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in near_duplicates(frame(spark, rows)).collect()}
+    prints = {i: slow_print(t) for i, t in rows}
+    values = np.array(sorted(set(prints.values())), np.uint64)
+    label = trie_links(np.zeros(len(values), np.int64), values, 4)
+    of = dict(zip(values.tolist(), label.tolist()))
+    least = {}
+    for i, p in prints.items():
+        least[of[p]] = min(i, least.get(of[p], i))
+    assert got == {i: (format(p, "016x"), least[of[p]]) for i, p in prints.items()}
