@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,14 +20,15 @@ def band_cm(depth: Column) -> Column:
 def wet_components(cells: DataFrame, depth_m: float = FLOOD_DEPTH_M) -> DataFrame:
     """(segment_id, component, size): groups of wet cells of one segment that touch, corners included.
 
-    A component lies within one segment, so each segment's wet cells (a street's
-    worth) are one group and no rounds over the grid are needed. component is the
-    key of its first cell.
+    A component lies within one segment, so no rounds over the grid are needed: wet
+    cells are sorted by segment, and a task labels the segments of a batch together,
+    holding at most one segment (a street's worth) over to the next. component is
+    the key of its first cell.
     """
     wet = cells.where((F.col("segment_id") > 0) & (F.col("depth_m") >= depth_m)).select("segment_id", "r", "c")
 
     def label(part: pd.DataFrame) -> pd.DataFrame:
-        order = sorted(zip(part.r.tolist(), part.c.tolist()))
+        order = list(zip(part.segment_id.tolist(), part.r.tolist(), part.c.tolist()))
         left, found = set(order), []
         for first in order:
             if first not in left:
@@ -33,15 +36,29 @@ def wet_components(cells: DataFrame, depth_m: float = FLOOD_DEPTH_M) -> DataFram
             left.remove(first)
             todo, size = [first], 0
             while todo:
-                r, c = todo.pop()
+                s, r, c = todo.pop()
                 size += 1
-                near = [x for x in ((r + i, c + j) for i in (-1, 0, 1) for j in (-1, 0, 1)) if x in left]
+                near = [x for x in ((s, r + i, c + j) for i in (-1, 0, 1) for j in (-1, 0, 1)) if x in left]
                 left.difference_update(near)
                 todo += near
-            found.append((part.segment_id.iloc[0], first[0] * 100_000 + first[1], size))
+            found.append((first[0], first[1] * 100_000 + first[2], size))
         return pd.DataFrame(found, columns=["segment_id", "component", "size"])
 
-    return wet.groupBy("segment_id").applyInPandas(label, f"segment_id {wet.schema['segment_id'].dataType.simpleString()}, component long, size long")
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for frame in frames:
+            if not len(frame):
+                continue
+            frame = frame if rest is None else pd.concat([rest, frame])
+            open_ = frame.segment_id == frame.segment_id.iloc[-1]
+            rest = frame[open_]
+            if not open_.all():
+                yield label(frame[~open_])
+        if rest is not None:
+            yield label(rest)
+
+    ordered = wet.repartition("segment_id").sortWithinPartitions("segment_id", "r", "c")
+    return ordered.mapInPandas(run, f"segment_id {wet.schema['segment_id'].dataType.simpleString()}, component long, size long")
 
 
 def segment_flood(cells: DataFrame, depth_m: float = FLOOD_DEPTH_M, fraction: float = FLOOD_FRACTION, contiguous: int | None = FLOOD_CONTIGUOUS) -> DataFrame:
