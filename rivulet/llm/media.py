@@ -6,10 +6,12 @@ pitch classes), read off an integral image in four additions each. Each filter's
 answer falls into one of four classes, coded so that neighbours differ in one bit,
 and the sixteen codes make one packed 32-bit integer for each frame.
 
-Search: every recording is indexed by landmarks: an integer whose hash is the least
-among ``STRETCH`` neighbours in a row is one. So each short stretch of sound has a
-landmark, which doesn't depend on where the stretch stands or how long the recording
-is. Spark joins landmarks with those of the queries and counts the offsets between
+Search: every recording is indexed by landmarks: pairs of integers ``GAP`` frames
+apart are hashed, and a pair whose hash is the least among ``STRETCH`` neighbours in a
+row is one. So each short stretch of sound has a landmark, which doesn't depend on
+where the stretch stands or how long the recording is. An excerpt's frames may begin
+anywhere between another recording's, so a query's landmarks are taken of its sound at
+``PHASES`` beginnings within one hop. Spark joins landmarks with those of the queries and counts the offsets between
 their places; recordings with ``VOTES`` landmarks at one offset, or twice as many at
 any, are aligned: a histogram of the offsets between equal integers gives the
 best shifts, and the share of differing bits over the overlap decides. Recordings
@@ -38,8 +40,10 @@ LOWEST_HZ, HIGHEST_HZ = 100.0, 1900.0
 SPAN = 16
 THRESHOLDS = (-0.5, 0.0, 0.5)
 GRAY = np.array([0, 1, 3, 2], np.uint32)
-#: Neighbouring integers of which at least one is a landmark.
-STRETCH = 6
+#: Frames between the integers of a pair, and neighbouring pairs of which at least one is a landmark.
+GAP, STRETCH = 6, 6
+#: Beginnings within one hop at which a query's sound is looked at.
+PHASES = 4
 #: Landmarks that two recordings must share at one offset; fewer if one of them has fewer.
 VOTES = 2
 MAX_ERROR = 0.2
@@ -133,29 +137,31 @@ def align(a: np.ndarray, b: np.ndarray, tries: int = 3, min_overlap: int = MIN_O
     return best
 
 
-def fingerprints(media: DataFrame, id_col: str, sound_col: str, rate: int = RATE) -> DataFrame:
-    """(rec_id, fp, class_key): packed integers, and a hash of them all."""
+def fingerprints(media: DataFrame, id_col: str, sound_col: str, rate: int = RATE, every: int = QUERY_EVERY) -> DataFrame:
+    """(rec_id, fp, class_key, shifts): packed integers, a hash of them all, and for ids divisible by ``every`` the integers of the later beginnings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = [integers(chroma(x, rate)).tobytes() for x in batch.column(1).to_pylist()]
             keys = np.fromiter((xxhash.xxh3_64_intdigest(p) for p in prints), np.uint64, len(prints)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.binary()), pa.array(keys)], ["rec_id", "fp", "class_key"])
+            later = [2 * HOP * k // PHASES for k in range(1, PHASES)]
+            shifts = [[integers(chroma(x[2 * (at // 2) :], rate)).tobytes() for at in later] if i is not None and i % every == 0 and x else None for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.binary()), pa.array(keys), pa.array(shifts, pa.list_(pa.binary()))], ["rec_id", "fp", "class_key", "shifts"])
 
-    return media.select(F.col(id_col).cast("long").alias("rec_id"), F.col(sound_col).alias("sound")).mapInArrow(run, "rec_id long, fp binary, class_key long")
+    return media.select(F.col(id_col).cast("long").alias("rec_id"), F.col(sound_col).alias("sound")).mapInArrow(run, "rec_id long, fp binary, class_key long, shifts array<binary>")
 
 
 def landmarks(fp: bytes, stretch: int = STRETCH) -> tuple[np.ndarray, np.ndarray]:
-    """(values, places) of the landmarks of a recording's integers; of equal ones the first."""
-    values = np.frombuffer(fp, np.uint32)
-    if not len(values):
-        return values, np.empty(0, np.int64)
-    y = values.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+    """(hashes, places) of the landmarks of a recording's integers; of equal ones the first."""
+    values = np.frombuffer(fp, np.uint32).astype(np.uint64)
+    if len(values) <= GAP:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    y = (values[:-GAP] << np.uint64(32) | values[GAP:]) * np.uint64(0xBF58476D1CE4E5B9)
     y = (y ^ (y >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
     y ^= y >> np.uint64(32)
     width = min(stretch, len(y))
     at = np.unique(np.lib.stride_tricks.sliding_window_view(y, width).argmin(axis=1) + np.arange(len(y) - width + 1))
-    found, first = np.unique(values[at], return_index=True)
+    found, first = np.unique(y[at].view(np.int64), return_index=True)
     return found, at[first]
 
 
@@ -171,20 +177,27 @@ def search(prints: DataFrame, every: int = QUERY_EVERY, max_error: float = MAX_E
 
     prints = save(prints, "prints")
     is_query = F.coalesce(F.pmod("rec_id", F.lit(every)) == 0, F.lit(False))
-    classes = save(prints.groupBy("class_key").agg(F.min("rec_id").alias("class_id"), F.first("fp").alias("fp"), F.bool_or(is_query).alias("asked")), "classes")
+    classes = save(prints.groupBy("class_key").agg(F.min("rec_id").alias("class_id"), F.first("fp").alias("fp"), F.bool_or(is_query).alias("asked"), F.first(F.when(is_query, F.col("shifts")), True).alias("shifts")), "classes")
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [[], [], [], [], []]
-            for c, q, fp in zip(*(x.to_pylist() for x in batch.columns)):
+            parts = [[], [], [], [], [], []]
+            for c, q, fp, shifts in zip(*(x.to_pylist() for x in batch.columns)):
                 value, at = landmarks(fp)
-                for part, x in zip(parts, (np.full(len(at), c), np.full(len(at), q), value, at, np.full(len(at), len(at)))):
+                n, own = len(at), len(at)
+                for later in (shifts or []) if q else []:
+                    more, places = landmarks(later)
+                    new = ~np.isin(more, value)
+                    value, at = np.append(value, more[new]), np.append(at, places[new])
+                extra = np.arange(len(at)) >= own
+                for part, x in zip(parts, (np.full(len(at), c), np.full(len(at), q), extra, value, at, np.full(len(at), n))):
                     part.append(x)
-            types = (np.int64, bool, np.int64, np.int32, np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*part, np.empty(0, t)]).astype(t)) for part, t in zip(parts, types)], ["class_key", "asked", "h", "at", "n"])
+            types = (np.int64, bool, bool, np.int64, np.int32, np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*part, np.empty(0, t)]).astype(t)) for part, t in zip(parts, types)], ["class_key", "asked", "extra", "h", "at", "n"])
 
-    keys = save(classes.select("class_key", "asked", "fp").mapInArrow(index, "class_key long, asked boolean, h long, at int, n int"), "keys")
-    a, b = keys.where("asked").alias("a"), keys.alias("b")
+    # ``extra`` landmarks are those of a query's later beginnings; they ask and are not found
+    keys = save(classes.select("class_key", "asked", "fp", "shifts").mapInArrow(index, "class_key long, asked boolean, extra boolean, h long, at int, n int"), "keys")
+    a, b = keys.where("asked").alias("a"), keys.where("NOT extra").alias("b")
     shared = a.join(b, "h").where("a.class_key <> b.class_key").select(F.col("a.class_key").alias("q"), F.col("b.class_key").alias("r"), (F.col("b.at") - F.col("a.at")).alias("offset"), F.least(F.lit(VOTES), "a.n", "b.n").alias("need"))
     votes = shared.groupBy("q", "r", "offset", "need").count().groupBy("q", "r", "need").agg(F.max("count").alias("most"), F.sum("count").alias("all"))
     pairs = votes.where((F.col("most") >= F.col("need")) | (F.col("all") >= 2 * VOTES)).select("q", "r")
