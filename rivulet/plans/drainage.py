@@ -105,7 +105,7 @@ def reach_splits(spark, d):
     best = near.groupBy("point_id").agg(F.min(F.struct(F.round("distance", 6).alias("far"), "line_id", F.round(t, 6).alias("t"))).alias("m")).select("m.line_id", "m.t").where("t > 0 AND t < 1").distinct()
     cuts = best.unionByName(best.select("line_id", F.lit(0.0).alias("t")).distinct())
     w = Window.partitionBy("line_id").orderBy("t")
-    return cuts.select("line_id", (F.row_number().over(w) - 1).alias("piece"), F.col("t").alias("from_t"), F.lead("t", 1, 1.0).over(w).alias("to_t"))
+    return cuts.select("line_id", (F.row_number().over(w) - 1).cast("long").alias("piece"), F.col("t").alias("from_t"), F.lead("t", 1, 1.0).over(w).alias("to_t"))
 
 
 _CASCADE = "SELECT CAST(p_partkey AS BIGINT) AS basin, CASE WHEN p_partkey % 4 <> 0 THEN CAST(p_partkey // 3 AS BIGINT) ELSE -1 END AS ahead FROM part"
@@ -139,11 +139,11 @@ _STEP = {
 }
 
 
-@query("coupled_step", bound("SELECT node, round((volume - returned) / plan, 6) AS head, round(returned, 6) AS returned FROM after", "cells", "drain_edges", **_STEP))
+@query("coupled_step", bound("SELECT node, round((volume - returned) / plan, 6) + 0.0 AS head, round(returned, 6) + 0.0 AS returned FROM after", "cells", "drain_edges", **_STEP))
 def coupled_step(spark, d):
     """PH8, ST7: capture, routing and return in one step of two seconds; the nodes' books."""
     _, nodes = coupling.couple_step(*_coupled(spark, d), 2.0)
-    return nodes.select("node", F.round("head", 6).alias("head"), F.round("returned", 6).alias("returned"))
+    return nodes.select("node", (F.round("head", 6) + 0.0).alias("head"), (F.round("returned", 6) + 0.0).alias("returned"))
 
 
 @query("coupled_run")

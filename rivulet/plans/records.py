@@ -206,7 +206,7 @@ def publish_guard(spark, d):
     return e.select(F.round("share", 6).alias("share"), F.when(F.col("share") >= 0.95, "publish").otherwise("candidate").alias("placement"))
 
 
-@query("ward_bundle", bound("SELECT ward_no, CAST(5 * (row_number() OVER (ORDER BY ward_no) - 1) AS BIGINT) AS first, 5 AS n, (x1 - x0) * (y1 - y0) AS area FROM wards", "wards"))
+@query("ward_bundle", bound("SELECT ward_no, CAST(5 * (row_number() OVER (ORDER BY ward_no) - 1) AS BIGINT) AS first, 5 AS n, CAST((x1 - x0) * (y1 - y0) AS BIGINT) AS area FROM wards", "wards"))
 def ward_bundle(spark, d):
     """SNK14: closed rings laid out one after another: where each begins, its points, and its area by the shoelace rule."""
     from ..operators.ranking import ranked
