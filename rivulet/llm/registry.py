@@ -69,11 +69,17 @@ def op5_audio_fingerprints(spark, sf_dir):
     return search(fingerprints(media_column(spark.read.parquet(f"{sf_dir}/embeddings.parquet")), "rec_id", "sound"))
 
 
+def op11_merkle(spark, sf_dir):
+    from .merkle import report
+
+    return report(documents(spark, sf_dir))
+
+
 def queries() -> dict:
-    return {"op5_audio_fingerprints": op5_audio_fingerprints, "op1_chat_format": op1_chat_format, "op3_quality": op3_quality, "op4_mixing": op4_mixing, "op6_sharding": op6_sharding, "op8_multiset_hash": op8_multiset_hash, "op9_best_fit": op9_best_fit, "op2_substring_dedup": op2_substring_dedup, "op7_suffix_array": op7_suffix_array, "op10_simhash": op10_simhash}
+    return {"op11_merkle": op11_merkle, "op5_audio_fingerprints": op5_audio_fingerprints, "op1_chat_format": op1_chat_format, "op3_quality": op3_quality, "op4_mixing": op4_mixing, "op6_sharding": op6_sharding, "op8_multiset_hash": op8_multiset_hash, "op9_best_fit": op9_best_fit, "op2_substring_dedup": op2_substring_dedup, "op7_suffix_array": op7_suffix_array, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict:
-    from . import chat, mixing, substring, suffix_array
+    from . import chat, merkle, mixing, substring, suffix_array
 
-    return {"op1_chat_format": chat.ORACLE, "op2_substring_dedup": substring.ORACLE, "op4_mixing": mixing.ORACLE, "op7_suffix_array": suffix_array.ORACLE}
+    return {"op1_chat_format": chat.ORACLE, "op2_substring_dedup": substring.ORACLE, "op4_mixing": mixing.ORACLE, "op11_merkle": merkle.ORACLE, "op7_suffix_array": suffix_array.ORACLE}
