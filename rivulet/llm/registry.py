@@ -75,8 +75,14 @@ def op11_merkle(spark, sf_dir):
     return report(documents(spark, sf_dir))
 
 
+def op12_packing(spark, sf_dir):
+    from .ffd import report
+
+    return report(documents(spark, sf_dir))
+
+
 def queries() -> dict:
-    return {"op11_merkle": op11_merkle, "op5_audio_fingerprints": op5_audio_fingerprints, "op1_chat_format": op1_chat_format, "op3_quality": op3_quality, "op4_mixing": op4_mixing, "op6_sharding": op6_sharding, "op8_multiset_hash": op8_multiset_hash, "op9_best_fit": op9_best_fit, "op2_substring_dedup": op2_substring_dedup, "op7_suffix_array": op7_suffix_array, "op10_simhash": op10_simhash}
+    return {"op12_packing": op12_packing, "op11_merkle": op11_merkle, "op5_audio_fingerprints": op5_audio_fingerprints, "op1_chat_format": op1_chat_format, "op3_quality": op3_quality, "op4_mixing": op4_mixing, "op6_sharding": op6_sharding, "op8_multiset_hash": op8_multiset_hash, "op9_best_fit": op9_best_fit, "op2_substring_dedup": op2_substring_dedup, "op7_suffix_array": op7_suffix_array, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict:
