@@ -16,10 +16,10 @@ Groups come from a hash of a number that each piece has in a written table, so t
 repeated rows, or one id on a third of all rows, are spread like any others and a
 task that runs again sees the same groups.
 
-Ids are those of the ``tokenizers`` library, control strings in a text being ordinary
-text. White space separates words in this vocabulary and is itself dropped, so words
-between ASCII white space are encoded once by the library and looked up from then
-on; a vocabulary that keeps white space must be given with ``whole=True``.
+Ids are those of the ``tokenizers`` library for a vocabulary of words with an end
+suffix, white space being dropped and control strings in a text being ordinary text.
+Texts in common Latin characters are encoded by tiktoken with the same merges, the
+others by the library itself (``Words``; a test compares the two).
 
 Null text: empty, which is one piece of the end id alone. Rows that repeat a doc_id
 are packed as documents of their own; a null doc_id stays null. An empty table gives
@@ -28,6 +28,7 @@ no rows. Extra columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections import deque
@@ -40,7 +41,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import save
+from ..session import save, shuffle_partitions
 from .text import WORD, keyed_runs
 
 CAPACITY = 4096
@@ -50,28 +51,66 @@ GROUP_TOKENS, PIECE_TOKENS = 1 << 21, 256
 SEED = 12
 
 
+#: Texts of these characters alone take the fast way: they are as NFC leaves them, and all tables agree on their classes and lower case.
+LETTERS = "a-z\u00df-\u00f6\u00f8-\u00ff\u0100-\u012f\u0131-\u017f"
+PLAIN = rf"[\t-\r -~\u00a1-\u00a9\u00ab\u00ac\u00ae-\u00b1\u00b4\u00b6-\u00b8\u00bb\u00bf-\u012f\u0131-\u017f\u2010-\u2027\u2030-\u205e\u20ac]*"
+
+
 class Words:
-    """text -> ids, looking up each word that it has met."""
+    """text -> ids of a vocabulary of words whose last character has a suffix.
+
+    tiktoken merges the same pairs in the same order when the suffix is a byte that
+    the text can't hold; characters outside PLAIN leave a text to the library, which
+    encodes each word between white space once.
+    """
 
-    def __init__(self, vocabulary: str, whole: bool = False, limit: int = 400_000, longest: int = 64):
+    SUFFIX = "\0"
+
+    def __init__(self, vocabulary: str, limit: int = 400_000, longest: int = 64):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = True
-        self.whole, self.limit, self.longest = whole, limit, longest
+        self.limit, self.longest = limit, longest
         self.known: dict[str, list[int]] = {}
         self.words = re.compile(WORD).findall
+        self.plain = re.compile(PLAIN).fullmatch
+        self.split = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\s0-9{LETTERS}]+").findall
+        with open(vocabulary, encoding="utf-8") as file:
+            self.fast = self._ranks(json.load(file)["model"])
+
+    def _ranks(self, model: dict):
+        """An encoder of words that end in SUFFIX, or None if ids don't follow the order of merges."""
+        import tiktoken
+
+        vocab, suffix = model["vocab"], model["end_of_word_suffix"]
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        if not suffix or [vocab.get(a + b) for a, b in pairs] != list(range(512, 512 + len(pairs))):
+            return None
+        # printable bytes stand for themselves in such files, the others follow from U+0100 on
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+        ranks = {}
+        for token, i in vocab.items():
+            ends = token.endswith(suffix)
+            if i < 512 + len(pairs):
+                ranks[bytes(byte[c] for c in token.removesuffix(suffix)) + self.SUFFIX.encode() * ends] = i
+        return tiktoken.Encoding("words", pat_str=rf"[^{self.SUFFIX}]+{self.SUFFIX}", mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
+
+    def batch(self, texts: list[str]) -> list[np.ndarray]:
+        out: list = [self.fast(self.SUFFIX.join([*self.split(t.lower()), ""])) if self.fast and self.plain(t) else None for t in texts]
+        odd = [i for i, ids in enumerate(out) if ids is None]
+        for i, ids in zip(odd, self._by_library([texts[i] for i in odd])):
+            out[i] = np.array(ids, np.uint32)
+        return out
 
-    def batch(self, texts: list[str]) -> list[list[int]]:
-        encode = lambda x: [e.ids for e in self.tokenizer.encode_batch(x, add_special_tokens=False)]
-        if self.whole:
-            return encode(texts)
+    def _by_library(self, texts: list[str]) -> list[list[int]]:
         split = [self.words(t) for t in texts]
         if len(self.known) > self.limit:
             self.known.clear()
         new = list({w for words in split for w in words if w not in self.known})
-        found = dict(zip(new, encode(new)))
+        found = dict(zip(new, (e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False))))
         self.known |= {w: ids for w, ids in found.items() if len(w) <= self.longest}
         table, out = self.known, []
         for words in split:
@@ -83,11 +122,11 @@ class Words:
 
 
 @lru_cache(maxsize=2)
-def encoder(vocabulary: str, whole: bool) -> Words:
-    return Words(vocabulary, whole)
+def encoder(vocabulary: str) -> Words:
+    return Words(vocabulary)
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, end_id: int = END_ID, whole: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, end_id: int = END_ID) -> DataFrame:
     """(doc_id, start, length, doc_tokens, ids): full sequences of each document's ids, then the rest; ids as little-endian 32-bit numbers."""
     if vocabulary is None:
         import public_tokenizers
@@ -96,12 +135,12 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = N
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary, whole)
+        encode = encoder(vocabulary)
         for batch in batches:
             for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
                 at, start, total, data = [], [], [], []
                 for i, ids in enumerate(encode.batch([t or "" for t in part.column(1).to_pylist()])):
-                    raw = np.array([*ids, end_id], "<u4").tobytes()
+                    raw = np.append(ids, np.uint32(end_id)).astype("<u4").tobytes()
                     for begin in range(0, len(raw), 4 * capacity):
                         at.append(i)
                         start.append(begin // 4)
@@ -211,8 +250,9 @@ def pack(sized: DataFrame, capacity: int = CAPACITY, group_tokens: int = GROUP_T
     kind = sized.schema["doc_id"].dataType.simpleString()
     held = save(sized.withColumn("_row", F.monotonically_increasing_id()), "pieces")
     total = held.agg(F.sum(F.col("length") + PIECE_TOKENS)).first()[0] or 0
-    group = F.pmod(F.xxhash64("_row", F.lit(seed)), F.lit(-(-total // group_tokens) or 1))
-    dealt = held.withColumn("group", group).repartition("group").sortWithinPartitions("group", F.col("length").desc(), "_row")
+    n = -(-total // group_tokens) or 1
+    group, parts = F.pmod(F.xxhash64("_row", F.lit(seed)), F.lit(n)), max(shuffle_partitions(sized.sparkSession), n // 4)
+    dealt = held.withColumn("group", group).repartition(parts, "group").sortWithinPartitions("group", F.col("length").desc(), "_row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in keyed_runs(batches, "group"):

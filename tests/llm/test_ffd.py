@@ -1,21 +1,29 @@
 import random
+import re
 import zlib
+from functools import cache
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
 from helpers import frame, odd_rows, words
 from tokenizers import Tokenizer
 
-from rivulet.llm.ffd import Words, closed, first_fit, first_fit_decreasing, pack, pieces, report
+from rivulet.llm.ffd import PLAIN, Words, closed, first_fit, first_fit_decreasing, pack, pieces, report
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
-def slow_ids(text):
+@cache
+def library():
     t = Tokenizer.from_file(PATH)
     t.encode_special_tokens = True
-    return [*t.encode(text or "", add_special_tokens=False).ids, 2]
+    return t
+
+
+def slow_ids(text):
+    return [*library().encode(text or "", add_special_tokens=False).ids, 2]
 
 
 def slow_first_fit(sizes, capacity):
@@ -58,10 +66,16 @@ def test_same_ids_as_the_tokenizers_library():
     r = random.Random(4)
     odd = ["", " ", "<|endoftext|> a<|startoftext|>", " \t\n\r\n\v\fx\x1c\x85  y", "é" * 999, "I'll 've IT'S 12345 ½ ²", "ΣΑΣ İstanbul ǅ ﬁ", "áé ́x q̣̇", words(8, 500), "x" * 5000]
     odd += ["".join(chr(r.choice([r.randrange(1, 900), r.randrange(0x3000, 0x9FFF), r.randrange(0xAC00, 0xD7A0), r.randrange(0x1F300, 0x1F6FF), 32])) for _ in range(2000)) for _ in range(5)]
+    plain = [chr(c) for c in range(1, 0x20B0) if re.fullmatch(PLAIN, chr(c))]
+    odd += ["".join(r.choices(plain, k=3000)) for _ in range(5)] + [f"a{c}b {c} {c}{c} 1{c}2 '{c}" for c in plain]
+    odd += [t for t, in duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet' WHERE text IS NOT NULL").fetchall()]
     w = Words(PATH, limit=100)
+    assert w.fast and sum(map(bool, map(w.plain, odd))) > 900
+    want = [e.ids for e in library().encode_batch(odd, add_special_tokens=False)]
     for _ in range(2):
-        assert [[*ids, 2] for ids in w.batch(odd)] == [slow_ids(t) for t in odd]
-    assert [[*ids, 2] for ids in Words(PATH, whole=True).batch(odd)] == [slow_ids(t) for t in odd]
+        assert [ids.tolist() for ids in w.batch(odd)] == want
+    w.fast = None
+    assert [ids.tolist() for ids in w.batch(odd)] == want
 
 
 def check(got, rows, capacity):
