@@ -81,11 +81,17 @@ def op12_packing(spark, sf_dir):
     return report(documents(spark, sf_dir))
 
 
+def op13_hard_negatives(spark, sf_dir):
+    from .vantage import mined
+
+    return mined(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict:
-    return {"op12_packing": op12_packing, "op11_merkle": op11_merkle, "op5_audio_fingerprints": op5_audio_fingerprints, "op1_chat_format": op1_chat_format, "op3_quality": op3_quality, "op4_mixing": op4_mixing, "op6_sharding": op6_sharding, "op8_multiset_hash": op8_multiset_hash, "op9_best_fit": op9_best_fit, "op2_substring_dedup": op2_substring_dedup, "op7_suffix_array": op7_suffix_array, "op10_simhash": op10_simhash}
+    return {"op13_hard_negatives": op13_hard_negatives, "op12_packing": op12_packing, "op11_merkle": op11_merkle, "op5_audio_fingerprints": op5_audio_fingerprints, "op1_chat_format": op1_chat_format, "op3_quality": op3_quality, "op4_mixing": op4_mixing, "op6_sharding": op6_sharding, "op8_multiset_hash": op8_multiset_hash, "op9_best_fit": op9_best_fit, "op2_substring_dedup": op2_substring_dedup, "op7_suffix_array": op7_suffix_array, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict:
-    from . import chat, merkle, mixing, substring, suffix_array
+    from . import chat, merkle, mixing, substring, suffix_array, vantage
 
-    return {"op1_chat_format": chat.ORACLE, "op2_substring_dedup": substring.ORACLE, "op4_mixing": mixing.ORACLE, "op11_merkle": merkle.ORACLE, "op7_suffix_array": suffix_array.ORACLE}
+    return {"op1_chat_format": chat.ORACLE, "op2_substring_dedup": substring.ORACLE, "op4_mixing": mixing.ORACLE, "op11_merkle": merkle.ORACLE, "op13_hard_negatives": vantage.ORACLE, "op7_suffix_array": suffix_array.ORACLE}
