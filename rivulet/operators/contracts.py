@@ -15,12 +15,22 @@ class ContractError(ValueError):
 
 
 def violations(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
-    """(rule, n): how many rows break each rule. A rule is true for a row that breaks it; NULL breaks nothing."""
-    one = df.agg(*(F.count_if(bad).alias(name) for name, bad in rules.items()))
+    """(rule, n): how many rows break each rule.
+
+    A rule is true for a row that breaks it. A row of which a rule can't tell, as a
+    value is missing, breaks it too; a rule of an optional column says itself that
+    NULL is fine (``when_given``).
+    """
+    one = df.agg(*(F.count_if(F.coalesce(bad, F.lit(True))).alias(name) for name, bad in rules.items()))
     pairs = F.array(*(F.struct(F.lit(name).alias("rule"), F.col(name).alias("n")) for name in rules))
     return one.select(F.explode(pairs).alias("x")).select("x.rule", "x.n")
 
 
+def when_given(bad: Column) -> Column:
+    """A rule that rows with a missing value don't break."""
+    return F.coalesce(bad, F.lit(False))
+
+
 def require(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """df, or ContractError with every broken rule."""
     broken = {r["rule"]: r["n"] for r in violations(df, rules).collect() if r["n"]}
@@ -54,6 +64,6 @@ def drain_graph_rules() -> dict[str, Column]:
     return {
         "no_loops": c("from_node") == c("to_node"),
         "length_positive": c("length_m") <= 0,
-        "capacity_null_or_positive": c("cap") <= 0,
+        "capacity_null_or_positive": when_given(c("cap") <= 0),
         "flows_down": c("to_node") <= c("from_node") - c("from_node") % 50,
     }

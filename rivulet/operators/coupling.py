@@ -11,7 +11,7 @@ from .network import route_capacity
 from .solver import step
 
 #: Shares of what is there that a step may move, the head above which water returns, and the depth that stays; fixed values.
-CAPTURE_CAP, RETURN_CAP, FREEBOARD_M, FLOOR_M = 0.9, 0.9, 1.5, 0.0001
+CAPTURE_CAP, RETURN_CAP, FREEBOARD_M, FLOOR_M = 0.9, 0.9, 1.5, hy.FLOOR_M
 #: An inlet's opening for each metre of its width.
 OPENING = 0.1
 

@@ -85,6 +85,26 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, max_rounds: int = 1000)
     raise RuntimeError("paths did not settle")
 
 
+def paths(edges: DataFrame, best: DataFrame) -> DataFrame:
+    """(source, node, segments) for the result of ``shortest_paths`` over edges (u, v, length_m, segment_id): the segments along the way, in order.
+
+    Of several ways of one length and as many edges, each node takes the least node
+    before it, then the least segment. Ways double by pointers, so rounds are the
+    logarithm of the most edges on one; the source has an empty way.
+    """
+    ways = edges.select("u", "v", "length_m", "segment_id").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "length_m", "segment_id")).where("u <> v")
+    near, far = best.select("source", F.col("node").alias("u"), F.col("distance").alias("du"), F.col("hops").alias("hu")), best.select("source", F.col("node").alias("v"), "distance", "hops")
+    tight = near.join(ways, "u").where("source <> v").join(far, ["source", "v"]).where("du + length_m = distance AND hu + 1 = hops")
+    before = tight.groupBy("source", F.col("v").alias("node")).agg(F.min(F.struct("u", "segment_id")).alias("b"))
+    way = save(before.select("source", "node", F.col("b.u").alias("at"), F.array("b.segment_id").alias("segments")), "ways")
+    while not way.where("at <> source").isEmpty():
+        ahead = way.select("source", F.col("node").alias("at"), F.col("at").alias("then"), F.col("segments").alias("first"))
+        longer = save(way.join(ahead, ["source", "at"], "left").select("source", "node", F.coalesce("then", "at").alias("at"), F.concat(F.coalesce("first", F.array().cast("array<int>")), "segments").alias("segments")), "ways")
+        drop(way)
+        way = longer
+    return best.select("source", "node").join(way.select("source", "node", "segments"), ["source", "node"], "left").select("source", "node", F.coalesce("segments", F.array().cast("array<int>")).alias("segments"))
+
+
 def route_capacity(volumes: DataFrame, edges: DataFrame, levels: DataFrame, dt: float) -> tuple[DataFrame, DataFrame]:
     """Volumes (node, volume) through capacity-bearing edges, level by level: (volumes after, flows).
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..functions import hydraulics as hy
 from ..operators import coupling
 from ..operators import drainage as op
 from ..operators import solver, spatial
@@ -128,11 +129,11 @@ def _coupled(spark, d):
     return cells, books, e, nodes.select("node", F.floor(F.col("node") % 400 / 50).cast("int").alias("level"))
 
 
-_Q = "CASE WHEN {h} - {under} <= 0 THEN 0.0 WHEN {h} < 0.1 THEN 1.7 * width * pow({h}, 1.5) ELSE 0.6 * (width * 0.1) * sqrt(2 * 9.81 * ({h} - {under})) END"
+_Q = "CASE WHEN {h} - {under} <= 0 THEN 0.0 WHEN {h} < 0.1 THEN 1.7 * width * pow(greatest({h}, 0.001), 1.5) ELSE 0.65 * (width * 0.1) * sqrt(2 * 9.81 * greatest({h} - {under}, 0.001)) END"
 _STEP = {
     "books": f"SELECT node, node % 5 * 0.5 AS head, 4.0 AS plan, 1 + node % 3 * 0.5 AS width FROM ({_NODES})",
     "owned": "SELECT r, c, depth_m AS h, CAST(r // 15 % 8 * 50 + c % 50 AS BIGINT) AS node FROM cells WHERE (r + c) % 3 = 0",
-    "taken": f"SELECT r, c, node, least({_Q.format(h='h', under='head')} * 2.0 / 100, 0.9 * greatest(0.0, h - 0.0001)) AS taken FROM owned JOIN books USING (node)",
+    "taken": f"SELECT r, c, node, least({_Q.format(h='h', under='head')} * 2.0 / 100, 0.9 * greatest(0.0, h - 0.001)) AS taken FROM owned JOIN books USING (node)",
     "v0": "SELECT node, head * plan + coalesce(came, 0) AS volume FROM books LEFT JOIN (SELECT node, sum(taken) * 100 AS came FROM taken GROUP BY 1) USING (node)",
     **{k: v for k, v in _routed().items() if k != "v0"},
     "after": f"SELECT *, CASE WHEN n_cells IS NULL OR volume / plan - 1.5 <= 0 THEN 0.0 ELSE least({_Q.format(h='(volume / plan - 1.5)', under='0')} * 2.0, 0.9 * greatest(0.0, volume - 1.5 * plan)) END AS returned FROM v7 JOIN books USING (node) LEFT JOIN (SELECT node, count(*) AS n_cells FROM taken GROUP BY 1) USING (node)",
@@ -148,7 +149,7 @@ def coupled_step(spark, d):
 
 @query("coupled_run")
 def coupled_run(spark, d):
-    """PH10, PH16, SNK5: three surface and coupling steps; a book a step, with the monitor of the step's stability. Tests hold the volume."""
+    """PH10: three surface and coupling steps; a book a step. Tests hold the volume."""
     cells, nodes, edges, levels = _coupled(spark, d)
     state = cells.join(b.cells(spark, d).select("r", "c", (0.01 * F.col("c")).alias("z")), ["r", "c"]).withColumns({"qx": F.lit(0.0), "qy": F.lit(0.0)})
     _, _, books = coupling.simulate(state, nodes, edges, levels, [0.5, 0.5, 0.25], 10.0)
@@ -158,7 +159,7 @@ def coupled_run(spark, d):
 
 @query("replayed_schedule")
 def replayed_schedule(spark, d):
-    """PH6, ST11: a recorded schedule of steps, replayed; a test holds it against the run that recorded it."""
+    """PH6: a recorded schedule of steps, replayed; a test holds it against the run that recorded it."""
     state = b.cells(spark, d).select("r", "c", F.col("depth_m").alias("h"), (0.01 * F.col("c")).alias("z"), F.lit(0.0).alias("qx"), F.lit(0.0).alias("qy"))
     return solver.replay(state, [0.5, 0.5, 0.25, 0.25], 10.0, rain_m_s=1e-6).select("r", "c", F.round("h", 6).alias("h"))
 
@@ -171,10 +172,10 @@ def cfl_monitor(spark, d):
     return top.select("r", F.round(f, 9).alias("factor"), (f < 0.902).alias("alarm"))
 
 
-@query("step_budget", bound("SELECT basin_class, steps, round(steps * 26.203 / 3600000, 9) AS compute_hours, steps * 26.203 / 3600000 > 0.1 AS over_budget FROM (SELECT basin_class, greatest(1, CAST(floor(10800 / least(30.0, 0.7 * 10 / sqrt(9.81 * greatest(max(depth_m), 0.000001)))) AS BIGINT)) AS steps FROM cells GROUP BY 1)", "cells"))
+@query("step_budget", bound("SELECT basin_class, steps, round(steps * 26.203 / 3600000, 9) AS compute_hours, steps * 26.203 / 3600000 > 0.1 AS over_budget FROM (SELECT basin_class, greatest(1, CAST(floor(10800 / least(10.0, 0.7 * 10 / sqrt(9.81 * greatest(max(depth_m), 0.000001)))) AS BIGINT)) AS steps FROM cells GROUP BY 1)", "cells"))
 def step_budget(spark, d):
     """AGG62: steps of a three-hour run at each class's depth, and the hours they cost at a measured time a step."""
-    dt = F.least(F.lit(30.0), 0.7 * 10 / F.sqrt(9.81 * F.greatest(F.max("depth_m"), F.lit(1e-6))))
+    dt = F.least(F.lit(hy.MAX_DT_S), 0.7 * 10 / F.sqrt(9.81 * F.greatest(F.max("depth_m"), F.lit(1e-6))))
     n = b.cells(spark, d).groupBy("basin_class").agg(F.greatest(F.lit(1), F.floor(10800 / dt)).cast("long").alias("steps"))
     hours = F.col("steps") * 26.203 / 3_600_000
     return n.select("basin_class", "steps", F.round(hours, 9).alias("compute_hours"), (hours > 0.1).alias("over_budget"))

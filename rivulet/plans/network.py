@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import network as op
 from ..operators.components import connected_components
+from ..operators.cycles import cycle_breakers, strong_components
 from ..sources import bindings as b
 from .registry import query
 from .sql import bound
@@ -121,6 +122,64 @@ def flood_safe_paths(spark, d):
     return a.join(z, "node", "left").select("node", "baseline", "safe", outcome.alias("outcome"))
 
 
+#: Ways from node 7: edges that lie on shortest paths, fewest edges on them, the least node and segment before each node, and the segments in order.
+def _ways(name: str, roads: str) -> dict:
+    return {
+        f"{name}_walk": f"SELECT CAST(7 AS BIGINT) AS node, CAST(0 AS BIGINT) AS distance UNION SELECT r.v, w.distance + r.length_m FROM {name}_walk w JOIN {roads} r ON r.u = w.node WHERE w.distance + r.length_m <= 250",
+        f"{name}_far": f"SELECT node, min(distance) AS distance FROM {name}_walk GROUP BY 1",
+        f"{name}_tight": f"SELECT r.u, r.v, r.segment_id FROM {roads} r JOIN {name}_far a ON a.node = r.u JOIN {name}_far z ON z.node = r.v WHERE a.distance + r.length_m = z.distance",
+        f"{name}_step": f"SELECT CAST(7 AS BIGINT) AS node, 0 AS hops UNION SELECT t.v, s.hops + 1 FROM {name}_step s JOIN {name}_tight t ON t.u = s.node",
+        f"{name}_hops": f"SELECT node, min(hops) AS hops FROM {name}_step GROUP BY 1",
+        f"{name}_before": f"SELECT v, u, segment_id FROM (SELECT t.*, row_number() OVER (PARTITION BY t.v ORDER BY t.u, t.segment_id) AS k FROM {name}_tight t JOIN {name}_hops a ON a.node = t.u JOIN {name}_hops z ON z.node = t.v WHERE a.hops + 1 = z.hops) WHERE k = 1",
+        f"{name}_path": f"SELECT CAST(7 AS BIGINT) AS node, CAST([] AS INTEGER[]) AS segments UNION ALL SELECT b.v, list_append(p.segments, b.segment_id) FROM {name}_path p JOIN {name}_before b ON b.u = p.node",
+    }
+
+
+_BOTH = "SELECT u, v, length_m, segment_id FROM {0} UNION ALL SELECT v, u, length_m, segment_id FROM {0}"
+
+
+@query("road_paths", bound("SELECT node, distance, hops, array_to_string(segments, '>') AS path FROM base_path JOIN base_far USING (node) JOIN base_hops USING (node)", "road_edges", recursive=True, few="SELECT * FROM road_edges WHERE u <> v", both_ways=_BOTH.format("few"), **_ways("base", "both_ways")))
+def road_paths(spark, d):
+    """GR5: the segments of the shortest way from node 7 to every node; ties by fewest edges, then the least node and segment before."""
+    edges, source = b.road_edges(spark, d), spark.createDataFrame([(7,)], "node long")
+    best = op.shortest_paths(edges, source)
+    return best.join(op.paths(edges, best), ["source", "node"]).select("node", "distance", "hops", F.array_join(F.col("segments").cast("array<string>"), ">").alias("path"))
+
+
+@query("avoided_segments", bound("SELECT node, CAST(len(avoided) AS INTEGER) AS n, array_to_string(list_sort(avoided), ',') AS avoided FROM (SELECT node, list_distinct(list_filter(p.segments, lambda x: list_contains(ds, x) AND NOT list_contains(coalesce(z.segments, []), x))) AS avoided FROM base_path p LEFT JOIN safe_path z USING (node) CROSS JOIN (SELECT coalesce(list(segment_id), []) AS ds FROM deep))", "road_edges", "frames", recursive=True, latest=_LATEST,
+    deep="SELECT segment_id FROM latest WHERE band_high_cm >= 60", few="SELECT * FROM road_edges WHERE u <> v", both_ways=_BOTH.format("few"), **_ways("base", "both_ways"), clear="SELECT * FROM few WHERE segment_id NOT IN (SELECT segment_id FROM deep)", clear_ways=_BOTH.format("clear"), **_ways("safe", "clear_ways")))
+def avoided_segments(spark, d):
+    """SET6: of the baseline way to each node, the blocked segments that the safe way doesn't take."""
+    edges, source = b.road_edges(spark, d), spark.createDataFrame([(7,)], "node long")
+    deep = op.blocked(_status(spark, d), 60, unknown_blocks=False).select("segment_id")
+    ways = lambda e, name: op.paths(e, op.shortest_paths(e, source)).select("node", F.col("segments").alias(name))
+    both = ways(edges, "base").join(ways(edges.join(deep, "segment_id", "left_anti"), "safe"), "node", "left")
+    passed = both.select("node", F.explode(F.array_except("base", F.coalesce("safe", F.array().cast("array<int>")))).alias("segment_id")).join(deep, "segment_id").groupBy("node").agg(F.sort_array(F.collect_list("segment_id")).alias("avoided"))
+    return both.select("node").join(passed, "node", "left").select("node", F.coalesce(F.size("avoided"), F.lit(0)).alias("n"), F.coalesce(F.array_join(F.col("avoided").cast("array<string>"), ","), F.lit("")).alias("avoided"))
+
+
+#: Drain edges with synthetic ones (no capacity) half of which lead back, and slopes with many ties.
+_STITCHED = "SELECT from_node * 1000000 + to_node AS edge_id, CASE WHEN cap IS NULL AND length_m % 2 = 0 THEN to_node ELSE from_node END AS u, CASE WHEN cap IS NULL AND length_m % 2 = 0 THEN from_node ELSE to_node END AS v, cap IS NULL AS synthetic, (from_node * 7 + to_node * 3) % 40 / 1000.0 AS slope FROM drain_edges"
+
+
+@query("dag_enforced", bound("SELECT DISTINCT edge_id FROM seen JOIN timed USING (edge_id) WHERE seen.node = timed.u", "drain_edges", recursive=True, stitched=_STITCHED, timed="SELECT *, row_number() OVER (ORDER BY synthetic, slope DESC, edge_id) AS t FROM stitched",
+    seen="SELECT edge_id, t, v AS node FROM timed WHERE synthetic UNION SELECT s.edge_id, s.t, e.v FROM seen s JOIN timed e ON e.u = s.node AND e.t < s.t"))
+def dag_enforced(spark, d):
+    """GR18: the edges that go until the graph has no cycle: in each strong component the synthetic one of least slope first, of equal ones the greatest id. (The SQL asks of synthetic edges only; the observed ones here have no cycle.)"""
+    return cycle_breakers(_stitched(spark, d))
+
+
+def _stitched(spark, d):
+    back = F.col("cap").isNull() & (F.col("length_m") % 2 == 0)
+    return b.drain_edges(spark, d).select((F.col("from_node") * 1000000 + F.col("to_node")).alias("edge_id"), F.when(back, F.col("to_node")).otherwise(F.col("from_node")).alias("u"), F.when(back, F.col("from_node")).otherwise(F.col("to_node")).alias("v"), F.col("cap").isNull().alias("synthetic"), ((F.col("from_node") * 7 + F.col("to_node") * 3) % 40 / 1000.0).alias("slope"))
+
+
+@query("strong_parts", bound("SELECT a.u AS node, min(a.v) AS component FROM reach a JOIN reach z ON z.u = a.v AND z.v = a.u GROUP BY 1", "drain_edges", recursive=True, stitched=_STITCHED, reach="SELECT u, v FROM stitched UNION SELECT r.u, e.v FROM reach r JOIN stitched e ON e.u = r.v"))
+def strong_parts(spark, d):
+    """GR18: strong components by forward-backward colouring, named by the least node."""
+    return strong_components(_stitched(spark, d))
+
+
 @query("active_subgraph", bound("SELECT from_node, to_node FROM drain_edges WHERE from_node % 50 BETWEEN 10 AND 30 AND to_node % 50 BETWEEN 10 AND 30", "drain_edges"))
 def active_subgraph(spark, d):
     """FLT16: an edge is active if both its ends are."""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..operators import spatial
-from ..operators.contracts import violations
+from ..operators.contracts import violations, when_given
 from ..sources import bindings as b
 from .registry import query
 from .sql import bound
@@ -25,16 +25,34 @@ def _gt(spark, d):
     )
 
 
-@query("ground_truth_contract", f"""WITH g AS ({_GT}), pairs AS (SELECT pow(sin(radians(o.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(o.lat)) * pow(sin(radians(o.lon - a.lon) / 2), 2) AS h FROM g a JOIN g o ON a.id < o.id AND abs(a.x - o.x) <= 2 AND abs(a.y - o.y) <= 2)
+_PAIR = "pow(sin(radians(o.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(o.lat)) * pow(sin(radians(o.lon - a.lon) / 2), 2)"
+#: Points of one file that are this near each other refuse it; points this near one of another file overlap it (SRC12).
+TWIN_M, OVERLAP_M = 50.0, 100.0
+
+
+@query("ground_truth_contract", f"""WITH g AS ({_GT}), pairs AS (SELECT {_PAIR} AS h FROM g a JOIN g o ON a.id < o.id AND abs(a.x - o.x) <= 2 AND abs(a.y - o.y) <= 2)
   SELECT unnest(['provenance', 'event_window', 'inside_box', 'bands_ordered']) AS rule, unnest([count(*) FILTER (trim(url) = ''), count(*) FILTER (day NOT BETWEEN DATE '2022-08-30' AND DATE '2022-09-06'), count(*) FILTER (NOT (lat BETWEEN 12.8 AND 13.2 AND lon BETWEEN 77.45 AND 77.8)), count(*) FILTER (low >= high)]) AS n FROM g
-  UNION ALL SELECT 'no_pair_within_100_m', count(*) FROM pairs WHERE {_HAV} <= 100""")
+  UNION ALL SELECT 'no_pair_within_50_m', count(*) FROM pairs WHERE {_HAV} <= 50""")
 def ground_truth_contract(spark, d):
-    """SRC12, JN26: rules of ground truth rows, and pairs of points within 100 m by great circles (found on a grid)."""
+    """SRC12, JN26: rules of ground truth rows (a band may be missing), and pairs of points within 50 m by great circles (found on a grid), which refuse the file."""
     g = _gt(spark, d)
-    rows = violations(g, {"provenance": F.trim("url") == "", "event_window": ~F.col("day").between("2022-08-30", "2022-09-06"), "inside_box": ~(F.col("lat").between(12.8, 13.2) & F.col("lon").between(77.45, 77.8)), "bands_ordered": F.col("low") >= F.col("high")})
-    a, o = g.select("id", "lat", "lon", F.col("x").alias("ax"), F.col("y").alias("ay")), g.select(F.col("id").alias("other"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), F.col("x").alias("bx_"), F.col("y").alias("by_"))
-    near = spatial.within(a, o, 3.0).where("id < other").where(geo.haversine_m(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")) <= 100)
-    return rows.unionByName(near.agg(F.count("*").alias("n")).select(F.lit("no_pair_within_100_m").alias("rule"), "n"))
+    rows = violations(g, {"provenance": F.trim("url") == "", "event_window": ~F.col("day").between("2022-08-30", "2022-09-06"), "inside_box": ~(F.col("lat").between(12.8, 13.2) & F.col("lon").between(77.45, 77.8)), "bands_ordered": when_given(F.col("low") >= F.col("high"))})
+    twins = _near(g, g.withColumnRenamed("id", "other"), TWIN_M).where("id < other")
+    return rows.unionByName(twins.agg(F.count("*").alias("n")).select(F.lit("no_pair_within_50_m").alias("rule"), "n"))
+
+
+def _near(a, o, metres):
+    """Pairs of rows (id, lat, lon, x, y) and (other, lat, lon, x, y) at most so many metres apart; a step of x or y is over 54 m."""
+    left, right = a.select("id", "lat", "lon", F.col("x").alias("ax"), F.col("y").alias("ay")), o.select("other", F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), F.col("x").alias("bx_"), F.col("y").alias("by_"))
+    return spatial.within(left, right, 3.0).where(geo.haversine_m(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")) <= metres).select("id", "other")
+
+
+@query("ground_truth_overlap", bound(f"SELECT a.id, count(o.id) > 0 AS in_bbmp_kml FROM g a LEFT JOIN k o ON abs(a.x - o.x) <= 2 AND abs(a.y - o.y) <= 2 AND 2 * 6371000.0 * atan2(sqrt({_PAIR}), sqrt(1 - ({_PAIR}))) <= 100 GROUP BY 1", "nodes", g=_GT, k="SELECT node_id AS id, x, y, 12.75 + y / 2000.0 AS lat, 77.4 + x / 2000.0 AS lon FROM nodes"))
+def ground_truth_overlap(spark, d):
+    """SRC12: whether a ground truth point lies within 100 m of a point of the complaint files."""
+    files = b.nodes(spark, d).select(F.col("node_id").alias("other"), "x", "y", (12.75 + F.col("y") / 2000.0).alias("lat"), (77.4 + F.col("x") / 2000.0).alias("lon"))
+    hit = _near(_gt(spark, d), files, OVERLAP_M).select("id").distinct().withColumn("hit", F.lit(True))
+    return _gt(spark, d).select("id").join(hit, "id", "left").select("id", F.coalesce("hit", F.lit(False)).alias("in_bbmp_kml"))
 
 
 @query("strict_depth_points", f"WITH g AS ({_GT}), s AS (SELECT * FROM g WHERE strict AND day BETWEEN DATE '2022-08-30' AND DATE '2022-09-06') SELECT (SELECT count(*) FROM g) AS loaded, count(*) AS strict_rows, count(*) FILTER (high IS NULL) AS without_band, count(*) FILTER (low > high) AS reversed, count(*) FILTER (x < 900 AND y < 900) AS in_grid, count(*) FILTER (NOT (x < 900 AND y < 900)) AS outside FROM s")
@@ -67,7 +85,7 @@ _PATHS = "SELECT 'runs/r' || p_partkey % 7 || '/products/segment_status' || (CAS
 
 @query("product_candidates", f"SELECT regexp_extract(path, '^runs/([^/]+)/', 1) AS run, count(DISTINCT path) AS products, string_agg(DISTINCT path, ';' ORDER BY path) AS paths FROM ({_PATHS}) WHERE regexp_matches(path, '^runs/.+/products/segment_status[^/]*\\.(csv|json)$') GROUP BY 1")
 def product_candidates(spark, d):
-    """SRC22, PRJ14: status products among the paths of all runs, by run."""
+    """SRC22: status products among the paths of all runs, by run."""
     k = F.col("p_partkey") % 5
     end = F.when(k == 0, ".csv").when(k == 1, ".json").when(k == 2, "_t0001.csv").when(k == 3, ".csv.bak").otherwise(".parquet")
     paths = b.table(spark, d, "part").select(F.concat(F.lit("runs/r"), (F.col("p_partkey") % 7).cast("string"), F.lit("/products/segment_status"), end).alias("path")).distinct()
@@ -119,7 +137,7 @@ def policy_contract(spark, d):
     k = F.col("s_suppkey")
     p = b.table(spark, d, "supplier").select((k % 6 * 10).alias("limit_cm"), F.struct(F.lit("manual").alias("title"), F.when(k % 5 == 0, " ").otherwise("p. 4").alias("locator")).alias("citation"), F.when(k % 4 == 0, F.array(F.lit(5), F.lit(25))).alias("band"))
     limit = F.col("limit_cm")
-    return violations(p, {"depth_positive": limit <= 0, "citation": (F.trim("citation.title") == "") | (F.trim("citation.locator") == ""), "band_around_limit": (limit > 0) & ~limit.between(F.element_at("band", 1), F.element_at("band", 2))})
+    return violations(p, {"depth_positive": limit <= 0, "citation": (F.trim("citation.title") == "") | (F.trim("citation.locator") == ""), "band_around_limit": when_given((limit > 0) & ~limit.between(F.element_at("band", 1), F.element_at("band", 2)))})
 
 
 @query("baseline_admission", _rules_sql({"inside_curation": "k % 5 = 0", "decision": "k % 7 = 0", "not_coupled": "k % 3 = 0", "manifest_hash": "k % 4 = 0", "event_window": "k % 6 = 0"}, "(SELECT s_suppkey AS k FROM supplier)"))

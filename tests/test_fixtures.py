@@ -82,3 +82,59 @@ def test_a_dam_break_in_its_fan(spark):
 def test_a_moderate_category_is_ten_millimetres_an_hour(spark):
     row = spark.range(1).select(forcing.band_of(F.lit("cat7")).alias("b"), forcing.nominal_rate(F.lit("cat7")).alias("r"), forcing.band_of(F.lit("cat99")).alias("none")).first()
     assert tuple(row) == ("moderate", 10.0, None)
+
+
+def one(spark, *columns):
+    return tuple(spark.range(1).select(*columns).first())
+
+
+def test_exchange_by_weir_and_orifice(spark):
+    """Coefficients 1.7 and 0.65, the switch at a depth of 0.1, heads held at a millimetre, nothing backwards."""
+    q = lambda depth, head: hy.regime_discharge(F.lit(depth), F.lit(head), F.lit(2.0), F.lit(0.2))
+    got = one(spark, q(0.05, 0.02), q(0.5, 0.4), q(0.0999, 0.01), q(0.1, 0.1), q(0.5, 0.0), q(0.5, -1.0), q(0.0005, 0.0001), q(0.2, 0.0002))
+    weir, orifice = lambda h: 1.7 * 2.0 * h**1.5, lambda h: 0.65 * 0.2 * (2 * 9.81 * h) ** 0.5
+    assert got == pytest.approx((weir(0.05), orifice(0.4), weir(0.0999), orifice(0.1), 0.0, 0.0, weir(0.001), orifice(0.001)), rel=1e-12)
+    assert got[:2] == pytest.approx((0.038013, 0.364186), abs=1e-6)
+
+
+def test_the_gate_and_the_ramp_between_dry_and_wet(spark):
+    w = lambda h, mode: hy.wet_weight(F.lit(h), mode)
+    assert one(spark, w(0.001, "hard"), w(0.0011, "hard"), w(0.001, "ramp"), w(0.0015, "ramp"), w(0.002, "ramp")) == pytest.approx((0.0, 1.0, 0.0, 0.5, 1.0))
+    with pytest.raises(ValueError):
+        hy.wet_weight(F.lit(1.0), "soft")
+
+
+def test_momentum_of_one_face(spark):
+    """From rest, 1 m beside 0.5 m over a flat bed: g h dt / dx times the fall; a dry face carries nothing; depth is held at a millimetre in the friction."""
+    m = lambda q, low, high, dz=0.0: hy.momentum(F.lit(q), F.lit(low), F.lit(high), F.lit(dz), F.lit(0.03), 0.5, 10.0)
+    got = one(spark, m(0.0, 1.0, 0.5), m(0.2, 1.0, 1.0), m(0.1, 0.0005, 0.0))
+    assert got == pytest.approx((9.81 * 1.0 * 0.5 * 0.05, 0.2 / (1 + 9.81 * 0.5 * 0.0009 * 0.2), 0.0), rel=1e-12)
+
+
+def test_stable_steps(spark):
+    dt = lambda h: hy.cfl_dt(F.lit(h), 10.0)
+    assert one(spark, dt(0.0), dt(0.01), dt(1.0)) == pytest.approx((10.0, 10.0, 0.7 * 10 / 9.81**0.5))
+
+
+def test_capacities_and_their_band(spark):
+    """A section 2 m wide and 1 m deep on a slope of 1 in 100; nine tenths of it count; the box's ends by hand."""
+    row = hy.capacity_band(spark.createDataFrame([(2.0, 0.01, 1.0)], "w double, s double, depth double")).first()
+
+    def full(w, n):
+        area = w + 1.0
+        return area * (area / (w + 2 * 2**0.5)) ** (2 / 3) * 0.1 / n
+
+    assert row["q_nominal"] == pytest.approx(0.9 * full(2.0, 0.015))
+    assert row["q_low"] == pytest.approx(full(1.8, 0.030) * 0.725 * 1.2 / (0.80 * 1.30)) and row["q_high"] == pytest.approx(full(2.2, 0.013) * 0.725 * 1.2 / (0.65 * 1.10))
+    with pytest.raises(hy.BandError):
+        hy.refuse_open_bands(hy.capacity_band(spark.createDataFrame([(2.0, 0.01, 1.0)], "w double, s double, depth double"), n=(0.03, 0.04)))
+
+
+def test_ground_truth_twins_and_overlap(spark, tmp_path):
+    """Rows 0.0004 degrees of latitude apart are 44 m from each other, 0.0006 degrees 67 m."""
+    from rivulet.plans.records import _near
+
+    at = lambda name, rows: spark.createDataFrame([(i, lat, 77.5, 0, y) for i, lat, y in rows], f"{name} long, lat double, lon double, x long, y long")
+    rows = [(1, 12.9, 0), (2, 12.9004, 1), (3, 12.901, 2)]
+    near = lambda metres: sorted(map(tuple, _near(at("id", rows), at("other", rows), metres).where("id < other").collect()))
+    assert near(50.0) == [(1, 2)] and near(100.0) == [(1, 2), (2, 3)]

@@ -19,7 +19,16 @@ def test_contract_names_every_broken_rule(spark):
     df = spark.createDataFrame([(1, -1), (0, 5), (None, 2)], "a int, b int")
     with pytest.raises(ContractError) as e:
         require(df, {"a_positive": F.col("a") <= 0, "b_positive": F.col("b") < 0, "fine": F.col("b") > 9})
-    assert e.value.broken == {"a_positive": 1, "b_positive": 1}
+    assert e.value.broken == {"a_positive": 2, "b_positive": 1}  # a missing value breaks the rule of a required column
+
+
+def test_missing_values_break_the_rules_of_required_columns(spark):
+    from rivulet.operators.contracts import depth_product_rules, drain_graph_rules, violations
+
+    empty = spark.createDataFrame([(None,) * 5], "segment_id int, band_low_cm int, band_high_cm int, confidence string, flood_status string")
+    assert all(r["n"] == 1 for r in violations(empty, depth_product_rules()).collect())
+    edges = spark.createDataFrame([(None, None, None, None), (0, 50, None, 3)], "from_node long, to_node long, cap long, length_m long")
+    assert {r["rule"]: r["n"] for r in violations(edges, drain_graph_rules()).collect()} == {"no_loops": 1, "length_positive": 1, "capacity_null_or_positive": 0, "flows_down": 1}
 
 
 def test_status_csv_refuses_other_headers(spark, tmp_path):
