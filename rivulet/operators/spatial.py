@@ -7,9 +7,11 @@ are split by the adaptive skew join.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import drop, save
+
 
 def bucket(c: Column, size: float) -> Column:
     return F.floor(c / size)
@@ -57,3 +59,83 @@ def lines_near(points: DataFrame, lines: DataFrame, distance: float, measured: C
     spread = lines.withColumn("bx", F.explode(F.sequence(low(F.col("x0"), F.col("x1")), high(F.col("x0"), F.col("x1"))))).withColumn("by", F.explode(F.sequence(low(F.col("y0"), F.col("y1")), high(F.col("y0"), F.col("y1")))))
     own = points.withColumns({"bx": bucket(F.col("x"), distance), "by": bucket(F.col("y"), distance)})
     return own.join(spread, ["bx", "by"]).withColumn("distance", measured).where(F.col("distance") <= distance).drop("bx", "by")
+
+
+def spread(df: DataFrame, x0: str, y0: str, x1: str, y1: str, size: float) -> DataFrame:
+    """df with (bx, by) exploded to the buckets that the box of (x0, y0) and (x1, y1) touches."""
+    low, high = lambda a, b: bucket(F.least(a, b), size), lambda a, b: bucket(F.greatest(a, b), size)
+    return df.withColumn("bx", F.explode(F.sequence(low(x0, x1), high(x0, x1)))).withColumn("by", F.explode(F.sequence(low(y0, y1), high(y0, y1))))
+
+
+def ring_edges(polygons: DataFrame, key: str) -> DataFrame:
+    """(key, ex0, ey0, ex1, ey1) for polygons (key, rings) of rings of points (x, y), outer and inner ones alike; rings close themselves."""
+    ring = polygons.select(key, F.explode("rings").alias("ring"))
+    n = F.size("ring")
+    pairs = F.transform("ring", lambda p, i: F.struct(p.alias("a"), F.element_at("ring", (i + 1) % n + 1).alias("b")))
+    e = ring.select(key, F.explode(pairs).alias("e")).select(key, F.col("e.a.x").alias("ex0"), F.col("e.a.y").alias("ey0"), F.col("e.b.x").alias("ex1"), F.col("e.b.y").alias("ey1"))
+    return e.where("ex0 <> ex1 OR ey0 <> ey1")
+
+
+def lines_in_polygons(lines: DataFrame, polygons: DataFrame, key: str, line: str, size: float) -> DataFrame:
+    """(line, key): lines (line, x0, y0, x1, y1) that meet polygons (key, rings), boundaries included, holes left out.
+
+    A line meets a polygon if it meets an edge of any of its rings, or else if its
+    first point lies inside: the edges above and below that point to its right are
+    counted, and an odd number is inside. Lines and edges meet on a grid of buckets;
+    edges are counted by bands of y, so no task holds a polygon.
+    """
+    edges = ring_edges(polygons, key)
+    turn = lambda ax, ay, bx, by, cx, cy: F.signum((F.col(bx) - F.col(ax)) * (F.col(cy) - F.col(ay)) - (F.col(by) - F.col(ay)) * (F.col(cx) - F.col(ax)))
+    own, other = ("x0", "y0", "x1", "y1"), ("ex0", "ey0", "ex1", "ey1")
+    apart = lambda a, b, c, d: (F.greatest(a, b) < F.least(c, d)) | (F.greatest(c, d) < F.least(a, b))
+    hit = (turn(*own, "ex0", "ey0") * turn(*own, "ex1", "ey1") <= 0) & (turn(*other, "x0", "y0") * turn(*other, "x1", "y1") <= 0) & ~apart("x0", "x1", "ex0", "ex1") & ~apart("y0", "y1", "ey0", "ey1")
+    crossing = spread(lines, *own, size).join(spread(edges, *other, size), ["bx", "by"]).where(hit).select(line, key).distinct()
+    # the polygons whose boxes hold the first point, by bucket; their edges by bands of y
+    corner = lambda f, c, a: f(F.transform(F.flatten("rings"), lambda p: p[c])).alias(a)
+    boxes = polygons.select(key, corner(F.array_min, "x", "wx0"), corner(F.array_min, "y", "wy0"), corner(F.array_max, "x", "wx1"), corner(F.array_max, "y", "wy1"))
+    first = lines.select(line, F.col("x0").alias("px"), F.col("y0").alias("py"), bucket(F.col("x0"), size).alias("bx"), bucket(F.col("y0"), size).alias("by"))
+    inside = first.join(spread(boxes, "wx0", "wy0", "wx1", "wy1", size), ["bx", "by"]).where("px BETWEEN wx0 AND wx1 AND py BETWEEN wy0 AND wy1").select(line, key, "px", "py", F.col("by").alias("band"))
+    low, high = bucket(F.least("ey0", "ey1"), size), bucket(F.greatest("ey0", "ey1"), size)
+    banded = edges.where("ey0 <> ey1").withColumn("band", F.explode(F.sequence(low, high)))
+    right = ((F.col("ey0") > F.col("py")) != (F.col("ey1") > F.col("py"))) & (F.col("px") < (F.col("ex1") - F.col("ex0")) * (F.col("py") - F.col("ey0")) / (F.col("ey1") - F.col("ey0")) + F.col("ex0"))
+    odd = inside.join(banded, [key, "band"]).where(right).groupBy(line, key).agg(F.count("*").alias("n")).where("n % 2 = 1").select(line, key)
+    return crossing.union(odd).distinct()
+
+
+class StarvedError(ValueError):
+    pass
+
+
+def owned_by_nodes(nodes: DataFrame, rows: int, columns: int, cell: float = 10.0, radius: float = 20.0, max_rounds: int = 100) -> DataFrame:
+    """(r, c, node_id): each cell of a grid to its nearest node (node_id, x, y) within ``radius``, so that each node on the grid owns a cell.
+
+    Ties of distance go to the least node. A node that comes away empty claims the
+    nearest cell in its reach whose owner can spare one (its own cell as a rule); of
+    several claims on a cell the least node's counts, and an owner gives at most all
+    but one of its cells a round, to the nearest claims. Rounds go on until nobody is
+    empty; where no claim is left the nodes are refused.
+    """
+    k = int(-(-radius // cell))
+    spans = F.sequence(F.lit(-k), F.lit(k))
+    home = nodes.select("node_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), bucket(F.col("y"), cell).cast("int").alias("r0"), bucket(F.col("x"), cell).cast("int").alias("c0")).where(F.col("r0").between(0, rows - 1) & F.col("c0").between(0, columns - 1))
+    near = home.withColumn("r", F.explode(F.transform(spans, lambda i: F.col("r0") + i))).withColumn("c", F.explode(F.transform(spans, lambda i: F.col("c0") + i))).where(F.col("r").between(0, rows - 1) & F.col("c").between(0, columns - 1))
+    d2 = F.pow((F.col("c") + 0.5) * cell - F.col("x"), 2) + F.pow((F.col("r") + 0.5) * cell - F.col("y"), 2)
+    reach = save(near.select("node_id", "r", "c", F.round(d2, 6).alias("d2")).where(F.col("d2") <= radius * radius), "reach")
+    own = save(reach.groupBy("r", "c").agg(F.min_by("node_id", F.struct("d2", "node_id")).alias("node_id")), "owned")
+    for _ in range(max_rounds):
+        starved = save(reach.select("node_id").distinct().join(own.select("node_id"), "node_id", "left_anti"), "starved")
+        if starved.isEmpty():
+            return own
+        stock = own.groupBy("node_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("node_id").alias("owner"), "n")
+        offer = own.select("r", "c", F.col("node_id").alias("owner")).join(stock, "owner")
+        # each empty node's nearest cell that can be spared, then one claim a cell, then as many as the owner can give
+        asked = reach.join(starved, "node_id", "left_semi").join(offer, ["r", "c"]).groupBy("node_id").agg(F.min(F.struct("d2", "r", "c", "owner", "n")).alias("m")).select("node_id", "m.*")
+        single = asked.groupBy("r", "c", "owner", "n").agg(F.min(F.struct("node_id", "d2")).alias("m")).select("r", "c", "owner", "n", "m.node_id", "m.d2")
+        place = F.row_number().over(Window.partitionBy("owner").orderBy("d2", "node_id"))
+        given = save(single.withColumn("k", place).where("k < n").select("r", "c", F.col("node_id").alias("taker")), "given")
+        if given.isEmpty():
+            raise StarvedError(f"{starved.count()} nodes can't own a cell")
+        after = save(own.join(given, ["r", "c"], "left").select("r", "c", F.coalesce("taker", "node_id").alias("node_id")), "owned")
+        drop(own, starved, given)
+        own = after
+    raise StarvedError("ownership did not settle")
