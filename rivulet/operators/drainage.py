@@ -5,13 +5,13 @@ from __future__ import annotations
 import heapq
 import math
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import drop, save
 from .components import connected_components
+from .floods import EIGHT, levels
 from .network import CycleError
 from .ranking import ranked
 
@@ -93,45 +93,14 @@ def walks(starts: DataFrame, pointer: DataFrame, footprints: DataFrame, rows: in
     return done.unionByName(front.select("id", F.lit("max_steps_abort").alias("outcome"), F.lit(None).cast("int").alias("r"), F.lit(None).cast("int").alias("c"), "steps"))
 
 
-def filled(cells: DataFrame, rows: int, columns: int, eps: float = 1e-4, tile: int = 64, max_rounds: int = 1000) -> DataFrame:
+def filled(cells: DataFrame, rows: int, columns: int, eps: float = 1e-4, tile: int = 64) -> DataFrame:
     """(r, c, z, w): the surface w on which every cell drains to the rim, each step falling by eps or more.
 
     w is the least surface over z with w >= (its lowest neighbour's w) + eps where it
-    is above z; the rim keeps its z. That is what a priority flood gives, but it is a
-    fixpoint, so tiles with a border of one cell are lowered on their own and exchange
-    borders until none changes: as many rounds as ways cross tiles.
+    is above z; the rim keeps its z. That is what a priority flood gives (``levels``).
     """
     rim = (F.col("r") == 0) | (F.col("c") == 0) | (F.col("r") == rows - 1) | (F.col("c") == columns - 1)
-    now = save(cells.select("r", "c", "z", F.when(rim, F.col("z")).otherwise(F.lit(float("inf"))).alias("w")), "filled")
-
-    def lower(part: pd.DataFrame) -> pd.DataFrame:
-        tr, tc = int(part.tr.iloc[0]), int(part.tc.iloc[0])
-        z, w = np.full((2, tile + 2, tile + 2), np.inf)
-        i, j = part.r.to_numpy() - tr * tile + 1, part.c.to_numpy() - tc * tile + 1
-        z[i, j], w[i, j] = part.z, part.w
-        edge = np.zeros(z.shape, bool)
-        edge[i, j] = (part.r == 0) | (part.c == 0) | (part.r == rows - 1) | (part.c == columns - 1)
-        inner = np.s_[1:-1, 1:-1]
-        while True:
-            low = np.full((tile, tile), np.inf)
-            for _, a, b in STEPS:
-                np.minimum(low, w[1 + a : 1 + a + tile, 1 + b : 1 + b + tile], out=low)
-            new = np.where(edge[inner] | np.isinf(z[inner]), w[inner], np.minimum(w[inner], np.maximum(z[inner], low + eps)))
-            if (new == w[inner]).all():
-                break
-            w[inner] = new
-        own = (i > 0) & (i <= tile) & (j > 0) & (j <= tile)
-        return pd.DataFrame({"r": part.r[own], "c": part.c[own], "z": part.z[own], "w": w[i[own], j[own]], "changed": w[i[own], j[own]] != part.w[own]})
-
-    for _ in range(max_rounds):
-        near = lambda x: F.array_distinct(F.array(*(F.floor((F.col(x) + s) / tile).cast("int") for s in (-1, 0, 1))))
-        tiles = now.select("*", F.explode(near("r")).alias("tr")).select("*", F.explode(near("c")).alias("tc")).where((F.col("tr") >= 0) & (F.col("tc") >= 0) & (F.col("tr") * tile < rows) & (F.col("tc") * tile < columns))
-        new = save(tiles.groupBy("tr", "tc").applyInPandas(lower, "r int, c int, z double, w double, changed boolean"), "filled")
-        drop(now)
-        now = new
-        if now.where("changed").isEmpty():
-            return now.select("r", "c", "z", "w")
-    raise RuntimeError("the surface did not settle")
+    return cells.select("r", "c", "z").join(levels(cells.select("r", "c", "z", rim.alias("seed")), rows, columns, EIGHT, eps, tile), ["r", "c"])
 
 
 def flooded(cells: DataFrame, basins: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions import hydraulics as hy
-from ..operators import coupling
+from ..operators import coupling, floods
 from ..operators import drainage as op
 from ..operators import solver, spatial
 from ..operators.ranking import ranked
@@ -76,6 +76,32 @@ def filled_surface(spark, d):
     return op.filled(cells.select("r", "c", F.col("depth_m").alias("z")), rows, columns).select("r", "c", F.round("w", 6).alias("w"))
 
 
+def _terrain(spark, d):
+    """Depths as heights in eight-metre steps of relief, with costs, what mustn't be filled and kept basins."""
+    cells, rows, columns = _grid(spark, d)
+    water, road, building = F.col("basin_class") == 1, F.col("segment_id") % 4 == 1, F.col("basin_class") == 4
+    cost = F.when(building, 999).when(water, 1).when(road, 2).otherwise(3)
+    z = F.round(F.col("depth_m") * 8 + (F.col("r") + F.col("c")) % 23 / 10.0, 6)
+    return cells.select("r", "c", z.alias("z"), cost.alias("cost"), (building | water | road).alias("no_fill"), ((F.col("r") * 5 + F.col("c") * 11) % 211 == 0).alias("kept")), rows, columns
+
+
+@query("conditioned_surface")
+def conditioned_surface(spark, d):
+    """GR17: the surface cut by at most 2.60 m and filled by at most 3.25 m; tests hold it against a heap and hold the pits that are left within their bound."""
+    cells, rows, columns = _terrain(spark, d)
+    return floods.conditioned(cells, rows, columns).select("r", "c", F.round("w", 9).alias("w"))
+
+
+@query("carved_surface", bound("""SELECT r, c, round(coalesce(level, z), 9) AS z FROM t LEFT JOIN (SELECT mr AS r, mc AS c, min(level) AS level FROM (SELECT *, row_number() OVER (PARTITION BY pr, pc ORDER BY cost, dz, k) AS n FROM tried WHERE cost < 999 AND NOT kept AND mz > level AND mz - level <= 2.60) WHERE n = 1 GROUP BY 1, 2) USING (r, c)""", "cells",
+    t="SELECT r, c, round(depth_m * 8 + (r + c) % 23 / 10.0, 6) AS z, CASE WHEN basin_class = 4 THEN 999 WHEN basin_class = 1 THEN 1 WHEN segment_id % 4 = 1 THEN 2 ELSE 3 END AS cost, (r * 5 + c * 11) % 211 = 0 AS kept FROM cells",
+    pit="SELECT p.r, p.c, any_value(p.z) AS z FROM (SELECT t.*, t.r + i AS nr, t.c + j AS nc FROM t, (VALUES (-1, 0), (1, 0), (0, -1), (0, 1)) s(i, j)) p JOIN t o ON p.nr = o.r AND p.nc = o.c WHERE NOT p.kept GROUP BY 1, 2 HAVING count(*) = 4 AND min(o.z) > any_value(p.z)",
+    way="SELECT row_number() OVER () - 1 AS k, * FROM (VALUES (-1, -1, -1, 0), (-1, -1, 0, -1), (-1, 1, -1, 0), (-1, 1, 0, 1), (1, -1, 1, 0), (1, -1, 0, -1), (1, 1, 1, 0), (1, 1, 0, 1)) w(i, j, a, b)",
+    tried="SELECT p.r AS pr, p.c AS pc, k, x.z AS dz, m.r AS mr, m.c AS mc, m.z AS mz, m.cost, m.kept, (p.z + x.z) / 2 AS level FROM (SELECT pit.*, k, pit.r + i AS xr, pit.c + j AS xc, pit.r + a AS nr, pit.c + b AS nc FROM pit, way) p JOIN t x ON x.r = xr AND x.c = xc JOIN t m ON m.r = nr AND m.c = nc WHERE x.z < p.z"))
+def carved_surface(spark, d):
+    """GR17: ways out of pits over their corners."""
+    return floods.carved(_terrain(spark, d)[0]).select("r", "c", F.round("z", 9).alias("z"))
+
+
 @query("basin_floods")
 def basin_floods(spark, d):
     """GR15, SRC25: basins read from a register of outlets "(r,c)" claim what lies below their spills; tests hold brute force."""
