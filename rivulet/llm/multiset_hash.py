@@ -1,12 +1,16 @@
 """Homomorphic multiset hash of documents by paragraphs.
 
 A paragraph (a non-empty line) gives one wide vector: EQUAL lanes of 32 bits
-expanded from its hash, and LANES lanes of 16 bits to which each of its runs of
-GRAM bytes adds +1 or -1. A document's fingerprint is the sum of its paragraphs'
-vectors, lane by lane modulo 2**32 and 2**16. So paragraphs may come in any order,
+expanded from its hash, and LANES lanes of 32 bits to which each different run of
+GRAM bytes in it adds or subtracts the root of how often it occurs there, times
+WEIGHT. A document's fingerprint is the sum of its paragraphs' vectors, lane by lane
+modulo 2**32. So paragraphs may come in any order,
 and adding or taking a paragraph adds or subtracts its vector: no text is read
 again. The first lanes decide equality; the others are a sketch whose cosine
-estimates what share of the text two documents have in common.
+estimates what share of the text two documents have in common. The root keeps a run
+that fills a paragraph from ruling the cosine: a paragraph weighs as much as it is
+long, whatever repeats in it. (Paragraphs that repeat count as often as they occur,
+as a sum must.)
 
 Null text: empty, whose fingerprint is zero. Documents follow one another by
 doc_id (null first), rows with equal ids by text. An empty table gives no rows; a
@@ -30,6 +34,8 @@ from .suffix_array import BYTE_VALUES
 from .text import Rolling
 
 EQUAL, LANES, GRAM = 16, 256, 16
+#: Weight of a run that occurs once, and bytes whose runs are counted at once.
+WEIGHT, PIECE = 16, 1 << 22
 _STEPS = np.arange(1, EQUAL // 2 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 _ROLLING = Rolling()
 
@@ -42,26 +48,47 @@ def _expanded(seeds: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(31))).view(np.uint32)
 
 
+def _blocks(paragraphs: list[bytes]) -> Iterator[list[bytes]]:
+    """Consecutive paragraphs of at most PIECE bytes; a longer one comes in pieces of its own, which share a gram's bytes."""
+    block, size = [], 0
+    for p in paragraphs:
+        if block and size + len(p) > PIECE:
+            yield block
+            block, size = [], 0
+        if len(p) > PIECE:
+            yield from ([p[at : at + PIECE + GRAM - 1]] for at in range(0, len(p) - GRAM + 1, PIECE))
+        elif len(p) >= GRAM:
+            block.append(p)
+            size += len(p)
+    if block:
+        yield block
+
+
 def vector(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(equality lanes, sketch lanes) of a text; the sum of those of its paragraphs."""
     paragraphs = [p for p in text.split(b"\n") if p]
     if not paragraphs:
-        return np.zeros(EQUAL, np.uint32), np.zeros(LANES, np.int16)
+        return np.zeros(EQUAL, np.uint32), np.zeros(LANES, np.int32)
     seeds = np.fromiter((xxhash.xxh3_64_intdigest(p) for p in paragraphs), np.uint64, len(paragraphs))
     equal = _expanded(seeds).sum(axis=0, dtype=np.uint32)
-    data = np.frombuffer(text, np.uint8)
-    counts = np.zeros(2 * LANES, np.int64)
-    piece = 1 << 22
-    for at in range(0, max(1, len(data) - GRAM + 1), piece):
-        part = data[at : at + piece + GRAM - 1]
-        if len(part) >= GRAM:
-            lines = np.cumsum(np.r_[False, part == 10])
-            grams = _ROLLING.every(_ROLLING.sums(BYTE_VALUES[part]), GRAM)
-            inside = lines[GRAM:] == lines[:-GRAM]
-            counts += np.bincount((grams[inside] >> np.uint64(55)).astype(np.int64), minlength=2 * LANES)
+    counts = np.zeros(2 * LANES)
+    for block in _blocks(paragraphs):
+        length = np.array([len(p) for p in block])
+        grams = _ROLLING.every(_ROLLING.sums(BYTE_VALUES[np.frombuffer(b"".join(block), np.uint8)]), GRAM)
+        # which paragraph a gram begins in; those that run into the next one go
+        line = np.repeat(np.arange(len(block)), length)[: len(grams)]
+        inside = np.ones(len(grams), bool)
+        for end in np.cumsum(length)[:-1]:
+            inside[end - GRAM + 1 : end] = False
+        key = grams ^ (line.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        order = np.argsort(key[inside])
+        own, lane = key[inside][order], (grams[inside][order] >> np.uint64(55)).astype(np.int64)
+        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        often, lane = np.diff(np.r_[first, len(own)]), lane[first]
+        counts += np.bincount(lane, np.rint(WEIGHT * np.sqrt(often)), minlength=2 * LANES)
     short = seeds[[len(p) < GRAM for p in paragraphs]]
-    counts += np.bincount((short >> np.uint64(55)).astype(np.int64), minlength=2 * LANES)
-    return equal, (counts[1::2] - counts[::2]).astype(np.int16)
+    counts += WEIGHT * np.bincount((short >> np.uint64(55)).astype(np.int64), minlength=2 * LANES)
+    return equal, (counts[1::2] - counts[::2]).astype(np.int64).astype(np.int32)
 
 
 def add(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -73,12 +100,12 @@ def subtract(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 
 
 def hexed(v: tuple[np.ndarray, np.ndarray]) -> str:
-    return (v[0].astype(">u4").tobytes() + v[1].astype(">i2").tobytes()).hex()
+    return (v[0].astype(">u4").tobytes() + v[1].astype(">i4").tobytes()).hex()
 
 
 def unhexed(text: str) -> tuple[np.ndarray, np.ndarray]:
     raw = bytes.fromhex(text)
-    return np.frombuffer(raw, ">u4", EQUAL).astype(np.uint32), np.frombuffer(raw, ">i2", LANES, 4 * EQUAL).astype(np.int16)
+    return np.frombuffer(raw, ">u4", EQUAL).astype(np.uint32), np.frombuffer(raw, ">i4", LANES, 4 * EQUAL).astype(np.int32)
 
 
 def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
