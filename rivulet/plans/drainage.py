@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -10,6 +13,7 @@ from ..operators import coupling, floods
 from ..operators import drainage as op
 from ..operators import solver, spatial
 from ..operators.ranking import ranked
+from ..session import save, shared_dir
 from ..sources import bindings as b
 from .network import _NODES, _routed
 from .registry import query
@@ -175,12 +179,27 @@ def coupled_step(spark, d):
 
 @query("coupled_run")
 def coupled_run(spark, d):
-    """PH10: three surface and coupling steps; a book a step. Tests hold the volume."""
+    """PH10, PH16: three surface and coupling steps; a book a step, with the monitor of the step's stability. Tests hold the volume."""
     cells, nodes, edges, levels = _coupled(spark, d)
     state = cells.join(b.cells(spark, d).select("r", "c", (0.01 * F.col("c")).alias("z")), ["r", "c"]).withColumns({"qx": F.lit(0.0), "qy": F.lit(0.0)})
     _, _, books = coupling.simulate(state, nodes, edges, levels, [0.5, 0.5, 0.25], 10.0)
-    rows = [(i, k["dt"], k["surface_m3"], k["nodes_m3"], k["captured_m3"], k["returned_m3"]) for i, k in enumerate(books)]
-    return spark.createDataFrame(rows, "step int, dt double, surface_m3 double, nodes_m3 double, captured_m3 double, returned_m3 double").select("step", "dt", *(F.round(c, 3).alias(c) for c in ("surface_m3", "nodes_m3", "captured_m3", "returned_m3")))
+    names = ("surface_m3", "nodes_m3", "captured_m3", "returned_m3", "factor")
+    rows = [(i, k["dt"], *(k[c] for c in names), k["alarm"]) for i, k in enumerate(books)]
+    written = save(spark.createDataFrame(rows, "step int, dt double, " + ", ".join(f"{c} double" for c in names) + ", alarm boolean"), "books")
+    return written.select("step", "dt", *(F.round(c, 3).alias(c) for c in names), "alarm")
+
+
+@query("run_snapshots")
+def run_snapshots(spark, d):
+    """ST11, SNK5: twelve seconds on the whole grid with a snapshot at every fourth second, and the steps in a sidecar that is read back; a row a snapshot. Tests hold the times and the volume."""
+    state = b.cells(spark, d).select("r", "c", F.col("depth_m").alias("h"), (0.01 * F.col("c")).alias("z"), F.lit(0.0).alias("qx"), F.lit(0.0).alias("qy"))
+    taken: list = []
+    _, schedule = solver.simulate(state, 12.0, 10.0, snapshot_every=4.0, snapshots=taken)
+    path = f"{shared_dir(spark)}/rivulet/steps-{uuid.uuid4().hex}.gz"
+    solver.write_schedule(spark, path, [dt for dt, *_ in schedule])
+    steps = len(solver.read_schedule(spark, path))
+    shots = [cells.agg(F.sum("h").alias("volume"), F.max("h").alias("deepest")).select(F.lit(t).alias("t"), F.lit(steps).alias("steps"), F.round(F.col("volume") * 100, 3).alias("volume_m3"), F.round("deepest", 6).alias("deepest_m")) for t, cells in taken]
+    return reduce(lambda a, z: a.unionByName(z), shots)
 
 
 @query("replayed_schedule")

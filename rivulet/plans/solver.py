@@ -83,9 +83,9 @@ def boundary_outflux(spark, d):
 
 @query("solver_steps")
 def solver_steps(spark, d):
-    """PH1, PH5: thirty seconds on the whole grid; tests hold volume, positivity and symmetry."""
-    state = b.cells(spark, d).select("r", "c", F.col("depth_m").alias("h"), (0.01 * F.col("c")).alias("z"), F.lit(0.0).alias("qx"), F.lit(0.0).alias("qy"))
-    final, _ = op.simulate(state, 30.0, 10.0, rain_m_s=1e-6)
+    """PH1, PH3, PH4, PH5, PRJ4: thirty seconds on the whole grid, with conveyance of faces and a free rim; tests hold a step against plain loops, and volume, positivity and symmetry."""
+    state = b.cells(spark, d).select("r", "c", F.col("depth_m").alias("h"), (0.01 * F.col("c")).alias("z"), F.lit(0.0).alias("qx"), F.lit(0.0).alias("qy"), F.when(F.col("basin_class") == 4, 0.3).otherwise(1.0).alias("cx"), F.when(F.col("basin_class") == 3, 0.6).otherwise(1.0).alias("cy"))
+    final, _ = op.simulate(state, 30.0, 10.0, rain_m_s=1e-6, boundary="free")
     return final.select("r", "c", F.round("h", 6).alias("h"))
 
 
