@@ -6,14 +6,17 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators import spatial
 from ..operators.raster import Grid
 from ..session import shared_dir
 from ..sources import bindings as b
-from ..sources import rasters
+from ..sources import rasters, readers, writers
 from ..streaming import state
 from ..streaming.sinks import JsonLog
+from .product import SIMPLE, status
 from .registry import query
 from .sql import bound
+from .stitch import _HOLE, _RING
 
 
 def _folder(spark) -> str:
@@ -96,3 +99,129 @@ def poll_log_appended(spark, d):
     for _ in range(2):
         stream.writeStream.format("json_log").option("path", f"{base}/log").option("checkpointLocation", f"{base}/check").trigger(availableNow=True).start().awaitTermination()
     return spark.read.option("pathGlobFilter", "*.jsonl").text(f"{base}/log").select(F.col("value").alias("line"))
+
+
+_PRODUCT = "SELECT segment_id, band_low_cm, band_high_cm, confidence, flood_status FROM status"
+
+
+def _product(spark, d):
+    """The depth product with all its columns, as text where the contract says so."""
+    lit = lambda x: F.lit(x)
+    return status(spark, d, contiguous=None).select(lit("r1").alias("run_id"), "segment_id", "band_low_cm", "band_high_cm", "confidence", "flood_status", lit("2022-09-04T00:00:00Z").alias("valid_time_utc"), lit("2022-09-04T00:00:00Z").alias("issue_time_utc"), lit(0).alias("forecast_lead_minutes"), lit("runs/r1/manifest.json").alias("source_manifest_path"))
+
+
+@query("product_twins", bound(f"SELECT *, TRUE AS same FROM ({_PRODUCT})", "segments", "cells", **SIMPLE))
+def product_twins(spark, d):
+    """SNK1, SRC1: the product written as CSV and JSON by rename, read back with their types, and whether the twins agree."""
+    base = _folder(spark)
+    writers.publish_twins(_product(spark, d), f"{base}/status", "segment_id")
+    names = ["segment_id", "band_low_cm", "band_high_cm", "confidence", "flood_status"]
+    csv = readers.status_csv(spark, f"{base}/status.csv").select(*names)
+    other = spark.read.schema("segment_id int, band_low_cm int, band_high_cm int, confidence string, flood_status string").json(f"{base}/status.json")
+    twin = other.select("segment_id", F.struct(*names[1:]).alias("twin"))
+    return csv.join(twin, "segment_id").select(*names, (F.struct(*names[1:]) == F.col("twin")).alias("same"))
+
+
+@query("product_lists", bound("SELECT flood_status, count(*) AS n, CAST(sum(band_high_cm) AS BIGINT) AS cm FROM status GROUP BY 1", "segments", "cells", **SIMPLE))
+def product_lists(spark, d):
+    """SRC2: the product as JSON objects whose ``rows`` is the list, a thousand segments a file, read back."""
+    base = _folder(spark)
+    rows = F.collect_list(F.struct("segment_id", "band_high_cm", "flood_status"))
+    one = status(spark, d, contiguous=None).groupBy(F.floor(F.col("segment_id") / 1000).alias("part")).agg(F.to_json(F.struct(rows.alias("rows"))).alias("value"))
+    one.repartition("part").write.partitionBy("part").text(base)
+    return readers.twin_json(spark, base).groupBy("flood_status").agg(F.count("*").alias("n"), F.sum("band_high_cm").alias("cm"))
+
+
+@query("frame_folders", bound("SELECT 't' || lpad(CAST((frame_index - (SELECT min(frame_index) FROM frames)) * 21600 AS VARCHAR), 7, '0') AS frame_tag, count(*) AS n, count(*) FILTER (flood_status = 'flooded') AS flooded FROM frames GROUP BY 1", "frames"))
+def frame_folders(spark, d):
+    """SNK2: a folder a frame, named by its offset, read back by tag."""
+    base, f = _folder(spark), b.frames(spark, d)
+    first = f.agg(F.min("frame_index").alias("first"))
+    writers.publish_frames(f.join(F.broadcast(first)).withColumn("offset_seconds", (F.col("frame_index") - F.col("first")) * 21600), base)
+    return spark.read.parquet(base).groupBy("frame_tag").agg(F.count("*").alias("n"), F.count_if(F.col("flood_status") == "flooded").alias("flooded"))
+
+
+@query("ward_join_file", bound("SELECT ward_no, count(*) AS n FROM points JOIN wards ON x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 GROUP BY 1", "points", "wards"))
+def ward_join_file(spark, d):
+    """SNK7: a join table written, its rows counted again, and read back."""
+    base = _folder(spark)
+    writers.publish_checked(spatial.in_rectangles(b.points(spark, d), b.wards(spark, d), 200.0, closed=True).select("point_id", "ward_no"), base)
+    return spark.read.parquet(base).groupBy("ward_no").agg(F.count("*").alias("n"))
+
+
+@query("discovered_runs", "SELECT 'r' || s_suppkey AS run_id, CASE WHEN s_suppkey % 7 = 0 THEN 'not completed' WHEN s_suppkey % 5 = 0 THEN 'no time' END AS skipped FROM supplier")
+def discovered_runs(spark, d):
+    """SRC21, SRC22: a manifest file a run, listed and read back; those that don't count say why."""
+    base, k = _folder(spark), F.col("s_suppkey")
+    m = F.to_json(F.struct(F.concat(F.lit("r"), k.cast("string")).alias("run_id"), F.when(k % 7 == 0, "running").otherwise("completed").alias("status"), F.when(k % 5 != 0, F.concat(F.lit("2024-01-01T00:00:"), k.cast("string"), F.lit("Z"))).alias("completed_utc")))
+    b.table(spark, d, "supplier").select(k.alias("run"), m.alias("value")).repartition("run").write.partitionBy("run").text(base)
+    return readers.discovered_runs(spark, f"{base}/run=*/*.txt").select("run_id", "skipped")
+
+
+def _kml(marks, path):
+    """Placemarks (part, mark) as KML documents, one a part."""
+    text = F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?><kml><Document>'), F.array_join(F.collect_list("mark"), ""), F.lit("</Document></kml>"))
+    marks.groupBy("part").agg(text.alias("value")).repartition("part").write.partitionBy("part").text(path)
+
+
+@query("kml_points", bound("SELECT 'place ' || point_id AS name, 77.4 + x / 2000.0 AS lon, 12.75 + y / 2000.0 AS lat FROM points WHERE x BETWEEN 100 AND 900 AND y BETWEEN 100 AND 900", "points"))
+def kml_points(spark, d):
+    """SRC7, SRC9: placemarks written as KML and read back inside a box, its edges included."""
+    base = _folder(spark)
+    lon, lat = 77.4 + F.col("x") / 2000.0, 12.75 + F.col("y") / 2000.0
+    mark = F.concat(F.lit("<Placemark><name>place "), F.col("point_id").cast("string"), F.lit("</name><Point><coordinates>"), lon.cast("string"), F.lit(","), lat.cast("string"), F.lit(",0</coordinates></Point></Placemark>"))
+    _kml(b.points(spark, d).select(F.floor(F.col("point_id") / 1000).alias("part"), mark.alias("mark")), base)
+    return readers.placemarks(spark, f"{base}/part=*/*.txt", (77.4 + 100 / 2000.0, 12.75 + 100 / 2000.0, 77.4 + 900 / 2000.0, 12.75 + 900 / 2000.0))
+
+
+@query("kml_wards", bound("SELECT name, 6 AS n_ring, 1 AS n_holes, 5 AS n_hole FROM wards", "wards"))
+def kml_wards(spark, d):
+    """SRC8: wards with a hole written as KML polygons and read back."""
+    base = _folder(spark)
+
+    def ring(points):
+        text = F.concat_ws(" ", *(F.concat_ws(",", F.expr(f"CAST({x} AS STRING)"), F.expr(f"CAST({y} AS STRING)")) for x, y in (*points, points[0])))
+        return F.concat(F.lit("<LinearRing><coordinates>"), text, F.lit("</coordinates></LinearRing>"))
+
+    mark = F.concat(F.lit("<Placemark><name>"), F.col("name"), F.lit("</name><Polygon><outerBoundaryIs>"), ring(_RING), F.lit("</outerBoundaryIs><innerBoundaryIs>"), ring(_HOLE), F.lit("</innerBoundaryIs></Polygon></Placemark>"))
+    _kml(b.wards(spark, d).select(F.floor(F.col("ward_no") / 10).alias("part"), mark.alias("mark")), base)
+    return readers.polygons(spark, f"{base}/part=*/*.txt").select("name", F.size("ring").alias("n_ring"), F.size("holes").alias("n_holes"), F.size(F.element_at("holes", 1)).alias("n_hole"))
+
+
+@query("geojson_footprints", bound("SELECT count(*) FILTER (point_id % 50 = 0) AS malformed, count(*) FILTER (point_id % 50 > 0 AND x + 8 >= 200 AND x <= 600 AND y + 8 >= 200 AND y <= 600) AS inside, count(*) FILTER (point_id % 50 > 0 AND NOT (x + 8 >= 200 AND x <= 600 AND y + 8 >= 200 AND y <= 600)) AS outside FROM points", "points"))
+def geojson_footprints(spark, d):
+    """SRC16: footprints as gzipped lines of GeoJSON; malformed lines are counted, the others meet a box or not."""
+    base = _folder(spark)
+    at = lambda i, j: F.concat(F.lit("["), (F.col("x") + i).cast("string"), F.lit(","), (F.col("y") + j).cast("string"), F.lit("]"))
+    line = F.concat(F.lit('{"type":"Feature","geometry":{"type":"Polygon","coordinates":[['), F.concat_ws(",", at(0, 0), at(8, 0), at(8, 8), at(0, 8), at(0, 0)), F.lit("]]}}"))
+    b.points(spark, d).select(F.when(F.col("point_id") % 50 == 0, "{broken").otherwise(line).alias("value")).write.option("compression", "gzip").text(base)
+    met = readers.geojson_in_box(spark, base, (200.0, 200.0, 600.0, 600.0))
+    return met.agg(F.count_if(~F.col("ok")).alias("malformed"), F.count_if("inside").alias("inside"), F.count_if(F.col("ok") & ~F.col("inside")).alias("outside"))
+
+
+@query("checked_seed", "SELECT 8 AS files, 7 AS matching")
+def checked_seed(spark, d):
+    """SRC19, SRC23: files against digests that are known, one of which is off."""
+    base = _folder(spark)
+    b.segments(spark, d).repartitionByRange(8, "segment_id").write.csv(base)
+    known = spark.read.format("binaryFile").load(f"{base}/*.csv").select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha"))
+    expected = {r["name"]: "0" * 64 if "part-00003" in r["name"] else r["sha"] for r in known.collect()}  # a digest for each of eight files
+    found = readers.checked_files(spark, f"{base}/*.csv", expected)
+    return found.agg(F.count("*").cast("int").alias("files"), F.count_if("matches").cast("int").alias("matching"))
+
+
+@query("manifest_lifecycle", bound("SELECT 'completed' AS status, count(*) AS rows FROM cells", "cells"))
+def manifest_lifecycle(spark, d):
+    """SNK9, SNK6: a run is started, its product published by rename, and completed; a second run of that name is refused."""
+    base = _folder(spark)
+    run = writers.Manifest(spark, f"{base}/manifest.json", "r1")
+    run.start(cells="cells")
+    try:
+        writers.Manifest(spark, f"{base}/manifest.json", "r2").start()
+        raise AssertionError("a second run was let in")
+    except FileExistsError:
+        pass
+    writers.publish(b.cells(spark, d), f"{base}/cells")
+    run.complete(rows=spark.read.parquet(f"{base}/cells").count())
+    state = spark.read.schema("status string, outputs struct<rows: bigint>").json(f"{base}/manifest.json")
+    return state.select("status", F.col("outputs.rows").alias("rows"))

@@ -120,10 +120,11 @@ def local_max_5x5_hits(spark, d):
     return near.select("local_max_m", F.explode(F.array(*map(F.lit, (0.1, 0.3, 0.5)))).alias("threshold_m")).groupBy("threshold_m").agg(F.count_if(F.col("local_max_m") > F.col("threshold_m")).alias("hits"))
 
 
-@query("crop_canonical", bound("SELECT r - 10 AS r, c - 10 AS c, depth_m FROM cells WHERE r BETWEEN 10 AND 109 AND c BETWEEN 10 AND 109", "cells"))
+@query("crop_canonical", bound("SELECT r - 10 AS r, c - 10 AS c, depth_m FROM cells, side WHERE r BETWEEN 10 AND 120 * k - 11 AND c BETWEEN 10 AND 120 * k - 11", "cells"))
 def crop_canonical(spark, d):
-    """PRJ7, SNK4"""
-    return b.cells(spark, d).where("r BETWEEN 10 AND 109 AND c BETWEEN 10 AND 109").select((F.col("r") - 10).alias("r"), (F.col("c") - 10).alias("c"), "depth_m")
+    """PRJ7: the grid without a margin of ten cells, whatever its size."""
+    last = 120 * b.side(spark, d) - 11
+    return b.cells(spark, d).where(F.col("r").between(10, last) & F.col("c").between(10, last)).select((F.col("r") - 10).alias("r"), (F.col("c") - 10).alias("c"), "depth_m")
 
 
 @query("tile_window", bound("SELECT r, c, depth_m FROM cells WHERE r BETWEEN 20 AND 39 AND c BETWEEN 40 AND 79", "cells"))

@@ -18,4 +18,4 @@ def query(name: str, oracle: str | None = None) -> Callable:
     return keep
 
 
-from . import checks, drainage, files, forcing, network, product, records, solver, spatial, stitch, streets, terrain, validation  # noqa: E402, F401
+from . import checks, drainage, files, forcing, junctions, network, product, records, solver, spatial, stitch, streets, terrain, validation  # noqa: E402, F401

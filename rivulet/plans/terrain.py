@@ -41,11 +41,12 @@ def simplified_lines(spark, d):
 _LAYERS = ("depth_m", "segment_id", "basin_class")
 
 
-@query("stack_report", bound(" UNION ALL ".join(f"SELECT '{grid}' AS grid, '{x}' AS layer, min({x})::DOUBLE AS least, max({x})::DOUBLE AS most, count(*) FILTER ({x} IS NULL) AS nulls, count(*) FILTER ({x} = 0) AS zeros, count(*) AS n FROM cells WHERE {where}" for grid, where in (("buffered", "TRUE"), ("canonical", "r BETWEEN 10 AND 109 AND c BETWEEN 10 AND 109")) for x in _LAYERS), "cells"))
+@query("stack_report", bound(" UNION ALL ".join(f"SELECT '{grid}' AS grid, '{x}' AS layer, min({x})::DOUBLE AS least, max({x})::DOUBLE AS most, count(*) FILTER ({x} IS NULL) AS nulls, count(*) FILTER ({x} = 0) AS zeros, count(*) AS n FROM cells WHERE {where}" for grid, where in (("buffered", "TRUE"), ("canonical", "r BETWEEN 10 AND 120 * (SELECT k FROM side) - 11 AND c BETWEEN 10 AND 120 * (SELECT k FROM side) - 11")) for x in _LAYERS), "cells"))
 def stack_report(spark, d):
     """SNK13: each layer's range, gaps and zeros on the buffered grid and its canonical crop, in one pass."""
     cells = b.cells(spark, d)
-    inside = F.col("r").between(10, 109) & F.col("c").between(10, 109)
+    last = 120 * b.side(spark, d) - 11
+    inside = F.col("r").between(10, last) & F.col("c").between(10, last)
     layers = F.array(*(F.struct(F.lit(x).alias("layer"), F.col(x).cast("double").alias("v")) for x in _LAYERS))
     grids = F.when(inside, F.array(F.lit("buffered"), F.lit("canonical"))).otherwise(F.array(F.lit("buffered")))
     v = F.col("x.v")

@@ -67,6 +67,16 @@ def geojson_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(v.isNotNull().alias("ok"), at(0).alias("lon"), at(1).alias("lat"))
 
 
+def geojson_in_box(spark: SparkSession, path: str, box: tuple[float, float, float, float]) -> DataFrame:
+    """(ok, inside, ring) of line-delimited GeoJSON polygons (gzip too): whether the outer ring's own box meets a box (west, south, east, north; edges count); malformed lines are ok = false and inside = false."""
+    schema = "geometry struct<type: string, coordinates: array<array<array<double>>>>"
+    parsed = spark.read.text(path).select(F.from_json("value", schema).alias("g"))
+    ring = F.element_at("g.geometry.coordinates", 1)
+    ends = lambda f, i: f(F.transform("ring", lambda p: p[i]))
+    meets = (ends(F.array_max, 0) >= box[0]) & (ends(F.array_min, 0) <= box[2]) & (ends(F.array_max, 1) >= box[1]) & (ends(F.array_min, 1) <= box[3])
+    return parsed.select(F.when(F.size("g.geometry.coordinates") > 0, ring).alias("ring")).select(F.col("ring").isNotNull().alias("ok"), F.coalesce(meets, F.lit(False)).alias("inside"), "ring")
+
+
 def checked_files(spark: SparkSession, path: str, expected: dict[str, str]) -> DataFrame:
     """(name, sha256, matches) for files whose digests are known."""
     names = spark.createDataFrame(list(expected.items()), "name string, expected string")
