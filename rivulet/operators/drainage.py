@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import drop, save
+from ..session import Appended, drop, save
 from .components import connected_components
 from .floods import EIGHT, levels
 from .network import CycleError
@@ -79,18 +79,22 @@ def walks(starts: DataFrame, pointer: DataFrame, footprints: DataFrame, rows: in
     own = footprints.select("r", "c", F.col("root").alias("here"))
     first = starts.join(own, ["r", "c"], "left")
     at_start = F.col("here").isNotNull() & (F.col("here") != F.col("root"))
-    done = first.where(at_start).select("id", F.lit("junction_entry_at_start").alias("outcome"), "r", "c", F.lit(0).alias("steps"))
+    ended = first.where(at_start).select("id", F.lit("junction_entry_at_start").alias("outcome"), F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), F.lit(0).alias("steps"))
+    done = Appended(ended, "ended")
+    done.add(ended)
     front = save(first.where(~at_start).select("id", "r", "c", "other_r", "other_c", "root", F.lit(0).alias("steps")), "walks")
     for _ in range(max_steps + 1):
         if front.isEmpty():
-            return done
+            return done.read()
         moved = save(front.join(table, ["r", "c"], "left").withColumn("end", ends), "moved")
         ahead = F.col("end").isin("pit_ahead", "junction_entry")
         place = lambda now, then: F.when(F.col("end") == "reached_other", None).when(ahead, F.col(then)).otherwise(F.col(now))
-        done = done.unionByName(moved.where("end IS NOT NULL").select("id", F.when(F.col("end") == "pit_ahead", "pit").otherwise(F.col("end")).alias("outcome"), place("r", "nr").alias("r"), place("c", "nc").alias("c"), "steps"))
-        before, front = front, save(moved.where("end IS NULL").select("id", F.col("nr").alias("r"), F.col("nc").alias("c"), "other_r", "other_c", "root", (F.col("steps") + 1).alias("steps")), "walks")
-        drop(before)
-    return done.unionByName(front.select("id", F.lit("max_steps_abort").alias("outcome"), F.lit(None).cast("int").alias("r"), F.lit(None).cast("int").alias("c"), "steps"))
+        done.add(moved.where("end IS NOT NULL").select("id", F.when(F.col("end") == "pit_ahead", "pit").otherwise(F.col("end")).alias("outcome"), place("r", "nr").alias("r"), place("c", "nc").alias("c"), "steps"))
+        after = save(moved.where("end IS NULL").select("id", F.col("nr").alias("r"), F.col("nc").alias("c"), "other_r", "other_c", "root", (F.col("steps") + 1).alias("steps")), "walks")
+        drop(front, moved)
+        front = after
+    done.add(front.select("id", F.lit("max_steps_abort").alias("outcome"), F.lit(None).cast("int").alias("r"), F.lit(None).cast("int").alias("c"), "steps"))
+    return done.read()
 
 
 def filled(cells: DataFrame, rows: int, columns: int, eps: float = 1e-4, tile: int = 64) -> DataFrame:

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import drop, save
+from ..session import Appended, drop, save
 
 
 #: Rounds of shortest paths after which what they found is merged.
@@ -31,31 +31,33 @@ def topo_levels(edges: DataFrame, max_levels: int = 1000) -> DataFrame:
     edges = save(edges.select("from_node", "to_node").distinct(), "edges")
     nodes = edges.select(F.col("from_node").alias("node")).union(edges.select("to_node")).distinct()
     rest = save(nodes, "nodes")
-    done, level = None, 0
+    done, level = Appended(nodes.withColumn("level", F.lit(0)), "levels"), 0
     while not rest.isEmpty():
         if level > max_levels:
             raise CycleError("deeper than max_levels")
         open_in = edges.join(rest.withColumnRenamed("node", "from_node"), "from_node", "left_semi").select(F.col("to_node").alias("node")).distinct()
-        now = save(rest.join(open_in, "node", "left_anti"), "level").withColumn("level", F.lit(level))
+        now = save(rest.join(open_in, "node", "left_anti"), "level")
         if now.isEmpty():
             raise CycleError("the graph has a cycle")
-        done = now if done is None else done.unionByName(now)
-        before, rest = rest, save(rest.join(now, "node", "left_anti"), "rest")
-        drop(before)
-        level += 1
-    return done if done is not None else nodes.withColumn("level", F.lit(0))
+        done.add(now.withColumn("level", F.lit(level)))
+        after = save(rest.join(now, "node", "left_anti"), "rest")
+        drop(rest, now)
+        rest, level = after, level + 1
+    return done.read()
 
 
 def reaches(edges: DataFrame, seeds: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """(node): the seeds and every node from which a seed can be reached along the edges."""
-    found = save(seeds.select("node").distinct(), "reach")
-    front = found
+    front = save(seeds.select("node").distinct(), "front")
+    found = Appended(front, "reach")
     for _ in range(max_rounds):
-        new = edges.join(front.withColumnRenamed("node", "to_node"), "to_node", "left_semi").select(F.col("from_node").alias("node")).distinct()
-        front = save(new.join(found, "node", "left_anti"), "front")
         if front.isEmpty():
-            return found
-        found = found.unionByName(front)
+            return found.read()
+        found.add(front)
+        new = edges.join(front.withColumnRenamed("node", "to_node"), "to_node", "left_semi").select(F.col("from_node").alias("node")).distinct()
+        after = save(new.join(found.read(), "node", "left_anti"), "front")
+        drop(front)
+        front = after
     raise RuntimeError("reachability did not settle")
 
 
@@ -115,15 +117,17 @@ def route_capacity(volumes: DataFrame, edges: DataFrame, levels: DataFrame, dt:
     source_level = levels.withColumnsRenamed({"node": "from_node", "level": "source_level"})
     live = edges.where("cap IS NOT NULL").join(source_level, "from_node")
     plan = save(live.withColumn("share", F.col("cap") / F.sum("cap").over(Window.partitionBy("from_node"))), "plan")
-    state, flows = save(volumes, "volumes"), None
+    state, flows = save(volumes, "volumes"), Appended(edges.select("from_node", "to_node", F.lit(0.0).alias("q")), "flows")
     for (level,) in sorted(tuple(r) for r in plan.select("source_level").distinct().collect()):
         own = plan.where(F.col("source_level") == level)
         q = F.least(F.col("cap").cast("double"), F.col("volume") / dt * F.col("share"))
         flow = save(own.join(state.withColumnRenamed("node", "from_node"), "from_node").select("from_node", "to_node", q.alias("q")), "flow")
         moved = flow.select(F.col("from_node").alias("node"), (-F.col("q") * dt).alias("dv")).unionByName(flow.select(F.col("to_node").alias("node"), (F.col("q") * dt).alias("dv"))).groupBy("node").agg(F.sum("dv").alias("dv"))
-        state = save(state.join(moved, "node", "left").select("node", (F.col("volume") + F.coalesce("dv", F.lit(0.0))).alias("volume")), "volumes")
-        flows = flow if flows is None else flows.unionByName(flow)
-    return state, flows
+        after = save(state.join(moved, "node", "left").select("node", (F.col("volume") + F.coalesce("dv", F.lit(0.0))).alias("volume")), "volumes")
+        flows.add(flow)
+        drop(state, flow)
+        state = after
+    return state, flows.read()
 
 
 def blocked(status: DataFrame, limit_cm: int, unknown_blocks: bool = True) -> DataFrame:

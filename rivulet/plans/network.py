@@ -229,12 +229,14 @@ def adjacency(spark, d):
     return b.drain_edges(spark, d).groupBy("from_node").agg(F.array_join(F.sort_array(F.collect_list("to_node")).cast("array<string>"), ",").alias("neighbours"))
 
 
-@query("graph_fingerprint", bound("SELECT from_node % 8 AS part, sha256(string_agg(from_node || '>' || to_node || ':' || coalesce(CAST(cap AS VARCHAR), 'null'), ';' ORDER BY from_node, to_node)) AS sha FROM drain_edges GROUP BY 1", "drain_edges"))
+@query("graph_fingerprint", bound("SELECT sha256(string_agg(sha, '' ORDER BY part)) AS sha, count(*) AS parts, CAST(sum(n) AS BIGINT) AS edges FROM (SELECT from_node // 50 AS part, count(*) AS n, sha256(string_agg(sha256(from_node || '>' || to_node || ':' || coalesce(CAST(cap AS VARCHAR), 'null')), '' ORDER BY from_node, to_node)) AS sha FROM drain_edges GROUP BY 1)", "drain_edges"))
 def graph_fingerprint(spark, d):
-    """GR27, FN11: a digest of the canonical text of each part (whole numbers only)."""
+    """GR27, FN11: one digest of the graph: of each edge's canonical text, of the digests of fifty nodes' edges in their order, and of those (whole numbers only). Parts grow in number with the graph, not in size."""
     line = F.concat(F.col("from_node").cast("string"), F.lit(">"), F.col("to_node").cast("string"), F.lit(":"), F.coalesce(F.col("cap").cast("string"), F.lit("null")))
-    rows = F.sort_array(F.collect_list(F.struct("from_node", "to_node", line.alias("line"))))
-    return b.drain_edges(spark, d).groupBy((F.col("from_node") % 8).alias("part")).agg(F.sha2(F.array_join(F.transform(rows, lambda x: x.line), ";"), 256).alias("sha"))
+    edges = b.drain_edges(spark, d).select(b.div(F.col("from_node"), 50).alias("part"), "from_node", "to_node", F.sha2(line, 256).alias("sha"))
+    joined = lambda *order: F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*order, "sha"))), lambda x: x.sha), ""), 256).alias("sha")
+    parts = edges.groupBy("part").agg(joined("from_node", "to_node"), F.count("*").alias("n"))
+    return parts.agg(joined("part"), F.count("*").alias("parts"), F.sum("n").alias("edges")).select("sha", "parts", "edges")
 
 
 @query("causal_links", bound("SELECT segment_id, CASE WHEN measured > 0 THEN 'measured' WHEN predicted > 0 THEN 'predicted' ELSE 'none' END AS basis, measured + predicted AS n FROM (SELECT segment_id, count(*) FILTER (from_node % 5 = 0) AS measured, count(*) FILTER (from_node % 5 = 1) AS predicted FROM (SELECT segment_id, u % 350 AS from_node FROM road_edges) GROUP BY 1)", "road_edges"))
