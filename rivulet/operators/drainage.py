@@ -97,7 +97,7 @@ def walks(starts: DataFrame, pointer: DataFrame, footprints: DataFrame, rows: in
     return done.read()
 
 
-def filled(cells: DataFrame, rows: int, columns: int, eps: float = 1e-4, tile: int = 64) -> DataFrame:
+def filled(cells: DataFrame, rows: int, columns: int, eps: float = 1e-4, tile: int = 256) -> DataFrame:
     """(r, c, z, w): the surface w on which every cell drains to the rim, each step falling by eps or more.
 
     w is the least surface over z with w >= (its lowest neighbour's w) + eps where it

@@ -19,7 +19,7 @@ EIGHT = (*FOUR, (-1, -1), (-1, 1), (1, -1), (1, 1))
 CUT_M, FILL_M, NO_CUT = 2.60, 3.25, 999
 
 
-def levels(cells: DataFrame, rows: int, columns: int, ways=FOUR, eps: float = 0.0, tile: int = 64, max_rounds: int = 10_000) -> DataFrame:
+def levels(cells: DataFrame, rows: int, columns: int, ways=FOUR, eps: float = 0.0, tile: int = 256, max_rounds: int = 10_000) -> DataFrame:
     """(r, c, w) for cells (r, c, z, seed): the least w with w = z at seeds and elsewhere w >= z and w >= (some neighbour's w) + eps.
 
     That is what a flood from the seeds in the order of a heap gives. Each tile is
@@ -107,7 +107,7 @@ def carved(cells: DataFrame, cut: float = CUT_M) -> DataFrame:
     return cells.select("r", "c", "z").join(best, ["r", "c"], "left").select("r", "c", F.coalesce("level", "z").alias("z"))
 
 
-def conditioned(cells: DataFrame, rows: int, columns: int, cut: float = CUT_M, fill: float = FILL_M, tile: int = 64, max_passes: int = 50) -> DataFrame:
+def conditioned(cells: DataFrame, rows: int, columns: int, cut: float = CUT_M, fill: float = FILL_M, tile: int = 256, max_passes: int = 50) -> DataFrame:
     """(r, c, z, w) for cells (r, c, z, cost, no_fill, kept): the surface w that drains among four neighbours, cut and filled within the caps.
 
     First pits are ``carved``. Then every cell rises to the level at which water gets
