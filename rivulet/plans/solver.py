@@ -83,12 +83,23 @@ def boundary_outflux(spark, d):
 
 @query("solver_steps")
 def solver_steps(spark, d):
-    """PH1, PH3, PH4, PH5, PRJ4: thirty seconds on the whole grid, with conveyance of faces and a free rim; tests hold a step against plain loops, and volume, positivity and symmetry."""
-    state = b.cells(spark, d).select("r", "c", F.col("depth_m").alias("h"), (0.01 * F.col("c")).alias("z"), F.lit(0.0).alias("qx"), F.lit(0.0).alias("qy"), F.when(F.col("basin_class") == 4, 0.3).otherwise(1.0).alias("cx"), F.when(F.col("basin_class") == 3, 0.6).otherwise(1.0).alias("cy"))
-    final, _ = op.simulate(state, 30.0, 10.0, rain_m_s=1e-6, boundary="free")
+    """PH1, PH4, PH5: thirty seconds on the whole grid with a closed rim; tests hold a step against plain loops, and volume, positivity and symmetry."""
+    final, _ = op.simulate(_state(spark, d), 30.0, 10.0, rain_m_s=1e-6)
     return final.select("r", "c", F.round("h", 6).alias("h"))
 
 
+def _state(spark, d, *more):
+    return b.cells(spark, d).select("r", "c", F.col("depth_m").alias("h"), (0.01 * F.col("c")).alias("z"), F.lit(0.0).alias("qx"), F.lit(0.0).alias("qy"), *more)
+
+
+@query("solver_free_rim")
+def solver_free_rim(spark, d):
+    """PH1, PH3, PRJ4: ten seconds on the whole grid with conveyance of faces and uniform flow out of a free rim; the discharges are those before the limiter. Tests hold a step against plain loops."""
+    faces = F.when(F.col("basin_class") == 4, 0.3).otherwise(1.0).alias("cx"), F.when(F.col("basin_class") == 3, 0.6).otherwise(1.0).alias("cy")
+    final, _ = op.simulate(_state(spark, d, *faces), 10.0, 10.0, rain_m_s=1e-6, boundary="free")
+    return final.select("r", "c", *(F.round(x, 6).alias(x) for x in ("h", "qx", "qy")))
+
+
 @query("exchange_discharge", bound("""SELECT r, c, round(CASE WHEN depth_m - head <= 0 THEN 0.0 WHEN depth_m < 0.1 THEN 1.7 * w * pow(greatest(depth_m, 0.001), 1.5) ELSE 0.65 * (w * 0.1) * sqrt(2 * 9.81 * greatest(depth_m - head, 0.001)) END, 9) AS q,
   round(least(CASE WHEN depth_m - head <= 0 THEN 0.0 WHEN depth_m < 0.1 THEN 1.7 * w * pow(greatest(depth_m, 0.001), 1.5) ELSE 0.65 * (w * 0.1) * sqrt(2 * 9.81 * greatest(depth_m - head, 0.001)) END * 0.5 / 100, 0.9 * greatest(0.0, depth_m - 0.001)), 9) AS captured_m FROM (SELECT *, (r % 4) * 0.05 AS head, 1 + (c % 3) * 0.5 AS w FROM cells)""", "cells"))
 def exchange_discharge(spark, d):
