@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import spatial
+from ..operators.ranking import ranked
 from ..operators.raster import Grid
 from ..session import shared_dir
 from ..sources import bindings as b
@@ -225,3 +226,39 @@ def manifest_lifecycle(spark, d):
     run.complete(rows=spark.read.parquet(f"{base}/cells").count())
     state = spark.read.schema("status string, outputs struct<rows: bigint>").json(f"{base}/manifest.json")
     return state.select("status", F.col("outputs.rows").alias("rows"))
+
+
+_HEX2, _HEX4 = "printf('%02x%02x', {0} % 256, {0} // 256 % 256)", "printf('%02x%02x%02x%02x', {0} % 256, {0} // 256 % 256, {0} // 65536 % 256, {0} // 16777216 % 256)"
+
+
+@query("frame_files", bound(f"SELECT frame_index, n, 8 + 5 * n AS bytes, sha256(unhex({_HEX4.format('frame_index')} || {_HEX4.format('n')} || low || high || status)) AS sha FROM (SELECT frame_index, count(*) AS n, string_agg({_HEX2.format('(greatest(band_high_cm - 5, 0))')}, '' ORDER BY segment_id) AS low, string_agg({_HEX2.format('band_high_cm')}, '' ORDER BY segment_id) AS high, string_agg(CASE flood_status WHEN 'flooded' THEN '01' ELSE '00' END, '' ORDER BY segment_id) AS status FROM frames GROUP BY 1)", "frames"))
+def frame_files(spark, d):
+    """SNK8: each frame as a file of packed bytes (a header of two 32-bit numbers, low bands, high bands, statuses), written and read back by its bytes."""
+    base = _folder(spark)
+    blobs = writers.frame_blob(b.frames(spark, d).withColumn("band_low_cm", F.greatest(F.col("band_high_cm") - 5, F.lit(0))))
+    writers.publish_blobs(blobs, base).agg(F.sum("bytes")).collect()
+    files = spark.read.format("binaryFile").load(f"{base}/frame_*.bin").select(F.regexp_extract("path", "frame_([0-9]+)", 1).cast("long").alias("frame_index"), F.length("content").cast("long").alias("bytes"), F.sha2("content", 256).alias("sha"))
+    return files.select("frame_index", F.floor((F.col("bytes") - 8) / 5).alias("n"), "bytes", "sha")
+
+
+_LISTED = "SELECT frame_index, row_number() OVER (ORDER BY frame_index) - 1 AS i, 't' || lpad(CAST((frame_index - (SELECT min(frame_index) FROM frames)) * 21600 AS VARCHAR), 7, '0') AS tag FROM (SELECT DISTINCT frame_index FROM frames)"
+_ASKED = "SELECT s_suppkey AS id, CASE WHEN s_suppkey % 3 = 0 THEN CAST(s_suppkey % 130 AS VARCHAR) WHEN s_suppkey % 3 = 1 THEN 't' || lpad(CAST(s_suppkey % 130 * 21600 AS VARCHAR), 7, '0') ELSE 'latest' END AS selector FROM supplier"
+
+
+@query("frame_selection", bound(f"SELECT id, selector, frame_index FROM ({_ASKED}) LEFT JOIN ({_LISTED}) ON selector = CAST(i AS VARCHAR) OR selector = tag", "frames"))
+def frame_selection(spark, d):
+    """FLT10: a frame by its place (digits) or by its tag; what names none is refused."""
+    f = b.frames(spark, d).select("frame_index").distinct()
+    listed = ranked(f, "frame_index", name="place").join(F.broadcast(f.agg(F.min("frame_index").alias("first"))))
+    names = F.array((F.col("place") - 1).cast("string"), F.concat(F.lit("t"), F.lpad(((F.col("frame_index") - F.col("first")) * 21600).cast("string"), 7, "0")))
+    k = F.col("s_suppkey")
+    asked = b.table(spark, d, "supplier").select(k.alias("id"), F.when(k % 3 == 0, (k % 130).cast("string")).when(k % 3 == 1, F.concat(F.lit("t"), F.lpad((k % 130 * 21600).cast("string"), 7, "0"))).otherwise("latest").alias("selector"))
+    return asked.join(listed.select("frame_index", F.explode(names).alias("selector")), "selector", "left").select("id", "selector", "frame_index")
+
+
+@query("replaced_register", "SELECT p_partkey AS id, p_partkey % 4 AS class FROM part WHERE p_partkey % 4 <> 3 UNION ALL SELECT 1000000 + s_suppkey, 3 FROM supplier")
+def replaced_register(spark, d):
+    """SET5: a register of basins whose residual ones (class 3) are replaced by newly found ones."""
+    old = b.table(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 4).alias("class"))
+    new = b.table(spark, d, "supplier").select((1000000 + F.col("s_suppkey")).alias("id"), F.lit(3).cast("long").alias("class"))
+    return old.where(F.col("class") != 3).unionByName(new)

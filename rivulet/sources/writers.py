@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
+import pyarrow.fs as pafs
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +56,43 @@ def publish_checked(df: DataFrame, path: str) -> int:
     return back
 
 
+def publish_blobs(blobs: DataFrame, path: str) -> DataFrame:
+    """Rows (name, content binary) as files of a folder that pyarrow opens by its URI: (name, bytes), after they are written. Tasks write under another name and rename."""
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, base = pafs.FileSystem.from_uri(path)
+        store.create_dir(base, recursive=True)
+        for batch in batches:
+            for name, content in zip(batch["name"], batch["content"]):
+                staged = f"{base}/_{name}.{uuid.uuid4().hex}"
+                with store.open_output_stream(staged) as out:
+                    out.write(content)
+                store.move(staged, f"{base}/{name}")
+            yield pd.DataFrame({"name": batch["name"], "bytes": batch["content"].map(len)})
+
+    return blobs.select("name", "content").mapInPandas(write, "name string, bytes long")
+
+
+def little_endian(value, width: int):
+    """A whole number's lowest bytes, least first, as hexadecimal digits."""
+    byte = lambda k: F.lpad(F.hex(F.floor(value / 256**k).cast("long") % 256), 2, "0")
+    return F.concat(*(byte(k) for k in range(width)))
+
+
+def frame_blob(frames: DataFrame) -> DataFrame:
+    """Frames (frame_index, segment_id, band_low_cm, band_high_cm, flood_status) packed: (name, frame_index, n, content).
+
+    Little-endian: the index and the number of segments as 32-bit numbers, then, in
+    the order of segment ids, all low bands and all high bands as 16-bit numbers and
+    all statuses as bytes (0 not flooded, 1 flooded, 2 unknown).
+    """
+    code = F.when(F.col("flood_status") == "flooded", 1).when(F.col("flood_status") == "not_flooded", 0).otherwise(2)
+    row = F.struct("segment_id", little_endian(F.col("band_low_cm"), 2).alias("a"), little_endian(F.col("band_high_cm"), 2).alias("b"), little_endian(code, 1).alias("c"))
+    packed = frames.groupBy("frame_index").agg(F.sort_array(F.collect_list(row)).alias("x"), F.count("*").alias("n"))
+    digits = F.concat(little_endian(F.col("frame_index"), 4), little_endian(F.col("n"), 4), *(F.array_join(F.col(f"x.{c}"), "") for c in "abc"))
+    return packed.select(F.concat(F.lit("frame_"), F.lpad(F.col("frame_index").cast("string"), 7, "0"), F.lit(".bin")).alias("name"), "frame_index", "n", F.unhex(digits).alias("content"))
+
+
 class Manifest:
     """A run's state as a JSON file: running, then completed or failed; never overwritten by another run."""
 

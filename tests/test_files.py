@@ -130,3 +130,14 @@ def test_snapshots_at_a_cadence(spark, tmp_path):
     s = spark.readStream.schema("run string, t double, value double").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"file://{tmp_path}/in")
     got = drained(spark, state.snapshots(s, 1.0), tmp_path)
     assert sorted(map(tuple, got)) == [("r", 1.0, 2.0), ("r", 3.2, 5.0), ("r", 3.3, 6.0), ("s", 7.0, 3.0), ("s", 7.5, 7.0)]
+
+
+def test_a_packed_frame_by_hand(spark):
+    import struct
+
+    from rivulet.sources.writers import frame_blob
+
+    rows = [(7, 300, 1, 2, "flooded"), (7, 5, 256, 65535, "not_flooded"), (7, 70000, 0, 0, "unknown")]
+    got = frame_blob(spark.createDataFrame(rows, "frame_index long, segment_id int, band_low_cm int, band_high_cm int, flood_status string")).first()
+    assert got["name"] == "frame_0000007.bin" and got["n"] == 3
+    assert bytes(got["content"]) == struct.pack("<ii3H3H3B", 7, 3, 256, 1, 0, 65535, 2, 0, 0, 1, 2)
