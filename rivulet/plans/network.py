@@ -241,7 +241,7 @@ def graph_fingerprint(spark, d):
 
 @query("causal_links", bound("SELECT segment_id, CASE WHEN measured > 0 THEN 'measured' WHEN predicted > 0 THEN 'predicted' ELSE 'none' END AS basis, measured + predicted AS n FROM (SELECT segment_id, count(*) FILTER (from_node % 5 = 0) AS measured, count(*) FILTER (from_node % 5 = 1) AS predicted FROM (SELECT segment_id, u % 350 AS from_node FROM road_edges) GROUP BY 1)", "road_edges"))
 def causal_links(spark, d):
-    """GR26, JN25: flagged drain nodes along a street, measured over predicted."""
+    """Flagged nodes along a street by id, measured over predicted; by distance it is ``causal_drains``."""
     e = b.road_edges(spark, d).select("segment_id", (F.col("u") % 350).alias("node"))
     n = e.groupBy("segment_id").agg(F.count_if(F.col("node") % 5 == 0).alias("m"), F.count_if(F.col("node") % 5 == 1).alias("p"))
     return n.select("segment_id", F.when(F.col("m") > 0, "measured").when(F.col("p") > 0, "predicted").otherwise("none").alias("basis"), (F.col("m") + F.col("p")).alias("n"))
@@ -249,7 +249,7 @@ def causal_links(spark, d):
 
 @query("junctions", bound("SELECT node, count(DISTINCT segment_id) AS entities, count(*) AS arms FROM (SELECT u AS node, segment_id FROM road_edges UNION ALL SELECT v, segment_id FROM road_edges) GROUP BY 1 HAVING count(DISTINCT segment_id) >= 2", "road_edges"))
 def junctions(spark, d):
-    """GR4: nodes where two or more streets meet."""
+    """Nodes of the road graph where two or more streets meet; by distance they are ``junction_nodes``."""
     ends = b.road_edges(spark, d).select(F.explode(F.array("u", "v")).alias("node"), "segment_id")
     return ends.groupBy("node").agg(F.count_distinct("segment_id").alias("entities"), F.count("*").alias("arms")).where("entities >= 2")
 
@@ -263,7 +263,7 @@ def junction_histogram(spark, d):
 
 @query("corridor_overlap", bound("SELECT a.segment_id AS a, b.segment_id AS b, round(CAST(a.n AS DOUBLE) / (x.n + y.n - a.n), 6) AS jaccard FROM (SELECT 1) t, LATERAL (SELECT p.segment_id, q.segment_id AS other, count(*) AS n FROM keys p JOIN keys q ON p.k = q.k AND p.segment_id < q.segment_id GROUP BY 1, 2) a JOIN (SELECT segment_id, count(*) AS n FROM keys GROUP BY 1) x ON x.segment_id = a.segment_id JOIN (SELECT segment_id, count(*) AS n FROM keys GROUP BY 1) y ON y.segment_id = a.other JOIN (SELECT DISTINCT segment_id FROM keys) b ON b.segment_id = a.other WHERE CAST(a.n AS DOUBLE) / (x.n + y.n - a.n) >= 0.02", "road_edges", keys="SELECT DISTINCT segment_id, u AS k FROM road_edges"))
 def corridor_overlap(spark, d):
-    """SET8: Jaccard of cell sets through an inverted index."""
+    """Jaccard of the node sets of streets through an inverted index; corridors are merged by ``merged_corridors``."""
     keys = b.road_edges(spark, d).select("segment_id", F.col("u").alias("k")).distinct()
     size = keys.groupBy("segment_id").agg(F.count("*").alias("n"))
     both = keys.toDF("a", "k").join(keys.toDF("b", "k"), "k").where("a < b").groupBy("a", "b").agg(F.count("*").alias("common"))

@@ -194,7 +194,7 @@ def mode_exclusion(spark, d):
 
 @query("cooldown_triggers", "WITH RECURSIVE e AS (SELECT DISTINCT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events), walk AS (SELECT user_id, min(t) AS t FROM e GROUP BY 1 UNION ALL SELECT user_id, min(t) AS t FROM (SELECT e.user_id, e.t FROM walk w JOIN e ON e.user_id = w.user_id AND e.t >= w.t + 21600) GROUP BY 1) SELECT user_id, count(*) AS accepted, max(t) AS last FROM walk GROUP BY 1")
 def cooldown_triggers(spark, d):
-    """ST10: a trigger within six hours of the last accepted one is turned away; how many pass."""
+    """ST10 without a stream: a trigger within six hours of the last accepted one is turned away; how many pass."""
     e = b.table(spark, d, "events").groupBy("user_id").agg(F.sort_array(F.collect_set(F.unix_seconds(F.col("ts").cast("timestamp")))).alias("t"))
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("last"))
     passed = F.aggregate("t", start, lambda s, t: F.when(s["last"].isNull() | (t >= s["last"] + 21600), F.struct((s["n"] + 1).alias("n"), t.alias("last"))).otherwise(s))
@@ -203,7 +203,7 @@ def cooldown_triggers(spark, d):
 
 @query("frame_blobs", bound("SELECT frame_index, count(*) AS n, sha256(unhex(string_agg(printf('%02x%02x%02x%02x%02x', segment_id % 256, segment_id // 256 % 256, band_high_cm % 256, band_high_cm // 256 % 256, CASE flood_status WHEN 'flooded' THEN 1 ELSE 0 END), '' ORDER BY segment_id))) AS sha FROM frames GROUP BY 1", "frames"))
 def frame_blobs(spark, d):
-    """SNK8: a frame as packed bytes (segment and depth of two bytes, status of one), by its hash."""
+    """A frame as packed rows (segment and depth of two bytes, status of one), by its hash; the file with its header is ``frame_files``."""
     low = lambda c: F.concat(F.lpad(F.hex(F.col(c) % 256), 2, "0"), F.lpad(F.hex(F.floor(F.col(c) / 256) % 256), 2, "0"))
     row = F.concat(low("segment_id"), low("band_high_cm"), F.when(F.col("flood_status") == "flooded", "01").otherwise("00"))
     packed = b.frames(spark, d).groupBy("frame_index").agg(F.sort_array(F.collect_list(F.struct("segment_id", row.alias("x")))).alias("rows"))
@@ -212,7 +212,7 @@ def frame_blobs(spark, d):
 
 @query("poll_log", "SELECT event_id, '{\"poll\":' || event_id || ',\"status\":' || (CASE WHEN event_id % 10 = 0 THEN 503 ELSE 200 END) || ',\"decision\":\"' || (CASE WHEN event_id % 3 = 0 THEN 'cached' ELSE 'fetched' END) || '\"}' AS line FROM events")
 def poll_log(spark, d):
-    """SNK10: one JSON line a poll, as the log appends them."""
+    """One JSON line a poll, as ``poll_log_appended`` appends them."""
     k = F.col("event_id")
     return b.table(spark, d, "events").select("event_id", F.to_json(F.struct(k.alias("poll"), F.when(k % 10 == 0, 503).otherwise(200).alias("status"), F.when(k % 3 == 0, "cached").otherwise("fetched").alias("decision"))).alias("line"))
 

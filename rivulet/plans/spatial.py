@@ -102,7 +102,7 @@ _CROSS = f"(lx0 BETWEEN x0 AND x1 AND ly0 BETWEEN y0 AND y1) OR (lx1 BETWEEN x0
 
 @query("lines_cross_wards", bound(f"SELECT count(*) AS pairs, count(DISTINCT line_id) AS lines FROM (SELECT line_id, x0 AS lx0, y0 AS ly0, x1 AS lx1, y1 AS ly1 FROM lines) JOIN wards w ON least(lx0, lx1) <= w.x1 AND greatest(lx0, lx1) >= w.x0 AND least(ly0, ly1) <= w.y1 AND greatest(ly0, ly1) >= w.y0 AND ({_CROSS})", "nodes", "wards", lines=_LINES))
 def lines_cross_wards(spark, d):
-    """JN9: lines that meet wards, raw pairs and distinct lines; the boxes overlap and the ward's corners aren't all on one side of the line."""
+    """JN9 for rectangles (``lines_in_wards`` has rings with holes): lines that meet wards, raw pairs and distinct lines; the boxes overlap and the ward's corners aren't all on one side of the line."""
     lines, w = _lines(spark, d), b.wards(spark, d).select("ward_no", *(F.col(c).alias(f"w{c}") for c in ("x0", "y0", "x1", "y1")))
     side = F.array(*((F.col("x1") - F.col("x0")) * (F.col(y) - F.col("y0")) - (F.col("y1") - F.col("y0")) * (F.col(x) - F.col("x0")) for x in ("wx0", "wx1") for y in ("wy0", "wy1")))
     hit = (F.least("x0", "x1") <= F.col("wx1")) & (F.greatest("x0", "x1") >= F.col("wx0")) & (F.least("y0", "y1") <= F.col("wy1")) & (F.greatest("y0", "y1") >= F.col("wy0")) & (F.array_min(side) <= 0) & (F.array_max(side) >= 0)
@@ -121,7 +121,7 @@ def spatial_anti_join(spark, d):
 
 @query("union_sources", bound("SELECT source, count(*) AS n FROM (SELECT 'osm' AS source, x, y FROM nodes UNION ALL SELECT 'microsoft', x, y FROM points WHERE point_id % 2 = 0) GROUP BY 1", "points", "nodes"))
 def union_sources(spark, d):
-    """SET4, SET5"""
+    """SET4"""
     osm, other = b.nodes(spark, d).select(F.lit("osm").alias("source"), "x", "y"), b.points(spark, d).where("point_id % 2 = 0").select(F.lit("microsoft").alias("source"), "x", "y")
     return osm.unionByName(other).groupBy("source").agg(F.count("*").alias("n"))
 
@@ -162,7 +162,7 @@ def nearest_landmark(spark, d):
 
 @query("owned_cells", bound(f"SELECT node_id, count(*) AS n_cells, min(point_id) AS first_cell FROM (SELECT p.point_id, n.node_id, row_number() OVER (PARTITION BY p.point_id ORDER BY {_D2}, n.node_id) AS k, {_D2} AS d2 FROM points p CROSS JOIN nodes n) WHERE k = 1 AND d2 <= 400 GROUP BY 1", "points", "nodes"))
 def owned_cells(spark, d):
-    """JN24: each cell to its nearest node within 20; the least node id wins ties."""
+    """JN24 before its repair (``owned_cells_repaired``): each cell to its nearest node within 20; the least node id wins ties."""
     got = op.nearest(_points(spark, d), _nodes(spark, d), "point_id", "node_id", 20.0, 20.0)
     return got.groupBy("node_id").agg(F.count("*").alias("n_cells"), F.min("point_id").alias("first_cell"))
 

@@ -89,7 +89,7 @@ def street_entities(spark, d):
 
 @query("street_junctions", bound("SELECT x, y, count(DISTINCT entity) AS entities, count(*) AS arms, max(d.band) AS worst_cm FROM ends JOIN entity USING (s) LEFT JOIN (SELECT segment_id AS s, max(band_high_cm) AS band FROM frames GROUP BY 1) d USING (s) GROUP BY 1, 2 HAVING count(DISTINCT entity) > 1", "segments", "frames", recursive=True, **_ENTITY))
 def street_junctions(spark, d):
-    """GR4, AGG29: places where ends of two or more streets meet, with their arms and worst depth."""
+    """Places where ends of two or more streets have one coordinate, with their arms and worst depth; within a metre they are ``junction_nodes``."""
     worst = b.frames(spark, d).groupBy(F.col("segment_id").alias("s")).agg(F.max("band_high_cm").alias("band"))
     ends = _ends(spark, d).join(_entities(spark, d), "s").join(worst, "s", "left")
     return ends.groupBy("x", "y").agg(F.count_distinct("entity").alias("entities"), F.count("*").alias("arms"), F.max("band").alias("worst_cm")).where("entities > 1")
