@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 import time
+from bisect import bisect_right
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,41 +51,49 @@ def couple_step(cells: DataFrame, nodes: DataFrame, edges: DataFrame, levels: Da
     return cells.join(moved, ["r", "c"], "left").select(*kept, (F.col("h") + F.coalesce("dh", F.lit(0.0))).alias("h")), new_nodes
 
 
-#: Below this share of its stable step a coupled step raises an alarm; a fixed value.
-ALARM = 0.902
+#: Below this share of its stable step a coupled step raises an alarm. A run whose steps fall below this share of the uncoupled ones stops, from this step on. Fixed values.
+ALARM, LEAST_SHARE, FIRST_JUDGED = 0.902, 0.5, 4
 
 
 class BudgetError(RuntimeError):
     pass
 
 
-def simulate(cells: DataFrame, nodes: DataFrame, edges: DataFrame, levels: DataFrame, dts: list[float], dx: float, tolerance: float = 1e-9, budget_s: float | None = None, probe: int = 3) -> tuple[DataFrame, DataFrame, list[dict]]:
+class CollapsedStepError(RuntimeError):
+    pass
+
+
+def simulate(cells: DataFrame, nodes: DataFrame, edges: DataFrame, levels: DataFrame, dts: list[float], dx: float, tolerance: float = 1e-9, budget_s: float | None = None, probe: int = 3, uncoupled: list[float] | None = None) -> tuple[DataFrame, DataFrame, list[dict]]:
     """(cells, nodes, books): surface and coupling steps in turn, on a given schedule.
 
     cells have r, c, h, z, qx, qy, node. Each step's book holds the water on the
     surface and in the nodes, and the monitor of stability: ``factor`` is the root of
-    the greatest depth before the coupling over that depth and the greatest rise by
-    it, the share of the stable step that is left, with an alarm below ALARM. A run
+    the greatest depth over that depth and the greatest change of a cell by the
+    coupling, the share of the stable step that is left, with an alarm below ALARM. A run
     stops when water is made or lost beyond the tolerance, when a depth is negative,
-    or when its first ``probe`` steps took so long that all would pass ``budget_s``.
+    when its first ``probe`` steps took so long that all would pass ``budget_s``, or
+    when it has taken over twice the steps that the ``uncoupled`` schedule has ended by then.
     """
     now, held, books, began = save(cells, "cells"), save(nodes, "nodes"), [], time.monotonic()
     total = lambda c, n: (c.agg(F.sum("h")).first()[0] * dx * dx, n.agg(F.sum(F.col("head") * F.col("plan_m2"))).first()[0])
-    before = sum(total(now, held))
+    before, ends = sum(total(now, held)), list(accumulate(uncoupled or []))
     for i, dt in enumerate(dts):
         flowed = step(now.select("r", "c", "h", "z", "qx", "qy"), dt, dx).drop("sunk").join(now.select("r", "c", "node"), ["r", "c"])
         flowed = save(flowed, "cells")
         c, n = couple_step(flowed, held, edges, levels, dt, dx * dx)
         c, n = save(c, "cells"), save(n, "nodes")
-        rise, deepest = c.select("r", "c", "h").join(flowed.select("r", "c", F.col("h").alias("h0")), ["r", "c"]).agg(F.max(F.col("h") - F.col("h0")), F.max("h0")).first()
+        moved, deepest = c.select("r", "c", "h").join(flowed.select("r", "c", F.col("h").alias("h0")), ["r", "c"]).agg(F.max(F.abs(F.col("h") - F.col("h0"))), F.max("h")).first()
         drop(now, held, flowed)
         now, held = c, n
         surface, below = total(now, held)
         least, captured, returned = now.agg(F.min("h")).first()[0], *held.agg(F.sum("captured"), F.sum("returned")).first()
-        factor = math.sqrt(deepest / (deepest + rise)) if deepest > 0 and rise > 0 else 1.0
+        factor = math.sqrt(deepest / (deepest + moved)) if deepest > 0 and moved > 0 else 1.0
         books.append({"dt": dt, "surface_m3": surface, "nodes_m3": below, "captured_m3": captured, "returned_m3": returned, "residual": surface + below - before, "factor": factor, "alarm": factor < ALARM})
         if least < 0 or abs(surface + below - before) > tolerance * max(1.0, before):
             raise BrokenBooks(f"after {sum(b['dt'] for b in books)} s: {books[-1]}, least depth {least}")
+        ended = bisect_right(ends, sum(b["dt"] for b in books) + 1e-9)
+        if i + 1 >= FIRST_JUDGED and ended >= 1 and i + 1 > math.floor(ended / LEAST_SHARE):
+            raise CollapsedStepError(f"{i + 1} steps where the uncoupled run took {ended}")
         if budget_s is not None and i + 1 == min(probe, len(dts)) and (time.monotonic() - began) / (i + 1) * len(dts) > budget_s:
             raise BudgetError(f"{len(dts)} steps would take more than {budget_s} s")
     return now, held, books

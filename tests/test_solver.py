@@ -118,6 +118,9 @@ def test_the_monitor_and_the_budget_of_a_coupled_run(spark):
     levels = spark.createDataFrame([(1, 0), (2, 1)], "node long, level int")
     _, _, books = coupling.simulate(cells, nodes, edges, levels, [1.0], 10.0)
     rise = books[0]["returned_m3"] / 100
-    assert rise > 0 and books[0]["factor"] == pytest.approx(math.sqrt(0.01 / (0.01 + rise)), rel=1e-6) and books[0]["alarm"]
+    assert rise > 0 and books[0]["factor"] == pytest.approx(math.sqrt((0.01 + rise) / (0.01 + 2 * rise)), rel=1e-6) and books[0]["alarm"]
     with pytest.raises(coupling.BudgetError):
         coupling.simulate(cells, nodes, edges, levels, [0.1] * 3, 10.0, budget_s=1e-3, probe=1)
+    with pytest.raises(coupling.CollapsedStepError):
+        coupling.simulate(cells, nodes, edges, levels, [0.1] * 4, 10.0, uncoupled=[0.3] * 4)
+    assert len(coupling.simulate(cells, nodes, edges, levels, [0.1] * 4, 10.0, uncoupled=[0.2] * 4)[2]) == 4
