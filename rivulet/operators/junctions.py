@@ -53,8 +53,13 @@ def causal_links(points: DataFrame, edges: DataFrame, within: float = CAUSAL_M)
     nodes are counted); else ``none_measured``.
     """
     x = geo.point_segment(*(F.col(c) for c in ("x", "y", "x0", "y0", "x1", "y1")))
-    asked = points.where("coalesce(n_events, 0) = 0")
-    near = spatial.lines_near(asked.select("point_id", "x", "y"), edges.where("flagged"), within, x)
-    hit = near.groupBy("point_id").agg(F.min_by("edge_id", F.struct(F.round("distance", 9), "edge_id")).alias("nearest_edge"), F.count("*").alias("n_edges"), F.size(F.array_distinct(F.flatten(F.collect_list(F.array("from_node", "to_node"))))).alias("n_nodes"))
+    asked = points.where("coalesce(n_events, 0) = 0").select("x", "y").distinct()
+    flagged = edges.where("flagged")
+    told = save(spatial.shapes(flagged, F.min("edge_id").alias("shape"), F.count("*").alias("n")), "shapes")
+    near = save(spatial.lines_near(asked, told, within, x).select("x", "y", "shape", "n", "distance"), "near")
+    ends = flagged.join(told, ["x0", "y0", "x1", "y1"]).select("shape", F.explode(F.array("from_node", "to_node")).alias("node")).distinct()
+    n_nodes = near.select("x", "y", "shape").join(ends, "shape").select("x", "y", "node").distinct().groupBy("x", "y").agg(F.count("*").cast("int").alias("n_nodes"))
+    hit = near.groupBy("x", "y").agg(F.min_by("shape", F.struct(F.round("distance", 9), "shape")).alias("nearest_edge"), F.sum("n").alias("n_edges")).join(n_nodes, ["x", "y"])
+    found = points.withColumn("asked", F.coalesce("n_events", F.lit(0)) == 0).join(hit.withColumn("asked", F.lit(True)), ["x", "y", "asked"], "left")
     status = F.when(F.coalesce("n_events", F.lit(0)) > 0, "measured").when(F.col("n_edges") > 0, "predicted").otherwise("none_measured")
-    return points.join(hit, "point_id", "left").select("point_id", status.alias("status"), "nearest_edge", F.coalesce("n_edges", F.lit(0)).cast("long").alias("n_edges"), F.coalesce("n_nodes", F.lit(0)).alias("n_nodes"))
+    return found.select("point_id", status.alias("status"), "nearest_edge", F.coalesce("n_edges", F.lit(0)).cast("long").alias("n_edges"), F.coalesce("n_nodes", F.lit(0)).alias("n_nodes"))
