@@ -132,8 +132,8 @@ def reach_splits(spark, d):
     x = geo.point_segment(*(F.col(c) for c in ("x", "y", "x0", "y0", "x1", "y1")))
     dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide((F.col("x") - F.col("x0")) * dx + (F.col("y") - F.col("y0")) * dy, dx * dx + dy * dy)))
-    near = spatial.lines_near(b.points(spark, d), _lines(spark, d), 15.0, x)
-    best = near.groupBy("point_id").agg(F.min(F.struct(F.round("distance", 6).alias("far"), "line_id", F.round(t, 6).alias("t"))).alias("m")).select("m.line_id", "m.t").where("t > 0 AND t < 1").distinct()
+    near = spatial.lines_near(b.points(spark, d).select("x", "y").distinct(), spatial.shapes(_lines(spark, d), F.min("line_id").alias("line_id")), 15.0, x)
+    best = near.groupBy("x", "y").agg(F.min(F.struct(F.round("distance", 6).alias("far"), "line_id", F.round(t, 6).alias("t"))).alias("m")).select("m.line_id", "m.t").where("t > 0 AND t < 1").distinct()
     cuts = best.unionByName(best.select("line_id", F.lit(0.0).alias("t")).distinct())
     w = Window.partitionBy("line_id").orderBy("t")
     return cuts.select("line_id", (F.row_number().over(w) - 1).cast("long").alias("piece"), F.col("t").alias("from_t"), F.lead("t", 1, 1.0).over(w).alias("to_t"))
