@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import spatial
 from ..operators import terrain as op
 from ..operators.components import connected_components
+from ..session import save
 from ..sources import bindings as b
 from .registry import query
 from .spatial import _LINES, _lines
@@ -73,10 +74,12 @@ def _ends(spark, d):
 
 
 def _entities(spark, d):
-    ends = _ends(spark, d)
-    a = ends.select("s", "name", F.col("x").alias("ax"), F.col("y").alias("ay"))
-    o = ends.select(F.col("s").alias("t"), F.col("name").alias("other"), F.col("x").alias("bx_"), F.col("y").alias("by_"))
-    links = spatial.within(a, o, 1.0).where("name = other AND s < t").select(F.col("s").alias("u"), F.col("t").alias("v"))
+    # ends of one name in one place are one node, named by the least segment: a segment links the nodes of its ends
+    ends = save(_ends(spark, d), "ends")
+    places = save(ends.groupBy("name", "x", "y").agg(F.min("s").alias("place")), "places")
+    side = lambda name, x, y: places.select("name", F.col("place").alias(name), F.col("x").alias(x), F.col("y").alias(y))
+    near = spatial.within(side("u", "ax", "ay"), side("v", "bx_", "by_"), 1.0, "name").where("u < v").select("u", "v")
+    links = ends.join(places, ["name", "x", "y"]).select(F.col("s").alias("u"), F.col("place").alias("v")).unionByName(near)
     found = connected_components(links)
     return b.segments(spark, d).select(F.col("segment_id").alias("s")).join(found, F.col("s") == F.col("node"), "left").select("s", F.coalesce("component", "s").alias("entity"))
 
