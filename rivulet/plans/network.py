@@ -142,8 +142,7 @@ _BOTH = "SELECT u, v, length_m, segment_id FROM {0} UNION ALL SELECT v, u, lengt
 def road_paths(spark, d):
     """GR5: the segments of the shortest way from node 7 to every node; ties by fewest edges, then the least node and segment before."""
     edges, source = b.road_edges(spark, d), spark.createDataFrame([(7,)], "node long")
-    best = op.shortest_paths(edges, source)
-    return best.join(op.paths(edges, best), ["source", "node"]).select("node", "distance", "hops", F.array_join(F.col("segments").cast("array<string>"), ">").alias("path"))
+    return op.paths(edges, op.shortest_paths(edges, source)).select("node", "distance", "hops", F.array_join(F.col("segments").cast("array<string>"), ">").alias("path"))
 
 
 @query("avoided_segments", bound("SELECT node, CAST(len(avoided) AS INTEGER) AS n, array_to_string(list_sort(avoided), ',') AS avoided FROM (SELECT node, list_distinct(list_filter(p.segments, lambda x: list_contains(ds, x) AND NOT list_contains(coalesce(z.segments, []), x))) AS avoided FROM base_path p LEFT JOIN safe_path z USING (node) CROSS JOIN (SELECT coalesce(list(segment_id), []) AS ds FROM deep))", "road_edges", "frames", recursive=True, latest=_LATEST,
@@ -152,10 +151,9 @@ def avoided_segments(spark, d):
     """SET6: of the baseline way to each node, the blocked segments that the safe way doesn't take."""
     edges, source = b.road_edges(spark, d), spark.createDataFrame([(7,)], "node long")
     deep = op.blocked(_status(spark, d), 60, unknown_blocks=False).select("segment_id")
-    ways = lambda e, name: op.paths(e, op.shortest_paths(e, source)).select("node", F.col("segments").alias(name))
-    both = ways(edges, "base").join(ways(edges.join(deep, "segment_id", "left_anti"), "safe"), "node", "left")
-    passed = both.select("node", F.explode(F.array_except("base", F.coalesce("safe", F.array().cast("array<int>")))).alias("segment_id")).join(deep, "segment_id").groupBy("node").agg(F.sort_array(F.collect_list("segment_id")).alias("avoided"))
-    return both.select("node").join(passed, "node", "left").select("node", F.coalesce(F.size("avoided"), F.lit(0)).alias("n"), F.coalesce(F.array_join(F.col("avoided").cast("array<string>"), ","), F.lit("")).alias("avoided"))
+    # the safe way is one over edges without blocked segments, so it takes none of them
+    avoided = op.passed(edges, op.shortest_paths(edges, source), deep)
+    return avoided.select("node", F.size("segments").alias("n"), F.array_join(F.col("segments").cast("array<string>"), ",").alias("avoided"))
 
 
 #: Drain edges with synthetic ones (no capacity) half of which lead back, and slopes with many ties.
