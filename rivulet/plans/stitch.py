@@ -59,10 +59,15 @@ def lines_in_wards_summary(spark, d):
 
 @query("owned_cells_repaired")
 def owned_cells_repaired(spark, d):
-    """JN24: cells within 20 m to their nearest node, and nodes that would come away empty given one (here several nodes stand in one place); tests hold it against brute force."""
+    """JN24: cells within 20 m to their nearest node, and nodes that would come away empty given one (here several nodes stand in one place); tests hold it against brute force.
+
+    Each thousand of node ids has a plane of 100 by 100 cells of its own, one below the other, so the grid grows with the nodes.
+    """
     n = b.nodes(spark, d)
-    crowded = n.select("node_id", (b.div(F.col("x"), 40) * 40 + F.col("node_id") % 3).alias("x"), (b.div(F.col("y"), 40) * 40 + F.col("node_id") % 2).alias("y"))
-    return spatial.owned_by_nodes(crowded, 100, 100)
+    plane = b.div(F.col("node_id"), 1000)
+    crowded = n.select("node_id", (b.div(F.col("x"), 40) * 40 + F.col("node_id") % 3).alias("x"), (plane * 1000 + b.div(F.col("y"), 40) * 40 + F.col("node_id") % 2).alias("y"))
+    planes = (n.agg(F.max(plane)).first()[0] or 0) + 1
+    return spatial.owned_by_nodes(crowded, 100 * planes, 100)
 
 
 _SOURCES = "SELECT 'fine' AS source, 1 AS priority, r, c, CASE WHEN basin_class <> 0 THEN depth_m END AS value FROM cells UNION ALL SELECT 'coarse', 2, r, c, CASE WHEN r % 7 > 0 THEN depth_m + 0.01 END FROM cells UNION ALL SELECT 'gap', 3, r, c, 0.0 FROM cells WHERE c % 11 = 0"
