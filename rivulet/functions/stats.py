@@ -53,9 +53,34 @@ def fisher_greater(table: DataFrame) -> DataFrame:
 
 
 def binomial_tail(k: Column, n: Column, p: Column) -> Column:
-    """Chance of at least k successes in n trials."""
-    term = lambda i: F.exp(log_factorial(n) - log_factorial(i) - log_factorial(n - i) + i * F.ln(p) + (n - i) * F.ln(1 - p))
-    return F.when(k <= 0, F.lit(1.0)).otherwise(F.aggregate(F.transform(F.sequence(k, n), term), F.lit(0.0), lambda a, x: a + x))
+    """Chance of at least k successes in n trials: the regularised incomplete beta function of (k, n - k + 1) at p.
+
+    Its continued fraction (Lentz) takes steps in the order of the root of n, where
+    the sum of the chances would take n.
+    """
+    up, down = k.cast("double"), (n - k + 1).cast("double")
+    front = F.exp(log_factorial(n) - log_factorial(k - 1) - log_factorial(n - k) + up * F.ln(p) + down * F.ln(1 - p))
+    state = lambda a, b, x, c, d, h: F.struct(a.alias("a"), b.alias("b"), x.alias("x"), c.alias("c"), d.alias("d"), h.alias("h"))
+    safe = lambda x: F.when(F.abs(x) < 1e-300, F.lit(1e-300)).otherwise(x)
+    # the fraction converges fast on one side of the mean; the other side is its complement
+    flip = p >= (up + 1) / (up + down + 2)
+    a, b, x = F.when(flip, down).otherwise(up), F.when(flip, up).otherwise(down), F.when(flip, 1 - p).otherwise(p)
+    d = 1 / safe(1 - (a + b) * x / (a + 1))
+
+    def half(s: Column, f: Column) -> Column:
+        c, d = safe(1 + f / s.c), 1 / safe(1 + f * s.d)
+        return state(s.a, s.b, s.x, c, d, s.h * c * d)
+
+    # each m is two steps, one of each kind
+    def step(s: Column, i: Column) -> Column:
+        m = F.floor(i / 2).cast("double")
+        even = m * (s.b - m) * s.x / ((s.a + 2 * m - 1) * (s.a + 2 * m))
+        odd = -(s.a + m) * (s.a + s.b + m) * s.x / ((s.a + 2 * m) * (s.a + 2 * m + 1))
+        return half(s, F.when(i % 2 == 0, even).otherwise(odd))
+
+    steps = F.sequence(F.lit(2).cast("long"), (60 + 3 * F.sqrt(n.cast("double"))).cast("long"))
+    h = F.aggregate(steps, state(a, b, x, F.lit(1.0), d, d), step, lambda s: s.h / s.a)
+    return F.when(k <= 0, F.lit(1.0)).otherwise(F.when(flip, 1 - front * h).otherwise(front * h))
 
 
 def clopper_pearson(k: Column, n: Column, alpha: float = 0.05, steps: int = 60) -> tuple[Column, Column]:
