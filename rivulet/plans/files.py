@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import spatial
 from ..operators.ranking import ranked
 from ..operators.raster import Grid
-from ..session import shared_dir
+from ..session import shared_dir, shuffle_partitions
 from ..sources import bindings as b
 from ..sources import rasters, readers, writers
 from ..streaming import state
@@ -20,6 +21,10 @@ from .sql import bound
 from .stitch import _HOLE, _RING
 
 
+#: Manifests that a task writes at the most, on average.
+RUNS_A_TASK = 250
+
+
 def _folder(spark) -> str:
     """A new folder's name in the shared store."""
     return f"{shared_dir(spark)}/rivulet/files-{uuid.uuid4().hex}"
@@ -155,8 +160,10 @@ def discovered_runs(spark, d):
     """SRC21, SRC22: a manifest file a run, listed and read back; those that don't count say why."""
     base, k = _folder(spark), F.col("s_suppkey")
     m = F.to_json(F.struct(F.concat(F.lit("r"), k.cast("string")).alias("run_id"), F.when(k % 7 == 0, "running").otherwise("completed").alias("status"), F.when(k % 5 != 0, F.concat(F.lit("2024-01-01T00:00:"), k.cast("string"), F.lit("Z"))).alias("completed_utc")))
-    b.table(spark, d, "supplier").select(k.alias("run"), m.alias("value")).repartition("run").write.partitionBy("run").text(base)
-    return readers.discovered_runs(spark, f"{base}/run=*/*.txt").select("run_id", "skipped")
+    runs = b.table(spark, d, "supplier").select(m.alias("value"))
+    # a file costs far more than its bytes, so tasks follow the number of files, and files lie in one folder, which is listed once
+    runs.repartition(max(shuffle_partitions(spark), math.ceil(runs.count() / RUNS_A_TASK))).write.option("maxRecordsPerFile", 1).text(base)
+    return readers.discovered_runs(spark, base, "*.txt").select("run_id", "skipped")
 
 
 def _kml(marks, path):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..operators.contracts import require
+from ..session import save
 
 STATUS_SCHEMA = "run_id string, segment_id string, band_low_cm string, band_high_cm string, confidence string, flood_status string, valid_time_utc string, issue_time_utc string, forecast_lead_minutes string, source_manifest_path string"
 WHOLE = r"^(0|-?[1-9]\d*)$"
@@ -84,9 +85,13 @@ def checked_files(spark: SparkSession, path: str, expected: dict[str, str]) -> D
     return names.join(found, "name", "left").select("name", "sha256", F.coalesce(F.col("sha256") == F.col("expected"), F.lit(False)).alias("matches"))
 
 
-def discovered_runs(spark: SparkSession, pattern: str) -> DataFrame:
-    """Manifests under a glob, newest completed first; the others with a reason."""
-    raw = spark.read.option("multiLine", True).schema("run_id string, status string, completed_utc string").json(pattern).withColumn("path", F.input_file_name())
+def discovered_runs(spark: SparkSession, folders: str, names: str = "*") -> DataFrame:
+    """Manifests of some name in a folder, or in a glob of folders, newest completed first; the others with a reason.
+
+    Every file is opened once: what was read is saved before it is sorted.
+    """
+    files = spark.read.option("multiLine", True).option("pathGlobFilter", names).schema("run_id string, status string, completed_utc string")
+    raw = save(files.json(folders).withColumn("path", F.input_file_name()), "manifests")
     reason = F.when(F.col("run_id").isNull(), "no run_id").when(F.col("status") != "completed", "not completed").when(F.col("completed_utc").isNull(), "no time")
     return raw.select("run_id", "completed_utc", "path", reason.alias("skipped")).orderBy(F.col("skipped").isNotNull(), F.col("completed_utc").desc(), F.col("path").desc())
 

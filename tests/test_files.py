@@ -3,12 +3,14 @@
 import glob
 import json
 import os
+from collections import Counter
 
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from rivulet.operators.raster import Grid, MisalignedError
+from rivulet.plans import registry
 from rivulet.sources import rasters
 from rivulet.streaming import state
 from rivulet.streaming.sinks import JsonLog
@@ -141,3 +143,16 @@ def test_a_packed_frame_by_hand(spark):
     got = frame_blob(spark.createDataFrame(rows, "frame_index long, segment_id int, band_low_cm int, band_high_cm int, flood_status string")).first()
     assert got["name"] == "frame_0000007.bin" and got["n"] == 3
     assert bytes(got["content"]) == struct.pack("<ii3H3H3B", 7, 3, 256, 1, 0, 65535, 2, 0, 0, 1, 2)
+
+
+def test_manifests_are_written_by_many_tasks_and_opened_once(spark, tmp_path, monkeypatch):
+    spark.range(600).selectExpr("id AS s_suppkey").write.parquet(f"file://{tmp_path}/supplier.parquet")
+    files = registry.files
+    monkeypatch.setattr(files, "RUNS_A_TASK", 50)
+    monkeypatch.setattr(files, "_folder", lambda spark: f"file://{tmp_path}/runs")
+    rows = {r["run_id"]: r["skipped"] for r in files.discovered_runs(spark, f"file://{tmp_path}").collect()}
+    assert rows == {f"r{k}": "not completed" if k % 7 == 0 else "no time" if k % 5 == 0 else None for k in range(600)}
+    found = glob.glob(f"{tmp_path}/runs/**/*.txt", recursive=True)
+    tasks = Counter(os.path.basename(p).split("-")[1] for p in found)
+    assert len(found) == 600 and len(tasks) == 12 and max(tasks.values()) <= 60
+    assert {os.path.dirname(p) for p in found} == {f"{tmp_path}/runs"}
