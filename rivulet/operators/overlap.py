@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..session import save
 from .components import connected_components
-from .ranking import ranked
 
 #: Jaccard similarity from which two corridors are one; a fixed value.
 CORRIDOR_JACCARD = 0.35
@@ -16,22 +15,25 @@ CORRIDOR_JACCARD = 0.35
 def similar_sets(members: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     """Rows (key, item) -> (classes, pairs): (key, class) for equal sets, and (a, b, jaccard) of classes at ``least`` or more.
 
+    Equal sets are one class, named by the least key, before anything else is done.
     Items stand in the order of their frequency, the rarest first, and a set of n
     items is indexed by its first n - ceil(least * n) + 1 only: sets that are similar
-    enough share one of those. So an item that most sets have is hardly ever met, and
-    what meets is checked exactly. Equal sets are one class, named by the least key,
-    before anything is joined.
+    enough share one of those. So an item that most sets have is hardly ever met. Sets
+    that meet are checked exactly if what follows their item in both can still suffice.
     """
-    held = save(members.select("key", "item").distinct(), "members")
-    order = ranked(held.groupBy("item").agg(F.count("*").alias("n")), "n", "item", name="place").select("item", "place")
-    sets = held.join(order, "item").groupBy("key").agg(F.sort_array(F.collect_list("place")).alias("places"))
-    named = save(sets.groupBy("places").agg(F.min("key").alias("class"), F.collect_list("key").alias("keys")), "sets")
+    sets = members.where("item IS NOT NULL").groupBy("key").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    named = save(sets.groupBy("items").agg(F.min("key").alias("class"), F.collect_list("key").alias("keys")), "sets")
     classes = named.select(F.explode("keys").alias("key"), "class")
-    size = F.size("places")
-    first = named.select("class", "places", F.explode(F.slice("places", F.lit(1), (size - F.ceil(least * size - 1e-9) + 1).cast("int"))).alias("place"))
-    side = lambda c, p: first.select(F.col("class").alias(c), F.size("places").alias(f"n{c}"), "place")
-    near = side("a", "pa").join(side("b", "pb"), "place").where("a < b AND na >= {0} * nb - 1e-9 AND nb >= {0} * na - 1e-9".format(least)).select("a", "b").distinct()
-    whole = lambda c: named.select(F.col("class").alias(c), F.col("places").alias(f"p{c}"))
+    each = named.select("class", F.explode("items").alias("item"))
+    placed = each.join(each.groupBy("item").agg(F.count("*").alias("n")), "item").groupBy("class").agg(F.sort_array(F.collect_list(F.struct("n", "item"))).alias("places"))
+    held = save(placed.select("class", F.col("places.item").alias("items")), "members")
+    size = F.size("items")
+    first = held.select("class", size.alias("n"), F.posexplode(F.slice("items", F.lit(1), (size - F.ceil(least * size - 1e-9) + 1).cast("int"))).alias("at", "item"))
+    # at the first item that two similar sets share, the rest of either holds all that they have in common
+    enough = f"least(x.n - x.at, z.n - z.at) >= {least / (1 + least)!r} * (x.n + z.n) - 1e-9"
+    met = first.alias("x").join(first.alias("z"), F.col("x.item") == F.col("z.item")).where("x.class < z.class").where(enough).select(F.col("x.class").alias("a"), F.col("z.class").alias("b"))
+    near = met.repartition("a").distinct()
+    whole = lambda c: held.select(F.col("class").alias(c), F.col("items").alias(f"p{c}"))
     common = F.size(F.array_intersect("pa", "pb"))
     checked = near.join(whole("a"), "a").join(whole("b"), "b").select("a", "b", (common / (F.size("pa") + F.size("pb") - common)).alias("jaccard"))
     return classes, checked.where(F.col("jaccard") >= least)

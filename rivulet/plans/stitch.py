@@ -26,7 +26,7 @@ def _connectors(spark, d):
 def merged_corridors(spark, d):
     """SET8: connectors whose cells overlap at a Jaccard of 0.35 or more become one corridor; the longest is kept."""
     con = _connectors(spark, d)
-    cells = con.select("corridor", "r", F.explode(F.sequence(F.col("c0"), F.col("c0") + F.col("n") - 1)).alias("c")).select("corridor", F.struct("r", "c").alias("cell"))
+    cells = con.select("corridor", "r", F.explode(F.sequence(F.col("c0"), F.col("c0") + F.col("n") - 1)).alias("c")).select("corridor", (F.shiftleft("r", 32) + F.col("c")).alias("cell"))
     return overlap.merged_corridors(cells, con.select("corridor", F.col("n").cast("double").alias("length_m")))
 
 

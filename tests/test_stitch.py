@@ -34,6 +34,16 @@ def test_similar_sets(spark, least):
     assert {(r["a"], r["b"]): r["jaccard"] for r in pairs.collect()} == pytest.approx(want)
 
 
+def test_copies_of_a_set_are_one_before_their_items_are_counted(spark, monkeypatch):
+    written, save = {}, overlap.save
+    monkeypatch.setattr(overlap, "save", lambda df, label: written.setdefault(label, save(df, label)))
+    rows = spark.range(2000).selectExpr("id AS key", "explode(sequence(id % 4 * 3, id % 4 * 3 + 9)) AS item")
+    classes, pairs = overlap.similar_sets(rows.unionByName(rows), 0.35)
+    assert {tuple(r) for r in pairs.collect()} == {(a, a + 1, 7 / 13) for a in range(3)}
+    assert {tuple(r) for r in classes.groupBy("class").count().collect()} == {(a, 500) for a in range(4)}
+    assert {label: df.count() for label, df in written.items()} == {"sets": 4, "members": 4}
+
+
 def test_corridors(spark):
     sets = {1: {1, 2, 3, 4}, 2: {2, 3, 4, 5}, 3: {4, 5, 6, 7}, 4: {9}, 5: {9}, 6: {20, 21}}
     corridors = [(1, 40.0), (2, 30.0), (3, 45.0), (4, 10.0), (5, 10.0), (6, 5.0), (7, 99.0)]
