@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..session import drop, save
 from .components import connected_components
-from .tiles import Tiling, gathered, met, scattered, worked
+from .tiles import Tiling, gathered, scattered, sent, worked
 
 FOUR = ((-1, 0), (1, 0), (0, -1), (0, 1))
 EIGHT = (*FOUR, (-1, -1), (-1, 1), (1, -1), (1, 1))
@@ -23,50 +23,65 @@ def levels(cells: DataFrame, rows: int, columns: int, ways=FOUR, eps: float = 0.
     """(r, c, w) for cells (r, c, z, seed): the least w with w = z at seeds and elsewhere w >= z and w >= (some neighbour's w) + eps.
 
     That is what a flood from the seeds in the order of a heap gives. Each tile is
-    flooded from its seeds and from the levels in its border; only tiles whose border
-    has fallen are flooded again, until none has. Cells that no seed reaches have none.
+    flooded from its seeds; then tiles are flooded again from the cells in their border
+    that have fallen, and from there only as far as levels fall, until none has. Cells
+    that no seed reaches have none. A column ``above`` may hold levels that some of the
+    seeds give; the flood then goes on from these.
+
+    What tiles send is written first: it is small beside the tiles, and a join that
+    knows its size needn't move them.
     """
     tiling = Tiling(rows, columns, tile)
-    start = F.when(F.col("seed"), F.col("z")).otherwise(F.lit(float("inf")))
-    now = save(gathered(cells.select("r", "c", "z", start.alias("seed")), ["z", "seed"], tiling).select("tr", "tc", "z", "seed", F.col("seed").alias("w"), F.lit(True).alias("changed"), F.lit(True).alias("fresh")), "levels")
+    unknown = F.coalesce("above", F.lit(float("inf"))) if "above" in cells.columns else F.lit(float("inf"))
+    start = F.when(F.col("seed"), F.col("z")).otherwise(unknown)
+    now = save(gathered(cells.select("r", "c", "z", start.alias("w")), ["z", "w"], tiling).select("tr", "tc", "z", "w", F.lit(True).alias("changed"), F.lit(True).alias("fresh")), "levels")
+    width = tiling.width
+    steps = [i * width + j for i, j in ways]
 
     def flood(row: dict) -> dict:
+        strips, fresh = row.pop("strips"), row["fresh"]
+        if not fresh and strips is None:
+            return row | {"changed": False}
         w = tiling.block(row["w"])
-        fell = row["fresh"]
-        for s in row.pop("strips") if row["strips"] is not None else ():
-            side = w[tiling._border(s["i"]), tiling._border(s["j"])]
-            before = side.copy()
+        first = np.isfinite(w) if fresh else np.zeros(w.shape, bool)
+        for s in strips or ():
+            side = np.s_[tiling._border(s["i"]), tiling._border(s["j"])]
+            before = w[side].copy()
             tiling.place(w, s["i"], s["j"], s["w"])
-            fell |= bool((np.nan_to_num(side, nan=np.inf) < np.nan_to_num(before, nan=np.inf)).any())
-        row.pop("strips", None)
-        changed = False
-        if fell:
-            z, n = tiling.block(row["z"]), tiling.width
-            before = w[tiling.inner].copy()
-            heap = [(w[i, j], i, j) for i, j in zip(*np.nonzero(np.isfinite(w)))]
+            first[side] = np.nan_to_num(w[side], nan=np.inf) < np.nan_to_num(before, nan=np.inf)
+        changed = fresh
+        if first.any():
+            # border cells and those that aren't there never fall; what lies beyond the block's ends meets the padding
+            ground = np.full(w.shape, np.inf)
+            ground[tiling.inner] = np.nan_to_num(tiling.block(row["z"])[tiling.inner], nan=np.inf)
+            pad = [math.inf] * (width + 1)
+            z, level = ground.ravel().tolist() + pad, w.ravel().tolist() + pad
+            heap = [(level[x], x) for x in np.flatnonzero(first).tolist()]
             heapq.heapify(heap)
             while heap:
-                level, i, j = heapq.heappop(heap)
-                if level > w[i, j]:
+                v, x = heapq.heappop(heap)
+                if v > level[x]:
                     continue
-                for a, b in ways:
-                    x, y = i + a, j + b
-                    if 1 <= x < n - 1 and 1 <= y < n - 1:
-                        new = max(z[x, y], level + eps)
-                        if new < w[x, y]:
-                            w[x, y] = new
-                            heapq.heappush(heap, (new, x, y))
-            after = w[tiling.inner]
-            differs = np.nan_to_num(after, nan=-1.0, posinf=math.inf) != np.nan_to_num(before, nan=-1.0, posinf=math.inf)
-            rim = np.ones(differs.shape, bool)
-            rim[1:-1, 1:-1] = False
-            changed = bool((differs & rim).any()) or bool(row["fresh"])
+                v += eps
+                for k in steps:
+                    y = x + k
+                    new = z[y]
+                    if new < v:
+                        new = v
+                    if new < level[y]:
+                        level[y] = new
+                        heapq.heappush(heap, (new, y))
+            after = np.array(level[: width * width]).reshape(w.shape)
+            differs = (np.nan_to_num(after, nan=-1.0, posinf=math.inf) != np.nan_to_num(w, nan=-1.0, posinf=math.inf))[tiling.inner]
+            differs[1:-1, 1:-1] = False
+            changed, w = fresh or bool(differs.any()), after
         return row | {"w": w.tobytes(), "changed": changed, "fresh": False}
 
-    schema = "tr int, tc int, z binary, seed binary, w binary, changed boolean, fresh boolean"
+    schema = "tr int, tc int, z binary, w binary, changed boolean, fresh boolean"
     for _ in range(max_rounds):
-        new = save(worked(met(now, ["w"], tiling, "changed"), schema, flood), "levels")
-        drop(now)
+        strips = save(sent(now, ["w"], tiling, "changed AND NOT fresh"), "strips")
+        new = save(worked(now.join(strips, ["tr", "tc"], "left"), schema, flood), "levels")
+        drop(now, strips)
         now = new
         if now.where("changed").isEmpty():
             return scattered(now, ["w"], tiling).where("w < double('infinity')")
@@ -114,21 +129,22 @@ def conditioned(cells: DataFrame, rows: int, columns: int, cut: float = CUT_M, f
     out, to the rim, to a kept basin or to a cell that mustn't be filled (road,
     waterway, building). Where that takes more than ``fill``, the lowest cell of each
     connected part that lies too deep (ties: least row, column) becomes an outlet of
-    its own and stays as a pit, and levels are taken again, so that what surrounds it
-    rises no more than it must; this goes on until nothing rises too far.
+    its own and stays as a pit, and levels are taken again from those before, which more
+    outlets can only lower, so that what surrounds it rises no more than it must; this
+    goes on until nothing rises too far. Cells that no level reaches are left out.
     """
     first = save(carved(cells, cut).join(cells.select("r", "c", "no_fill", "kept"), ["r", "c"]), "carved")
     rim = (F.col("r") == 0) | (F.col("c") == 0) | (F.col("r") == rows - 1) | (F.col("c") == columns - 1)
     seeds = save(first.select("r", "c", "z", (rim | F.col("no_fill") | F.col("kept")).alias("seed")), "seeds")
     for _ in range(max_passes):
-        level = save(levels(seeds, rows, columns, tile=tile).join(seeds, ["r", "c"]), "levels")
+        level = save(levels(seeds, rows, columns, tile=tile).join(seeds.select("r", "c", "z", "seed"), ["r", "c"]), "levels")
         deep = save(level.where(F.col("w") - F.col("z") > fill).select("r", "c", "z", F.struct("r", "c").alias("cell")), "deep")
         if deep.isEmpty():
             return cells.select("r", "c", "z").join(level.select("r", "c", "w"), ["r", "c"])
         pairs = around(deep, FOUR[::2], "cell").select(F.col("cell").alias("u"), F.struct("r", "c").alias("v")).join(deep.select(F.col("cell").alias("v")), "v", "left_semi")
         named = connected_components(pairs)
         outlets = deep.join(named, F.col("cell") == F.col("node"), "left").groupBy(F.coalesce("component", "cell").alias("part")).agg(F.min(F.struct("z", "r", "c")).alias("m")).select("m.r", "m.c", F.lit(True).alias("out"))
-        more = save(seeds.join(outlets, ["r", "c"], "left").select("r", "c", "z", (F.col("seed") | F.coalesce("out", F.lit(False))).alias("seed")), "seeds")
+        more = save(level.join(outlets, ["r", "c"], "left").select("r", "c", "z", (F.col("seed") | F.coalesce("out", F.lit(False))).alias("seed"), F.col("w").alias("above")), "seeds")
         drop(seeds, level, deep)
         seeds = more
     raise RuntimeError("conditioning did not settle")

@@ -3,9 +3,10 @@
 import heapq
 import random
 
+import pyarrow as pa
 import pytest
 
-from rivulet.operators import floods
+from rivulet.operators import floods, tiles
 
 SCHEMA = "r int, c int, z double, cost int, no_fill boolean, kept boolean"
 
@@ -134,3 +135,24 @@ def test_a_deep_hole_stays_a_pit_and_its_shoulder_is_filled_to_it(spark):
     t[2, 3] = (8.5, 999, False, False)
     got = {(r["r"], r["c"]): r["w"] for r in floods.conditioned(frame(spark, t), 5, 5).collect()}
     assert got == {x: 10.0 for x in t}
+
+
+def test_a_flood_goes_on_from_levels_and_sends_only_what_fell(spark, monkeypatch):
+    t = terrain(5, 30, 26)
+    z, seeds = {x: v[0] for x, v in t.items()}, [x for x in t if x[0] == 0]
+    more = [*seeds, max(t)]
+    above = slow_levels(z, seeds, floods.FOUR, 0.0)
+    rows, save = {}, floods.save
+    monkeypatch.setattr(floods, "save", lambda df, label: rows.setdefault(label, []).append((out := save(df, label)).count()) or out)
+    df = spark.createDataFrame([(*x, z[x], x in more, above.get(x)) for x in z], "r int, c int, z double, seed boolean, above double")
+    got = {(r["r"], r["c"]): r["w"] for r in floods.levels(df, 30, 26, tile=8).collect()}
+    assert got == slow_levels(z, more, floods.FOUR, 0.0)
+    # the first round floods each tile alone
+    assert rows["strips"][0] == 0 and rows["strips"][1] == 16
+
+
+def test_tiles_come_one_at_a_time():
+    batch = pa.RecordBatch.from_pylist([{"tr": k, "h": bytes(8)} for k in range(3)])
+    left = iter([batch, None])
+    got = tiles._rows(left)
+    assert [next(got)["tr"] for _ in range(3)] == [0, 1, 2] and next(left) is None
