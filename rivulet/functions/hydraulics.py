@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,6 +56,13 @@ def regime_discharge(depth: Column, head: Column, length: Column, opening: Colum
     return F.when(head > 0, q).otherwise(0.0)
 
 
+def regime_discharge_of(depth: np.ndarray, head: np.ndarray, length: np.ndarray, opening: np.ndarray) -> np.ndarray:
+    """``regime_discharge`` on arrays."""
+    held = lambda x: np.fmax(x, FLOOR_M)
+    q = np.where(depth < REGIME_SWITCH_M, WEIR_C * length * held(depth) ** 1.5, ORIFICE_C * opening * np.sqrt(2 * GRAVITY * held(head)))
+    return np.where(head > 0, q, 0.0)
+
+
 def manning_trapezoid(width: Column, n: Column, slope: Column, depth: Column) -> Column:
     """Full flow of a trapezoid with sides 1 : 1."""
     area = width * depth + depth * depth

@@ -219,6 +219,39 @@ def passed(edges: DataFrame, best: DataFrame, wanted: DataFrame) -> DataFrame:
     return best.select("source", "node").join(way, ["source", "node"], "left").select("source", "node", F.array_sort(F.coalesce("segments", none)).alias("segments"))
 
 
+class Routing:
+    """The edges that carry water, with each one's share of what its source can give, written once by the level of the source."""
+
+    def __init__(self, edges: DataFrame, levels: DataFrame):
+        source_level = levels.withColumnsRenamed({"node": "from_node", "level": "source_level"})
+        live = edges.where("cap IS NOT NULL").join(source_level, "from_node").select("from_node", "to_node", F.col("cap").cast("double").alias("cap"), "source_level")
+        live = live.withColumn("share", F.col("cap") / F.sum("cap").over(Window.partitionBy("from_node"))).select("from_node", "to_node", "cap", "share", "source_level")
+        path = f"{shared_dir(edges.sparkSession)}/rivulet/plan-{uuid.uuid4().hex}"
+        live.write.partitionBy("source_level").parquet(path)
+        self.plan = edges.sparkSession.read.schema(live.schema).parquet(path)
+        self.plan.saved_at = path
+        self.levels = sorted(r[0] for r in self.plan.select("source_level").distinct().collect())
+
+    def passed(self, volumes: DataFrame, dt: float, flows: Appended | None = None) -> DataFrame:
+        """Volumes (node, volume) after dt, level by level; ``flows`` is given what each edge carried (from_node, to_node, q)."""
+        volumes = save(volumes.select("node", "volume"), "volumes")
+        moved = Appended(volumes.select("node", F.lit(0.0).alias("dv")), "moved")
+        now = lambda: volumes.join(moved.read().groupBy("node").agg(F.sum("dv").alias("dv")), "node", "left").select("node", (F.col("volume") + F.coalesce("dv", F.lit(0.0))).alias("volume"))
+        for level in self.levels:
+            own = self.plan.where(F.col("source_level") == level)
+            q = F.least(F.col("cap"), F.col("volume") / dt * F.col("share"))
+            flow = own.join(now().withColumnRenamed("node", "from_node"), "from_node").select("from_node", "to_node", q.alias("q"))
+            if flows is not None:
+                flow = save(flow, "flow")
+                flows.add(flow)
+            ends = F.array(*(F.struct(F.col(c).alias("node"), (F.lit(sign) * F.col("q") * dt).alias("dv")) for c, sign in (("from_node", -1.0), ("to_node", 1.0))))
+            moved.add(flow.select(F.explode(ends).alias("x")).groupBy("x.node").agg(F.sum("x.dv").alias("dv")))
+            drop(flow)
+        after = save(now(), "volumes")
+        drop(volumes, moved)
+        return after
+
+
 def route_capacity(volumes: DataFrame, edges: DataFrame, levels: DataFrame, dt: float) -> tuple[DataFrame, DataFrame]:
     """Volumes (node, volume) through capacity-bearing edges, level by level: (volumes after, flows).
 
@@ -226,20 +259,10 @@ def route_capacity(volumes: DataFrame, edges: DataFrame, levels: DataFrame, dt:
     its source can give in dt. Edges without capacity carry nothing. Water may pass
     several edges in one call.
     """
-    source_level = levels.withColumnsRenamed({"node": "from_node", "level": "source_level"})
-    live = edges.where("cap IS NOT NULL").join(source_level, "from_node")
-    plan = save(live.withColumn("share", F.col("cap") / F.sum("cap").over(Window.partitionBy("from_node"))), "plan")
-    state, flows = save(volumes, "volumes"), Appended(edges.select("from_node", "to_node", F.lit(0.0).alias("q")), "flows")
-    for (level,) in sorted(tuple(r) for r in plan.select("source_level").distinct().collect()):
-        own = plan.where(F.col("source_level") == level)
-        q = F.least(F.col("cap").cast("double"), F.col("volume") / dt * F.col("share"))
-        flow = save(own.join(state.withColumnRenamed("node", "from_node"), "from_node").select("from_node", "to_node", q.alias("q")), "flow")
-        moved = flow.select(F.col("from_node").alias("node"), (-F.col("q") * dt).alias("dv")).unionByName(flow.select(F.col("to_node").alias("node"), (F.col("q") * dt).alias("dv"))).groupBy("node").agg(F.sum("dv").alias("dv"))
-        after = save(state.join(moved, "node", "left").select("node", (F.col("volume") + F.coalesce("dv", F.lit(0.0))).alias("volume")), "volumes")
-        flows.add(flow)
-        drop(state, flow)
-        state = after
-    return state, flows.read()
+    routing, flows = Routing(edges, levels), Appended(edges.select("from_node", "to_node", F.lit(0.0).alias("q")), "flows")
+    after = routing.passed(volumes, dt, flows)
+    drop(routing.plan)
+    return after, flows.read()
 
 
 def blocked(status: DataFrame, limit_cm: int, unknown_blocks: bool = True) -> DataFrame:

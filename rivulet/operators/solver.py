@@ -119,10 +119,7 @@ class Grid:
             raise ValueError("more steps than the border allows")
 
         def work(row: dict) -> dict:
-            f = {c: tiling.block(row[c]) for c in fields}
-            for s in row["strips"] if row["strips"] is not None else ():
-                for c in fields:
-                    tiling.place(f[c], s["i"], s["j"], s[c])
+            f = tiling.laid(row, fields)
             first = np.array([row["tr"], row["tc"]]) * tiling.tile - tiling.halo
             r, c = (np.arange(tiling.width) + first[0])[:, None], (np.arange(tiling.width) + first[1])[None, :]
             rim = (r == 0).astype(int) + (r == tiling.rows - 1) + (c == 0) + (c == tiling.columns - 1)

@@ -153,8 +153,8 @@ def basin_cascade(spark, d):
 def _coupled(spark, d):
     """Cells with their nodes, the nodes' books, edges and levels."""
     cells = b.cells(spark, d).select("r", "c", F.col("depth_m").alias("h"), F.when((F.col("r") + F.col("c")) % 3 == 0, (b.div(F.col("r"), 15) % 8) * 50 + F.col("c") % 50).cast("long").alias("node"))
-    e = b.drain_edges(spark, d)
-    nodes = e.select(F.col("from_node").alias("node")).union(e.select("to_node")).distinct()
+    e = save(b.drain_edges(spark, d), "edges")
+    nodes = save(e.select(F.col("from_node").alias("node")).union(e.select("to_node")).distinct(), "ends")
     books = nodes.select("node", (F.col("node") % 5 * 0.5).alias("head"), F.lit(4.0).alias("plan_m2"), (1 + F.col("node") % 3 * 0.5).alias("width"))
     return cells, books, e, nodes.select("node", F.floor(F.col("node") % 400 / 50).cast("int").alias("level"))
 
@@ -181,7 +181,7 @@ def coupled_step(spark, d):
 def coupled_run(spark, d):
     """PH10, PH16: three surface and coupling steps; a book a step, with the monitor of the step's stability. Tests hold the volume."""
     cells, nodes, edges, levels = _coupled(spark, d)
-    state = cells.join(b.cells(spark, d).select("r", "c", (0.01 * F.col("c")).alias("z")), ["r", "c"]).withColumns({"qx": F.lit(0.0), "qy": F.lit(0.0)})
+    state = cells.where("r IS NOT NULL AND c IS NOT NULL").withColumns({"z": 0.01 * F.col("c"), "qx": F.lit(0.0), "qy": F.lit(0.0)})
     _, _, books = coupling.simulate(state, nodes, edges, levels, [0.5, 0.5, 0.25], 10.0)
     names = ("surface_m3", "nodes_m3", "captured_m3", "returned_m3", "factor")
     rows = [(i, k["dt"], *(k[c] for c in names), k["alarm"]) for i, k in enumerate(books)]

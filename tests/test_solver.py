@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pytest
 
+from rivulet import session
 from rivulet.operators import coupling, solver
 
 SCHEMA = "r int, c int, h double, z double, qx double, qy double, n double, cx double, cy double"
@@ -124,3 +125,52 @@ def test_the_monitor_and_the_budget_of_a_coupled_run(spark):
     with pytest.raises(coupling.CollapsedStepError):
         coupling.simulate(cells, nodes, edges, levels, [0.1] * 4, 10.0, uncoupled=[0.3] * 4)
     assert len(coupling.simulate(cells, nodes, edges, levels, [0.1] * 4, 10.0, uncoupled=[0.2] * 4)[2]) == 4
+
+
+def coupled_case(spark):
+    """A grid with gaps in tiles of four cells; node 2 ** 60 + 1 next to 2 ** 60, cells of node 9, which has no book, and node 5 without cells."""
+    r, big = random.Random(8), 2**60
+    names = [big, big + 1, 3, 9, None]
+    cells = spark.createDataFrame([(i, j, r.random() * 0.4, 0.01 * j, 0.0, 0.0, names[r.randrange(5)]) for i in range(11) for j in range(9) if r.random() < 0.9], "r int, c int, h double, z double, qx double, qy double, node long")
+    nodes = spark.createDataFrame([(big, 0.2, 3.0, 1.0), (big + 1, 1.7, 3.0, 1.5), (3, 2.5, 3.0, 2.0), (5, 2.0, 3.0, 1.0)], "node long, head double, plan_m2 double, width double")
+    edges = spark.createDataFrame([(big, big + 1, 4.0), (big + 1, 3, 2.0), (big, 3, None), (3, 5, 1.0)], "from_node long, to_node long, cap double")
+    levels = spark.createDataFrame([(big, 0), (big + 1, 1), (3, 2), (5, 3)], "node long, level int")
+    return cells, nodes, edges, levels
+
+
+def test_a_coupled_run_in_tiles_is_its_steps_one_after_the_other(spark):
+    cells, nodes, edges, levels = coupled_case(spark)
+    now, held, dts = cells, nodes, [0.5, 0.3, 0.4]
+    for dt in dts:
+        flowed = session.save(solver.step(now.select("r", "c", "h", "z", "qx", "qy"), dt, 10.0).drop("sunk").join(now.select("r", "c", "node"), ["r", "c"]))
+        now, held = (session.save(x) for x in coupling.couple_step(flowed, held, edges, levels, dt, 100.0))
+    got, books, totals = coupling.simulate(cells, nodes, edges, levels, dts, 10.0, tile=4)
+    key = lambda df: {(r["r"], r["c"]): (r["h"], r["qx"], r["qy"], r["z"]) for r in df.collect()}
+    want, found = key(now), key(got)
+    assert set(want) == set(found) and all(found[x] == pytest.approx(v, rel=1e-9, abs=1e-12) for x, v in want.items())
+    assert {(r["r"], r["c"]): r["node"] for r in got.collect()} == {(r["r"], r["c"]): r["node"] for r in cells.collect()}
+    columns = ("head", "captured", "returned", "head_before_return")
+    book = lambda df: {r["node"]: tuple(r[c] for c in columns) for r in df.collect()}
+    want, found = book(held), book(books)
+    assert set(want) == set(found) and all(found[x] == pytest.approx(v, rel=1e-9, abs=1e-12) for x, v in want.items())
+    assert totals[-1]["surface_m3"] == pytest.approx(sum(r["h"] for r in now.collect()) * 100) and totals[0]["captured_m3"] > 0 and totals[0]["returned_m3"] > 0
+
+
+def test_a_coupled_run_gathers_its_cells_and_reads_its_edges_once_for_all_steps(spark, monkeypatch):
+    cells, nodes, edges, levels = coupled_case(spark)
+    reads, gathers = spark.sparkContext.accumulator(0), []
+
+    def counted(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    for module in (solver, coupling):
+        if hasattr(module, "gathered"):
+            monkeypatch.setattr(module, "gathered", lambda *a, f=module.gathered: gathers.append(1) or f(*a))
+    seen = []
+    for dts in ([0.2], [0.2] * 3):
+        reads.value, gathers[:] = 0, []
+        coupling.simulate(cells, nodes, edges.mapInArrow(counted, edges.schema), levels, dts, 10.0)
+        seen.append((reads.value, len(gathers)))
+    assert seen[0] == seen[1] and seen[0][0] > 0 and seen[0][1] == 1
